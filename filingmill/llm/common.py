@@ -121,6 +121,14 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix(total + np.uint64(n))
 
 
+def gram_hashes_at(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """The same at some starts only."""
+    total = np.zeros(len(starts), np.uint64)
+    for j in range(n):
+        total += words[starts + j] * _STEP[j + 1]
+    return mix(total + np.uint64(n))
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n-word shingles; with fewer words the whole sequence as one; none without words."""
     words, first, _ = word_hashes(raw, offsets, "blank")

@@ -3,17 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contamination
+from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
+from .packing import best_fit_packing
+from .quality import quality_scores
+
+
+def public_vocabulary() -> dict[str, str]:
+    """Where the public byte-level vocabulary lies, as arguments for packing."""
+    import public_tokenizers
+
+    return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "end_id": 2}
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), **public_vocabulary())
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "expected_grade", "p_above_0", "p_above_1", "accepted")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_cut_lines", "n_cut_words", "earlier")
+
+
 QUERIES = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_decontamination": op9_decontamination,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
