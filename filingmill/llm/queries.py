@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_digests, probe
 from .common import table
 from .decontaminate import contamination
+from .licenses import license_scan
 from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
 from .packing import best_fit_packing
 from .quality import quality_scores
+from .secrets import secret_scan
 
 
 def public_vocabulary() -> dict[str, str]:
@@ -24,10 +27,23 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), **public_vocabulary())
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_digests(rows.unionByName(probe(spark)))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "expected_grade", "p_above_0", "p_above_1", "accepted")
@@ -44,7 +60,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_secret_scan": op4_secret_scan,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
