@@ -125,7 +125,7 @@ def _packed(pieces: DataFrame, capacity: int, partition_pieces: int, n: int, tur
     parts = max(1, -(-n // partition_pieces))
     own = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)) + F.lit(turn << 40)
     dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", own.alias("part"))
-    return staged(dealt.groupBy("part").applyInPandas(partial(_pack, capacity=capacity), _PACKED))
+    return staged(dealt.groupBy("part").applyInPandas(lambda key, group: _pack(key, group, capacity), _PACKED))
 
 
 def _bins(packed: DataFrame) -> int:

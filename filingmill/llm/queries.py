@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from .chat import chat_digests, probe
 from .common import table
 from .decontaminate import contamination
+from .html_text import main_texts
 from .licenses import license_scan
 from .line_dedup import line_dedup
 from .minhash_dedup import near_duplicates
 from .packing import best_fit_packing
 from .quality import quality_scores
 from .secrets import secret_scan
+from .topk import top_products
 
 
 def public_vocabulary() -> dict[str, str]:
@@ -23,6 +25,14 @@ def public_vocabulary() -> dict[str, str]:
     return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "end_id": 2}
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), **public_vocabulary())
 
@@ -59,6 +69,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_exact_topk": op2_exact_topk,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_minhash_dedup": op5_minhash_dedup,
