@@ -7,9 +7,10 @@ two sketches concentrates round the Jaccard similarity as that of t independent
 
 Bands of `rows` coordinates are the buckets. With 64 bands of 8 a pair at similarity 0.8 shares none of them with
 probability (1 - 0.8^8)^64 < 1e-5. Each bucket's texts are first compared with its smallest document, exactly, on full
-shingle sets. Only where a bucket then still spans several components are its other pairs compared, those that cross
-components and that the triangle inequality of the Jaccard distance (through the bucket's first document) can't rule
-out. So groups of copies cost a number of pairs in proportion to their size, and no link between candidates is lost.
+shingle sets. Only where a bucket then still spans several components are its other pairs compared: those that cross
+components and that exact bounds don't rule out, by the shingles that a document shares with any other in question,
+by the hash cells that two sets share, and by the triangle inequality of the Jaccard distance. So groups of copies cost a
+number of pairs in proportion to their size, and no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, longs, mix, only, salted, shingle_sets, small_or_shuffled, staged, text_chunks
 from .components import components
 
+#: Hash cells in which the sets of a bucket are compared before they are verified.
+CELLS = 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -97,17 +100,63 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n_a"), batch.column("n_b"), pa.array(common, pa.int64())], names=["a", "b", "n_a", "n_b", "common"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """Staged (a, b, n_a, n_b, common) of staged pairs (a, b): the exact overlap of their shingle sets, read anew from the texts."""
-    wanted = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+def _shingles(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n, shingles) of the documents in a staged `wanted`, read anew from their texts."""
     texts = docs.join(small_or_shuffled(wanted), "doc_id", "left_semi")
     sets = texts.mapInArrow(partial(_sets, n=n), "doc_id long, lo long, hi long, shingles binary")
-    sets = sets.join(nodes.select("doc_id", "lo", "hi", "n"), ["doc_id", "lo", "hi"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "shingles")
+    return sets.join(nodes.select("doc_id", "lo", "hi", "n"), ["doc_id", "lo", "hi"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "shingles")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """Staged (a, b, n_a, n_b, common) of staged pairs (a, b): the exact overlap of their shingle sets."""
+    wanted = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    sets = _shingles(wanted, docs, nodes, n)
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return staged(both.mapInArrow(_overlap, "a long, b long, n_a long, n_b long, common long"))
 
 
+def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("shingles")]
+        owner = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), longs(np.concatenate([*sets, np.zeros(0, np.uint64)]))], names=["doc_id", "shingle"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of CELLS hash cells a set has shingles in, as bits of longs."""
+    for batch in batches:
+        bits = []
+        for s in batch.column("shingles"):
+            cells = np.zeros(CELLS, np.uint8)
+            cells[(salted(np.frombuffer(s.as_buffer(), np.uint64), 103) % np.uint64(CELLS)).astype(np.int64)] = 1
+            bits.append(np.packbits(cells).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "cells"])
+
+
+def _may_link(rest: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
+    """rest (key, doc_id, n, root, far) less the rows that can't link across, with `shared` and `cells`.
+
+    shared: the document's shingles that any other document of rest has. With whom it may be linked has at most
+    (100 + percent) * shared / percent - n shingles; where a bucket's smallest set has more, the document leaves it.
+    """
+    sets = staged(_shingles(staged(rest.select("doc_id").distinct()), docs, nodes, n))
+    own = sets.mapInArrow(_each_shingle, "doc_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
+    own = own.where("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
+    least = rest.groupBy("key").agg(F.min("n").alias("least"))
+    rest = rest.join(own, "doc_id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).join(least, "key")
+    rest = rest.where((F.col("n") + F.col("least")) * percent <= F.col("shared") * (100 + percent))
+    span = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
+    rest = rest.join(span, "key").join(sets.mapInArrow(_cells, "doc_id long, cells array<long>"), "doc_id")
+    return staged(rest.select("key", "doc_id", "n", "root", "far", "shared", "cells"))
+
+
+def _most_common(a: str, b: str):
+    """A bound of the common shingles of two sides: each set's shingles less those in cells that the other lacks."""
+    lacking = lambda x, y: F.aggregate(F.zip_with(f"cells_{x}", f"cells_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+    return F.least(F.col(f"n_{a}") - lacking(a, b), F.col(f"n_{b}") - lacking(b, a), F.col(f"shared_{a}"), F.col(f"shared_{b}"))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 64, rows: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
@@ -140,9 +189,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     known = star.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("far"))
     rest = placed.where("lead <> doc_id").join(open_, "key").join(known, ["lead", "doc_id"], "left")
     rest = staged(rest.select("key", "doc_id", "n", "root", F.coalesce("far", F.lit(0.0)).alias("far")))
-    side = lambda x: rest.select("key", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"), F.col("far").alias(f"far_{x}"))
+    rest = _may_link(rest, docs, nodes, n, percent)
+    side = lambda x: rest.select("key", F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "root", "far", "shared", "cells")))
     apart = 1 - percent / 100 + 1e-9
     cross = side("a").join(side("b"), "key").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & close & (F.abs(F.col("far_a") - F.col("far_b")) <= apart))
+    cross = cross.where((F.col("n_a") + F.col("n_b")) * percent <= _most_common("a", "b") * (100 + percent))
     cross = staged(cross.select("a", "b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
     more = _verified(cross, docs, nodes, n).where(linked).select("a", "b")
     # the links of the first round stand as its stars
