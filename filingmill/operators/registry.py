@@ -39,13 +39,15 @@ def add(registry: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     hash the last counts. Rows without a hash are always new. New ids follow the largest one, by seq.
     """
     now = F.lit(as_of).cast("timestamp_ntz")
+    refreshed = [c for c in REFRESHED if c in registry.columns]
+    copied = [c for c in ("file_path", "file_name", "file_size") if c in registry.columns]
     last = incoming.where("file_hash is not null").groupBy("file_hash").agg(F.max_by(F.struct(*incoming.columns), "seq").alias("x")).select("x.*")
     known = registry.where("file_hash is not null").select("file_hash")
     fresh = last.join(known, "file_hash", "left_anti").unionByName(incoming.where("file_hash is null"))
-    renamed = last.select(F.col("file_hash").alias("_hash"), *(F.col(c).alias(f"_{c}") for c in (*REFRESHED, "file_path", "file_name", "file_size")))
+    renamed = last.select(F.col("file_hash").alias("_hash"), *(F.col(c).alias(f"_{c}") for c in (*refreshed, *copied)))
     joined = registry.join(renamed, registry["file_hash"] == F.col("_hash"), "left")
     hit = F.col("_hash").isNotNull()
-    changed = {c: F.coalesce(f"_{c}", c) for c in REFRESHED} | {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in ("file_path", "file_name", "file_size")}
+    changed = {c: F.coalesce(f"_{c}", c) for c in refreshed} | {c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in copied}
     changed |= {"is_available": hit | F.col("is_available"), "download_time": F.when(hit, now).otherwise(F.col("download_time"))}
     kept = joined.withColumns(changed).select(*registry.columns)
     top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))

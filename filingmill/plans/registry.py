@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import ledger_queries, registry_queries, text_queries  # noqa: F401  they register themselves
+from .catalog import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.where("o_orderstatus = 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20)
+    """Each company's yearly facts, from wide records by way of derived ratios."""
+    return ledger_queries.prj8_mth1_facts(spark, sf_dir)
