@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .chat import chat_digests, probe
 from .common import table
 from .decontaminate import contamination
@@ -81,4 +82,12 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: HTML trees, packing, the classifier and patience diff have no SQL; tests/llm compares them with brute force.
+ORACLE_SQL = {
+    "op2_exact_topk": oracles.TOPK,
+    "op4_secret_scan": oracles.SECRETS,
+    "op5_minhash_dedup": oracles.NEAR_DUPLICATES,
+    "op6_license_scan": oracles.LICENSES,
+    "op7_chat_formatting": oracles.CHAT,
+    "op9_decontamination": oracles.CONTAMINATION,
+}
