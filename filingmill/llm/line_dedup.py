@@ -1,26 +1,33 @@
 """Line dedup by pairwise alignment.
 
-Documents meet through the hashes of the lines that they share: a line's every later holder is paired with its first
-one (smallest doc_id), so a line that a third of all documents hold costs as many pairs as it has holders. Only
-documents whose shared lines have enough words to make a block are paired at all. Each pair is aligned with patience
-diff, and what is aligned in the later document is marked; its runs of marked lines with at least `min_words` words are
-deleted.
+A line ends at a line break or, as running text is one long line, after a sentence (`.`, `!` or `?` and a space).
+Documents meet through the hashes of the telling lines (ANCHOR_WORDS words or more) that they share: a line's every
+later holder is paired with its first one (smallest doc_id), so a line that a third of all documents hold costs as many
+pairs as it has holders. Only documents whose shared lines have enough words to make a block are paired at all. Each
+pair is aligned with patience diff, and what is aligned in the later document is marked; its runs of marked lines with
+at least `min_words` words are deleted.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import longs, mix, only, small_or_shuffled, staged, text_chunks, word_hashes
 
+#: Words from which a line is rare enough to bring documents together; shorter ones take part in the alignment only.
+ANCHOR_WORDS = 5
+_BREAK = re.compile(r"(\n|(?<=[.!?]) )")
 #: Rows of cuts, each some ranges of lines, up to which they may be broadcast.
 BROADCAST_CUTS = 200_000
 
@@ -35,7 +42,10 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begins[1:] &= ~inside[:-1]
             begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
             begins &= inside
-            breaks = np.flatnonzero(raw == 10)
+            after = np.zeros(len(raw), bool)
+            after[1:] = np.isin(raw[:-1], np.frombuffer(b".!?", np.uint8))
+            after[offsets[:-1][offsets[:-1] < len(raw)]] = False
+            breaks = np.flatnonzero((raw == 10) | (raw == 32) & after)
             before = np.searchsorted(breaks, offsets)  # line breaks before each text
             n_lines = np.diff(before) + 1
             first_line = np.concatenate([[0], np.cumsum(n_lines)])
@@ -146,44 +156,65 @@ def _blocks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
             [{"start": s, "end": e, "words": n} for s, e, n in block_ranges({m for ms in marks for m in ms}, words, min_words)]
             for marks, words in zip(batch.column("marks").to_pylist(), batch.column("words").to_pylist(), strict=True)
         ]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "firsts")), pa.array(cuts, kind)], names=["doc_id", "version", "firsts", "cuts"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "firsts")), pa.array(cuts, kind), pa.array([sum(w) for w in batch.column("words").to_pylist()], pa.int64())], names=["doc_id", "version", "firsts", "cuts", "total"])
 
 
 def line_cuts(docs: DataFrame, min_words: int) -> DataFrame:
-    """Staged (doc_id, version, firsts, cuts) of the documents that lose lines. version: xxhash64 of the text."""
+    """Staged (doc_id, version, firsts, cuts, total) of the documents that lose lines. version: xxhash64 of the text."""
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
     kept = staged(keyed.mapInArrow(_line_rows, "doc_id long, version long, lines array<long>, words array<int>"))
-    each = kept.select("doc_id", "version", F.explode(F.arrays_zip("lines", "words")).alias("x")).where("x.words > 0").select("doc_id", "version", F.col("x.lines").alias("line"), F.col("x.words").alias("n"))
+    each = kept.select("doc_id", "version", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(f"x.words >= {ANCHOR_WORDS}").select("doc_id", "version", F.col("x.lines").alias("line"), F.col("x.words").alias("n"))
     firsts = each.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first")
     later = each.join(firsts, "line").where("first < doc_id").groupBy("doc_id", "version", "first").agg(F.sum("n").alias("n"))
-    enough = later.groupBy("doc_id", "version").agg(F.collect_set("first").alias("firsts"), F.sum("n").alias("n")).where(F.col("n") >= min_words)
+    enough = later.groupBy("doc_id", "version").agg(F.collect_set("first").alias("firsts"), F.sum("n").alias("n")).where(F.col("n") * 2 >= min_words)
     pairs = staged(enough.select("doc_id", "version", F.explode("firsts").alias("first")))
     lines_b = kept.dropDuplicates(["doc_id", "version"]).select("doc_id", "version", F.col("lines").alias("lines_b"), "words")
     lines_a = kept.groupBy("doc_id").agg(F.min("lines").alias("lines_a")).withColumnRenamed("doc_id", "first")
     both = pairs.join(lines_b, ["doc_id", "version"]).join(lines_a, "first")
     aligned = both.mapInArrow(_aligned, "doc_id long, version long, first long, words array<int>, marks array<int>").where("size(marks) > 0")
     aligned = aligned.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("first")).alias("firsts"), F.min("words").alias("words"), F.collect_list("marks").alias("marks"))
-    cuts = aligned.mapInArrow(partial(_blocks, min_words=min_words), "doc_id long, version long, firsts array<long>, cuts array<struct<start:int,end:int,words:int>>")
+    cuts = aligned.mapInArrow(partial(_blocks, min_words=min_words), "doc_id long, version long, firsts array<long>, cuts array<struct<start:int,end:int,words:int>>, total long")
     return staged(cuts.where("size(cuts) > 0"))
 
 
-def line_dedup(docs: DataFrame, min_words: int = 40, broadcast_cuts: int = BROADCAST_CUTS) -> DataFrame:
-    """docs (doc_id, text and any others) with `text` less the deleted lines, and n_cut_lines, n_cut_words, earlier: the documents that it was aligned with, if any line went.
+def without(text: str, cuts: list[tuple[int, int]]) -> str:
+    """The text less the lines in (start, end) ranges; what is left of a line break's line is joined by spaces, and it goes if nothing is left."""
+    gone = {k for start, end in cuts for k in range(start, end)}
+    out, line, lost = [], [], False
+    for k, piece in enumerate([*_BREAK.split(text), "\n"]):
+        if k % 2 == 0:
+            lost |= k // 2 in gone
+            if k // 2 not in gone:
+                line.append(piece)
+        elif piece == "\n":
+            left = " ".join(line)
+            if not lost or left.strip():
+                out.append(left)
+            line, lost = [], False
+    return "\n".join(out)
 
-    Documents are in the order of doc_id; the first holder of a line keeps it. Lines end at \\n and are compared by their
+
+@F.pandas_udf(T.StringType())
+def _without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else without(t, [(c["start"], c["end"]) for c in cs]) for t, cs in zip(texts, cuts, strict=True)], dtype=object)
+
+
+def line_dedup(docs: DataFrame, min_words: int = 30, broadcast_cuts: int = BROADCAST_CUTS) -> DataFrame:
+    """docs (doc_id, text and any others) with `text` less the deleted lines, and n_cut_lines, n_cut_words, n_left_words (null if no line went) and earlier, the documents that it was aligned with if any line went.
+
+    Documents are in the order of doc_id; the first holder of a line keeps it. Lines (see above) are compared by their
     words, without regard to the case of A-Z or white space; deleted runs have min_words words or more.
 
     Null text stays null, an empty one empty. Rows with a null doc_id, and rows of one doc_id among each other, aren't
     compared; of the texts of a repeated doc_id the smallest list of line hashes stands for it as an earlier document.
     Columns of docs named like ours are replaced. An empty table: no rows.
     """
-    own = ["n_cut_lines", "n_cut_words", "earlier"]
+    own = ["n_cut_lines", "n_cut_words", "n_left_words", "earlier"]
     docs = docs.drop(*own)
     cuts = small_or_shuffled(line_cuts(docs, min_words), broadcast_cuts)
-    cuts = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("version").alias("_cut_version"), F.col("firsts").alias("earlier"), F.col("cuts").alias("_cuts"))
+    cuts = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("version").alias("_cut_version"), F.col("firsts").alias("earlier"), F.col("cuts").alias("_cuts"), F.col("total").alias("_total"))
     cut = docs.join(cuts, (docs["doc_id"] == F.col("_cut_id")) & (F.xxhash64(docs["text"]) == F.col("_cut_version")), "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.exists("_cuts", lambda c: (c["start"] <= i) & (i < c["end"])))
     total = lambda f: F.coalesce(F.aggregate("_cuts", F.lit(0).cast("long"), lambda s, c: s + f(c)), F.lit(0).cast("long"))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    out = cut.withColumns({"text": text, "n_cut_lines": total(lambda c: c["end"] - c["start"]), "n_cut_words": total(lambda c: c["words"]), "earlier": F.coalesce("earlier", F.array().cast("array<long>"))})
+    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(_without(F.when(F.col("_cuts").isNotNull(), F.col("text")), F.col("_cuts")))
+    out = cut.withColumns({"text": text, "n_cut_lines": total(lambda c: c["end"] - c["start"]), "n_cut_words": total(lambda c: c["words"]), "n_left_words": F.col("_total") - total(lambda c: c["words"]), "earlier": F.coalesce("earlier", F.array().cast("array<long>"))})
     return out.select(*docs.columns, *own)

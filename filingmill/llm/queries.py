@@ -66,7 +66,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = line_dedup(table(spark, sf_dir, "documents"))
-    return cleaned.select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_cut_lines", "n_cut_words", "earlier")
+    return cleaned.select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_cut_lines", "n_cut_words", "n_left_words", "earlier")
 
 
 QUERIES = {
