@@ -110,6 +110,23 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.nda
     return hashes, np.searchsorted(at[first], offsets, side="left"), length
 
 
+def word_beginnings(raw: np.ndarray, offsets: np.ndarray, kind: str, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each size the hashes of the words' first so many bytes (all, if there are fewer)."""
+    inside = IN_WORD[kind][raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    starts_text = offsets[:-1][offsets[:-1] < len(raw)]
+    begins[starts_text] = inside[starts_text]
+    at = np.flatnonzero(inside)
+    first = np.flatnonzero(begins[at])
+    ends = np.append(first, len(at))[1:]
+    place = np.minimum(np.arange(len(at)) - np.repeat(first, ends - first), max(sizes))
+    total = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(_BYTE[raw[at]] * _STEP[place], out=total[1:])
+    for n in sizes:
+        yield n, mix(total[np.minimum(first + n, ends)] - total[first])
+
+
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive words, for each start (those that cross from one text to the next included)."""
     m = len(words) - n + 1

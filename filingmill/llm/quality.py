@@ -2,7 +2,9 @@
 
 Grades 0 < 1 < 2 share one weight vector over hashed words; ordered thresholds cut its score: P(grade > k) =
 sigmoid(score - theta_k). The model gives each document an expected grade and tail probabilities; selection goes by
-those. It is fitted on a bounded sample of graded documents and scores every document of the corpus.
+those. It is fitted on a bounded sample of graded documents and scores every document of the corpus. Words and their
+beginnings are hashed. Most say nothing of the grade, and long texts hold more of them, so only hashes whose presence
+goes with lower grades beyond chance get a weight.
 """
 
 from __future__ import annotations
@@ -16,11 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, mix, only, staged, text_chunks, word_hashes
+from .common import gram_hashes, mix, only, staged, text_chunks, word_beginnings, word_hashes
 
-#: Hash buckets for words and word pairs; graded documents to fit on, at most.
-BUCKETS, SAMPLE = 1 << 17, 8000
-_SHAPES = 7
+#: Graded documents to fit on, at most; how many standard errors from no effect a hash must be to get a weight.
+SAMPLE, SURE = 8000, 3.5
+#: Bytes of the word beginnings that are hashed besides whole words.
+BEGINNINGS = (5, 6, 7, 8)
+# letters in lower case and beyond ASCII, capitals, digits, blanks and usual punctuation, other signs
+_KINDS = np.array([0 if 97 <= b <= 122 or b >= 128 else 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 3 if b < 33 or chr(b) in ".,;:?'\"()-" else 4 for b in range(256)], np.int64)
+_SHAPES = 6
 
 
 def grade(quality: Column, toxic: Column) -> Column:
@@ -28,70 +34,130 @@ def grade(quality: Column, toxic: Column) -> Column:
     return F.when(F.coalesce(toxic, F.lit(0)) > 0, 0).when(F.coalesce(quality, F.lit(1)) > 0, 2).otherwise(1)
 
 
-def features(raw: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each text's (places, values): its distinct words ("alnum" and "blank" cut) with damped counts, scaled to length 1, and a few shapes."""
-    plain, first, _ = word_hashes(raw, offsets, "alnum")
-    rough, first_rough, length = word_hashes(raw, offsets, "blank")
-    kinds = np.array([0 if 97 <= b <= 122 or 65 <= b <= 90 or b >= 128 else 1 if 48 <= b <= 57 else 2 if b in (32, 9, 11, 12, 13) else 3 if b == 10 else 4 for b in range(256)], np.int64)
-    out = []
-    for k in range(len(offsets) - 1):
-        a, b = first[k], first[k + 1]
-        places = np.concatenate([mix(plain[a:b] + np.uint64(1)) % np.uint64(BUCKETS // 2), np.uint64(BUCKETS // 2) + mix(rough[first_rough[k] : first_rough[k + 1]] + np.uint64(2)) % np.uint64(BUCKETS // 2)])
-        at, counts = np.unique(places, return_counts=True)
-        values = 1 + np.log(counts)
-        values /= max(1e-9, float(np.sqrt((values**2).sum())))
-        text = raw[offsets[k] : offsets[k + 1]]
-        share = np.bincount(kinds[text], minlength=5) / max(1, len(text))
-        words = first_rough[k + 1] - first_rough[k]
-        size = float(length[first_rough[k] : first_rough[k + 1]].mean()) / 10 if words else 0.0
-        shapes = np.append(share, [min(size, 3.0), np.log1p(float(words)) / 10])
-        out.append((np.append(at.astype(np.int64), BUCKETS + np.arange(_SHAPES)), np.append(values, shapes)))
-    return out
+def text_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of the words of texts laid end to end, and of their beginnings."""
+    words, first, length = word_hashes(raw, offsets, "alnum")
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    hashes, owners = [mix(words + np.uint64(1))], [text]
+    for n, start in word_beginnings(raw, offsets, "alnum", BEGINNINGS):
+        longer = length > n
+        hashes.append(mix(start[longer] + np.uint64(n)))
+        owners.append(text[longer])
+    return np.concatenate(hashes), np.concatenate(owners)
+
+
+def shapes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A row for each text: ten times its shares of capitals, digits and unusual signs, the share of words in repeated 3-grams, mean word length, and whether it has words."""
+    n = len(offsets) - 1
+    text = np.repeat(np.arange(n), np.diff(offsets))
+    size = np.maximum(1, np.diff(offsets))
+    shares = np.bincount(text * 5 + _KINDS[raw], minlength=5 * n).reshape(n, 5) / size[:, None]
+    words, first, length = word_hashes(raw, offsets, "blank")
+    count = np.diff(first)
+    grams = gram_hashes(words, 3)
+    again = np.array([1 - len(np.unique(grams[a : b - 2])) / (b - a - 2) if b - a > 2 else 0.0 for a, b in zip(first[:-1], first[1:], strict=True)])
+    mean = np.bincount(np.repeat(np.arange(n), count), length, minlength=n) / np.maximum(1, count)
+    return np.column_stack([10 * np.minimum(shares[:, [1, 2, 4]], 0.3), 3 * again, np.minimum(mean, 30) / 10, count > 0])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, grades_n: int = 3, epochs: int = 30, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by AdaGrad on the cumulative logistic loss; grades weigh alike, whatever their counts."""
-    w, theta = np.zeros(BUCKETS + _SHAPES), np.arange(grades_n - 1) - (grades_n - 2) / 2
-    g_w, g_t = np.full_like(w, 1e-6), np.full_like(theta, 1e-6)
+def once_each(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash of each text once."""
+    order = np.lexsort((hashes, text))
+    hashes, text = hashes[order], text[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1])
+    return hashes[new], text[new]
+
+
+def originals(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash that copies of a text share, near ones mostly too: the smallest of its 5-grams'."""
+    words, first, _ = word_hashes(raw, offsets, "blank")
+    grams = gram_hashes(words, 5)
+    ends = np.maximum(first[:-1], first[1:] - 4)
+    return np.array([grams[a:b].min() if b > a else mix(words[a:c].sum(keepdims=True))[0] for a, b, c in zip(first[:-1], ends, first[1:], strict=True)], np.uint64)
+
+
+def telling(hashes: np.ndarray, text: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """The hashes, sorted, whose presence in a text goes with the lower side of some cut of the grades: the log odds ratio is SURE standard errors below nought."""
+    hashes, text = once_each(hashes, text)
+    keys, at = np.unique(hashes, return_inverse=True)
+    chosen = np.zeros(len(keys), bool)
+    for k in range(int(grades.max(initial=0))):
+        above = grades > k
+        a = np.bincount(at[above[text]], minlength=len(keys)) + 0.5
+        b = np.bincount(at, minlength=len(keys)) + 1 - a
+        c, d = above.sum() + 1 - a, (~above).sum() + 1 - b
+        chosen |= -np.log(a * d / (b * c)) > SURE * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return keys[chosen]
+
+
+def present(hashes: np.ndarray, text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, place among keys) of each key in each text once."""
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    hit = keys[at] == hashes
+    both = np.unique(text[hit].astype(np.int64) * len(keys) + at[hit])
+    return both // len(keys), both % len(keys)
+
+
+def fit(where: tuple[np.ndarray, np.ndarray], n_keys: int, forms: np.ndarray, grades: np.ndarray, grades_n: int = 3, steps: int = 400, rate: float = 0.3, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of keys and shapes, thresholds) by full AdaGrad steps on the cumulative logistic loss; grades weigh alike, whatever their counts."""
+    w, theta = np.zeros(n_keys + forms.shape[1]), np.arange(grades_n - 1) - (grades_n - 2) / 2
+    g_w, g_t = np.full_like(w, 1e-8), np.full_like(theta, 1e-8)
     share = np.bincount(grades, minlength=grades_n) / max(1, len(grades))
-    present = max(1, int((share > 0).sum()))
-    order = np.random.default_rng(7)
-    batch = 64
-    for _ in range(epochs):
-        shuffled = order.permutation(len(rows))
-        for s in range(0, len(shuffled), batch):
-            some = shuffled[s : s + batch]
-            at = np.concatenate([rows[i][0] for i in some])
-            values = np.concatenate([rows[i][1] for i in some])
-            owner = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
-            score = np.bincount(owner, values * w[at], minlength=len(some))
-            above = (grades[some][:, None] > np.arange(grades_n - 1)[None, :]).astype(float)
-            err = (_sigmoid(score[:, None] - theta[None, :]) - above) * (1 / (present * share[grades[some]]))[:, None]
-            places, back = np.unique(at, return_inverse=True)
-            grad = np.bincount(back, values * err.sum(1)[owner]) / len(some) + decay * w[places]
-            g_w[places] += grad**2
-            w[places] -= rate * grad / np.sqrt(g_w[places])
-            down = -err.mean(0)
-            g_t += down**2
-            theta = np.maximum.accumulate(theta - rate * down / np.sqrt(g_t))
+    weight = 1 / (max(1, int((share > 0).sum())) * share[grades])
+    above = (grades[:, None] > np.arange(grades_n - 1)[None, :]).astype(float)
+    text, key = where
+    for _ in range(steps):
+        score = np.bincount(text, w[key], minlength=len(grades)) + forms @ w[n_keys:]
+        err = (_sigmoid(score[:, None] - theta[None, :]) - above) * weight[:, None]
+        row = err.sum(1) / len(grades)
+        grad = np.concatenate([np.bincount(key, row[text], minlength=n_keys), forms.T @ row]) + decay * w
+        g_w += grad**2
+        w -= rate * grad / np.sqrt(g_w)
+        down = -err.mean(0)
+        g_t += down**2
+        theta = np.maximum.accumulate(theta - rate * down / np.sqrt(g_t))
     return w, theta
 
 
+def fitted(texts: pa.Array, grades: np.ndarray) -> bytes:
+    """The model of graded texts: its thresholds, keys and weights."""
+    # copies would count as evidence again and again: one text of each original and grade stays
+    marks = np.concatenate([originals(raw, offsets) for _, _, raw, offsets in text_chunks(texts)])
+    kept = np.sort(np.unique(np.column_stack([marks, grades.astype(np.uint64)]), axis=0, return_index=True)[1])
+    texts, grades = texts.take(pa.array(kept)), grades[kept]
+    hashes, text, forms = [], [], []
+    for lo, _, raw, offsets in text_chunks(texts):
+        h, t = text_hashes(raw, offsets)
+        hashes, text, forms = [*hashes, h], [*text, t + lo], [*forms, shapes(raw, offsets)]
+    hashes, text = np.concatenate(hashes), np.concatenate(text)
+    keys = telling(hashes, text, grades)
+    w, theta = fit(present(hashes, text, keys), len(keys), np.concatenate(forms), grades)
+    return np.concatenate([theta.view(np.uint64), keys, w.view(np.uint64)]).tobytes()
+
+
+def scored(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """P(grade > 0) and P(grade > 1) of each text."""
+    n_keys = (len(model) - 2 - _SHAPES) // 2
+    theta, keys, w = model[:2].view(np.float64), model[2 : 2 + n_keys], model[2 + n_keys :].view(np.float64)
+    text, key = present(*text_hashes(raw, offsets), keys)
+    score = np.bincount(text, w[key], minlength=len(offsets) - 1) + shapes(raw, offsets) @ w[n_keys:]
+    return np.round(_sigmoid(score[:, None] - theta[None, :]), 6)
+
+
 def _fit_group(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values(["doc_id", "grade", "text"], ignore_index=True)
-    rows: list = []
-    for _, _, raw, offsets in text_chunks(pa.array(frame["text"], pa.large_string())):
-        rows += features(raw, offsets)
-    w, theta = fit(rows, frame["grade"].to_numpy(np.int64))
-    return pd.DataFrame({"model": [np.concatenate([theta, w]).tobytes()]})
+    return pd.DataFrame({"model": [fitted(pa.array(frame["text"], pa.large_string()), frame["grade"].to_numpy(np.int64))]})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
-    """The two thresholds and then the weights; None without graded documents.
+    """The model (see fitted); None without graded documents.
 
     The sample is the `sample` graded rows with the smallest hash of their doc_id, so it is the same on every run.
     """
@@ -100,17 +166,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     chosen = staged(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")  # at most `sample` rows
     found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda frame: _fit_group(frame), "model binary").collect()
-    return np.frombuffer(found[0]["model"]) if found else None
+    return np.frombuffer(found[0]["model"], np.uint64) if found else None
 
 
 def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    theta, w = model.value[:2], model.value[2:]
     for batch in batches:
-        scores = np.zeros(batch.num_rows)
-        for lo, _, raw, offsets in text_chunks(batch.column("text")):
-            for k, (at, values) in enumerate(features(raw, offsets)):
-                scores[lo + k] = float((values * w[at]).sum())
-        tail = np.round(_sigmoid(scores[:, None] - theta[None, :]), 6)
+        tails = [np.zeros((0, 2)), *(scored(raw, offsets, model.value) for _, _, raw, offsets in text_chunks(batch.column("text")))]
+        tail = np.concatenate(tails)
         own = [c for c in batch.schema.names if c not in ("expected_grade", "p_above_0", "p_above_1")]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(np.round(tail.sum(1), 6)), pa.array(tail[:, 0]), pa.array(tail[:, 1])], names=[*own, "expected_grade", "p_above_0", "p_above_1"])
 
