@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import numbers
-from ..operators import analysis, facts, merge, periods, tables
+from ..operators import analysis, context, facts, merge, periods, shape, tables
 from ..sources import documents
 from . import views
 from .catalog import query
@@ -291,3 +291,80 @@ def agg15_validation_report(spark, sf_dir):
 def win10_issue_dedup(spark, sf_dir):
     li = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("issue"), "l_linenumber")
     return merge.insert_ignore(li.limit(0), li, ["doc_id", "issue"], "l_linenumber").select("doc_id", "issue")
+
+
+@query(_DERIVED + " SELECT doc_id, CAST(9 AS INTEGER) - CASE WHEN company % 2 = 0 THEN 1 ELSE 0 END AS n FROM d")
+def agg4_filled_fields(spark, sf_dir):
+    from ..functions.arrays import filled_fields
+
+    r = _records(spark, sf_dir).withColumn("revenue", F.when(F.col("company") % 2 != 0, F.col("revenue")))
+    return r.select("doc_id", filled_fields([F.col(m) for m in vocab.STATEMENT_OF], [F.array(F.lit(1), F.lit(2), F.lit(3), F.lit(4))]).alias("n"))
+
+
+@query("SELECT o_orderkey, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS stock_code, CASE WHEN o_orderkey % 3 = 0 THEN 'own' ELSE c_name END AS stock_name, coalesce(CASE WHEN o_orderkey % 2 = 0 THEN 'US' END, c_mktsegment) AS market FROM orders JOIN customer ON o_custkey = c_custkey")
+def prj3_jon13_identity_context(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders")
+    docs = o.select("o_orderkey", F.col("o_custkey").cast("string").alias("file_hash"), F.lit("?").alias("stock_code"), F.when(F.col("o_orderkey") % 3 == 0, "own").alias("stock_name"), F.when(F.col("o_orderkey") % 2 == 0, "US").alias("market"))
+    c = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file_hash"), F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("stock_code"), F.col("c_name").alias("stock_name"), F.col("c_mktsegment").alias("market"))
+    return context.with_identity(docs, c).select("o_orderkey", "stock_code", "stock_name", "market")
+
+
+@query("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderkey % 5 <> 0")
+def jon6_files_by_url(spark, sf_dir):
+    files = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_orderkey").cast("string").alias("url"))
+    reports = views.table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").cast("string").alias("url"), "o_custkey")
+    return context.downloaded_with_metadata(files, reports).select("l_orderkey", "l_linenumber", "o_custkey")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'USD' WHEN 2 THEN 'USD' END AS currency, CASE p_partkey % 4 WHEN 0 THEN 'million' WHEN 1 THEN 'percent' WHEN 2 THEN 'per_share' ELSE 'shares' END AS unit FROM part")
+def prj13_units(spark, sf_dir):
+    metric = F.element_at(F.array(*map(F.lit, ["revenue", "roe", "eps", "total_shares"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    p = views.table(spark, sf_dir, "part").select("p_partkey", context.unit_of(metric, F.lit("million"), F.lit("USD")).alias("u"))
+    return p.select("p_partkey", "u.*")
+
+
+@query("SELECT n_nationkey, 'N' || n_nationkey AS report_date, CAST(n_nationkey * 1000 AS DOUBLE) AS total_assets, CASE WHEN n_regionkey = 1 THEN 'n/a' END AS raw_cash FROM nation")
+def prj5_str2_standard_columns(spark, sf_dir):
+    n = views.table(spark, sf_dir, "nation")
+    rows = n.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("fiscalDateEnding"), F.concat(F.lit("$"), F.col("n_nationkey").cast("string"), F.lit(",000")).alias("totalAssets"), F.when(F.col("n_regionkey") == 1, "n/a").otherwise("5").alias("cash"))
+    s = shape.statements(rows, "balance_sheet", "X", "s")
+    return s.select(F.substring("report_date", 2, 9).cast("int").alias("n_nationkey"), "report_date", F.col("total_assets.num").alias("total_assets"), F.col("cash_and_equivalents.raw").alias("raw_cash"))
+
+
+@query("SELECT l_orderkey AS doc_id, CAST(count(*) AS INTEGER) AS n_facts, string_agg(l_partkey, ',' ORDER BY k) AS metrics FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem) GROUP BY 1")
+def arr4_arr3_payloads(spark, sf_dir):
+    """Assembled to JSON, and read back."""
+    from pyspark.sql import Window
+
+    k = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    f = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), k.alias("fact_seq"), F.col("l_partkey").cast("string").alias("metric"))
+    d = f.select("doc_id").distinct()
+    empty = lambda order: d.withColumn(order, F.lit("1")).limit(0)
+    q = d.withColumns({"status": F.lit("ok"), "issues": F.array().cast(f"array<{facts.ISSUE}>")})
+    p = context.payloads(f, empty("evidence_id"), empty("seq"), q)
+    back = context.read_payloads(p, "facts array<struct<fact_seq:int,metric:string>>")
+    return back.select("doc_id", F.size("parsed.facts").alias("n_facts"), F.array_join(F.transform("parsed.facts", lambda x: x["metric"]), ",").alias("metrics"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS \"announcementId\", CAST(user_id AS VARCHAR) AS \"secCode\", '' AS \"adjunctUrl\" FROM events")
+def snk14_control_sheet(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select(F.col("event_id").alias("announcementId"), F.col("user_id").alias("secCode"))
+    return context.control_sheet(e).select("announcementId", "secCode", "adjunctUrl")
+
+
+@query(
+    f"""WITH {STATEMENTS} SELECT company || '-' || fiscal_year AS doc_id, 'gross_profit' AS metric, 'ev_0001,ev_0002' AS ids FROM statements WHERE company % 2 = 0 AND revenue <> 0 AND operating_cost <> 0
+UNION ALL SELECT company || '-' || fiscal_year, m, i FROM statements, (VALUES ('revenue', 'ev_0001'), ('operating_cost', 'ev_0002')) x(m, i) WHERE company % 2 = 0"""
+)
+def jon10_win9_evidence(spark, sf_dir):
+    """Facts with evidence from one table each; the derived one inherits. parity: only from facts before it."""
+    r = facts.derive(_records(spark, sf_dir).where("company % 2 = 0").select("doc_id", *(m if m in ("revenue", "operating_cost") else F.lit(None).cast("double").alias(m) for m in vocab.STATEMENT_OF)))
+    spans = periods.periods(_records(spark, sf_dir).select("doc_id", "fiscal_year", F.lit("annual").alias("kind")))
+    both = r.select("doc_id", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("obs_seq"), F.lit(m).alias("metric"), F.col(m).alias("value")) for k, m in enumerate(("revenue", "operating_cost"))))).alias("o")).select("doc_id", "o.*")
+    seen = both.select(
+        "doc_id", "obs_seq", F.lit(vocab.INCOME).alias("statement"), "metric", F.lit(1).alias("page"), F.lit(1).alias("table_index"), F.col("metric").alias("row_label"), F.lit("h").alias("column_header"), F.lit("full_year").alias("column_role"),
+        F.lit(None).cast("int").alias("column_year"), F.lit(False).alias("is_comparison"), F.col("value").cast("string").alias("raw_value"), "value", F.lit("s").alias("snippet"),
+    )
+    docs = r.select("doc_id", F.lit("USD").alias("currency"), F.lit("million").alias("amount_unit"))
+    found = facts.build_facts(r, spans, seen, docs, parity=True)[0]
+    return found.where(F.col("metric").isin("revenue", "operating_cost", "gross_profit")).select("doc_id", "metric", F.array_join("evidence_ids", ",").alias("ids"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays, dates, numbers, text, validators
+from ..operators import candidates, context
 from ..sources import announcements, html_rows
 from ..streaming import ingest
 from . import views
@@ -242,3 +243,41 @@ def stm2_stream_dedup(spark, sf_dir):
     run = ingest.deduplicated(twice, "event_id", "at").select("event_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
+
+
+@query(f"WITH {TITLES_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'given' WHEN title LIKE '%Annual Report%' THEN '2024_fy' WHEN title LIKE 'Q3%' THEN '2024_fy' ELSE coalesce(nullif(regexp_extract(title, '20[0-9]{{2}}'), '') || '_fy', NULL) END AS hint, path AS web_path FROM titles")
+def prj9_hk_metadata(spark, sf_dir):
+    t = views.titles(spark, sf_dir).select("id", "title", F.col("release").alias("release_time"), F.col("path").alias("web_path"), F.when(F.col("id") % 5 == 0, "given").alias("period_hint"), F.lit("annual").alias("report_type"), dates.title_year(F.col("title")).alias("year"))
+    done = context.hk_metadata(t)
+    return done.select("id", F.get_json_object("metadata_json", "$.period_hint").alias("hint"), F.get_json_object("metadata_json", "$.web_path").alias("web_path"))
+
+
+@query(f"WITH {TITLES_SQL} SELECT id, regexp_replace('<em>' || title || '</em>', '<[^>]+>', '', 'g') AS title, strftime(make_timestamp(millis * 1000), '%Y-%m-%d %H:%M:%S') AS time, regexp_replace(code || '_x_' || title, '[<>:\"/\\\\|?*]', '', 'g') AS file_stem FROM titles")
+def prj6_keyword_records(spark, sf_dir):
+    t = views.titles(spark, sf_dir)
+    found = t.select("id", F.concat(F.lit("<em>"), "title", F.lit("</em>")).alias("announcementTitle"), F.col("millis").cast("string").alias("announcementTime"), F.col("code").alias("secCode"), F.lit("x").alias("secName"))
+    return announcements.keyword_records(found).select("id", "title", "time", "file_stem")
+
+
+@query("SELECT o_orderkey, CAST(greatest(a, b) AS DOUBLE) AS value, CAST(2 + CASE WHEN greatest(a, b) >= 1000 THEN 1 ELSE 0 END AS INTEGER) AS score FROM (SELECT o_orderkey, CAST(floor(o_totalprice / 100) AS BIGINT) AS a, o_orderkey % 3000 + 1 AS b FROM orders)")
+def win1_str6_flt8_best_candidate(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders")
+    body = F.concat(F.lit("In HKD million\nTotal revenue "), F.floor(F.col("o_totalprice") / 100).cast("string"), F.lit("\nRevenue "), (F.col("o_orderkey") % 3000 + 1).cast("string"))
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), body.alias("text"), F.lit("en").alias("lang"))
+    return candidates.best(docs).where("field = 'revenue'").select(F.col("doc_id").alias("o_orderkey"), "value", "score")
+
+
+@query("SELECT o_orderkey, 'k: ' || o_custkey AS line, CASE o_orderkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1000.0 WHEN 2 THEN 0.001 ELSE 1.0 END::DOUBLE AS multiplier FROM orders")
+def str4_str5_lines_and_units(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders")
+    head = F.lit("head\n")
+    body = F.concat(head, F.lit("k: "), F.col("o_custkey").cast("string"), F.lit("\ntail"))
+    near = F.element_at(F.array(*map(F.lit, ["RMB'000", "US$ billion", "in thousand", "RMB million"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return o.select("o_orderkey", text.line_of(body, F.lit(6), F.lit(8)).alias("line"), numbers.unit_multiplier(F.lit("x"), near).alias("multiplier"))
+
+
+@query("SELECT o_orderkey, CAST(o_custkey * 1000 + 500 AS DOUBLE) AS total_sales, CASE WHEN o_orderkey % 2 = 0 THEN 7.0 END::DOUBLE AS total_payables FROM orders")
+def agg13_related_totals(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders")
+    body = F.concat(F.lit("向关联方销售商品金额："), F.col("o_custkey").cast("string"), F.lit(",500 "), F.when(F.col("o_orderkey") % 2 == 0, "应付关联方款项：7").otherwise(""))
+    return context.related_totals(o.select("o_orderkey", body.alias("text"))).select("o_orderkey", "total_sales", "total_payables")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filingmill import schemas, vocab
 from filingmill.functions.text import TYPE_WORDS
-from filingmill.operators import analysis, cache, candidates, facts, merge, periods, registry, shape, tables
+from filingmill.operators import analysis, cache, candidates, context, facts, merge, periods, registry, shape, tables
 from filingmill.sources import announcements, documents, html_rows
 from filingmill.streaming import ingest
 
@@ -147,3 +147,32 @@ def test_stream_appends_each_key_once(spark, tmp_path):
     write("2.json", [("b", 4, "again"), ("c", 5, "new")])
     ingest.append_new(ingest.polled(spark, str(feed), schema), table, "id", "seq", check).awaitTermination()
     assert sorted((r["id"], r["seq"]) for r in spark.read.parquet(table).collect()) == [("a", 1), ("b", 2), ("c", 5)]
+
+
+def test_identity_of_the_registry(spark):
+    docs = spark.createDataFrame([("d", "h", "1", None, "US"), ("e", None, "2", "own", None)], "doc_id string, file_hash string, stock_code string, stock_name string, market string")
+    reg = spark.createDataFrame([("h", "00700", "T", "HK")], "file_hash string, stock_code string, stock_name string, market string")
+    got = {r["doc_id"]: r for r in context.with_identity(docs, reg).collect()}
+    assert (got["d"]["stock_code"], got["d"]["stock_name"], got["d"]["market"]) == ("00700", "T", "US") and got["e"]["stock_code"] == "2"
+
+
+@pytest.mark.parametrize("path,want", [("a/b.pdf", "/r/a/b.pdf"), ("a/../b.pdf", "/r/b.pdf"), ("../r-x/a", None), ("/etc/x", None), ("a/../../x", None)])
+def test_paths_stay_inside(path, want):
+    if want:
+        assert context.confined("/r", path) == want
+    else:
+        with pytest.raises(ValueError):
+            context.confined("/r", path)
+
+
+def test_cache_table_is_made_once(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS made LOCATION '{tmp_path}'")
+    context.create_cache_table(spark, "made.cache")
+    context.create_cache_table(spark, "made.cache")
+    assert spark.table("made.cache").columns[0] == "file_hash"
+    spark.sql("DROP DATABASE made CASCADE")
+
+
+def test_broken_payloads_are_empty(spark):
+    got = context.read_payloads(spark.createDataFrame([("{",), (None,), ('{"a": 1}',)], "payload string"), "a int").collect()
+    assert [r["parsed"] and r["parsed"]["a"] for r in got] == [None, None, 1]
