@@ -47,16 +47,16 @@ def text_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def shapes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row for each text: ten times its shares of capitals, digits and unusual signs, the share of words in repeated 3-grams, mean word length, and whether it has words."""
+    """A row for each text: ten times its shares of capitals, digits and unusual signs, the share of words that repeat the one before, mean word length, and whether it has words."""
     n = len(offsets) - 1
     text = np.repeat(np.arange(n), np.diff(offsets))
     size = np.maximum(1, np.diff(offsets))
     shares = np.bincount(text * 5 + _KINDS[raw], minlength=5 * n).reshape(n, 5) / size[:, None]
     words, first, length = word_hashes(raw, offsets, "blank")
     count = np.diff(first)
-    grams = gram_hashes(words, 3)
-    again = np.array([1 - len(np.unique(grams[a : b - 2])) / (b - a - 2) if b - a > 2 else 0.0 for a, b in zip(first[:-1], first[1:], strict=True)])
-    mean = np.bincount(np.repeat(np.arange(n), count), length, minlength=n) / np.maximum(1, count)
+    owner = np.repeat(np.arange(n), count)
+    again = np.bincount(owner[1:][(words[1:] == words[:-1]) & (owner[1:] == owner[:-1])], minlength=n) / np.maximum(1, count)
+    mean = np.bincount(owner, length, minlength=n) / np.maximum(1, count)
     return np.column_stack([10 * np.minimum(shares[:, [1, 2, 4]], 0.3), 3 * again, np.minimum(mean, 30) / 10, count > 0])
 
 
@@ -82,8 +82,7 @@ def originals(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def telling(hashes: np.ndarray, text: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """The hashes, sorted, whose presence in a text goes with the lower side of some cut of the grades: the log odds ratio is SURE standard errors below nought."""
-    hashes, text = once_each(hashes, text)
+    """Of hashes that stand once for each text: those, sorted, whose presence goes with the lower side of some cut of the grades: the log odds ratio is SURE standard errors below nought."""
     keys, at = np.unique(hashes, return_inverse=True)
     chosen = np.zeros(len(keys), bool)
     for k in range(int(grades.max(initial=0))):
@@ -134,7 +133,7 @@ def fitted(texts: pa.Array, grades: np.ndarray) -> bytes:
     texts, grades = texts.take(pa.array(kept)), grades[kept]
     hashes, text, forms = [], [], []
     for lo, _, raw, offsets in text_chunks(texts):
-        h, t = text_hashes(raw, offsets)
+        h, t = once_each(*text_hashes(raw, offsets))
         hashes, text, forms = [*hashes, h], [*text, t + lo], [*forms, shapes(raw, offsets)]
     hashes, text = np.concatenate(hashes), np.concatenate(text)
     keys = telling(hashes, text, grades)
