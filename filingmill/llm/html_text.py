@@ -39,7 +39,7 @@ NOISE = {
     "share", "sharing", "social", "recommended", "recommendations", "newsletter", "subscribe", "signup", "login", "search", "form", "copyright", "header", "banner",
 }
 STRICT = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "promo", "promotion", "widget", "related",
+    "ad", "ads", "adsbygoogle", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "promo", "promotion", "widget", "related",
     "comment", "comments", "disqus", "replies", "respond", "reply", "discussion",
 }
 #: First words of classes that only say how a page is laid out.
@@ -70,7 +70,7 @@ def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 words = [w.lower() for w in _WORD.findall(token)]
                 if words and words[0] not in LAYOUT:
                     named = STRICT if tag == "article" else NOISE | STRICT
-                    noise |= any(w in named and not (w == "header" and words[0] in TITLED) for w in words)
+                    noise |= "".join(words) in named or any(w in named and not (w == "header" and words[0] in TITLED) for w in words)
                     whole |= any(w in WHOLE for w in words)
             klass = value if name == "class" else klass
     return klass, noise and tag not in KEPT, whole

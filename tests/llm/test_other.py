@@ -37,6 +37,7 @@ MAIN = "Title & more First part, second line. Next."
         f"<body><div class='ad'>Buy</div><script>var x='</p><p>no';</script><!-- <p>no</p> --><article>{BODY}</article><div class=advert><p>{'buy now ' * 100}</p></div>",
         f"<BODY><ARTICLE>{BODY}<p hidden>no</p><button>no</button><noscript>no</noscript></ARTICLE></BODY>",
         f"<body><article>{BODY.replace('</p>', '')}<a hre",
+        f"<body><div id=navBar>x</div><div role='navigation'>y</div><div class='wrap'><div class='sideBar'>{'z ' * 200}</div><div class='pageContent'>{BODY}<div id=userComments>c</div></div></div><div id='cookie-banner'>k</div>",
     ],
 )
 def test_main_text(spark, page):
