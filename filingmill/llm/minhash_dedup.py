@@ -101,10 +101,10 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, shingles) of the documents in a staged `wanted`, read anew from their texts."""
+    """Staged (doc_id, n, shingles) of the documents in a staged `wanted`, read anew from their texts."""
     texts = docs.join(small_or_shuffled(wanted), "doc_id", "left_semi")
     sets = texts.mapInArrow(partial(_sets, n=n), "doc_id long, lo long, hi long, shingles binary")
-    return sets.join(nodes.select("doc_id", "lo", "hi", "n"), ["doc_id", "lo", "hi"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "shingles")
+    return staged(sets.join(nodes.select("doc_id", "lo", "hi", "n"), ["doc_id", "lo", "hi"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "shingles"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _may_link(rest: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percen
     shared: the document's shingles that any other document of rest has. With whom it may be linked has at most
     (100 + percent) * shared / percent - n shingles; where a bucket's smallest set has more, the document leaves it.
     """
-    sets = staged(_shingles(staged(rest.select("doc_id").distinct()), docs, nodes, n))
+    sets = _shingles(staged(rest.select("doc_id").distinct()), docs, nodes, n)
     own = sets.mapInArrow(_each_shingle, "doc_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
     own = own.where("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
     least = rest.groupBy("key").agg(F.min("n").alias("least"))
@@ -174,6 +174,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     nodes = staged(some.groupBy("lo", "hi", "n").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("lo", "hi", "n", "x.doc_id", "x.bands"))
     keyed = nodes.select("doc_id", "n", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
+    buckets = staged(buckets)  # so that the join with a crowded bucket's rows can be split
     members = staged(keyed.join(buckets, "key").select("key", "lead", "doc_id", "n"))
     close = F.col("n_a") * 100 >= F.col("n_b") * percent
     close = close & (F.col("n_b") * 100 >= F.col("n_a") * percent)
