@@ -162,15 +162,17 @@ def _blocks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
 def line_cuts(docs: DataFrame, min_words: int) -> DataFrame:
     """Staged (doc_id, version, firsts, cuts, total) of the documents that lose lines. version: xxhash64 of the text."""
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
-    kept = staged(keyed.mapInArrow(_line_rows, "doc_id long, version long, lines array<long>, words array<int>"))
+    kept = staged(keyed.mapInArrow(_line_rows, "doc_id long, version long, lines array<long>, words array<int>").dropDuplicates(["doc_id", "version"]))
     each = kept.select("doc_id", "version", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(f"x.words >= {ANCHOR_WORDS}").select("doc_id", "version", F.col("x.lines").alias("line"), F.col("x.words").alias("n"))
-    firsts = each.groupBy("line").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("line", "first")
-    later = each.join(firsts, "line").where("first < doc_id").groupBy("doc_id", "version", "first").agg(F.sum("n").alias("n"))
-    enough = later.groupBy("doc_id", "version").agg(F.collect_set("first").alias("firsts"), F.sum("n").alias("n")).where(F.col("n") * 2 >= min_words)
-    pairs = staged(enough.select("doc_id", "version", F.explode("firsts").alias("first")))
-    lines_b = kept.dropDuplicates(["doc_id", "version"]).select("doc_id", "version", F.col("lines").alias("lines_b"), "words")
-    lines_a = kept.groupBy("doc_id").agg(F.min("lines").alias("lines_a")).withColumnRenamed("doc_id", "first")
-    both = pairs.join(lines_b, ["doc_id", "version"]).join(lines_a, "first")
+    firsts = each.groupBy("line").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    firsts = staged(firsts.select("line", F.col("first.doc_id").alias("first"), F.col("first.version").alias("first_version")))  # so that the join with a common line's rows can be split
+    by = ["doc_id", "version", "first", "first_version"]
+    later = each.join(firsts, "line").where("first < doc_id").groupBy(*by).agg(F.sum("n").alias("n"))
+    enough = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "first_version")).alias("firsts"), F.sum("n").alias("n")).where(F.col("n") * 2 >= min_words)
+    pairs = staged(enough.select("doc_id", "version", F.explode("firsts").alias("x")).select("doc_id", "version", "x.*"))
+    lines_b = kept.select("doc_id", "version", F.col("lines").alias("lines_b"), "words")
+    lines_a = kept.select(F.col("doc_id").alias("first"), F.col("version").alias("first_version"), F.col("lines").alias("lines_a"))
+    both = pairs.join(lines_b, ["doc_id", "version"]).join(lines_a, ["first", "first_version"])
     aligned = both.mapInArrow(_aligned, "doc_id long, version long, first long, words array<int>, marks array<int>").where("size(marks) > 0")
     aligned = aligned.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("first")).alias("firsts"), F.min("words").alias("words"), F.collect_list("marks").alias("marks"))
     cuts = aligned.mapInArrow(partial(_blocks, min_words=min_words), "doc_id long, version long, firsts array<long>, cuts array<struct<start:int,end:int,words:int>>, total long")
@@ -206,7 +208,7 @@ def line_dedup(docs: DataFrame, min_words: int = 30, broadcast_cuts: int = BROAD
     words, without regard to the case of A-Z or white space; deleted runs have min_words words or more.
 
     Null text stays null, an empty one empty. Rows with a null doc_id, and rows of one doc_id among each other, aren't
-    compared; of the texts of a repeated doc_id the smallest list of line hashes stands for it as an earlier document.
+    compared; of the texts of a repeated doc_id the one with the smallest hash stands for it as the first holder of a line.
     Columns of docs named like ours are replaced. An empty table: no rows.
     """
     own = ["n_cut_lines", "n_cut_words", "n_left_words", "earlier"]
