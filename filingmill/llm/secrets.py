@@ -48,7 +48,7 @@ def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "sourc
 
     # distinct repositories, then owners, of each candidate; each step adds up before it shuffles
     held = found.select("hash", "own", "repo").distinct().groupBy("hash", "own").agg(F.count("*").alias("repos"))
-    held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+    held = staged(held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")))  # so that the join with a widely copied secret's rows can be split
     judged = found.join(held, "hash").where((F.col("kind") < 3) | (F.col("owners") <= most_owners))
     names = F.array(*map(F.lit, KINDS))
     label = lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))
