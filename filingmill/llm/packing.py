@@ -9,6 +9,7 @@ and the new packing is taken if it is smaller. Partitions without a gap are cert
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -28,26 +29,32 @@ _PACKED = f"{_PIECES}, part long, bin int, offset long, filled long, gap int"
 
 
 @lru_cache(1)
-def _encoders(tokenizer: str, ranks: str | None, pattern: str):
-    """The tokenizer itself, and a faster library's form of the same vocabulary if there is a rank file."""
-    import tiktoken
+def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(tokenizer)
-    specials = {t.content: i for i, t in slow.get_added_tokens_decoder().items()}
-    if ranks is None or len(specials) > 1:
-        return slow, None, specials
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(1)
+def _fast(tokenizer: str, ranks: str | None, pattern: str):
+    """A faster library's form of the tokenizer's vocabulary and the names of its special tokens, if there is a rank file."""
+    if ranks is None:
+        return None, frozenset()
+    import tiktoken
+
+    with open(tokenizer, encoding="utf-8") as f:
+        specials = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     with open(ranks, "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return slow, tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens=specials), specials
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=merges, special_tokens=specials), frozenset(specials)
 
 
 def token_ids(text: str, tokenizer: str, ranks: str | None, pattern: str) -> np.ndarray:
     """The tokenizer's ids, without added special tokens; such a token's own string in the text is that token."""
-    slow, fast, specials = _encoders(tokenizer, ranks, pattern)
+    fast, specials = _fast(tokenizer, ranks, pattern)
     if fast is None or not (text.isascii() or max(text) < chr(PLAIN)):
-        return np.array(slow.encode(text, add_special_tokens=False).ids, "<u4")
-    return np.asarray(fast.encode_to_numpy(text, allowed_special=set(specials), disallowed_special=()), "<u4")
+        return np.array(_tokenizer(tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
+    return np.asarray(fast.encode_to_numpy(text, allowed_special=specials, disallowed_special=()), "<u4")
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
