@@ -2,8 +2,9 @@
 
 Pieces are dealt at random to partitions of some thousand; each is packed by best-fit decreasing and compared with the
 best lower bound that dual feasible functions give for its sizes. A partition that needs more sequences than its bound
-has a gap: the pieces of its sequences that aren't full are exchanged with those of other such partitions, packed anew,
-and the new packing is taken if it is smaller. Partitions without a gap are certified and stay.
+has a gap: it is packed again with a look-ahead of two pieces, and the smaller packing stands. If there still is a gap, the
+pieces of its sequences that aren't full are exchanged with those of other such partitions and packed anew in the same
+way, and the new packing is taken if it is smaller. Partitions without a gap are certified and stay.
 """
 
 from __future__ import annotations
@@ -120,11 +121,47 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
     return bins, offsets, np.array(filled, np.int64)
 
 
+def best_fit_ahead(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, one bin after another: the largest item left, then again and again what fills the rest of the bin best, one item or the larger of two."""
+    of_size: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i in range(len(sizes) - 1, -1, -1):
+        of_size[int(sizes[i])].append(i)
+    left = np.bincount(sizes, minlength=capacity + 1)
+    upto = np.maximum.accumulate(np.where(left > 0, np.arange(capacity + 1), 0))  # the largest size left that isn't larger
+    bins, offsets, filled = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int64), []
+    for _ in range(len(sizes)):
+        size, room = int(upto[capacity]), capacity
+        if not size:
+            break
+        while size:
+            i = of_size[size].pop()
+            bins[i], offsets[i] = len(filled), capacity - room
+            room -= size
+            left[size] -= 1
+            if not left[size]:
+                upto = np.maximum.accumulate(np.where(left > 0, np.arange(capacity + 1), 0))
+            size = int(upto[room])
+            if 0 < size < room:
+                one = np.flatnonzero(left[: room + 1])
+                other = upto[room - one]
+                # a size can't be its own partner unless there are two of it
+                other = np.where((other == one) & (left[one] < 2), upto[np.maximum(one - 1, 0)], other)
+                best = int(np.argmax(one + other))
+                if one[best] + other[best] > size:
+                    size = int(max(one[best], other[best]))
+        filled.append(capacity - room)
+    return bins, offsets, np.array(filled, np.int64)
+
+
 def _pack(key: tuple, group: pd.DataFrame, capacity: int) -> pd.DataFrame:
     group = group.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
     sizes = group["length"].to_numpy(np.int64)
     bins, offsets, filled = best_fit_decreasing(sizes, capacity)
-    gap = len(filled) - lower_bound(sizes, capacity)
+    bound = lower_bound(sizes, capacity)
+    if len(filled) > bound:
+        again = best_fit_ahead(sizes, capacity)
+        bins, offsets, filled = min((bins, offsets, filled), again, key=lambda packing: len(packing[2]))
+    gap = len(filled) - bound
     return group.assign(part=key[0], bin=bins, offset=offsets, filled=filled[bins], gap=gap)
 
 

@@ -317,9 +317,13 @@ def test_lower_bounds_hold(sizes):
         return go(0, (60,) * n)
 
     best = next(n for n in range(1, len(sizes) + 1) if fits(n))
-    bins, offsets, filled = packing.best_fit_decreasing(np.array(sizes), 60)
-    assert packing.lower_bound(np.array(sizes), 60) <= best <= len(filled)
-    assert filled.max() <= 60 and filled.sum() == sum(sizes)
+    for pack in (packing.best_fit_decreasing, packing.best_fit_ahead):
+        bins, offsets, filled = pack(np.array(sizes), 60)
+        assert packing.lower_bound(np.array(sizes), 60) <= best <= len(filled)
+        assert filled.max() <= 60 and filled.sum() == sum(sizes)
+        for b in range(len(filled)):  # without holes, in some order
+            here = sorted((int(offsets[i]), sizes[i]) for i in range(len(sizes)) if bins[i] == b)
+            assert [at for at, _ in here] == [sum(n for _, n in here[:k]) for k in range(len(here))]
 
 
 def test_both_tokenizer_libraries_agree(tokenizer):
