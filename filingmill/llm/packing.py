@@ -2,9 +2,9 @@
 
 Pieces are dealt at random to partitions of some thousand; each is packed by best-fit decreasing and compared with the
 best lower bound that dual feasible functions give for its sizes. A partition that needs more sequences than its bound
-has a gap: it is packed again with a look-ahead of two pieces, and the smaller packing stands. If there still is a gap, the
-pieces of its sequences that aren't full are exchanged with those of other such partitions and packed anew in the same
-way, and the new packing is taken if it is smaller. Partitions without a gap are certified and stay.
+has a gap: it is packed again with a look-ahead of two pieces, and the smaller packing stands. If there still is a gap, its
+pieces are exchanged with those of other such partitions and packed anew in the same way, in larger partitions, and the
+new packing is taken if it is smaller. Partitions without a gap are certified and stay.
 """
 
 from __future__ import annotations
@@ -184,18 +184,18 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, ranks: str | None, pattern
     tokenizer, ranks: paths to a tokenizer file and (or null) to the same vocabulary as ranks, with its pattern.
 
     Null text is empty: end_id alone. Repeated rows and null doc_ids are packed like any others. Other columns are
-    ignored. An empty table: no rows. turns: exchanges at most.
+    ignored. An empty table: no rows. turns: exchanges at most, each between partitions four times as large as before.
     """
     cut_up = partial(_pieces, tokenizer=tokenizer, ranks=ranks, pattern=pattern, end_id=end_id, capacity=capacity)
     pieces = staged(only(docs, "doc_id", "text").mapInArrow(cut_up, _PIECES))
     packed = _packed(pieces, capacity, partition_pieces, pieces.count(), 0)
     for turn in range(1, turns + 1):
-        loose = (F.col("gap") > 0) & (F.col("filled") < capacity)
+        loose = F.col("gap") > 0
         open_ = packed.where(loose)
         n = open_.count()
-        if not n or packed.where(loose).select("part").distinct().count() < 2:
+        if open_.select("part").distinct().count() < 2:
             break
-        again = _packed(open_, capacity, partition_pieces, n, turn)
+        again = _packed(open_, capacity, partition_pieces * 4**turn, n, turn)
         if _bins(again) >= _bins(open_):
             break
         packed = packed.where(~loose).unionByName(again)
