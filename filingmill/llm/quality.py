@@ -105,11 +105,12 @@ def present(hashes: np.ndarray, text: np.ndarray, keys: np.ndarray) -> tuple[np.
 
 
 def fit(where: tuple[np.ndarray, np.ndarray], n_keys: int, forms: np.ndarray, grades: np.ndarray, grades_n: int = 3, steps: int = 400, rate: float = 0.3, decay: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(weights of keys and shapes, thresholds) by full AdaGrad steps on the cumulative logistic loss; grades weigh alike, whatever their counts."""
+    """(weights of keys and shapes, thresholds) by full AdaGrad steps on the cumulative logistic loss; a grade weighs by the root of its share, so rare ones count, and without evidence the most common one is expected."""
     w, theta = np.zeros(n_keys + forms.shape[1]), np.arange(grades_n - 1) - (grades_n - 2) / 2
     g_w, g_t = np.full_like(w, 1e-8), np.full_like(theta, 1e-8)
     share = np.bincount(grades, minlength=grades_n) / max(1, len(grades))
-    weight = 1 / (max(1, int((share > 0).sum())) * share[grades])
+    weight = 1 / np.sqrt(share[grades])
+    weight /= weight.mean()
     above = (grades[:, None] > np.arange(grades_n - 1)[None, :]).astype(float)
     text, key = where
     for _ in range(steps):
