@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment.
 
 A line ends at a line break or, as running text is one long line, after a sentence (`.`, `!` or `?` and a space).
-Documents meet through the hashes of the telling lines (ANCHOR_WORDS words or more) that they share: a line's every
-later holder is paired with its first one (smallest doc_id), so a line that a third of all documents hold costs as many
-pairs as it has holders. Only documents whose shared lines have enough words to make a block are paired at all. Each
+Documents meet through the hashes of the telling lines that they share, those of ANCHOR_WORDS words or more; a shorter
+line tells with those after it, as many as make up these words. A line's every later holder is paired with its first one
+(smallest doc_id), so a line that a third of all documents hold costs as many pairs as it has holders. Only documents whose shared lines have enough words to make a block are paired at all. Each
 pair is aligned with patience diff, and what is aligned in the later document is marked; its runs of marked lines with
 at least `min_words` words are deleted.
 """
@@ -25,15 +25,34 @@ from pyspark.sql import types as T
 
 from .common import longs, mix, only, small_or_shuffled, staged, text_chunks, word_hashes
 
-#: Words from which a line is rare enough to bring documents together; shorter ones take part in the alignment only.
+#: Words from which a line is rare enough to bring documents together; shorter ones are joined with those after them.
 ANCHOR_WORDS = 5
 _BREAK = re.compile(r"(\n|(?<=[.!?]) )")
 #: Rows of cuts, each some ranges of lines, up to which they may be broadcast.
 BROADCAST_CUTS = 200_000
 
 
+def _joined(hashes: np.ndarray, count: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each line with fewer than ANCHOR_WORDS words the hash of the run of lines that begins with it and has these words; 0 for others, blank lines and runs that the text ends. Blank lines in a run don't count."""
+    out = np.zeros(len(hashes), np.uint64)
+    full = np.flatnonzero(count)
+    h, c, of = hashes[full], count[full], text[full]
+    at = np.flatnonzero(c < ANCHOR_WORDS)
+    value, total = h[at], c[at]
+    for step in range(1, ANCHOR_WORDS):
+        inside = at + step < len(full)
+        inside[inside] = of[at[inside] + step] == of[at[inside]]
+        at, value, total = at[inside], value[inside], total[inside]
+        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + h[at + step])
+        total = total + c[at + step]
+        done = total >= ANCHOR_WORDS
+        out[full[at[done]]] = value[done] | np.uint64(1)
+        at, value, total = at[~done], value[~done], total[~done]
+    return out
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's line hashes (0: blank) and words by line. Case of A-Z and the amount of white space don't count."""
+    """Each text's line hashes (0: blank), words by line and hashes of short lines' runs (0: none). Case of A-Z and the amount of white space don't count."""
     for batch in batches:
         for lo, hi, raw, offsets in text_chunks(batch.column("text")):
             words, first, _ = word_hashes(raw, offsets, "blank")
@@ -58,10 +77,11 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head = np.flatnonzero(np.diff(line, prepend=-1))
                 place = np.arange(len(line)) - np.repeat(head, np.diff(np.append(head, len(line))))
                 hashes[line[head]] = mix(np.add.reduceat(mix(words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), head)) | np.uint64(1)
+            runs = _joined(hashes, count, np.repeat(np.arange(len(n_lines)), n_lines))
             at = pa.array(first_line, pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("version").slice(lo, hi - lo), pa.ListArray.from_arrays(at, longs(hashes)), pa.ListArray.from_arrays(at, pa.array(count, pa.int32()))],
-                names=["doc_id", "version", "lines", "words"],
+                [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("version").slice(lo, hi - lo), pa.ListArray.from_arrays(at, longs(hashes)), pa.ListArray.from_arrays(at, pa.array(count, pa.int32())), pa.ListArray.from_arrays(at, longs(runs))],
+                names=["doc_id", "version", "lines", "words", "runs"],
             )
 
 
@@ -162,8 +182,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
 def line_cuts(docs: DataFrame, min_words: int) -> DataFrame:
     """Staged (doc_id, version, firsts, cuts, total) of the documents that lose lines. version: xxhash64 of the text."""
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
-    kept = staged(keyed.mapInArrow(_line_rows, "doc_id long, version long, lines array<long>, words array<int>").dropDuplicates(["doc_id", "version"]))
-    each = kept.select("doc_id", "version", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(f"x.words >= {ANCHOR_WORDS}").select("doc_id", "version", F.col("x.lines").alias("line"), F.col("x.words").alias("n"))
+    kept = staged(keyed.mapInArrow(_line_rows, "doc_id long, version long, lines array<long>, words array<int>, runs array<long>").dropDuplicates(["doc_id", "version"]))
+    each = kept.select("doc_id", "version", F.explode(F.arrays_zip("lines", "words", "runs")).alias("x")).where(f"x.words >= {ANCHOR_WORDS} or x.runs <> 0")
+    each = each.select("doc_id", "version", F.when(F.col("x.words") >= ANCHOR_WORDS, F.col("x.lines")).otherwise(F.col("x.runs")).alias("line"), F.col("x.words").alias("n"))
     firsts = each.groupBy("line").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
     firsts = staged(firsts.select("line", F.col("first.doc_id").alias("first"), F.col("first.version").alias("first_version")))  # so that the join with a common line's rows can be split
     by = ["doc_id", "version", "first", "first_version"]

@@ -206,6 +206,28 @@ def test_copies_lose_all_their_lines(spark):
     assert got[2]["text"].strip() == "x"
 
 
+def repeats_left(spark, texts, size=50):
+    """The cut texts, and which of them still hold `size` consecutive words that an earlier document had."""
+    got = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(docs(spark, *texts)).collect()}
+    grams = lambda t: {tuple(w[k : k + size]) for w in [t.split()] for k in range(len(w) - size + 1)}
+    seen, left = set(), []
+    for k, t in enumerate(texts):
+        if grams(got[k]) & seen:
+            left.append(k)
+        seen |= grams(t)
+    return [got[k] for k in range(len(texts))], left
+
+
+@pytest.mark.parametrize("per_line", [1, 2, 3, 4])
+@pytest.mark.parametrize("end", ["\n", "!! "])
+def test_passages_in_short_lines_meet(spark, per_line, end):
+    ws = words(60, 77)
+    passage = end.join(" ".join(ws[k : k + per_line]) for k in range(0, 60, per_line)) + end
+    texts = [f"{sentence(k, 20)}\n{passage}{sentence(500 + k, 20)}" for k in range(4)]
+    got, left = repeats_left(spark, texts)
+    assert not left and got[0] == texts[0] and all(ws[30] not in t.replace("!", "").split() for t in got[1:])
+
+
 @given(st.lists(st.integers(0, 6), max_size=30), st.lists(st.integers(0, 6), max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_patience_gives_a_common_subsequence(a, b):
