@@ -4,8 +4,9 @@ A line ends at a line break or, as running text is one long line, after a senten
 Documents meet through the hashes of the telling lines that they share, those of ANCHOR_WORDS words or more; a shorter
 line tells with those after it, as many as make up these words. A line's every later holder is paired with its first one
 (smallest doc_id), so a line that a third of all documents hold costs as many pairs as it has holders. Only documents whose shared lines have enough words to make a block are paired at all. Each
-pair is aligned with patience diff, and what is aligned in the later document is marked; its runs of marked lines with
-at least `min_words` words are deleted.
+pair is aligned with patience diff, and what is aligned in the later document is marked; so are its passages that the
+alignment leaves out, as they stand in another order or more often than in the first document. Its runs of marked lines
+with at least `min_words` words are deleted.
 """
 
 from __future__ import annotations
@@ -146,9 +147,70 @@ def patience(a: list[int], b: list[int]) -> list[int]:
     return sorted(found)
 
 
-def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _least_runs(lines: list[int], words: dict[int, int], min_words: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of the shortest run of min_words words or more from each line on, and up to each line; of lines that `words` knows only."""
+    i = 0
+    while i < len(lines):
+        if lines[i] not in words:
+            i += 1
+            continue
+        stop = i
+        while stop < len(lines) and lines[stop] in words:
+            stop += 1
+        end, total = i, 0
+        for start in range(i, stop):
+            while end < stop and total < min_words:
+                total += words[lines[end]]
+                end += 1
+            if total < min_words:
+                break
+            yield start, end
+            total -= words[lines[start]]
+        start, total = i, 0
+        for end in range(i, stop):
+            total += words[lines[end]]
+            while total - words[lines[start]] >= min_words:
+                total -= words[lines[start]]
+                start += 1
+            if total >= min_words:
+                yield start, end + 1
+        i = stop
+
+
+def passages(a: list[int], b: list[int], words: list[int], min_words: int) -> set[int]:
+    """Places in b of runs of lines with min_words words or more that stand in a as they are, wherever and however often; blank lines don't count."""
+    full = [j for j, x in enumerate(b) if x]
+    there = set(a)
+    count = {b[j]: words[j] for j in full if b[j] in there}
+    held = [x for x in a if x]
+    known = {tuple(held[s:e]) for s, e in _least_runs(held, count, min_words)}
+    lines = [b[j] for j in full]
+    found: set[int] = set()
+    for s, e in _least_runs(lines, count, min_words):
+        if tuple(lines[s:e]) in known:
+            found.update(full[s:e])
+    return found
+
+
+def marked(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
+    """Places in b that are aligned with a, passages in another order and further copies included."""
+    marks = set(patience(a, b))
+    there = set(a) - {0}
+    open_blocks = lambda: block_ranges({j for j, x in enumerate(b) if x in there and j not in marks}, words, min_words)
+    if sum(n for x, n in zip(b, words, strict=True) if x in there) >= min_words and any(x in there and j not in marks for j, x in enumerate(b)):
+        marks |= passages(a, b, words, min_words)
+    while open_blocks():
+        again = {j for j in patience(a, [0 if j in marks else x for j, x in enumerate(b)]) if b[j] and j not in marks}
+        more = {j for s, e, _ in block_ranges(again, words, min_words) for j in range(s, e) if j in again}
+        if not more:
+            break
+        marks |= more
+    return sorted(marks)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        marks = [patience(a, b) for a, b in zip(batch.column("lines_a").to_pylist(), batch.column("lines_b").to_pylist(), strict=True)]
+        marks = [marked(a, b, words, min_words) for a, b, words in zip(*(batch.column(c).to_pylist() for c in ("lines_a", "lines_b", "words")), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), batch.column("first"), batch.column("words"), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "version", "first", "words", "marks"])
 
 
@@ -194,7 +256,7 @@ def line_cuts(docs: DataFrame, min_words: int) -> DataFrame:
     lines_b = kept.select("doc_id", "version", F.col("lines").alias("lines_b"), "words")
     lines_a = kept.select(F.col("doc_id").alias("first"), F.col("version").alias("first_version"), F.col("lines").alias("lines_a"))
     both = pairs.join(lines_b, ["doc_id", "version"]).join(lines_a, ["first", "first_version"])
-    aligned = both.mapInArrow(_aligned, "doc_id long, version long, first long, words array<int>, marks array<int>").where("size(marks) > 0")
+    aligned = both.mapInArrow(partial(_aligned, min_words=min_words), "doc_id long, version long, first long, words array<int>, marks array<int>").where("size(marks) > 0")
     aligned = aligned.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("first")).alias("firsts"), F.min("words").alias("words"), F.collect_list("marks").alias("marks"))
     cuts = aligned.mapInArrow(partial(_blocks, min_words=min_words), "doc_id long, version long, firsts array<long>, cuts array<struct<start:int,end:int,words:int>>, total long")
     return staged(cuts.where("size(cuts) > 0"))

@@ -228,6 +228,24 @@ def test_passages_in_short_lines_meet(spark, per_line, end):
     assert not left and got[0] == texts[0] and all(ws[30] not in t.replace("!", "").split() for t in got[1:])
 
 
+def test_swapped_and_further_passages_go(spark):
+    p, q = ("\n".join(sentence(s + k) for k in range(6)) for s in (100, 200))
+    own = [sentence(300 + k, 20) for k in range(9)]
+    texts = ["\n".join([own[0], p, own[1], q, own[2]]), "\n".join([own[3], q, own[4], p, own[5]]), "\n".join([own[6], p, own[7], *[p] * 5, q, p, own[8]])]
+    got, left = repeats_left(spark, texts)
+    assert not left and got == [texts[0], "\n".join(own[3:6]), "\n".join(own[6:])]
+
+
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(1, 9))
+@settings(max_examples=300, deadline=None)
+def test_passages_like_plain_search(a, b, min_words):
+    size = lambda x: [0, 1, 2, 4][x]
+    a_full, full = [x for x in a if x], [j for j, x in enumerate(b) if x]
+    runs = {tuple(a_full[s:e]) for s in range(len(a_full)) for e in range(s + 1, len(a_full) + 1)}
+    plain = {j for s in range(len(full)) for e in range(s + 1, len(full) + 1) if (r := tuple(b[j] for j in full[s:e])) in runs and sum(map(size, r)) >= min_words for j in full[s:e]}
+    assert line_dedup.passages(a, b, [size(x) for x in b], min_words) == plain <= set(line_dedup.marked(a, b, [size(x) for x in b], min_words))
+
+
 @given(st.lists(st.integers(0, 6), max_size=30), st.lists(st.integers(0, 6), max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_patience_gives_a_common_subsequence(a, b):
