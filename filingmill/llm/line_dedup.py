@@ -7,15 +7,20 @@ line tells with those after it, as many as make up these words. A line's every l
 pair is aligned with patience diff, and what is aligned in the later document is marked; so are its passages that the
 alignment leaves out, as they stand in another order or more often than in the first document. Its runs of marked lines
 with at least `min_words` words are deleted.
+
+Passages within lines meet through hashes of min_words consecutive words, winnowed so that SPAN_WORDS words in a row hold
+one at least, again with its first holder. Where the deleted lines leave one, the two texts are compared by all their
+runs of min_words words, and what the later one shares goes word by word.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -28,7 +33,10 @@ from .common import longs, mix, only, small_or_shuffled, staged, text_chunks, wo
 
 #: Words from which a line is rare enough to bring documents together; shorter ones are joined with those after them.
 ANCHOR_WORDS = 5
+#: Repeated words in a row from which a passage meets an earlier document that holds it, wherever its lines end.
+SPAN_WORDS = 50
 _BREAK = re.compile(r"(\n|(?<=[.!?]) )")
+_WORDS = re.compile(r"[^ \t\n\v\f\r]+")
 #: Rows of cuts, each some ranges of lines, up to which they may be broadcast.
 BROADCAST_CUTS = 200_000
 
@@ -52,6 +60,71 @@ def _joined(hashes: np.ndarray, count: np.ndarray, text: np.ndarray) -> np.ndarr
     return out
 
 
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n consecutive words, for each start; in time that doesn't grow with n."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * _powers(_BASE, len(words)), out=total[1:])
+    return mix((total[n:] - total[:-n]) * _powers(_BACK, len(words) - n + 1))
+
+
+def prints(words: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Starts of winnowed runs of n words: the least hash of every `window` starts in a row, or of all if there are fewer."""
+    runs = run_hashes(words, n)
+    if not len(runs):
+        return np.zeros(0, np.int64)
+    window = min(window, len(runs))
+    least = np.lib.stride_tricks.sliding_window_view(runs, window).argmin(axis=1) + np.arange(len(runs) - window + 1)
+    return np.unique(least)
+
+
+def _print_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, version, line, at) of each text's winnowed runs of min_words words."""
+    for batch in batches:
+        for lo, _, raw, offsets in text_chunks(batch.column("text")):
+            words, first, _ = word_hashes(raw, offsets, "blank")
+            starts = [prints(words[a:b], min_words, SPAN_WORDS - min_words + 1 if SPAN_WORDS > min_words else 1) for a, b in zip(first[:-1], first[1:], strict=True)]
+            row = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
+            at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+            hashes = run_hashes(words, min_words)[at + first[row]] if len(at) else np.zeros(0, np.uint64)
+            where = pa.array(row + lo)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where).cast(pa.int64()), batch.column("version").take(where), longs(hashes), pa.array(at, pa.int32())], names=["doc_id", "version", "line", "at"])
+
+
+def _spans(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of the later text's words in runs of min_words that the first text has too."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    for batch in batches:
+        ranges = []
+        for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+            held, mine = ((run_hashes(word_hashes(r, np.array([0, len(r)]), "blank")[0], min_words) for r in [np.frombuffer(x.as_py().encode(), np.uint8)]) for x in (a, b))
+            (held,), (mine,) = held, mine
+            ranges.append([{"start": s, "end": e} for s, e in _union((int(p), int(p) + min_words) for p in np.flatnonzero(np.isin(mine, held)))])
+        lines = [[len(_WORDS.findall(x)) for x in _BREAK.split(b.as_py())[::2]] for b in batch.column("text_b")]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "first")), pa.array(lines, pa.list_(pa.int32())), pa.array(ranges, kind)], names=["doc_id", "version", "first", "words", "ranges"])
+
+
+def _union(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text's line hashes (0: blank), words by line and hashes of short lines' runs (0: none). Case of A-Z and the amount of white space don't count."""
     for batch in batches:
@@ -232,13 +305,31 @@ def block_ranges(marks: set[int], words: list[int], min_words: int) -> list[tupl
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32())]))
+    """The blocks of marked lines as ranges of the text's words."""
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        cuts = [
-            [{"start": s, "end": e, "words": n} for s, e, n in block_ranges({m for ms in marks for m in ms}, words, min_words)]
-            for marks, words in zip(batch.column("marks").to_pylist(), batch.column("words").to_pylist(), strict=True)
-        ]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "firsts")), pa.array(cuts, kind), pa.array([sum(w) for w in batch.column("words").to_pylist()], pa.int64())], names=["doc_id", "version", "firsts", "cuts", "total"])
+        ranges = []
+        for marks, words in zip(batch.column("marks").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            before = [0, *accumulate(words)]
+            ranges.append([{"start": before[s], "end": before[e]} for s, e, _ in block_ranges({m for ms in marks for m in ms}, words, min_words)])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "firsts", "words")), pa.array(ranges, kind)], names=["doc_id", "version", "firsts", "words", "ranges"])
+
+
+def in_lines(ranges: Iterable[tuple[int, int]], words: list[int]) -> list[dict[str, int]]:
+    """Word ranges, joined where they touch, as lines: the first, the one after the last, words cut, words that stay ahead in the first and at the end of the last."""
+    before, out = [0, *accumulate(words)], []
+    for s, e in _union(ranges):
+        i, j = bisect_right(before, s) - 1, bisect_left(before, e)
+        out.append({"start": i, "end": j, "words": e - s, "head": s - before[i], "tail": before[j] - e})
+    return out
+
+
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "words", "head", "tail")]))
+    for batch in batches:
+        words = batch.column("words").to_pylist()
+        cuts = [in_lines(((r["start"], r["end"]) for r in rs), ws) for rs, ws in zip(batch.column("ranges").to_pylist(), words, strict=True)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "firsts")), pa.array(cuts, kind), pa.array([sum(w) for w in words], pa.int64())], names=["doc_id", "version", "firsts", "cuts", "total"])
 
 
 def line_cuts(docs: DataFrame, min_words: int) -> DataFrame:
@@ -258,18 +349,65 @@ def line_cuts(docs: DataFrame, min_words: int) -> DataFrame:
     both = pairs.join(lines_b, ["doc_id", "version"]).join(lines_a, ["first", "first_version"])
     aligned = both.mapInArrow(partial(_aligned, min_words=min_words), "doc_id long, version long, first long, words array<int>, marks array<int>").where("size(marks) > 0")
     aligned = aligned.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("first")).alias("firsts"), F.min("words").alias("words"), F.collect_list("marks").alias("marks"))
-    cuts = aligned.mapInArrow(partial(_blocks, min_words=min_words), "doc_id long, version long, firsts array<long>, cuts array<struct<start:int,end:int,words:int>>, total long")
-    return staged(cuts.where("size(cuts) > 0"))
+    range_type = "array<struct<start:int,end:int>>"
+    lined = staged(aligned.mapInArrow(partial(_blocks, min_words=min_words), f"doc_id long, version long, firsts array<long>, words array<int>, ranges {range_type}").where("size(ranges) > 0"))
+    spans = _word_spans(keyed, lined, min_words)
+    both = lined.unionByName(spans.select("doc_id", "version", F.array("first").alias("firsts"), "words", "ranges"))
+    both = both.groupBy("doc_id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("firsts"), F.min("words").alias("words"), F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return staged(both.mapInArrow(_cuts, "doc_id long, version long, firsts array<long>, cuts array<struct<start:int,end:int,words:int,head:int,tail:int>>, total long"))
 
 
-def without(text: str, cuts: list[tuple[int, int]]) -> str:
-    """The text less the lines in (start, end) ranges; what is left of a line break's line is joined by spaces, and it goes if nothing is left."""
-    gone = {k for start, end in cuts for k in range(start, end)}
+def _word_spans(keyed: DataFrame, lined: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, version, first, words, ranges): what is repeated word by word in documents of which `lined` leaves a shared run of words."""
+    each = keyed.mapInArrow(partial(_print_rows, min_words=min_words), "doc_id long, version long, line long, at int")
+    firsts = each.groupBy("line").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    firsts = staged(firsts.select("line", F.col("first.doc_id").alias("first"), F.col("first.version").alias("first_version")))
+    gone = lined.select("doc_id", "version", "ranges")
+    hits = each.join(firsts, "line").where("first < doc_id").groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "first", "first_version")).alias("hits"))
+    hits = hits.join(gone, ["doc_id", "version"], "left")
+    left = F.filter("hits", lambda h: ~F.exists(F.coalesce("ranges", F.array().cast("array<struct<start:int,end:int>>")), lambda r: (r["start"] <= h["at"]) & (h["at"] + min_words <= r["end"])))
+    pairs = hits.select("doc_id", "version", F.explode(F.array_distinct(F.transform(left, lambda h: F.struct(h["first"].alias("first"), h["first_version"].alias("first_version"))))).alias("x"))
+    pairs = staged(pairs.select("doc_id", "version", "x.*"))
+    ends = pairs.select("doc_id", "version").union(pairs.select("first", "first_version")).distinct()
+    ends = small_or_shuffled(staged(ends.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))))
+    texts = keyed.join(ends, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left_semi").dropDuplicates(["doc_id", "version"])
+    texts = staged(texts)
+    text_b = texts.select("doc_id", "version", F.col("text").alias("text_b"))
+    text_a = texts.select(F.col("doc_id").alias("first"), F.col("version").alias("first_version"), F.col("text").alias("text_a"))
+    joined = pairs.join(text_b, ["doc_id", "version"]).join(text_a, ["first", "first_version"])
+    return joined.mapInArrow(partial(_spans, min_words=min_words), "doc_id long, version long, first long, words array<int>, ranges array<struct<start:int,end:int>>").where("size(ranges) > 0")
+
+
+def without(text: str, cuts: list[tuple[int, ...]]) -> str:
+    """The text less the lines in (start, end) ranges, or in (start, end, head, tail) but for so many words ahead and at the end; what is left of a line break's line is joined by spaces, and it goes if nothing is left."""
+    gone: set[int] = set()
+    parts: dict[int, list[tuple[int, int | None]]] = {}  # words cut of lines of which some stay
+    for start, end, *stay in cuts:
+        head, tail = stay or (0, 0)
+        gone.update(range(start + (head > 0), end - (tail > 0)))
+        if head:
+            parts.setdefault(start, []).append((head, -tail if tail and end == start + 1 else None))
+        if tail and (not head or end > start + 1):
+            parts.setdefault(end - 1, []).append((0, -tail))
     out, line, lost = [], [], False
     for k, piece in enumerate([*_BREAK.split(text), "\n"]):
         if k % 2 == 0:
-            lost |= k // 2 in gone
-            if k // 2 not in gone:
+            at = k // 2
+            lost |= at in gone or at in parts
+            if at in parts:
+                words = [(m.start(), m.end()) for m in _WORDS.finditer(piece)]
+                drop = {w for a, b in parts[at] for w in range(*slice(a, b).indices(len(words)))}
+                kept, last = [], None  # stretches of words that stay
+                for w, (s, e) in enumerate(words):
+                    if w in drop:
+                        continue
+                    if kept and last == w - 1:
+                        kept[-1] = (kept[-1][0], e)
+                    else:
+                        kept.append((s, e))
+                    last = w
+                line.extend(piece[s:e] for s, e in kept)
+            elif at not in gone:
                 line.append(piece)
         elif piece == "\n":
             left = " ".join(line)
@@ -281,11 +419,11 @@ def without(text: str, cuts: list[tuple[int, int]]) -> str:
 
 @F.pandas_udf(T.StringType())
 def _without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else without(t, [(c["start"], c["end"]) for c in cs]) for t, cs in zip(texts, cuts, strict=True)], dtype=object)
+    return pd.Series([None if t is None else without(t, [(c["start"], c["end"], c["head"], c["tail"]) for c in cs]) for t, cs in zip(texts, cuts, strict=True)], dtype=object)
 
 
 def line_dedup(docs: DataFrame, min_words: int = 30, broadcast_cuts: int = BROADCAST_CUTS) -> DataFrame:
-    """docs (doc_id, text and any others) with `text` less the deleted lines, and n_cut_lines, n_cut_words, n_left_words (null if no line went) and earlier, the documents that it was aligned with if any line went.
+    """docs (doc_id, text and any others) with `text` less the deleted lines and words, and n_cut_lines (each block's lines, those cut in part included), n_cut_words, n_left_words (null if nothing went) and earlier, the documents that it was compared with if anything went.
 
     Documents are in the order of doc_id; the first holder of a line keeps it. Lines (see above) are compared by their
     words, without regard to the case of A-Z or white space; deleted runs have min_words words or more.

@@ -236,6 +236,28 @@ def test_swapped_and_further_passages_go(spark):
     assert not left and got == [texts[0], "\n".join(own[3:6]), "\n".join(own[6:])]
 
 
+def test_passages_inside_lines_go(spark):
+    p = " ".join(words(80, 5))
+    w = lambda k, n=15: " ".join(words(n, k, 10**9))
+    texts = [f"{w(1)} {p} {w(2)}", f"{w(3)}: “{p.upper().replace('W', 'w')}”; {w(4)}.\n{w(5)}", f"{w(6)}. {w(7)} {p.replace(' ', '. ', 30).replace('.', '', 29)} {w(8)}; {p}", f"{p}\n{w(9)}"]
+    got, left = repeats_left(spark, texts)
+    first, last = p.split()[0], p.split()[-1]
+    assert not left and got[0] == texts[0] and got[3] == w(9)
+    assert got[1] == f"{w(3)}: “{first} {last}”; {w(4)}.\n{w(5)}" and got[2].startswith(f"{w(6)}. {w(7)} ") and got[2].endswith(f"{w(8)};")
+
+
+@given(st.text(alphabet="ab .!\n", max_size=60), st.lists(st.tuples(st.integers(0, 12), st.integers(1, 6)), max_size=3))
+@settings(max_examples=300, deadline=None)
+def test_word_ranges_go_and_nothing_else(text, some):
+    ws = text.split()
+    ranges = [(s, min(s + n, len(ws))) for s, n in some if s < len(ws)]
+    counts = [len(u.split()) for u in line_dedup._BREAK.split(text)[::2]]
+    cuts = line_dedup.in_lines(ranges, counts)
+    left = line_dedup.without(text, [(c["start"], c["end"], c["head"], c["tail"]) for c in cuts])
+    assert left.split() == [w for k, w in enumerate(ws) if not any(s <= k < e for s, e in ranges)]
+    assert sum(c["words"] for c in cuts) == len({k for s, e in ranges for k in range(s, e)})
+
+
 @given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(1, 9))
 @settings(max_examples=300, deadline=None)
 def test_passages_like_plain_search(a, b, min_words):
