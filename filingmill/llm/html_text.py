@@ -52,28 +52,47 @@ KEPT = {"main", "body", "html"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s"'/]|$)""", re.I)
+_MAIN = re.compile(r"<(?:article|main)[\s>/]", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """The class as it is; whether names or flags say that this is no main text; whether they say that it is."""
-    klass, noise, whole = "", False, False
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """The class as it is; whether names or flags say that this is no main text; whether they say that it is; whether flags or names of STRICT are among the first."""
+    klass, noise, whole, strict = "", False, False, False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
         if name == "hidden":
-            noise = True
+            noise = strict = True
         elif name == "aria-hidden":
-            noise |= value.lower() == "true"
+            strict |= value.lower() == "true"
+            noise |= strict
         else:
             for token in value.split():
                 words = [w.lower() for w in _WORD.findall(token)]
                 if words and words[0] not in LAYOUT:
                     named = STRICT if tag == "article" else NOISE | STRICT
                     noise |= "".join(words) in named or any(w in named and not (w == "header" and words[0] in TITLED) for w in words)
+                    strict |= "".join(words) in STRICT or any(w in STRICT for w in words)
                     whole |= any(w in WHOLE for w in words)
             klass = value if name == "class" else klass
-    return klass, noise and tag not in KEPT, whole
+    return klass, noise and tag not in KEPT, whole, strict
+
+
+def _wraps(page: str, at: int, tag: str) -> bool:
+    """Whether the element of which the opening tag ends at `at` holds an article or main that is no noise itself: its name is then that of a layout."""
+    if not _MAIN.search(page, at):
+        return False
+    depth = 1
+    for m in _TAG.finditer(page, at):
+        name, closing = (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
+        if name == tag:
+            depth += -1 if closing else 1
+            if not depth:
+                return False
+        if name in ("article", "main") and not closing and not _named(name, m[3] or "")[3]:
+            return True
+    return False
 
 
 def blocks(page: str) -> Iterator[tuple[tuple[tuple[str, int], ...], str, int]]:
@@ -141,7 +160,9 @@ def blocks(page: str) -> Iterator[tuple[tuple[tuple[str, int], ...], str, int]]:
         attributes = m[3] or ""
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
-        klass, noise, whole = _named(tag, attributes) if attributes else ("", False, False)
+        klass, noise, whole, strict = _named(tag, attributes) if attributes else ("", False, False, False)
+        if noise and not strict and not skipped and tag not in SKIPPED and tag not in ("article", "main") and _wraps(page, at, tag):
+            noise = False
         noise = noise or tag in SKIPPED
         ring = tag in CONTAINERS and not noise and not skipped and (not within or tag == "article" and within != "article")
         if ring:

@@ -44,6 +44,13 @@ def test_main_text(spark, page):
     assert texts(spark, page) == [MAIN]
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "page-with-sidebar", "layout-sidebar-right"])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_wrappers_named_after_a_sidebar_are_read(spark, name, tag):
+    page = f"<body><div class='{name}'><div class=sidebar><p>{'side ' * 40}</p></div><{tag}>{BODY}</{tag}></div><div class='related-posts'><article>more</article></div></body>"
+    assert texts(spark, page) == [MAIN]
+
+
 def test_a_hosts_pages_vote(spark):
     """One page's side text is longer than its article; the host's other pages outvote it."""
     page = lambda side, body: f"<body><div class=alpha7><p>{side}</p></div><div class=beta{len(body)}><p>{body}</p></div></body>"
