@@ -30,9 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes repeated blocks of lines from later documents; one of which less than a fifth of its words is left goes."""
+    """Deletes repeated blocks of lines from later documents; one of which nothing is left goes."""
     cut = line_dedup(docs)
-    left = cut.where((F.col("n_cut_lines") == 0) | (F.col("n_left_words") * 4 >= F.col("n_cut_words")))
+    left = cut.where((F.col("n_cut_lines") == 0) | (F.col("n_left_words") > 0))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("n_cut_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return left.select(*docs.columns)

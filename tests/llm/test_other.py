@@ -201,6 +201,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert {x["doc_id"] for x in packed} == set(clean)
 
 
+def test_what_stands_nowhere_else_stays_in_the_pipeline(spark):
+    shared, own = " ".join(f"q{k}" for k in range(900)) + ".", " ".join(f"own{k}" for k in range(100)) + "."
+    rows = [(1, shared, "en", "s", len(shared)), (2, f"{shared}\n{own}", "en", "s", 1), (3, shared, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x["doc_id"]: x["text"] for x in corpus_pipeline.lines(spark, docs, "").collect()} == {1: shared, 2: own}
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and oracles.CHAT
