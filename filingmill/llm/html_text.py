@@ -3,7 +3,8 @@
 Each page's containers are scored by the text of their own blocks, less what stands in links. Every container votes, with
 its score, for its generalised path (tags with their classes, digits left out) on its host; the votes are added up in
 Spark. Each page is then extracted again from the containers on the path that most of its host's text voted for, of those
-paths that the page has.
+paths that the page has, and on the host's other paths whose own blocks, without those of containers in them, have more than
+SHARE of the most that any path's have: an article may lie in containers side by side.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from .common import only, small_or_shuffled, staged
 #: Hosts and paths up to which the winners are broadcast.
 BROADCAST_PATHS = 200_000
 
+#: Share of the largest path's own text above which a path is read besides the winning one.
+SHARE = 0.25
+
 # Tags of HTML.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -178,14 +182,15 @@ def blocks(page: str) -> Iterator[tuple[tuple[tuple[str, int], ...], str, int]]:
         yield block
 
 
-def container_scores(page: str) -> dict[str, float]:
-    """Score by path: text of the container's own blocks outside links, and half of what the containers in it have."""
-    scores: dict[str, float] = {}
+def container_scores(page: str) -> dict[str, tuple[float, float]]:
+    """Score by path: text of the container's own blocks outside links, and half of what the containers in it have; and the own text alone."""
+    scores: dict[str, tuple[float, float]] = {}
     for rings, text, linked in blocks(page):
-        weight = float(max(0, len(text) - 2 * linked))
+        weight = own = float(max(0, len(text) - 2 * linked))
         for path, _ in reversed(rings):
-            scores[path] = scores.get(path, 0.0) + weight
-            weight /= 2
+            score, mine = scores.get(path, (0.0, 0.0))
+            scores[path] = score + weight, mine + own
+            weight, own = weight / 2, 0.0
     return scores
 
 
@@ -196,23 +201,25 @@ def text_at(page: str, path: str | None) -> str:
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        totals: dict[tuple, float] = {}
+        totals: dict[tuple, tuple[float, float]] = {}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            for path, score in container_scores(page.as_py() or "").items():
-                totals[host, path] = totals.get((host, path), 0.0) + score
+            for path, (score, own) in container_scores(page.as_py() or "").items():
+                before = totals.get((host, path), (0.0, 0.0))
+                totals[host, path] = before[0] + score, before[1] + own
         keys = list(totals)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([int(totals[k] * 1024) for k in keys], pa.int64())], names=["host", "path", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([int(totals[k][n] * 1024) for k in keys], pa.int64()) for n in (0, 1))], names=["host", "path", "score", "own"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, used = [], []
-        for page, ranked in zip(batch.column("html"), batch.column("paths"), strict=True):
+        for page, ranked, besides in zip(batch.column("html"), batch.column("paths"), batch.column("also"), strict=True):
             page = page.as_py() or ""
             rank = {p: k for k, p in enumerate(ranked.as_py() or [])}
             found = list(blocks(page))
             here = min((p for rings, _, _ in found for p, _ in rings), key=lambda p: (rank.get(p, len(rank)), p), default=None)
-            texts.append(" ".join(text for rings, text, _ in found if here is None or any(p == here for p, _ in rings)))
+            read = {here, *(besides.as_py() or [])}
+            texts.append(" ".join(text for rings, text, _ in found if here is None or any(p in read for p, _ in rings)))
             used.append(here)
         yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(used, pa.string())], names=["page_id", "url", "text", "path"])
 
@@ -224,16 +231,18 @@ def host_of(url: Column) -> Column:
 def main_texts(pages: DataFrame, broadcast_paths: int = BROADCAST_PATHS) -> DataFrame:
     """(page_id, url, text, n_chars, path) of every row of pages (page_id, url, html).
 
-    text: the blocks inside the winning containers, each with its character references decoded and its white space
+    text: the blocks inside the winning containers and those beside them (see above), in page order, each with its character references decoded and its white space
     turned into single spaces, joined by one space. path: the winning path; null if the page has no container with text.
 
     Null or empty html: empty text. Null urls and those without a host share the host ''. Repeated rows vote and are
     returned each. Ties between paths go to the smaller path. Other columns are ignored. An empty table: no rows.
     """
     pages = only(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, score long")
-    ranked = votes.groupBy("host", "path").agg(F.sum("score").alias("score")).groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "path"))).alias("x"))
-    winners = small_or_shuffled(staged(ranked.select(F.col("host").alias("_host"), F.col("x.path").alias("paths"))), broadcast_paths)
-    joined = pages.join(winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "paths")
+    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, score long, own long")
+    ranked = votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("own").alias("own"))
+    ranked = ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "path", "own"))).alias("x"), F.max("own").alias("most"))
+    also = F.transform(F.filter("x", lambda p: p["own"] > F.col("most") * SHARE), lambda p: p["path"])
+    winners = small_or_shuffled(staged(ranked.select(F.col("host").alias("_host"), F.col("x.path").alias("paths"), also.alias("also"))), broadcast_paths)
+    joined = pages.join(winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "paths", "also")
     out = joined.mapInArrow(_extracted, "page_id long, url string, text string, path string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

@@ -44,6 +44,13 @@ def test_main_text(spark, page):
     assert texts(spark, page) == [MAIN]
 
 
+def test_an_article_in_containers_side_by_side_is_whole(spark):
+    lead, rest = "lead text " * 60, "other text " * 36
+    assert texts(spark, f"<body><div class=lead><p>{lead}</p></div><div class=rest><p>{rest}</p></div><div class=tiny>x</div></body>") == [f"{lead}{rest}".strip()]
+    table = f"<body><p>{rest}</p><table><tr><td>{lead}</td></tr></table><p>{rest}</p></body>"
+    assert texts(spark, table) == [f"{rest}{lead}{rest}".strip()]
+
+
 @pytest.mark.parametrize("name", ["content-sidebar-wrap", "page-with-sidebar", "layout-sidebar-right"])
 @pytest.mark.parametrize("tag", ["article", "main"])
 def test_wrappers_named_after_a_sidebar_are_read(spark, name, tag):
