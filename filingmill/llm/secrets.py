@@ -2,7 +2,8 @@
 
 Fixed patterns give the base spans. Besides them every long mixed token is a candidate. The hashes of all candidates are
 aggregated over the corpus by distinct repositories (documents) and owners (sources): what several owners hold is a
-copied example; a token that only one owner has, and that looks random, is reported as a span of kind `owner`.
+copied example; a token that only one owner has, and that looks random, is reported as a span of kind `owner`. Owners
+alone decide: the count of repositories has no effect.
 """
 
 from __future__ import annotations
