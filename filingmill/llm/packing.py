@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +25,12 @@ from .common import only, staged
 
 #: Code points below this are known to be cut alike by both tokenizer libraries (tests/llm); other texts go to the slower one.
 PLAIN = 0x250
+#: Runs of white space from this length on go to the slower library: the faster one's pattern gives up on a run of a million.
+_LONG_BLANK = re.compile(r"\s{10000}")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PACKED = f"{_PIECES}, part long, bin int, offset long, filled long, gap int"
+_PACKED = f"row long, {_PIECES}, part long, bin int, offset long, gap int"
+#: Bins of a partition, as bits of a sequence's number; the partition and its turn take the others.
+BIN_BITS, TURN_BITS = 20, 40
 
 
 @lru_cache(1)
@@ -53,9 +57,12 @@ def _fast(tokenizer: str, ranks: str | None, pattern: str):
 def token_ids(text: str, tokenizer: str, ranks: str | None, pattern: str) -> np.ndarray:
     """The tokenizer's ids, without added special tokens; such a token's own string in the text is that token."""
     fast, specials = _fast(tokenizer, ranks, pattern)
-    if fast is None or not (text.isascii() or max(text) < chr(PLAIN)):
-        return np.array(_tokenizer(tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
-    return np.asarray(fast.encode_to_numpy(text, allowed_special=specials, disallowed_special=()), "<u4")
+    if fast is not None and (text.isascii() or max(text) < chr(PLAIN)) and not _LONG_BLANK.search(text):
+        try:
+            return np.asarray(fast.encode_to_numpy(text, allowed_special=specials, disallowed_special=()), "<u4")
+        except ValueError:  # its pattern gives up where it would go too deep; the tokenizer itself doesn't
+            pass
+    return np.array(_tokenizer(tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -153,23 +160,27 @@ def best_fit_ahead(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets, np.array(filled, np.int64)
 
 
-def _pack(key: tuple, group: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    group = group.sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
-    sizes = group["length"].to_numpy(np.int64)
+def _pack(key: tuple, group: pa.Table, capacity: int) -> pa.Table:
+    group = group.take(np.argsort(group["row"].to_numpy(), kind="stable"))
+    sizes = group["length"].to_numpy()
     bins, offsets, filled = best_fit_decreasing(sizes, capacity)
     bound = lower_bound(sizes, capacity)
     if len(filled) > bound:
         again = best_fit_ahead(sizes, capacity)
         bins, offsets, filled = min((bins, offsets, filled), again, key=lambda packing: len(packing[2]))
-    gap = len(filled) - bound
-    return group.assign(part=key[0], bin=bins, offset=offsets, filled=filled[bins], gap=gap)
+    made = [("part", np.full(len(sizes), key[0].as_py(), np.int64)), ("bin", bins), ("offset", offsets), ("gap", np.full(len(sizes), len(filled) - bound, np.int32))]
+    for name, values in made:
+        group = group.append_column(name, pa.array(values))
+    return group
 
 
 def _packed(pieces: DataFrame, capacity: int, partition_pieces: int, n: int, turn: int) -> DataFrame:
+    """Staged packing of the pieces, dealt by a hash of their row, so that neither repeated nor null documents crowd a partition."""
     parts = max(1, -(-n // partition_pieces))
-    own = F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(parts)) + F.lit(turn << 40)
-    dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", own.alias("part"))
-    return staged(dealt.groupBy("part").applyInPandas(lambda key, group: _pack(key, group, capacity), _PACKED))
+    own = F.pmod(F.xxhash64("row", F.lit(turn)), F.lit(parts)) + F.lit(turn << TURN_BITS)
+    dealt = pieces.select("row", "doc_id", "piece", "start", "length", "ids_crc32", own.alias("deal"))
+    pack = lambda key, group: _pack(key, group.drop_columns(["deal"]), capacity)
+    return staged(dealt.groupBy("deal").applyInArrow(pack, _PACKED))
 
 
 def _bins(packed: DataFrame) -> int:
@@ -187,7 +198,10 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, ranks: str | None, pattern
     ignored. An empty table: no rows. turns: exchanges at most, each between partitions four times as large as before.
     """
     cut_up = partial(_pieces, tokenizer=tokenizer, ranks=ranks, pattern=pattern, end_id=end_id, capacity=capacity)
-    pieces = staged(only(docs, "doc_id", "text").mapInArrow(cut_up, _PIECES))
+    if not 0 <= turns <= 7:
+        raise ValueError(f"turns must lie between 0 and 7: {turns}")
+    pieces = only(docs, "doc_id", "text").mapInArrow(cut_up, _PIECES)
+    pieces = staged(pieces.withColumn("row", F.monotonically_increasing_id()))
     packed = _packed(pieces, capacity, partition_pieces, pieces.count(), 0)
     for turn in range(1, turns + 1):
         loose = F.col("gap") > 0
@@ -199,4 +213,4 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, ranks: str | None, pattern
         if _bins(again) >= _bins(open_):
             break
         packed = packed.where(~loose).unionByName(again)
-    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset")
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("part") * (1 << BIN_BITS) + F.col("bin")).alias("sequence_id"), "offset")

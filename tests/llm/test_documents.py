@@ -399,6 +399,21 @@ def test_both_tokenizer_libraries_agree(tokenizer):
         assert packing.token_ids(t, **args).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+@pytest.mark.parametrize("mark", [" ", "\n", "\t", "a", "7", "!", "é", " \n"])
+def test_very_long_runs_have_the_tokenizers_ids(tokenizer, mark):
+    v = queries.public_vocabulary()
+    text = f"before {mark * (2_000_000 // len(mark))} after"
+    assert packing.token_ids(text, v["tokenizer"], v["ranks"], v["pattern"]).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_and_null_documents_are_dealt_to_all_partitions(spark):
+    rows = docs(spark, *(["one of many copies"] * 300), ids=[None if k % 2 else 7 for k in range(300)])
+    packed = best_fit_packing(rows, **queries.public_vocabulary(), partition_pieces=30).collect()
+    assert len(packed) == 300 and sum(r["doc_id"] is None for r in packed) == 150
+    places = {(r["sequence_id"], r["offset"]) for r in packed}
+    assert len(places) == 300 and len({r["sequence_id"] >> packing.BIN_BITS for r in packed}) > 5
+
+
 @pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 2048, 2049])
 def test_cuts(n):
     pieces = packing.cut(np.zeros(n), 1024)
