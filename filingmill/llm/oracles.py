@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, secrets
+from . import chat, licenses
 
 _NUMBERS = "list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))"
 
@@ -21,16 +21,22 @@ def _spans(kind: int, pattern: str) -> str:
   FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM (SELECT doc_id, source, regexp_extract_all(t, {p}, 0) AS m, string_split_regex(t, {p}) AS g FROM d))"""
 
 
+#: The kinds' patterns, written out for DuckDB.
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = [_ASSIGN, "AKIA[0-9A-Z]+", "[a-f0-9]{16,}", "[A-Za-z0-9+/_=-]{20,}"]
+
 SECRETS = f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
-f AS ({" UNION ALL ".join(_spans(k, p) for k, p in enumerate([secrets.ASSIGN, secrets.ACCESS, secrets.HEX, secrets.TOKEN]))}),
-x AS (SELECT doc_id, source, kind, CASE WHEN kind = 0 THEN regexp_extract(value, {_quoted(secrets.ASSIGN)}, 2) ELSE value END AS secret, s, s + length(value) AS e FROM f),
+f AS ({" UNION ALL ".join(_spans(k, p) for k, p in enumerate(_KINDS))}),
+x AS (SELECT doc_id, source, kind, CASE WHEN kind = 0 THEN regexp_extract(value, {_quoted(_ASSIGN)}, 2) ELSE value END AS secret, s, s + length(value) AS e FROM f),
 k AS (SELECT * FROM x WHERE (kind = 0 AND length(secret) >= 12) OR (kind = 1 AND length(secret) >= 18) OR kind = 2 OR (kind = 3 AND regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[A-Z]'))),
 c AS (SELECT * FROM k a WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM k b WHERE b.kind < 3 AND b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e)),
-o AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners FROM c GROUP BY 1),
-j AS (SELECT c.*, owners, (['assign', 'access', 'hex', 'owner'])[kind + 1] || ':' || s || ':' || e AS label FROM c JOIN o USING (secret) WHERE kind < 3 OR owners <= 1),
-a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_owner, count(*) FILTER (kind < 3 AND owners > 1) AS n_copied,
-  string_agg(label, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(label, ',' ORDER BY s, kind) AS spans FROM j GROUP BY 1)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owner, 0) AS n_owner, coalesce(n_copied, 0) AS n_copied FROM d LEFT JOIN a USING (doc_id)"""
+o AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT doc_id) AS repos,
+  list_sum(list_transform(string_split('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-', ''), lambda c: (length(secret) - length(replace(secret, c, ''))) * (length(secret) - length(replace(secret, c, ''))))) * 10 <= length(secret) * length(secret)
+  AND NOT regexp_matches(lower(secret), 'example|sample|dummy|changeme|placeholder|redacted|your[_-]|xxxx|0000|1234|abcd') AS live FROM c GROUP BY 1),
+g AS (SELECT c.*, CASE WHEN owners > 1 OR repos > 10 THEN 'copied' WHEN live THEN 'owned' ELSE 'plain' END AS class, (['assign', 'access', 'hex', 'owner'])[kind + 1] || ':' || s || ':' || e AS label FROM c JOIN o USING (secret)),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_owner, count(*) FILTER (kind < 3 AND class = 'copied') AS n_copied,
+  string_agg(label, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(label, ',' ORDER BY s, kind) AS spans, string_agg(class, ',' ORDER BY s, kind) AS classes FROM g WHERE kind < 3 OR class = 'owned' GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owner, 0) AS n_owner, coalesce(n_copied, 0) AS n_copied, coalesce(classes, '') AS classes FROM d LEFT JOIN a USING (doc_id)"""
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -463,6 +464,24 @@ def test_owner_specific_tokens_are_added_and_copied_ones_not(spark):
     assert got[5]["spans"] == "access:0:18,hex:19:35"
 
 
+def test_tokens_of_many_repositories_and_stand_ins_are_nobodys_own(spark):
+    live = "Zx81kLm02QpRs77TuVw45"
+    rows = [(k, f"x {live} {k}", "en", "s", 9) for k in range(50)] + [(50, "Zz9" * 9, "en", "s", 9), (51, "your-Key1xZ7qRk2LmP0wUv", "en", "s", 9)] + [(52, "Qk81zLm02WpRs77TbVw45", "en", "t", 9)]
+    got = {x["doc_id"]: x for x in secret_scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[k]["spans"] == "" for k in range(52)) and got[52]["classes"] == "owned"
+    few = secret_scan(spark.createDataFrame(rows[:10], DOCS)).collect()
+    assert {x["n_owner"] for x in few} == {1}
+
+
+def test_spans_overlapping_a_base_span_are_left_out_of_crowded_texts(spark):
+    token, base = "Zx81kLm02QpRs77TuVw45", "password=Zx81kLm02QpRs77TuVw46"
+    text = f"{token} {base} " * 50_000
+    start = time.time()
+    (got,) = secret_scan(docs(spark, text)).collect()
+    assert got["n_assign"] == 50_000 and got["n_owner"] == 50_000 and time.time() - start < 60
+    assert got["spans"].startswith(f"owner:0:21,assign:22:{22 + len(base)},owner:")
+
+
 def test_licenses_by_diagonals(spark):
     notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
     texts = ["Released under the MIT License.", "x " + notice, "x " + notice.replace("hereby granted", "hereby freely granted"), "CC BY-NC, cc by nc; Apache License, Version 2.0", "permission is hereby granted", "mit license under the"]
