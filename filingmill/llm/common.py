@@ -32,9 +32,10 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A staged df with a broadcast hint if it has at most `limit` rows, as it is otherwise."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """A staged df with a broadcast hint if it has at most `limit` rows, or if the weights of its rows sum up to that at most; as it is otherwise."""
+    size = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= limit else df
 
 
 def ascii_lower(text: Column) -> Column:

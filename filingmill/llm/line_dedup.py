@@ -1,23 +1,24 @@
 """Line dedup by pairwise alignment.
 
-A line ends at a line break or, as running text is one long line, after a sentence (`.`, `!` or `?` and a space).
-Documents meet through the hashes of the telling lines that they share, those of ANCHOR_WORDS words or more; a shorter
-line tells with those after it, as many as make up these words. A line's every later holder is paired with its first one
-(smallest doc_id), so a line that a third of all documents hold costs as many pairs as it has holders. Only documents whose shared lines have enough words to make a block are paired at all. Each
-pair is aligned with patience diff, and what is aligned in the later document is marked; so are its passages that the
-alignment leaves out, as they stand in another order or more often than in the first document. Its runs of marked lines
-with at least `min_words` words are deleted.
-
-Passages within lines meet through hashes of min_words consecutive words, winnowed so that SPAN_WORDS words in a row hold
-one at least, again with its first holder. Where the deleted lines leave one, the two texts are compared by all their
-runs of min_words words, and what the later one shares goes word by word.
+A line ends at a line break or, as running text is one long line, after a sentence (`.`, `!` or `?` and a space). Single
+lines are often common ones, so documents meet through the hashes of runs of lines: from each line on, and up to each
+line, the fewest that have min_words words together. For passages within lines they also meet through runs of min_words
+words, winnowed so that SPAN_WORDS words in a row hold one at least. Such runs are rare, and where one isn't, it costs no
+more rows than it has holders: its first holder (smallest doc_id) stands for it, and every later one is paired with that.
+
+A pair is only what both have: the shared runs with their places on both sides. Runs that continue each other become
+blocks, which patience diff aligns: blocks that stand once on both sides and keep their order come first; what is left (moved
+or repeated passages) is aligned in its turn, so nothing shared is missed. A block that ends within a line grows word by
+word into the words round the first holder's copy. The later document's blocks are deleted.
+
+So no run of lines with min_words words that an earlier document has is left, whatever its lines' length, nor are
+SPAN_WORDS words in a row.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
 from itertools import accumulate
@@ -31,33 +32,12 @@ from pyspark.sql import types as T
 
 from .common import longs, mix, only, small_or_shuffled, staged, text_chunks, word_hashes
 
-#: Words from which a line is rare enough to bring documents together; shorter ones are joined with those after them.
-ANCHOR_WORDS = 5
 #: Repeated words in a row from which a passage meets an earlier document that holds it, wherever its lines end.
 SPAN_WORDS = 50
 _BREAK = re.compile(r"(\n|(?<=[.!?]) )")
 _WORDS = re.compile(r"[^ \t\n\v\f\r]+")
-#: Rows of cuts, each some ranges of lines, up to which they may be broadcast.
-BROADCAST_CUTS = 200_000
-
-
-def _joined(hashes: np.ndarray, count: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each line with fewer than ANCHOR_WORDS words the hash of the run of lines that begins with it and has these words; 0 for others, blank lines and runs that the text ends. Blank lines in a run don't count."""
-    out = np.zeros(len(hashes), np.uint64)
-    full = np.flatnonzero(count)
-    h, c, of = hashes[full], count[full], text[full]
-    at = np.flatnonzero(c < ANCHOR_WORDS)
-    value, total = h[at], c[at]
-    for step in range(1, ANCHOR_WORDS):
-        inside = at + step < len(full)
-        inside[inside] = of[at[inside] + step] == of[at[inside]]
-        at, value, total = at[inside], value[inside], total[inside]
-        value = mix(value * np.uint64(0x9E3779B97F4A7C15) + h[at + step])
-        total = total + c[at + step]
-        done = total >= ANCHOR_WORDS
-        out[full[at[done]]] = value[done] | np.uint64(1)
-        at, value, total = at[~done], value[~done], total[~done]
-    return out
+#: Bytes of ranges and neighbouring words up to which they may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -70,93 +50,103 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def run_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of n consecutive words, for each start; in time that doesn't grow with n."""
-    if len(words) < n:
-        return np.zeros(0, np.uint64)
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words from starts up to ends; in time that doesn't grow with their number."""
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * _powers(_BASE, len(words)), out=total[1:])
-    return mix((total[n:] - total[:-n]) * _powers(_BACK, len(words) - n + 1))
-
-
-def prints(words: np.ndarray, n: int, window: int) -> np.ndarray:
-    """Starts of winnowed runs of n words: the least hash of every `window` starts in a row, or of all if there are fewer."""
-    runs = run_hashes(words, n)
-    if not len(runs):
-        return np.zeros(0, np.int64)
-    window = min(window, len(runs))
-    least = np.lib.stride_tricks.sliding_window_view(runs, window).argmin(axis=1) + np.arange(len(runs) - window + 1)
-    return np.unique(least)
-
-
-def _print_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, version, line, at) of each text's winnowed runs of min_words words."""
-    for batch in batches:
-        for lo, _, raw, offsets in text_chunks(batch.column("text")):
-            words, first, _ = word_hashes(raw, offsets, "blank")
-            starts = [prints(words[a:b], min_words, SPAN_WORDS - min_words + 1 if SPAN_WORDS > min_words else 1) for a, b in zip(first[:-1], first[1:], strict=True)]
-            row = np.repeat(np.arange(len(starts)), [len(s) for s in starts])
-            at = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-            hashes = run_hashes(words, min_words)[at + first[row]] if len(at) else np.zeros(0, np.uint64)
-            where = pa.array(row + lo)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where).cast(pa.int64()), batch.column("version").take(where), longs(hashes), pa.array(at, pa.int32())], names=["doc_id", "version", "line", "at"])
-
-
-def _spans(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of the later text's words in runs of min_words that the first text has too."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        ranges = []
-        for a, b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-            held, mine = ((run_hashes(word_hashes(r, np.array([0, len(r)]), "blank")[0], min_words) for r in [np.frombuffer(x.as_py().encode(), np.uint8)]) for x in (a, b))
-            (held,), (mine,) = held, mine
-            ranges.append([{"start": s, "end": e} for s, e in _union((int(p), int(p) + min_words) for p in np.flatnonzero(np.isin(mine, held)))])
-        lines = [[len(_WORDS.findall(x)) for x in _BREAK.split(b.as_py())[::2]] for b in batch.column("text_b")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "first")), pa.array(lines, pa.list_(pa.int32())), pa.array(ranges, kind)], names=["doc_id", "version", "first", "words", "ranges"])
+    return mix((total[ends] - total[starts]) * _powers(_BACK, len(words) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def _union(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(ranges):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
+def _slide(values: np.ndarray, window: int, pick) -> np.ndarray:
+    """pick (np.minimum or np.maximum) of each `window` values in a row."""
+    width, out = 1, values
+    while width < window:
+        step = min(width, window - width)
+        out = pick(out[: len(out) - step], out[step:])
+        width += step
     return out
 
 
-def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's line hashes (0: blank), words by line and hashes of short lines' runs (0: none). Case of A-Z and the amount of white space don't count."""
+def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places that hold the least of any `window` hashes in a row; of equal ones near each other only so many that none is missed."""
+    window = max(1, min(window, len(hashes)))
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = _slide(hashes, window, np.minimum)
+    edge = np.zeros(window - 1, np.uint64)
+    places = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), window, np.maximum) == hashes)
+    same = np.zeros(len(places), bool)
+    same[1:] = hashes[places[1:]] == hashes[places[:-1]]
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(places))))
+    step = (places - places[head]) // 10
+    keep = ~same
+    keep[1:] |= step[1:] != step[:-1]
+    keep[:-1] |= ~same[1:]
+    return places[keep]
+
+
+def line_ends(raw: np.ndarray, offsets: np.ndarray, n_words: int) -> np.ndarray:
+    """Of the words of texts laid end to end those that begin a line, as places; the number of words at the end."""
+    blank = np.isin(raw, np.array([32, 9, 10, 11, 12, 13], np.uint8))
+    edge = offsets[:-1][offsets[:-1] < len(raw)]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    begins[edge] = ~blank[edge]
+    after = np.zeros(len(raw), bool)
+    after[1:] = np.isin(raw[:-1], np.frombuffer(b".!?", np.uint8))
+    after[edge] = False
+    breaks = np.append(np.flatnonzero((raw == 10) | (raw == 32) & after), edge)
+    first = np.searchsorted(np.flatnonzero(begins), np.sort(breaks))
+    return np.unique(np.append(first, n_words))
+
+
+def anchors(words: np.ndarray, first: np.ndarray, lines: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs by which texts meet, in order. first: each text's first word, and the end; lines: each line's."""
+    starts, stops = lines[:-1], lines[1:]
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    text = np.searchsorted(first, starts, side="right") - 1
+    to = np.searchsorted(stops, starts + min_words)
+    on = to < len(stops)
+    on[on] &= stops[to[on]] <= first[text[on] + 1]
+    of = np.searchsorted(starts, stops - min_words, side="right") - 1
+    up = of >= 0
+    up[up] &= starts[of[up]] >= first[text[up]]
+    grams = np.arange(max(0, len(words) - min_words + 1))
+    whole = grams + min_words <= first[np.searchsorted(first, grams, side="right")]
+    hashes = np.where(whole, run_hashes(words, grams, grams + min_words), np.uint64(0xFFFFFFFFFFFFFFFF))
+    told = winnowed(hashes, max(1, SPAN_WORDS - min_words + 1))
+    told = told[whole[told]]
+    s = np.concatenate([starts[on], starts[of[up]], told])
+    e = np.concatenate([stops[to[on]], stops[up], told + min_words])
+    both = np.unique((s << 32) | e)
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """Each text's runs: hash, first word, number of words. Case of A-Z and the amount of white space don't count."""
     for batch in batches:
         for lo, hi, raw, offsets in text_chunks(batch.column("text")):
             words, first, _ = word_hashes(raw, offsets, "blank")
-            inside = ~np.isin(raw, np.array([32, 9, 10, 11, 12, 13], np.uint8))
-            begins = inside.copy()
-            begins[1:] &= ~inside[:-1]
-            begins[offsets[:-1][offsets[:-1] < len(raw)]] = True
-            begins &= inside
-            after = np.zeros(len(raw), bool)
-            after[1:] = np.isin(raw[:-1], np.frombuffer(b".!?", np.uint8))
-            after[offsets[:-1][offsets[:-1] < len(raw)]] = False
-            breaks = np.flatnonzero((raw == 10) | (raw == 32) & after)
-            before = np.searchsorted(breaks, offsets)  # line breaks before each text
-            n_lines = np.diff(before) + 1
-            first_line = np.concatenate([[0], np.cumsum(n_lines)])
-            start = np.flatnonzero(begins)
-            text = np.searchsorted(first, np.arange(len(start)), side="right") - 1
-            line = np.searchsorted(breaks, start) - before[text] + first_line[text]
-            count = np.bincount(line, minlength=first_line[-1])
-            hashes = np.zeros(first_line[-1], np.uint64)
-            if len(start):
-                head = np.flatnonzero(np.diff(line, prepend=-1))
-                place = np.arange(len(line)) - np.repeat(head, np.diff(np.append(head, len(line))))
-                hashes[line[head]] = mix(np.add.reduceat(mix(words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), head)) | np.uint64(1)
-            runs = _joined(hashes, count, np.repeat(np.arange(len(n_lines)), n_lines))
-            at = pa.array(first_line, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("version").slice(lo, hi - lo), pa.ListArray.from_arrays(at, longs(hashes)), pa.ListArray.from_arrays(at, pa.array(count, pa.int32())), pa.ListArray.from_arrays(at, longs(runs))],
-                names=["doc_id", "version", "lines", "words", "runs"],
-            )
+            s, e = anchors(words, first, line_ends(raw, offsets, len(words)), min_words)
+            text = np.searchsorted(first, s, side="right") - 1
+            at = pa.array(np.searchsorted(s, first), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, x) for x in (longs(run_hashes(words, s, e)), pa.array(s - first[text], pa.int32()), pa.array(e - s, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("version").slice(lo, hi - lo), *lists], names=["doc_id", "version", "run", "start", "n"])
+
+
+def joined_blocks(doc: np.ndarray, mate: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, mate, start, end, at) of the blocks: runs of a pair that continue or overlap each other equally on both sides, joined."""
+    order = np.lexsort((start, start - at, mate, doc))
+    doc, mate, start, end, at = (x[order] for x in (doc, mate, start, end, at))
+    key = np.zeros(len(doc), np.int64)
+    key[1:] = np.cumsum((np.diff(doc) != 0) | (np.diff(mate) != 0) | (np.diff(start - at) != 0))
+    reach = np.maximum.accumulate(end + (key << 32)) - (key << 32)
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (np.diff(key) != 0) | (start[1:] > reach[:-1])
+    head = np.flatnonzero(fresh)
+    last = np.append(head[1:], len(doc))[: len(head)] - 1
+    return doc[head], mate[head], start[head], reach[last], at[head]
 
 
 def _rising(values: list[int]) -> list[int]:
@@ -176,143 +166,127 @@ def _rising(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(a: list[int], b: list[int]) -> list[int]:
-    """Places in b that patience diff aligns with a. 0 is a blank line and no anchor.
+def patience(blocks: list[tuple[int, int, int]]) -> list[bool]:
+    """Which of the (start, end, start on the other side) blocks, in order of their start, patience diff aligns at first: those that stand once and keep their order."""
+    times: dict[tuple[int, int], int] = {}
+    for s, e, at in blocks:
+        times[at, e - s] = times.get((at, e - s), 0) + 1
+    once = [k for k, (s, e, at) in enumerate(blocks) if times[at, e - s] == 1]
+    aligned = {once[k] for k in _rising([blocks[i][2] for i in once])}
+    return [k in aligned for k in range(len(blocks))]
 
-    Common ends are peeled off; lines that occur once on both sides and keep their order cut the rest into smaller
-    parts. A part without such lines is cut at its common line with the fewest occurrences, so a passage that stands
-    twice on one side is still met.
-    """
-    found: list[int] = []
-    parts = [(0, len(a), 0, len(b))]
-    while parts:
-        a0, a1, b0, b1 = parts.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            found.append(b0)
-            a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            found.append(b1 - 1)
-            a1, b1 = a1 - 1, b1 - 1
-        if a0 >= a1 or b0 >= b1:
-            continue
-        in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-        common = [x for x in in_b if x and x in in_a]
-        if not common:
-            continue
-        once = {x for x in common if in_a[x] == in_b[x] == 1}
-        if not once:
-            once = {min(common, key=lambda x: (in_a[x] + in_b[x], x))}
-        where: dict[int, int] = {}
-        for i in range(a0, a1):
-            if a[i] in once:
-                where.setdefault(a[i], i)
-        pairs, seen = [], set()
-        for j in range(b0, b1):
-            if b[j] in once and b[j] not in seen:
-                seen.add(b[j])
-                pairs.append((where[b[j]], j))
-        i0, j0 = a0, b0
-        for i, j in [pairs[k] for k in _rising([i for i, _ in pairs])]:
-            found.append(j)
-            parts.append((i0, i, j0, j))
-            i0, j0 = i + 1, j + 1
-        parts.append((i0, a1, j0, b1))
-    return sorted(found)
-
-
-def _least_runs(lines: list[int], words: dict[int, int], min_words: int) -> Iterator[tuple[int, int]]:
-    """(start, end) of the shortest run of min_words words or more from each line on, and up to each line; of lines that `words` knows only."""
-    i = 0
-    while i < len(lines):
-        if lines[i] not in words:
-            i += 1
-            continue
-        stop = i
-        while stop < len(lines) and lines[stop] in words:
-            stop += 1
-        end, total = i, 0
-        for start in range(i, stop):
-            while end < stop and total < min_words:
-                total += words[lines[end]]
-                end += 1
-            if total < min_words:
-                break
-            yield start, end
-            total -= words[lines[start]]
-        start, total = i, 0
-        for end in range(i, stop):
-            total += words[lines[end]]
-            while total - words[lines[start]] >= min_words:
-                total -= words[lines[start]]
-                start += 1
-            if total >= min_words:
-                yield start, end + 1
-        i = stop
-
-
-def passages(a: list[int], b: list[int], words: list[int], min_words: int) -> set[int]:
-    """Places in b of runs of lines with min_words words or more that stand in a as they are, wherever and however often; blank lines don't count."""
-    full = [j for j, x in enumerate(b) if x]
-    there = set(a)
-    count = {b[j]: words[j] for j in full if b[j] in there}
-    held = [x for x in a if x]
-    known = {tuple(held[s:e]) for s, e in _least_runs(held, count, min_words)}
-    lines = [b[j] for j in full]
-    found: set[int] = set()
-    for s, e in _least_runs(lines, count, min_words):
-        if tuple(lines[s:e]) in known:
-            found.update(full[s:e])
-    return found
-
-
-def marked(a: list[int], b: list[int], words: list[int], min_words: int) -> list[int]:
-    """Places in b that are aligned with a, passages in another order and further copies included."""
-    marks = set(patience(a, b))
-    there = set(a) - {0}
-    open_blocks = lambda: block_ranges({j for j, x in enumerate(b) if x in there and j not in marks}, words, min_words)
-    if sum(n for x, n in zip(b, words, strict=True) if x in there) >= min_words and any(x in there and j not in marks for j, x in enumerate(b)):
-        marks |= passages(a, b, words, min_words)
-    while open_blocks():
-        again = {j for j in patience(a, [0 if j in marks else x for j, x in enumerate(b)]) if b[j] and j not in marks}
-        more = {j for s, e, _ in block_ranges(again, words, min_words) for j in range(s, e) if j in again}
-        if not more:
-            break
-        marks |= more
-    return sorted(marks)
-
-
-def _aligned(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        marks = [marked(a, b, words, min_words) for a, b, words in zip(*(batch.column(c).to_pylist() for c in ("lines_a", "lines_b", "words")), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), batch.column("first"), batch.column("words"), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "version", "first", "words", "marks"])
 
+def _open_ends(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether no other block of its text holds both the block's first word and the one ahead of it; and so for its last word and the one behind it."""
+
+    def before(keys: np.ndarray, values: np.ndarray, pick, none: int) -> np.ndarray:
+        """pick of the values of all smaller keys."""
+        order = np.argsort(keys, kind="stable")
+        least = np.searchsorted(keys[order], keys)
+        return np.append(none, pick.accumulate(values[order]))[least]
+
+    base = doc << 32
+    reach = before(base + start, base + end, np.maximum, -1)
+    least = before(-(base + end), base + start, np.minimum, 1 << 62)
+    return (reach < base + start) & (start > 0), least > base + end
 
-def block_ranges(marks: set[int], words: list[int], min_words: int) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, words) of runs of marked lines with enough words; blank lines don't end a run."""
-    out, i = [], 0
-    for i0 in sorted(m for m in marks if words[m]):
-        if i0 < i:
-            continue
-        i, end, total = i0, i0, 0
-        while i < len(words) and (i in marks or not words[i]):
-            total += words[i]
-            if words[i]:
-                end = i + 1
-            i += 1
-        if total >= min_words:
-            out.append((i0, end, total))
-    return out
 
+_BLOCK = "struct<start:int,end:int,first:bigint,first_version:bigint,at:int,moved:boolean,left:boolean,right:boolean>"
 
-def _blocks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """The blocks of marked lines as ranges of the text's words."""
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits = batch.column("hits")
+        sizes = hits.value_lengths().to_numpy(zero_copy_only=False)
+        x = hits.flatten()
+        first, version, start, n, at = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "first_version", "start", "n", "at"))
+        pairs, mate = np.unique(np.stack([first, version], axis=1), axis=0, return_inverse=True) if len(first) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        doc, mate, start, end, at = joined_blocks(np.repeat(np.arange(len(sizes)), sizes), mate.reshape(-1), start, start + n, at)
+        left, right = _open_ends(doc, start, end)
+        moved = np.zeros(len(doc), bool)
+        order = np.lexsort((start, mate, doc))
+        edges = np.flatnonzero(np.append(True, (np.diff(doc[order]) != 0) | (np.diff(mate[order]) != 0))) if len(order) else np.zeros(0, np.int64)
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=False):
+            if b - a > 1:
+                rows = order[a:b]
+                moved[rows] = ~np.array(patience(list(zip(start[rows].tolist(), end[rows].tolist(), at[rows].tolist(), strict=True))))
+        fields = {"start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "first": pa.array(pairs[mate, 0]), "first_version": pa.array(pairs[mate, 1]), "at": pa.array(at, pa.int32()), "moved": pa.array(moved), "left": pa.array(left & (at > 0)), "right": pa.array(right)}
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), lists], names=["doc_id", "version", "blocks"])
+
+
+def _small_hashes(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(32)).astype("<u4")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of up to `reach` words ahead of each place asked for (behind: false) or from it on."""
     for batch in batches:
-        ranges = []
-        for marks, words in zip(batch.column("marks").to_pylist(), batch.column("words").to_pylist(), strict=True):
-            before = [0, *accumulate(words)]
-            ranges.append([{"start": before[s], "end": before[e]} for s, e, _ in block_ranges({m for ms in marks for m in ms}, words, min_words)])
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "firsts", "words")), pa.array(ranges, kind)], names=["doc_id", "version", "firsts", "words", "ranges"])
+        for lo, hi, raw, offsets in text_chunks(batch.column("text")):
+            words, first, _ = word_hashes(raw, offsets, "blank")
+            small = _small_hashes(words)
+            rows = []
+            for k, asked in zip(range(lo, hi), batch.column("asked").slice(lo, hi - lo).to_pylist(), strict=True):
+                a, b = int(first[k - lo]), int(first[k - lo + 1])
+                for x in asked:
+                    p = a + x["place"]
+                    rows.append((k, x["place"], x["behind"], (small[p : min(b, p + reach)] if x["behind"] else small[max(a, p - reach) : p]).tobytes()))
+            k, place, behind, near = zip(*rows, strict=True) if rows else ((), (), (), ())
+            where = pa.array(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("version").take(where), pa.array(place, pa.int32()), pa.array(behind, pa.bool_()), pa.array(near, pa.binary())], names=["first", "first_version", "place", "behind", "near"])
+
+
+def line_blocks(docs: DataFrame, min_words: int) -> DataFrame:
+    """Staged (doc_id, version, blocks, ends) of the documents that lose lines. version: xxhash64 of the text.
+
+    blocks: word ranges shared with an earlier document (first, first_version) where they begin at word `at`; ends: at
+    which word a block may grow, to which side, and the hashes of the earlier document's words there.
+    """
+    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
+    kept = staged(keyed.mapInArrow(partial(_anchor_rows, min_words=min_words), "doc_id long, version long, run array<long>, start array<int>, n array<int>"))
+    each = kept.select("doc_id", "version", F.explode(F.arrays_zip("run", "start", "n")).alias("x")).select("doc_id", "version", "x.*")
+    firsts = each.groupBy("run").agg(F.min(F.struct("doc_id", "version", "start")).alias("x"), F.max("doc_id").alias("last")).where("x.doc_id < last")
+    firsts = staged(firsts.select("run", F.col("x.doc_id").alias("first"), F.col("x.version").alias("first_version"), F.col("x.start").alias("at")))  # so that the join with a common run's rows can be split
+    hits = each.join(small_or_shuffled(firsts), "run").where("first < doc_id")
+    hits = hits.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "first_version", "start", "n", "at")).alias("hits"))
+    found = staged(hits.mapInArrow(_blocks, f"doc_id long, version long, blocks array<{_BLOCK}>"))
+
+    one = found.select("doc_id", "version", F.explode("blocks").alias("x")).select("doc_id", "version", "x.*")
+    ahead = one.where("left").select("doc_id", "version", "first", "first_version", F.col("at").alias("place"), F.lit(False).alias("behind"), F.col("start").alias("word"))
+    behind = one.where("right").select("doc_id", "version", "first", "first_version", (F.col("at") + F.col("end") - F.col("start")).alias("place"), F.lit(True).alias("behind"), F.col("end").alias("word"))
+    wanted = staged(ahead.unionByName(behind))
+    by = ["first", "first_version", "place", "behind"]
+    asked = wanted.select(*by).distinct().groupBy("first", "first_version").agg(F.collect_list(F.struct("place", "behind")).alias("asked"))
+    asked = small_or_shuffled(staged(asked), BROADCAST_BYTES, 32 + 16 * F.size("asked"))
+    texts = keyed.join(asked, (F.col("doc_id") == F.col("first")) & (F.col("version") == F.col("first_version"))).select("doc_id", "version", "text", "asked")
+    near = texts.mapInArrow(partial(_neighbours, reach=SPAN_WORDS), "first long, first_version long, place int, behind boolean, near binary")
+    near = staged(near.dropDuplicates(by))  # so that the join with a common block's rows can be split
+    ends = wanted.join(near, by).groupBy("doc_id", "version").agg(F.collect_set(F.struct("word", "behind", "near")).alias("ends"))
+    return staged(found.join(ends, ["doc_id", "version"], "left"))
+
+
+def grown(words: np.ndarray, ends: Iterable[tuple[int, bool, bytes]]) -> list[tuple[int, int]]:
+    """Ranges by which blocks grow: as many words ahead of or behind the place as are those of the other text."""
+    out = []
+    for word, behind, near in ends:
+        other = np.frombuffer(near, "<u4")
+        mine = words[word : word + len(other)] if behind else words[max(0, word - len(other)) : word]
+        n = min(len(mine), len(other))
+        same = mine[:n] == other[:n] if behind else mine[::-1][:n] == other[::-1][:n]
+        n = n if same.all() else int(np.argmin(same))
+        if n:
+            out.append((word, word + n) if behind else (word - n, word))
+    return out
+
+
+def _union(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def in_lines(ranges: Iterable[tuple[int, int]], words: list[int]) -> list[dict[str, int]]:
@@ -324,60 +298,6 @@ def in_lines(ranges: Iterable[tuple[int, int]], words: list[int]) -> list[dict[s
     return out
 
 
-def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "words", "head", "tail")]))
-    for batch in batches:
-        words = batch.column("words").to_pylist()
-        cuts = [in_lines(((r["start"], r["end"]) for r in rs), ws) for rs, ws in zip(batch.column("ranges").to_pylist(), words, strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "firsts")), pa.array(cuts, kind), pa.array([sum(w) for w in words], pa.int64())], names=["doc_id", "version", "firsts", "cuts", "total"])
-
-
-def line_cuts(docs: DataFrame, min_words: int) -> DataFrame:
-    """Staged (doc_id, version, firsts, cuts, total) of the documents that lose lines. version: xxhash64 of the text."""
-    keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
-    kept = staged(keyed.mapInArrow(_line_rows, "doc_id long, version long, lines array<long>, words array<int>, runs array<long>").dropDuplicates(["doc_id", "version"]))
-    each = kept.select("doc_id", "version", F.explode(F.arrays_zip("lines", "words", "runs")).alias("x")).where(f"x.words >= {ANCHOR_WORDS} or x.runs <> 0")
-    each = each.select("doc_id", "version", F.when(F.col("x.words") >= ANCHOR_WORDS, F.col("x.lines")).otherwise(F.col("x.runs")).alias("line"), F.col("x.words").alias("n"))
-    firsts = each.groupBy("line").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-    firsts = staged(firsts.select("line", F.col("first.doc_id").alias("first"), F.col("first.version").alias("first_version")))  # so that the join with a common line's rows can be split
-    by = ["doc_id", "version", "first", "first_version"]
-    later = each.join(firsts, "line").where("first < doc_id").groupBy(*by).agg(F.sum("n").alias("n"))
-    enough = later.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "first_version")).alias("firsts"), F.sum("n").alias("n")).where(F.col("n") * 2 >= min_words)
-    pairs = staged(enough.select("doc_id", "version", F.explode("firsts").alias("x")).select("doc_id", "version", "x.*"))
-    lines_b = kept.select("doc_id", "version", F.col("lines").alias("lines_b"), "words")
-    lines_a = kept.select(F.col("doc_id").alias("first"), F.col("version").alias("first_version"), F.col("lines").alias("lines_a"))
-    both = pairs.join(lines_b, ["doc_id", "version"]).join(lines_a, ["first", "first_version"])
-    aligned = both.mapInArrow(partial(_aligned, min_words=min_words), "doc_id long, version long, first long, words array<int>, marks array<int>").where("size(marks) > 0")
-    aligned = aligned.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("first")).alias("firsts"), F.min("words").alias("words"), F.collect_list("marks").alias("marks"))
-    range_type = "array<struct<start:int,end:int>>"
-    lined = staged(aligned.mapInArrow(partial(_blocks, min_words=min_words), f"doc_id long, version long, firsts array<long>, words array<int>, ranges {range_type}").where("size(ranges) > 0"))
-    spans = _word_spans(keyed, lined, min_words)
-    both = lined.unionByName(spans.select("doc_id", "version", F.array("first").alias("firsts"), "words", "ranges"))
-    both = both.groupBy("doc_id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("firsts")))).alias("firsts"), F.min("words").alias("words"), F.flatten(F.collect_list("ranges")).alias("ranges"))
-    return staged(both.mapInArrow(_cuts, "doc_id long, version long, firsts array<long>, cuts array<struct<start:int,end:int,words:int,head:int,tail:int>>, total long"))
-
-
-def _word_spans(keyed: DataFrame, lined: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, version, first, words, ranges): what is repeated word by word in documents of which `lined` leaves a shared run of words."""
-    each = keyed.mapInArrow(partial(_print_rows, min_words=min_words), "doc_id long, version long, line long, at int")
-    firsts = each.groupBy("line").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-    firsts = staged(firsts.select("line", F.col("first.doc_id").alias("first"), F.col("first.version").alias("first_version")))
-    gone = lined.select("doc_id", "version", "ranges")
-    hits = each.join(firsts, "line").where("first < doc_id").groupBy("doc_id", "version").agg(F.collect_set(F.struct("at", "first", "first_version")).alias("hits"))
-    hits = hits.join(gone, ["doc_id", "version"], "left")
-    left = F.filter("hits", lambda h: ~F.exists(F.coalesce("ranges", F.array().cast("array<struct<start:int,end:int>>")), lambda r: (r["start"] <= h["at"]) & (h["at"] + min_words <= r["end"])))
-    pairs = hits.select("doc_id", "version", F.explode(F.array_distinct(F.transform(left, lambda h: F.struct(h["first"].alias("first"), h["first_version"].alias("first_version"))))).alias("x"))
-    pairs = staged(pairs.select("doc_id", "version", "x.*"))
-    ends = pairs.select("doc_id", "version").union(pairs.select("first", "first_version")).distinct()
-    ends = small_or_shuffled(staged(ends.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"))))
-    texts = keyed.join(ends, (F.col("doc_id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left_semi").dropDuplicates(["doc_id", "version"])
-    texts = staged(texts)
-    text_b = texts.select("doc_id", "version", F.col("text").alias("text_b"))
-    text_a = texts.select(F.col("doc_id").alias("first"), F.col("version").alias("first_version"), F.col("text").alias("text_a"))
-    joined = pairs.join(text_b, ["doc_id", "version"]).join(text_a, ["first", "first_version"])
-    return joined.mapInArrow(partial(_spans, min_words=min_words), "doc_id long, version long, first long, words array<int>, ranges array<struct<start:int,end:int>>").where("size(ranges) > 0")
-
-
 def without(text: str, cuts: list[tuple[int, ...]]) -> str:
     """The text less the lines in (start, end) ranges, or in (start, end, head, tail) but for so many words ahead and at the end; what is left of a line break's line is joined by spaces, and it goes if nothing is left."""
     gone: set[int] = set()
@@ -417,27 +337,48 @@ def without(text: str, cuts: list[tuple[int, ...]]) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf(T.StringType())
-def _without(texts: pd.Series, cuts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else without(t, [(c["start"], c["end"], c["head"], c["tail"]) for c in cs]) for t, cs in zip(texts, cuts, strict=True)], dtype=object)
+_COUNTS = ("n_cut_lines", "n_cut_words", "n_moved_words", "n_left_words")
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)]))
+def _cut(texts: pd.Series, blocks: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    rows = []
+    for text, held, near in zip(texts, blocks, ends, strict=True):
+        if text is None or held is None:
+            rows.append((text, 0, 0, 0, None))
+            continue
+        raw = np.frombuffer(text.encode(), np.uint8)
+        words = _small_hashes(word_hashes(raw, np.array([0, len(raw)]), "blank")[0])
+        more = grown(words, ((x["word"], x["behind"], x["near"]) for x in (near if near is not None else ())))
+        moved = sum(e - s for s, e in _union((b["start"], b["end"]) for b in held if b["moved"]))
+        counts = [len(_WORDS.findall(x)) for x in _BREAK.split(text)[::2]]
+        cuts = in_lines([*((b["start"], b["end"]) for b in held), *more], counts)
+        gone = sum(c["words"] for c in cuts)
+        rows.append((without(text, [(c["start"], c["end"], c["head"], c["tail"]) for c in cuts]), sum(c["end"] - c["start"] for c in cuts), gone, moved, sum(counts) - gone))
+    return pd.DataFrame(rows, columns=["text", *_COUNTS]).astype({"text": object, "n_left_words": "Int64"})
 
 
-def line_dedup(docs: DataFrame, min_words: int = 30, broadcast_cuts: int = BROADCAST_CUTS) -> DataFrame:
-    """docs (doc_id, text and any others) with `text` less the deleted lines and words, and n_cut_lines (each block's lines, those cut in part included), n_cut_words, n_left_words (null if nothing went) and earlier, the documents that it was compared with if anything went.
+def line_dedup(docs: DataFrame, min_words: int = 30, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs (doc_id, text and any others) with `text` less the deleted lines and words, and n_cut_lines (each block's lines, those cut in part included), n_cut_words, n_moved_words (of these in blocks out of order), n_left_words (null if nothing went) and earlier, the documents that it was aligned with if anything went.
 
-    Documents are in the order of doc_id; the first holder of a line keeps it. Lines (see above) are compared by their
-    words, without regard to the case of A-Z or white space; deleted runs have min_words words or more.
+    Documents are in the order of doc_id; the first holder of a run keeps it. Lines (see above) are compared by their
+    words, without regard to the case of A-Z or white space; deleted blocks have min_words words or more. Equal 64-bit
+    hashes count as equal runs.
 
     Null text stays null, an empty one empty. Rows with a null doc_id, and rows of one doc_id among each other, aren't
-    compared; of the texts of a repeated doc_id the one with the smallest hash stands for it as the first holder of a line.
+    compared; of the texts of a repeated doc_id the one with the smallest hash stands for it as the first holder of a run.
     Columns of docs named like ours are replaced. An empty table: no rows.
     """
-    own = ["n_cut_lines", "n_cut_words", "n_left_words", "earlier"]
+    own = [*_COUNTS, "earlier"]
     docs = docs.drop(*own)
-    cuts = small_or_shuffled(line_cuts(docs, min_words), broadcast_cuts)
-    cuts = cuts.select(F.col("doc_id").alias("_cut_id"), F.col("version").alias("_cut_version"), F.col("firsts").alias("earlier"), F.col("cuts").alias("_cuts"), F.col("total").alias("_total"))
-    cut = docs.join(cuts, (docs["doc_id"] == F.col("_cut_id")) & (F.xxhash64(docs["text"]) == F.col("_cut_version")), "left")
-    total = lambda f: F.coalesce(F.aggregate("_cuts", F.lit(0).cast("long"), lambda s, c: s + f(c)), F.lit(0).cast("long"))
-    text = F.when(F.col("_cuts").isNull(), F.col("text")).otherwise(_without(F.when(F.col("_cuts").isNotNull(), F.col("text")), F.col("_cuts")))
-    out = cut.withColumns({"text": text, "n_cut_lines": total(lambda c: c["end"] - c["start"]), "n_cut_words": total(lambda c: c["words"]), "n_left_words": F.col("_total") - total(lambda c: c["words"]), "earlier": F.coalesce("earlier", F.array().cast("array<long>"))})
+    found = line_blocks(docs.select("doc_id", "text"), min_words)
+    weight = 64 + 48 * F.size("blocks") + F.coalesce(F.aggregate("ends", F.lit(0), lambda n, x: n + 24 + F.octet_length(x["near"])), F.lit(0))
+    found = small_or_shuffled(found, broadcast_bytes, weight)
+    found = found.select(F.col("doc_id").alias("_cut_id"), F.col("version").alias("_cut_version"), F.col("blocks").alias("_blocks"), F.col("ends").alias("_ends"))
+    held = docs.join(found, (docs["doc_id"] == F.col("_cut_id")) & (F.xxhash64(docs["text"]) == F.col("_cut_version")), "left")
+    some = F.col("_blocks").isNotNull()
+    held = held.withColumn("_cut", _cut(F.when(some, F.col("text")), F.transform("_blocks", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["moved"].alias("moved"))), F.col("_ends")))
+    earlier = F.array_sort(F.array_distinct(F.transform("_blocks", lambda b: b["first"])))
+    number = lambda c: F.coalesce(F.col(f"_cut.{c}"), F.lit(0).cast("long"))
+    out = held.withColumns({"text": F.when(some, F.col("_cut.text")).otherwise(F.col("text")), **{c: number(c) for c in own[:3]}, "n_left_words": F.when(some, F.col("_cut.n_left_words")), "earlier": F.coalesce(earlier, F.array().cast("array<long>"))})
     return out.select(*docs.columns, *own)
