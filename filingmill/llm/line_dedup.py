@@ -67,12 +67,14 @@ def _slide(values: np.ndarray, window: int, pick) -> np.ndarray:
     return out
 
 
-def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
-    """Places that hold the least of any `window` hashes in a row; of equal ones near each other only so many that none is missed."""
+def winnowed(hashes: np.ndarray, window: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places that hold the least of any (or any wanted) `window` hashes in a row; of equal ones near each other only so many that none is missed."""
     window = max(1, min(window, len(hashes)))
     if not len(hashes):
         return np.zeros(0, np.int64)
     least = _slide(hashes, window, np.minimum)
+    if wanted is not None:
+        least = np.where(wanted[: len(least)], least, np.uint64(0))
     edge = np.zeros(window - 1, np.uint64)
     places = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), window, np.maximum) == hashes)
     same = np.zeros(len(places), bool)
@@ -85,8 +87,8 @@ def winnowed(hashes: np.ndarray, window: int) -> np.ndarray:
     return places[keep]
 
 
-def line_ends(raw: np.ndarray, offsets: np.ndarray, n_words: int) -> np.ndarray:
-    """Of the words of texts laid end to end those that begin a line, as places; the number of words at the end."""
+def line_starts(raw: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words of texts laid end to end those that begin a line, and those that begin a sentence, as places; each with the number of words at the end."""
     blank = np.isin(raw, np.array([32, 9, 10, 11, 12, 13], np.uint8))
     edge = offsets[:-1][offsets[:-1] < len(raw)]
     begins = ~blank
@@ -95,16 +97,14 @@ def line_ends(raw: np.ndarray, offsets: np.ndarray, n_words: int) -> np.ndarray:
     after = np.zeros(len(raw), bool)
     after[1:] = np.isin(raw[:-1], np.frombuffer(b".!?", np.uint8))
     after[edge] = False
-    breaks = np.append(np.flatnonzero((raw == 10) | (raw == 32) & after), edge)
-    first = np.searchsorted(np.flatnonzero(begins), np.sort(breaks))
-    return np.unique(np.append(first, n_words))
+    words = np.flatnonzero(begins)
+    first = lambda breaks: np.unique(np.concatenate([np.searchsorted(words, edge), np.searchsorted(words, np.flatnonzero(breaks)), [n_words]]))
+    return first((raw == 10) | (raw == 32) & after), first(((raw == 10) | (raw == 32)) & after)
 
 
-def anchors(words: np.ndarray, first: np.ndarray, lines: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the runs by which texts meet, in order. first: each text's first word, and the end; lines: each line's."""
+def _least_runs(lines: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the fewest lines from each line on, and up to each line, that have min_words words, within a text."""
     starts, stops = lines[:-1], lines[1:]
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = np.searchsorted(first, starts, side="right") - 1
     to = np.searchsorted(stops, starts + min_words)
     on = to < len(stops)
@@ -112,23 +112,37 @@ def anchors(words: np.ndarray, first: np.ndarray, lines: np.ndarray, min_words:
     of = np.searchsorted(starts, stops - min_words, side="right") - 1
     up = of >= 0
     up[up] &= starts[of[up]] >= first[text[up]]
+    return np.concatenate([starts[on], starts[of[up]]]), np.concatenate([stops[to[on]], stops[up]])
+
+
+def anchors(words: np.ndarray, first: np.ndarray, lines: np.ndarray, sentences: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs by which texts meet, in order. first: each text's first word, and the end; lines, sentences: from line_starts.
+
+    SPAN_WORDS words in a row hold a run of whole sentences, the same wherever they stand, or else a winnowed run of words:
+    whether those words need one is told by the sentences that begin and end within them.
+    """
+    if len(lines) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    span = max(SPAN_WORDS, min_words)
     grams = np.arange(max(0, len(words) - min_words + 1))
-    whole = grams + min_words <= first[np.searchsorted(first, grams, side="right")]
+    end = first[np.searchsorted(first, grams, side="right")]
+    whole = grams + min_words <= end
     hashes = np.where(whole, run_hashes(words, grams, grams + min_words), np.uint64(0xFFFFFFFFFFFFFFFF))
-    told = winnowed(hashes, max(1, SPAN_WORDS - min_words + 1))
+    after = np.append(sentences, 1 << 40)[np.searchsorted(sentences, grams, side="right")]
+    before = np.append(sentences, -1)[np.searchsorted(sentences, grams + span, side="left") - 1]
+    told = winnowed(hashes, span - min_words + 1, (grams + span <= end) & (before - after < min_words))
     told = told[whole[told]]
-    s = np.concatenate([starts[on], starts[of[up]], told])
-    e = np.concatenate([stops[to[on]], stops[up], told + min_words])
-    both = np.unique((s << 32) | e)
+    runs = [_least_runs(lines, first, min_words), _least_runs(sentences, first, min_words), (told, told + min_words)]
+    both = np.unique(np.concatenate([(s << 32) | e for s, e in runs]))
     return both >> 32, both & 0xFFFFFFFF
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Each text's runs: hash, first word, number of words. Case of A-Z and the amount of white space don't count."""
+    """Each text's runs: hash, first word, number of words. Case of A-Z and white space in a line don't count."""
     for batch in batches:
         for lo, hi, raw, offsets in text_chunks(batch.column("text")):
             words, first, _ = word_hashes(raw, offsets, "blank")
-            s, e = anchors(words, first, line_ends(raw, offsets, len(words)), min_words)
+            s, e = anchors(words, first, *line_starts(raw, offsets, len(words)), min_words)
             text = np.searchsorted(first, s, side="right") - 1
             at = pa.array(np.searchsorted(s, first), pa.int32())
             lists = [pa.ListArray.from_arrays(at, x) for x in (longs(run_hashes(words, s, e)), pa.array(s - first[text], pa.int32()), pa.array(e - s, pa.int32()))]
@@ -191,7 +205,7 @@ def _open_ends(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return (reach < base + start) & (start > 0), least > base + end
 
 
-_BLOCK = "struct<start:int,end:int,first:bigint,first_version:bigint,at:int,moved:boolean,left:boolean,right:boolean>"
+_BLOCK = "struct<start:int,end:int,first:bigint,first_row:bigint,at:int,moved:boolean,left:boolean,right:boolean>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +213,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = batch.column("hits")
         sizes = hits.value_lengths().to_numpy(zero_copy_only=False)
         x = hits.flatten()
-        first, version, start, n, at = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "first_version", "start", "n", "at"))
-        pairs, mate = np.unique(np.stack([first, version], axis=1), axis=0, return_inverse=True) if len(first) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+        first, first_row, start, n, at = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "first_row", "start", "n", "at"))
+        rows, one, mate = np.unique(first_row, return_index=True, return_inverse=True)
         doc, mate, start, end, at = joined_blocks(np.repeat(np.arange(len(sizes)), sizes), mate.reshape(-1), start, start + n, at)
         left, right = _open_ends(doc, start, end)
         moved = np.zeros(len(doc), bool)
@@ -208,11 +222,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.flatnonzero(np.append(True, (np.diff(doc[order]) != 0) | (np.diff(mate[order]) != 0))) if len(order) else np.zeros(0, np.int64)
         for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=False):
             if b - a > 1:
-                rows = order[a:b]
-                moved[rows] = ~np.array(patience(list(zip(start[rows].tolist(), end[rows].tolist(), at[rows].tolist(), strict=True))))
-        fields = {"start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "first": pa.array(pairs[mate, 0]), "first_version": pa.array(pairs[mate, 1]), "at": pa.array(at, pa.int32()), "moved": pa.array(moved), "left": pa.array(left & (at > 0)), "right": pa.array(right)}
+                some = order[a:b]
+                moved[some] = ~np.array(patience(list(zip(start[some].tolist(), end[some].tolist(), at[some].tolist(), strict=True))))
+        fields = {"start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "first": pa.array(first[one][mate]), "first_row": pa.array(rows[mate]), "at": pa.array(at, pa.int32()), "moved": pa.array(moved), "left": pa.array(left & (at > 0)), "right": pa.array(right)}
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), lists], names=["doc_id", "version", "blocks"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), lists], names=["row", "blocks"])
 
 
 def _small_hashes(words: np.ndarray) -> np.ndarray:
@@ -233,36 +247,39 @@ def _neighbours(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Re
                     rows.append((k, x["place"], x["behind"], (small[p : min(b, p + reach)] if x["behind"] else small[max(a, p - reach) : p]).tobytes()))
             k, place, behind, near = zip(*rows, strict=True) if rows else ((), (), (), ())
             where = pa.array(k, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(where), batch.column("version").take(where), pa.array(place, pa.int32()), pa.array(behind, pa.bool_()), pa.array(near, pa.binary())], names=["first", "first_version", "place", "behind", "near"])
+            yield pa.RecordBatch.from_arrays([batch.column("first_row").take(where), pa.array(place, pa.int32()), pa.array(behind, pa.bool_()), pa.array(near, pa.binary())], names=["first_row", "place", "behind", "near"])
 
 
 def line_blocks(docs: DataFrame, min_words: int) -> DataFrame:
     """Staged (doc_id, version, blocks, ends) of the documents that lose lines. version: xxhash64 of the text.
 
-    blocks: word ranges shared with an earlier document (first, first_version) where they begin at word `at`; ends: at
+    blocks: word ranges shared with an earlier document (first), where they begin at word `at`; ends: at
     which word a block may grow, to which side, and the hashes of the earlier document's words there.
     """
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
-    kept = staged(keyed.mapInArrow(partial(_anchor_rows, min_words=min_words), "doc_id long, version long, run array<long>, start array<int>, n array<int>"))
-    each = kept.select("doc_id", "version", F.explode(F.arrays_zip("run", "start", "n")).alias("x")).select("doc_id", "version", "x.*")
-    firsts = each.groupBy("run").agg(F.min(F.struct("doc_id", "version", "start")).alias("x"), F.max("doc_id").alias("last")).where("x.doc_id < last")
-    firsts = staged(firsts.select("run", F.col("x.doc_id").alias("first"), F.col("x.version").alias("first_version"), F.col("x.start").alias("at")))  # so that the join with a common run's rows can be split
+    kept = keyed.mapInArrow(partial(_anchor_rows, min_words=min_words), "doc_id long, version long, run array<long>, start array<int>, n array<int>")
+    kept = staged(kept.withColumn("row", F.monotonically_increasing_id()))
+    each = kept.select("doc_id", "row", F.explode(F.arrays_zip("run", "start", "n")).alias("x")).select("doc_id", "row", "x.*")
+    firsts = each.groupBy("run").agg(F.min(F.struct("doc_id", "row", "start")).alias("x"), F.max("doc_id").alias("last")).where("x.doc_id < last")
+    firsts = staged(firsts.select("run", F.col("x.doc_id").alias("first"), F.col("x.row").alias("first_row"), F.col("x.start").alias("at")))  # so that the join with a common run's rows can be split
     hits = each.join(small_or_shuffled(firsts), "run").where("first < doc_id")
-    hits = hits.groupBy("doc_id", "version").agg(F.collect_set(F.struct("first", "first_version", "start", "n", "at")).alias("hits"))
-    found = staged(hits.mapInArrow(_blocks, f"doc_id long, version long, blocks array<{_BLOCK}>"))
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("first", "first_row", "start", "n", "at")).alias("hits"))
+    found = hits.mapInArrow(_blocks, f"row long, blocks array<{_BLOCK}>")
+    found = staged(found.join(kept.select("row", "doc_id", "version"), "row").dropDuplicates(["doc_id", "version"]))
 
-    one = found.select("doc_id", "version", F.explode("blocks").alias("x")).select("doc_id", "version", "x.*")
-    ahead = one.where("left").select("doc_id", "version", "first", "first_version", F.col("at").alias("place"), F.lit(False).alias("behind"), F.col("start").alias("word"))
-    behind = one.where("right").select("doc_id", "version", "first", "first_version", (F.col("at") + F.col("end") - F.col("start")).alias("place"), F.lit(True).alias("behind"), F.col("end").alias("word"))
+    one = found.select("row", F.explode("blocks").alias("x")).select("row", "x.*")
+    ahead = one.where("left").select("row", "first_row", F.col("at").alias("place"), F.lit(False).alias("behind"), F.col("start").alias("word"))
+    behind = one.where("right").select("row", "first_row", (F.col("at") + F.col("end") - F.col("start")).alias("place"), F.lit(True).alias("behind"), F.col("end").alias("word"))
     wanted = staged(ahead.unionByName(behind))
-    by = ["first", "first_version", "place", "behind"]
-    asked = wanted.select(*by).distinct().groupBy("first", "first_version").agg(F.collect_list(F.struct("place", "behind")).alias("asked"))
-    asked = small_or_shuffled(staged(asked), BROADCAST_BYTES, 32 + 16 * F.size("asked"))
-    texts = keyed.join(asked, (F.col("doc_id") == F.col("first")) & (F.col("version") == F.col("first_version"))).select("doc_id", "version", "text", "asked")
-    near = texts.mapInArrow(partial(_neighbours, reach=SPAN_WORDS), "first long, first_version long, place int, behind boolean, near binary")
+    by = ["first_row", "place", "behind"]
+    asked = wanted.select(*by).distinct().groupBy("first_row").agg(F.collect_list(F.struct("place", "behind")).alias("asked"))
+    asked = asked.join(kept.select(F.col("row").alias("first_row"), F.col("doc_id").alias("_first"), F.col("version").alias("_version")), "first_row")
+    asked = small_or_shuffled(staged(asked.select("first_row", "_first", "_version", "asked")), BROADCAST_BYTES, 48 + 16 * F.size("asked"))
+    texts = keyed.join(asked, (F.col("doc_id") == F.col("_first")) & (F.col("version") == F.col("_version"))).select("first_row", "text", "asked")
+    near = texts.mapInArrow(partial(_neighbours, reach=SPAN_WORDS), "first_row long, place int, behind boolean, near binary")
     near = staged(near.dropDuplicates(by))  # so that the join with a common block's rows can be split
-    ends = wanted.join(near, by).groupBy("doc_id", "version").agg(F.collect_set(F.struct("word", "behind", "near")).alias("ends"))
-    return staged(found.join(ends, ["doc_id", "version"], "left"))
+    ends = wanted.join(near, by).groupBy("row").agg(F.collect_list(F.struct("word", "behind", "near")).alias("ends"))
+    return staged(found.join(ends, "row", "left").select("doc_id", "version", "blocks", "ends"))
 
 
 def grown(words: np.ndarray, ends: Iterable[tuple[int, bool, bytes]]) -> list[tuple[int, int]]:

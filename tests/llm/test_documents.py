@@ -246,6 +246,18 @@ def test_blocks_of_short_lines_in_any_order_like_plain_search(spark):
     check_cuts(spark, texts)
 
 
+def test_passages_laid_out_otherwise_meet(spark):
+    """The same words as running text, in verses, and in lines that end within sentences."""
+    ws = [w + "." if k % 11 == 10 else w for k, w in enumerate(words(70, 41, 10**6))]
+    long = words(70, 42, 10**6)
+    w = lambda k: " ".join(words(9, 40_000 + k, 10**6))
+    lay = lambda xs, n: "\n".join(" ".join(xs[k : k + n]) for k in range(0, len(xs), n))
+    texts = [f"{w(9 * n + k)} {lay(xs, n)} {w(9 * n + 4 + k)}" for k, xs in enumerate((ws, long)) for n in (100, 7, 13, 2)]
+    check_cuts(spark, texts)
+    _, left = repeats_left(spark, texts)
+    assert not left
+
+
 def test_a_block_whose_lines_an_earlier_document_has_in_another_order(spark):
     block = [sentence(k) for k in range(6)]
     texts = ["\n".join(block[::-1]), "\n".join(block), "\n".join(["first own line", *block, "last own line"])]
@@ -354,7 +366,7 @@ def test_lines_are_split_alike(texts):
     (chunk,) = common.text_chunks(pa.array(texts))
     _, _, raw, offsets = chunk
     ws, first, _ = common.word_hashes(raw, offsets, "blank")
-    starts = line_dedup.line_ends(raw, offsets, len(ws)).tolist()
+    starts = line_dedup.line_starts(raw, offsets, len(ws))[0].tolist()
     want, at = [], 0
     for t in texts:
         for u in line_dedup._BREAK.split(t)[::2]:
