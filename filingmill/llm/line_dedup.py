@@ -1,10 +1,10 @@
 """Line dedup by pairwise alignment.
 
 A line ends at a line break or, as running text is one long line, after a sentence (`.`, `!` or `?` and a space). Single
-lines are often common ones, so documents meet through the hashes of runs of lines: from each line on, and up to each
-line, the fewest that have min_words words together. For passages within lines they also meet through runs of min_words
-words, winnowed so that SPAN_WORDS words in a row hold one at least. Such runs are rare, and where one isn't, it costs no
-more rows than it has holders: its first holder (smallest doc_id) stands for it, and every later one is paired with that.
+lines are often common ones, so documents meet through hashes of min_words words in a row that begin with a line, through
+as many lines as that takes, or that end at a line break. For passages within long lines they also meet through winnowed
+words, so that SPAN_WORDS words in a row hold one run at least. Such runs are rare, and where one isn't, it costs no more rows
+than it has holders: its first holder (smallest doc_id) stands for it, and every later one is paired with that.
 
 A pair is only what both have: the shared runs with their places on both sides. Runs that continue each other become
 blocks, which patience diff aligns: blocks that stand once on both sides and keep their order come first; what is left (moved
@@ -12,7 +12,8 @@ or repeated passages) is aligned in its turn, so nothing shared is missed. A blo
 word into the words round the first holder's copy. The later document's blocks are deleted.
 
 So no run of lines with min_words words that an earlier document has is left, whatever its lines' length, nor are
-SPAN_WORDS words in a row.
+SPAN_WORDS words in a row. Of the last sentences of a block that ends before its line does, fewer than min_words words may stay,
+if the first holder of those ahead of them goes on otherwise.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ SPAN_WORDS = 50
 _BREAK = re.compile(r"(\n|(?<=[.!?]) )")
 _WORDS = re.compile(r"[^ \t\n\v\f\r]+")
 #: Bytes of ranges and neighbouring words up to which they may be broadcast.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 8 << 20
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -88,7 +89,7 @@ def winnowed(hashes: np.ndarray, window: int, wanted: np.ndarray | None = None)
 
 
 def line_starts(raw: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the words of texts laid end to end those that begin a line, and those that begin a sentence, as places; each with the number of words at the end."""
+    """Of the words of texts laid end to end those that begin a line or a sentence, and those ahead of which a line break or a text's end is, as places; each with the number of words at the end."""
     blank = np.isin(raw, np.array([32, 9, 10, 11, 12, 13], np.uint8))
     edge = offsets[:-1][offsets[:-1] < len(raw)]
     begins = ~blank
@@ -99,54 +100,43 @@ def line_starts(raw: np.ndarray, offsets: np.ndarray, n_words: int) -> tuple[np.
     after[edge] = False
     words = np.flatnonzero(begins)
     first = lambda breaks: np.unique(np.concatenate([np.searchsorted(words, edge), np.searchsorted(words, np.flatnonzero(breaks)), [n_words]]))
-    return first((raw == 10) | (raw == 32) & after), first(((raw == 10) | (raw == 32)) & after)
+    return first((raw == 10) | (raw == 32) & after), first(raw == 10)
 
 
-def _least_runs(lines: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the fewest lines from each line on, and up to each line, that have min_words words, within a text."""
-    starts, stops = lines[:-1], lines[1:]
-    text = np.searchsorted(first, starts, side="right") - 1
-    to = np.searchsorted(stops, starts + min_words)
-    on = to < len(stops)
-    on[on] &= stops[to[on]] <= first[text[on] + 1]
-    of = np.searchsorted(starts, stops - min_words, side="right") - 1
-    up = of >= 0
-    up[up] &= starts[of[up]] >= first[text[up]]
-    return np.concatenate([starts[on], starts[of[up]]]), np.concatenate([stops[to[on]], stops[up]])
+def anchors(words: np.ndarray, first: np.ndarray, lines: np.ndarray, breaks: np.ndarray, min_words: int) -> np.ndarray:
+    """Starts of the runs of min_words words by which texts meet, in order. first: each text's first word, and the end; lines, breaks: from line_starts.
 
-
-def anchors(words: np.ndarray, first: np.ndarray, lines: np.ndarray, sentences: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the runs by which texts meet, in order. first: each text's first word, and the end; lines, sentences: from line_starts.
-
-    SPAN_WORDS words in a row hold a run of whole sentences, the same wherever they stand, or else a winnowed run of words:
-    whether those words need one is told by the sentences that begin and end within them.
+    They begin with a line or sentence, or end at a line break. Where SPAN_WORDS words hold none that begins so, as none
+    begins in their first words, they hold a winnowed one.
     """
-    if len(lines) < 2:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    span = max(SPAN_WORDS, min_words)
     grams = np.arange(max(0, len(words) - min_words + 1))
+    if not len(grams):
+        return grams
     end = first[np.searchsorted(first, grams, side="right")]
     whole = grams + min_words <= end
     hashes = np.where(whole, run_hashes(words, grams, grams + min_words), np.uint64(0xFFFFFFFFFFFFFFFF))
-    after = np.append(sentences, 1 << 40)[np.searchsorted(sentences, grams, side="right")]
-    before = np.append(sentences, -1)[np.searchsorted(sentences, grams + span, side="left") - 1]
-    told = winnowed(hashes, span - min_words + 1, (grams + span <= end) & (before - after < min_words))
-    told = told[whole[told]]
-    runs = [_least_runs(lines, first, min_words), _least_runs(sentences, first, min_words), (told, told + min_words)]
-    both = np.unique(np.concatenate([(s << 32) | e for s, e in runs]))
-    return both >> 32, both & 0xFFFFFFFF
+    span = max(SPAN_WORDS, min_words)
+    after = np.append(lines, 1 << 40)[np.searchsorted(lines, grams, side="right")]
+    told = winnowed(hashes, span - min_words + 1, (grams + span <= end) & (after + min_words > grams + span))
+    some = np.concatenate([lines, breaks - min_words, told])
+    some = np.unique(some[(some >= 0) & (some < len(grams))])
+    return some[whole[some]]
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """Each text's runs: hash, first word, number of words. Case of A-Z and white space in a line don't count."""
+    """Each text's runs: hash, first word, whether the text has it further ahead already. Case of A-Z and white space in a line don't count."""
     for batch in batches:
         for lo, hi, raw, offsets in text_chunks(batch.column("text")):
             words, first, _ = word_hashes(raw, offsets, "blank")
-            s, e = anchors(words, first, *line_starts(raw, offsets, len(words)), min_words)
+            s = anchors(words, first, *line_starts(raw, offsets, len(words)), min_words)
             text = np.searchsorted(first, s, side="right") - 1
+            runs = run_hashes(words, s, s + min_words)
+            again = np.ones(len(s), bool)
+            order = np.lexsort((s, runs, text))
+            again[order[np.append(True, (np.diff(text[order]) != 0) | (np.diff(runs[order]) != 0))[: len(s)]]] = False
             at = pa.array(np.searchsorted(s, first), pa.int32())
-            lists = [pa.ListArray.from_arrays(at, x) for x in (longs(run_hashes(words, s, e)), pa.array(s - first[text], pa.int32()), pa.array(e - s, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("version").slice(lo, hi - lo), *lists], names=["doc_id", "version", "run", "start", "n"])
+            lists = [pa.ListArray.from_arrays(at, x) for x in (longs(runs), pa.array(s - first[text], pa.int32()), pa.array(again))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("version").slice(lo, hi - lo), *lists], names=["doc_id", "version", "run", "start", "again"])
 
 
 def joined_blocks(doc: np.ndarray, mate: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -208,14 +198,14 @@ def _open_ends(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
 _BLOCK = "struct<start:int,end:int,first:bigint,first_row:bigint,at:int,moved:boolean,left:boolean,right:boolean>"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         hits = batch.column("hits")
         sizes = hits.value_lengths().to_numpy(zero_copy_only=False)
         x = hits.flatten()
-        first, first_row, start, n, at = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "first_row", "start", "n", "at"))
+        first, first_row, start, at = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "first_row", "start", "at"))
         rows, one, mate = np.unique(first_row, return_index=True, return_inverse=True)
-        doc, mate, start, end, at = joined_blocks(np.repeat(np.arange(len(sizes)), sizes), mate.reshape(-1), start, start + n, at)
+        doc, mate, start, end, at = joined_blocks(np.repeat(np.arange(len(sizes)), sizes), mate.reshape(-1), start, start + min_words, at)
         left, right = _open_ends(doc, start, end)
         moved = np.zeros(len(doc), bool)
         order = np.lexsort((start, mate, doc))
@@ -226,7 +216,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 moved[some] = ~np.array(patience(list(zip(start[some].tolist(), end[some].tolist(), at[some].tolist(), strict=True))))
         fields = {"start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "first": pa.array(first[one][mate]), "first_row": pa.array(rows[mate]), "at": pa.array(at, pa.int32()), "moved": pa.array(moved), "left": pa.array(left & (at > 0)), "right": pa.array(right)}
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), lists], names=["row", "blocks"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "row")), lists], names=["doc_id", "version", "row", "blocks"])
 
 
 def _small_hashes(words: np.ndarray) -> np.ndarray:
@@ -257,15 +247,17 @@ def line_blocks(docs: DataFrame, min_words: int) -> DataFrame:
     which word a block may grow, to which side, and the hashes of the earlier document's words there.
     """
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
-    kept = keyed.mapInArrow(partial(_anchor_rows, min_words=min_words), "doc_id long, version long, run array<long>, start array<int>, n array<int>")
+    kept = keyed.mapInArrow(partial(_anchor_rows, min_words=min_words), "doc_id long, version long, run array<long>, start array<int>, again array<boolean>")
     kept = staged(kept.withColumn("row", F.monotonically_increasing_id()))
-    each = kept.select("doc_id", "row", F.explode(F.arrays_zip("run", "start", "n")).alias("x")).select("doc_id", "row", "x.*")
-    firsts = each.groupBy("run").agg(F.min(F.struct("doc_id", "row", "start")).alias("x"), F.max("doc_id").alias("last")).where("x.doc_id < last")
-    firsts = staged(firsts.select("run", F.col("x.doc_id").alias("first"), F.col("x.row").alias("first_row"), F.col("x.start").alias("at")))  # so that the join with a common run's rows can be split
-    hits = each.join(small_or_shuffled(firsts), "run").where("first < doc_id")
-    hits = hits.groupBy("row").agg(F.collect_list(F.struct("first", "first_row", "start", "n", "at")).alias("hits"))
-    found = hits.mapInArrow(_blocks, f"row long, blocks array<{_BLOCK}>")
-    found = staged(found.join(kept.select("row", "doc_id", "version"), "row").dropDuplicates(["doc_id", "version"]))
+    each = kept.select("doc_id", "row", F.explode(F.arrays_zip("run", "start", "again")).alias("x")).select("doc_id", "row", "x.*")
+    # all of one width, so that hashing adds them up; a text has a run once here, so its place is one
+    firsts = each.where("not again").groupBy("run").agg(F.min("doc_id").alias("first"), F.min_by("row", "doc_id").alias("first_row"), F.min_by("start", "doc_id").alias("at"), F.count("*").alias("n")).where("n > 1")
+    firsts = staged(firsts.select("run", "first", "first_row", "at"))  # so that the join with a common run's rows can be split
+    hits = each.select("run", "row", "start").join(firsts, "run").where("row <> first_row")
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("first", "first_row", "start", "at")).alias("hits"))
+    hits = hits.join(kept.select("row", "doc_id", "version"), "row").withColumn("hits", F.filter("hits", lambda x: x["first"] < F.col("doc_id"))).where("size(hits) > 0")
+    found = hits.dropDuplicates(["doc_id", "version"]).mapInArrow(partial(_blocks, min_words=min_words), f"doc_id long, version long, row long, blocks array<{_BLOCK}>")
+    found = staged(found)
 
     one = found.select("row", F.explode("blocks").alias("x")).select("row", "x.*")
     ahead = one.where("left").select("row", "first_row", F.col("at").alias("place"), F.lit(False).alias("behind"), F.col("start").alias("word"))
