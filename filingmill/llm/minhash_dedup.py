@@ -6,11 +6,11 @@ smaller values, so a text stops as soon as its bins are full: about |S| + t log
 two sketches concentrates round the Jaccard similarity as that of t independent MinHashes does.
 
 Bands of `rows` coordinates are the buckets. With 64 bands of 8 a pair at similarity 0.8 shares none of them with
-probability (1 - 0.8^8)^64 < 1e-5. Each bucket's texts are first compared with its smallest document, exactly, on full
-shingle sets. Only where a bucket then still spans several components are its other pairs compared: those that cross
-components and that exact bounds don't rule out, by the shingles that a document shares with any other in question,
-by the hash cells that two sets share, and by the triangle inequality of the Jaccard distance. So groups of copies cost a
-number of pairs in proportion to their size, and no link between candidates is lost.
+probability (1 - 0.8^8)^64 < 1e-5. Each bucket's texts are first compared with its first one, exactly, on full
+shingle sets, so groups of copies cost a number of pairs in proportion to their size. Only where a bucket then still spans
+several components are its other texts compared across components, by an exact prefix filter: sets that are alike enough
+share one of their rarest shingles, the fewer the more alike they must be. So a crowded bucket of texts that aren't
+alike, each with some shingles of its own, gives hardly any pairs, and no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, longs, mix, only, salted, shingle_sets, small_or_shuffled, staged, text_chunks
 from .components import components
 
-#: Hash cells in which the sets of a bucket are compared before they are verified.
-CELLS = 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -101,17 +99,18 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """Staged (doc_id, n, shingles) of the documents in a staged `wanted`, read anew from their texts."""
-    texts = docs.join(small_or_shuffled(wanted), "doc_id", "left_semi")
+    """Staged (node, n, shingles) of the nodes in a staged `wanted`, read anew from one of their texts each."""
+    named = staged(nodes.join(wanted, "node", "left_semi").select("node", "doc_id", "lo", "hi", "n"))
+    texts = docs.join(small_or_shuffled(named).select("doc_id"), "doc_id", "left_semi")
     sets = texts.mapInArrow(partial(_sets, n=n), "doc_id long, lo long, hi long, shingles binary")
-    return staged(sets.join(nodes.select("doc_id", "lo", "hi", "n"), ["doc_id", "lo", "hi"]).dropDuplicates(["doc_id"]).select("doc_id", "n", "shingles"))
+    return staged(sets.join(named, ["doc_id", "lo", "hi"]).dropDuplicates(["node"]).select("node", "n", "shingles"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """Staged (a, b, n_a, n_b, common) of staged pairs (a, b): the exact overlap of their shingle sets."""
-    wanted = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    """Staged (a, b, n_a, n_b, common) of staged pairs (a, b) of nodes: the exact overlap of their shingle sets."""
+    wanted = staged(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
     sets = _shingles(wanted, docs, nodes, n)
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}"))
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return staged(both.mapInArrow(_overlap, "a long, b long, n_a long, n_b long, common long"))
 
@@ -119,89 +118,77 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, n: int) -> Da
 def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column("shingles")]
-        owner = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), [len(s) for s in sets])
-        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), longs(np.concatenate([*sets, np.zeros(0, np.uint64)]))], names=["doc_id", "shingle"])
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        where = pa.array(owner)
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(where) for c in ("node", "n", "root")), longs(np.concatenate([*sets, np.zeros(0, np.uint64)]))], names=["node", "n", "root", "shingle"])
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Which of CELLS hash cells a set has shingles in, as bits of longs."""
-    for batch in batches:
-        bits = []
-        for s in batch.column("shingles"):
-            cells = np.zeros(CELLS, np.uint8)
-            cells[(salted(np.frombuffer(s.as_buffer(), np.uint64), 103) % np.uint64(CELLS)).astype(np.int64)] = 1
-            bits.append(np.packbits(cells).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "cells"])
-
-
-def _may_link(rest: DataFrame, docs: DataFrame, nodes: DataFrame, n: int, percent: int) -> DataFrame:
-    """rest (key, doc_id, n, root, far) less the rows that can't link across, with `shared` and `cells`.
+def crossing_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of all pairs of sets (node, n, root, shingles) that may be linked and have other roots: an exact prefix filter.
 
-    shared: the document's shingles that any other document of rest has. With whom it may be linked has at most
-    (100 + percent) * shared / percent - n shingles; where a bucket's smallest set has more, the document leaves it.
+    Of two linked sets, put in the order of how many sets have a shingle, the smaller one's first
+    n - ceil(2 percent n / (100 + percent)) + 1 and the other's first n - ceil(percent n / 100) + 1 have one in common.
+    Shingles of one set only come first and are met by none, so they are counted and not sent.
     """
-    sets = _shingles(staged(rest.select("doc_id").distinct()), docs, nodes, n)
-    own = sets.mapInArrow(_each_shingle, "doc_id long, shingle long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("doc_id").alias("doc_id"))
-    own = own.where("c = 1").groupBy("doc_id").agg(F.count("*").alias("own"))
-    least = rest.groupBy("key").agg(F.min("n").alias("least"))
-    rest = rest.join(own, "doc_id", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0))).join(least, "key")
-    rest = rest.where((F.col("n") + F.col("least")) * percent <= F.col("shared") * (100 + percent))
-    span = rest.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    rest = rest.join(span, "key").join(sets.mapInArrow(_cells, "doc_id long, cells array<long>"), "doc_id")
-    return staged(rest.select("key", "doc_id", "n", "root", "far", "shared", "cells"))
-
-
-def _most_common(a: str, b: str):
-    """A bound of the common shingles of two sides: each set's shingles less those in cells that the other lacks."""
-    lacking = lambda x, y: F.aggregate(F.zip_with(f"cells_{x}", f"cells_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
-    return F.least(F.col(f"n_{a}") - lacking(a, b), F.col(f"n_{b}") - lacking(b, a), F.col(f"shared_{a}"), F.col(f"shared_{b}"))
+    each = sets.mapInArrow(_each_shingle, "node long, n long, root long, shingle long")
+    held = staged(each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"))  # so that the join with a common shingle's rows can be split
+    shared = each.join(held, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("x"))
+    own = F.col("n") - F.size("x")
+    of = lambda least, whole: F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(least) * F.col("n") / F.lit(whole)) + 1 - own).cast("int")
+    asked = shared.select("node", "n", "root", of(2 * percent, 100 + percent).alias("few"), F.slice("x", F.lit(1), of(percent, 100)).alias("x")).where("size(x) > 0")
+    asked = staged(asked.select("node", "n", "root", "few", F.posexplode(F.transform("x", lambda y: y["shingle"])).alias("place", "shingle")))
+    side = lambda df, x: df.select("shingle", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"))
+    both = side(asked.where("place < few"), "x").join(side(asked, "y"), "shingle")
+    ahead = (F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))
+    both = both.where(ahead & (F.col("root_x") != F.col("root_y")) & (F.col("n_x") * 100 >= F.col("n_y") * percent))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 64, rows: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text).
 
     n: words of a shingle (`[^ \\t-\\r]+` after lower-casing A-Z). Two documents are linked if their distinct shingles
-    have 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach.
+    have 100 * intersection >= percent * union; component_id is the smallest doc_id that links reach. Equal 64-bit hashes
+    count as equal shingles.
 
     Null or wordless text: an empty set, linked with nothing. Fewer than n words: the whole sequence is one shingle.
-    Rows that repeat a doc_id count as one document: each of their texts may link it, and each row is returned. A null
-    doc_id takes no part: component_id null, kept true. Other columns are ignored. An empty table: no rows.
+    Rows that repeat a doc_id count as one document: each of their texts that isn't empty may link it, and each row is
+    returned. A null doc_id takes no part: component_id null, kept true. Other columns are ignored. An empty table: no rows.
     """
     docs = only(docs, "doc_id", "text")
     sketched = staged(docs.mapInArrow(partial(_sketch, n=n, bands=bands, rows=rows), "doc_id long, n long, lo long, hi long, bands array<long>"))
     # one node for all documents with the same set
     some = sketched.where("n > 0 and doc_id is not null")
-    nodes = staged(some.groupBy("lo", "hi", "n").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("lo", "hi", "n", "x.doc_id", "x.bands"))
-    keyed = nodes.select("doc_id", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
+    nodes = some.groupBy("lo", "hi", "n").agg(F.min(F.struct("doc_id", "bands")).alias("x")).select("lo", "hi", "n", "x.doc_id", "x.bands")
+    nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()))
+    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", "lead")
     buckets = staged(buckets)  # so that the join with a crowded bucket's rows can be split
-    members = staged(keyed.join(buckets, "key").select("key", "lead", "doc_id", "n"))
-    close = F.col("n_a") * 100 >= F.col("n_b") * percent
-    close = close & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    sized = nodes.select("doc_id", "n")
-    star = members.where("lead <> doc_id").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    members = staged(keyed.join(buckets, "key").select("key", "lead", "node", "n"))
+    star = members.where("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     star = _verified(staged(star), docs, nodes, n)
     linked = F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
-    roots = components(star.where(linked).select("a", "b"))
+    # documents with several texts link these
+    texts = some.select("doc_id", "lo", "hi").distinct()
+    several = staged(texts.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"))
+    held = texts.join(several, "doc_id").join(nodes.select("lo", "hi", "node"), ["lo", "hi"]).select("doc_id", "node")
+    own = held.groupBy("doc_id").agg(F.min("node").alias("a")).join(held, "doc_id").select("a", F.col("node").alias("b")).where("a < b")
+    roots = components(star.where(linked).select("a", "b").unionByName(own))
 
     # buckets that still span components: what the star left open
-    placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("key")
-    known = star.select(F.col("a").alias("lead"), F.col("b").alias("doc_id"), (1 - F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("far"))
-    rest = placed.where("lead <> doc_id").join(open_, "key").join(known, ["lead", "doc_id"], "left")
-    rest = staged(rest.select("key", "doc_id", "n", "root", F.coalesce("far", F.lit(0.0)).alias("far")))
-    rest = _may_link(rest, docs, nodes, n, percent)
-    side = lambda x: rest.select("key", F.col("doc_id").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "root", "far", "shared", "cells")))
-    apart = 1 - percent / 100 + 1e-9
-    cross = side("a").join(side("b"), "key").where((F.col("root_a") != F.col("root_b")) & (F.col("a") < F.col("b")) & close & (F.abs(F.col("far_a") - F.col("far_b")) <= apart))
-    cross = cross.where((F.col("n_a") + F.col("n_b")) * percent <= _most_common("a", "b") * (100 + percent))
-    cross = staged(cross.select("a", "b").distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = staged(placed.where("lead <> node").join(open_, "key").select("node", "root").distinct())
+    sets = _shingles(rest.select("node"), docs, nodes, n).join(rest, "node")
+    cross = staged(crossing_pairs(sets, percent).join(star.select("a", "b"), ["a", "b"], "left_anti"))
     more = _verified(cross, docs, nodes, n).where(linked).select("a", "b")
     # the links of the first round stand as its stars
     roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
-    same = nodes.select("lo", "hi", F.col("doc_id").alias("node"))
-    out = sketched.select("doc_id", "n", "lo", "hi").join(same, ["lo", "hi"], "left").join(roots, "node", "left")
-    root = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("root", "node")).otherwise(F.col("doc_id"))
+    placed = nodes.select("lo", "hi", "node", F.col("doc_id").alias("_doc")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = staged(placed.groupBy("root").agg(F.min("_doc").alias("least")))
+    same = placed.join(least, "root").select("lo", "hi", "least")
+    out = sketched.select("doc_id", "n", "lo", "hi").join(same, ["lo", "hi"], "left")
+    root = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("least")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -145,14 +145,36 @@ def test_sketches_fill_and_agree_like_the_similarity():
     assert abs((s[0] == s[1]).mean() - true) < 0.1
 
 
-def test_a_bound_never_rules_out_a_link():
-    """Common shingles are at most a set's size less its cells that the other lacks."""
-    r = np.random.default_rng(4)
-    pool = r.integers(0, 1 << 62, 4000).astype(np.uint64)
-    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([np.sort(pool[:1500]).tobytes(), np.sort(pool[300:1700]).tobytes(), b""], pa.binary())], names=["doc_id", "shingles"])
-    cells = [np.array(c.as_py(), np.int64) for c in next(minhash_dedup._cells(iter([batch]))).column("cells")]
-    missing = sum(bin(int(x) & ~int(y) & (1 << 64) - 1).count("1") for x, y in zip(cells[0], cells[1], strict=True))
-    assert 1200 <= 1500 - missing <= 1500 and not cells[2].any()
+def prefix_sets(spark, sets):
+    rows = [(k, len(s), k, np.array(sorted(s), np.uint64).tobytes()) for k, s in enumerate(sets)]
+    return spark.createDataFrame(rows, "node long, n long, root long, shingles binary")
+
+
+@pytest.mark.parametrize("percent", [60, 80, 95])
+def test_the_prefix_filter_keeps_every_link(spark, percent):
+    r = random.Random(percent)
+    sets = []
+    for _ in range(30):
+        base = r.sample(range(1, 400), r.randrange(1, 40))
+        sets += [set(base) - set(r.sample(base, min(len(base) - 1, r.randrange(4)))) | set(r.sample(range(1, 400), r.randrange(3))) for _ in range(4)]
+    got = {(x["a"], x["b"]) for x in minhash_dedup.crossing_pairs(prefix_sets(spark, sets), percent).collect()}
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    assert links <= got and len(links) >= 5
+
+
+def test_a_crowded_bucket_of_unlike_texts_gives_few_pairs(spark):
+    """85 % of each set stands in all of them, and yet no two are alike."""
+    common = set(range(1, 86))
+    sets = [common | set(range(1000 + 15 * k, 1015 + 15 * k)) for k in range(2000)]
+    assert minhash_dedup.crossing_pairs(prefix_sets(spark, sets), 80).count() <= 2000
+
+
+def test_each_text_of_a_repeated_document_links_it(spark):
+    a, b = words(200, 501), words(200, 502)
+    near = lambda ws: " ".join([*ws[:-1], "other"])
+    texts = [" ".join(a), " ".join(b), near(b), near(a), "", " ".join(words(50, 9))]
+    rows = near_duplicates(docs(spark, *texts, ids=[1, 1, 2, 3, 1, 4])).collect()
+    assert sorted((x["doc_id"], x["component_id"], x["kept"]) for x in rows) == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (4, 4, True)]
 
 
 # --- lines -------------------------------------------------------------------------------------------------------------
