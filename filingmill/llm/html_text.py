@@ -1,10 +1,13 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text of their own blocks, less what stands in links. Every container votes, with
-its score, for its generalised path (tags with their classes, digits left out) on its host; the votes are added up in
-Spark. Each page is then extracted again from the containers on the path that most of its host's text voted for, of those
-paths that the page has, and on the host's other paths whose own blocks, without those of containers in them, have more than
-SHARE of the most that any path's have: an article may lie in containers side by side.
+its score, for its generalised path (tags with their classes, digits left out) on its host; the votes, whole numbers, are
+added up in Spark. Each page is then read from the container on the path that most of its host's text voted for, of those
+paths that the page has, and on those of its other paths whose own blocks, without those of containers in them, have more
+than SHARE of the most that any path of the host has: an article may lie in containers side by side.
+
+Names of classes and tags that tell of menus, adverts, comments and the like lower the votes of what they hold, and leave it out of a
+winner that has other text. They never leave out a winner or what it lies in, so a page's text is found under any name.
 """
 
 from __future__ import annotations
@@ -12,216 +15,256 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import only, small_or_shuffled, staged
 
-#: Hosts and paths up to which the winners are broadcast.
+#: Chosen paths, of all pages, up to which they are broadcast.
 BROADCAST_PATHS = 200_000
 
 #: Share of the largest path's own text above which a path is read besides the winning one.
 SHARE = 0.25
+#: Votes of a character, and the bits by which a name halves them: a sixty-fourth.
+VOTES, LOWERED = 1 << 12, 6
 
 # Tags of HTML.
 RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "canvas", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SKIPPED = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "audio", "video", "label", "fieldset"}
+BESIDE = {"nav", "header", "footer", "aside", "form", "menu", "label", "fieldset", "select", "button", "dialog", "audio", "video"}
 CONTAINERS = {"article", "main", "section", "div", "td", "body", "center", "content"}
-BLOCKS = CONTAINERS | SKIPPED | {
+BLOCKS = CONTAINERS | BESIDE | {
     "address", "blockquote", "caption", "dd", "details", "dl", "dt", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "hr",
-    "html", "li", "ol", "p", "pre", "summary", "table", "tbody", "tfoot", "th", "thead", "tr", "ul",
+    "head", "html", "li", "ol", "p", "pre", "summary", "table", "tbody", "tfoot", "th", "thead", "tr", "ul",
 }
 #: Open tags that a new one of these ends.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of classes, ids and roles that name what is no main text; of an article or a heading's holder only the second kind does.
+#: Words of classes, ids and roles that name what is no main text, as a whole name or as its last word.
 NOISE = {
     "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc", "masthead", "topbar", "footer", "sidebar", "aside",
     "complementary", "contentinfo", "notice", "cookie", "cookies", "consent", "gdpr", "alert", "popup", "modal", "overlay", "disclaimer", "toolbar",
     "share", "sharing", "social", "recommended", "recommendations", "newsletter", "subscribe", "signup", "login", "search", "form", "copyright", "header", "banner",
-}
-STRICT = {
     "ad", "ads", "adsbygoogle", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "promo", "promotion", "widget", "related",
     "comment", "comments", "disqus", "replies", "respond", "reply", "discussion",
 }
-#: First words of classes that only say how a page is laid out.
-LAYOUT = {"has", "with", "no", "without", "is"}
+#: Last words with which one of these ahead is no main text either.
+LISTS = {"articles", "bar", "block", "box", "button", "buttons", "icons", "item", "items", "links", "list", "posts", "stories", "thread", "unit", "units"}
 #: Headers of an article itself, by their first word.
 TITLED = {"post", "entry", "article", "story", "content"}
-#: Containers that hold the main text whole: what stands in them isn't split further.
+#: Containers that hold the main text whole, by the last word: what stands in them isn't split further, and no other name makes them noise.
 WHOLE = {"content", "article", "post", "entry", "story", "main"}
 KEPT = {"main", "body", "html"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?(?=[\s"'/]|$)""", re.I)
-_MAIN = re.compile(r"<(?:article|main)[\s>/]", re.I)
+# As HTML reads tags: a quote counts at the start of a value only; one that nothing closes is part of an unquoted value.
+_ATTRIBUTE = r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]++))?+)?+"""
+_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE.replace("([", "(?:[")})*+)(?:>|\Z)""", re.S)
+_ATTR = re.compile(rf"[\s/]*+{_ATTRIBUTE}")
+_TELLS = re.compile("class|id|role|hidden", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """The class as it is; whether names or flags say that this is no main text; whether they say that it is; whether flags or names of STRICT are among the first."""
-    klass, noise, whole, strict = "", False, False, False
-    for m in _ATTR.finditer(attributes):
-        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
-        if name == "hidden":
-            noise = strict = True
-        elif name == "aria-hidden":
-            strict |= value.lower() == "true"
-            noise |= strict
-        else:
+def _noisy(token: str) -> bool:
+    words = [w.lower() for w in _WORD.findall(token)]
+    if not words or "".join(words) in NOISE:
+        return bool(words)
+    if words[-1] == "header" and words[0] in TITLED:
+        return False
+    return words[-1] in NOISE or words[-1] in LISTS and words[0] in NOISE
+
+
+@lru_cache(1 << 16)
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The generalised name; whether names or flags say that this is no main text; whether they say that it is."""
+    klass, noise, whole, hidden = "", False, False, False
+    if _TELLS.search(attributes):
+        for m in _ATTR.finditer(attributes):
+            name = m[1].lower()
+            if name not in ("class", "id", "role", "hidden", "aria-hidden"):
+                continue
+            value = html.unescape(m[2] or m[3] or m[4] or "")
+            if name in ("hidden", "aria-hidden"):
+                hidden |= name == "hidden" or value.lower() == "true"
+                continue
             for token in value.split():
-                words = [w.lower() for w in _WORD.findall(token)]
-                if words and words[0] not in LAYOUT:
-                    named = STRICT if tag == "article" else NOISE | STRICT
-                    noise |= "".join(words) in named or any(w in named and not (w == "header" and words[0] in TITLED) for w in words)
-                    strict |= "".join(words) in STRICT or any(w in STRICT for w in words)
-                    whole |= any(w in WHOLE for w in words)
+                noise |= _noisy(token)
+                whole |= (_WORD.findall(token) or [""])[-1].lower() in WHOLE
             klass = value if name == "class" else klass
-    return klass, noise and tag not in KEPT, whole, strict
-
-
-def _wraps(page: str, at: int, tag: str) -> bool:
-    """Whether the element of which the opening tag ends at `at` holds an article or main that is no noise itself: its name is then that of a layout."""
-    if not _MAIN.search(page, at):
-        return False
-    depth = 1
-    for m in _TAG.finditer(page, at):
-        name, closing = (m[2] or m[5] or "").lower(), bool(m[1] or m[4])
-        if name == tag:
-            depth += -1 if closing else 1
-            if not depth:
-                return False
-        if name in ("article", "main") and not closing and not _named(name, m[3] or "")[3]:
-            return True
-    return False
-
-
-def blocks(page: str) -> Iterator[tuple[tuple[tuple[str, int], ...], str, int]]:
-    """(containers round it as (path, number), text, characters in links) of each block of text in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, starts a skipped part, is a container
-    rings: list[tuple[str, int]] = []
-    within, held = "", []  # the kind of whole container that we are in, and those before
-    skipped = links = number = 0
-    parts: list[str] = []
-    linked = 0
-
-    def flush():
-        nonlocal parts, linked
-        if parts:
-            text = "".join(parts)
-            text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
-            out = (tuple(rings), text, linked) if text else None
-            parts, linked = [], 0
-            return out
-        return None
-
-    def pop():
-        nonlocal skipped, links, within
-        tag, noise, ring = stack.pop()
-        skipped -= noise
-        links -= tag == "a"
-        if ring:
-            rings.pop()
-            within = held.pop()
-
-    at = 0
-    size = len(page)
-    while at < size:
-        m = _TAG.search(page, at)
-        end = m.start() if m else size
-        if end > at and not skipped:
-            piece = page[at:end]
-            parts.append(piece)
-            linked += len(piece) if links else 0
-        if not m:
-            break
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
-            continue
-        tag, closing = name.lower(), bool(m[1] or m[4])
-        if tag == "br":
-            parts.append(" ")
-            continue
-        if tag in BLOCKS and (block := flush()):
-            yield block
-        if closing:
-            if any(t == tag for t, _, _ in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else size
-            continue
-        for old in ENDS.get(tag, ()):
-            if stack and stack[-1][0] == old:
+    noise = tag not in KEPT and (hidden or tag in BESIDE or noise and not whole)
+    return re.sub(r"\d+", "", ".".join([tag, *sorted(klass.split())])) + "!" * noise, noise, whole
+
+
+class Page:
+    """A page's blocks of text in page order, each with the place of the innermost container round it (-1: none); and its containers, outer ones first."""
+
+    def __init__(self, page: str):
+        self.texts: list[str] = []
+        self.weights: list[int] = []  # characters less those in links, twice
+        self.at: list[int] = []
+        self.parents: list[int] = []
+        self.paths: list[int] = []  # hashes of the generalised paths
+        self.names: list[str] = []
+        self.noise: list[bool] = []
+        self._read(page)
+
+    def _open(self, parent: int, name: str, noise: bool) -> int:
+        self.parents.append(parent)
+        self.paths.append(xxhash.xxh64_intdigest(name, self.paths[parent] if parent >= 0 else 0))
+        self.names.append(name)
+        self.noise.append(noise)
+        return len(self.parents) - 1
+
+    def _read(self, page: str) -> None:
+        stack: list[tuple[str, int, str]] = []  # tag, and what held ahead of it: container and kind of whole container
+        opened: dict[str, int] = {}  # open elements by tag
+        unclosed: set[str] = set()
+        here, within = -1, ""
+        parts: list[str] = []
+        linked = 0
+
+        def flush() -> None:
+            nonlocal parts, linked
+            if parts:
+                text = "".join(parts)
+                text = _SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip()
+                if text:
+                    self.texts.append(text)
+                    self.weights.append(max(0, len(text) - 2 * linked))
+                    self.at.append(here)
+                parts, linked = [], 0
+
+        def pop() -> str:
+            nonlocal here, within
+            tag, here, within = stack.pop()
+            opened[tag] -= 1
+            return tag
+
+        at, size = 0, len(page)
+        while at < size:
+            m = _TAG.search(page, at)
+            end = m.start() if m else size
+            if end > at and not opened.get("head"):
+                piece = page[at:end]
+                parts.append(piece)
+                linked += len(piece) if opened.get("a") else 0
+            if not m:
+                break
+            at = m.end()
+            if not m[2]:
+                continue
+            tag = m[2].lower()
+            if tag == "br":
+                parts.append(" ")
+                continue
+            if tag in BLOCKS:
+                flush()
+            if m[1]:
+                if opened.get(tag):
+                    while pop() != tag:
+                        pass
+                continue
+            if tag in RAW:
+                close = None if tag in unclosed else re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
+                if close:
+                    at = close.end()
+                elif tag in ("script", "style"):
+                    at = size
+                else:
+                    unclosed.add(tag)
+                continue
+            if tag == "body" and opened.get("head"):
+                while pop() != "head":
+                    pass
+            while stack and stack[-1][0] in ENDS.get(tag, ()):
                 pop()
-        attributes = m[3] or ""
-        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
-            continue
-        klass, noise, whole, strict = _named(tag, attributes) if attributes else ("", False, False, False)
-        if noise and not strict and not skipped and tag not in SKIPPED and tag not in ("article", "main") and _wraps(page, at, tag):
-            noise = False
-        noise = noise or tag in SKIPPED
-        ring = tag in CONTAINERS and not noise and not skipped and (not within or tag == "article" and within != "article")
-        if ring:
-            held.append(within)
-            within = "article" if tag == "article" else "main" if tag == "main" or whole and tag != "body" else within
-            number += 1
-            general = re.sub(r"\d+", "", ".".join([tag, *sorted(klass.split())]))
-            rings.append((f"{rings[-1][0]}>{general}" if rings else general, number))
-        stack.append((tag, noise, ring))
-        skipped += noise
-        links += tag == "a"
-    if block := flush():
-        yield block
-
-
-def container_scores(page: str) -> dict[str, tuple[float, float]]:
-    """Score by path: text of the container's own blocks outside links, and half of what the containers in it have; and the own text alone."""
-    scores: dict[str, tuple[float, float]] = {}
-    for rings, text, linked in blocks(page):
-        weight = own = float(max(0, len(text) - 2 * linked))
-        for path, _ in reversed(rings):
-            score, mine = scores.get(path, (0.0, 0.0))
-            scores[path] = score + weight, mine + own
-            weight, own = weight / 2, 0.0
-    return scores
-
-
-def text_at(page: str, path: str | None) -> str:
-    """The blocks of the page within containers on the path; all of them without a path."""
-    return " ".join(text for rings, text, _ in blocks(page) if path is None or any(p == path for p, _ in rings))
-
-
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            attributes = m[3]
+            if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
+                continue
+            name, noise, whole = _named(tag, attributes)
+            stack.append((tag, here, within))
+            opened[tag] = opened.get(tag, 0) + 1
+            if noise or tag in CONTAINERS and (not within or tag == "article" and within != "article"):
+                if tag not in BLOCKS and noise:
+                    flush()
+                here = self._open(here, name, noise)
+                if tag in CONTAINERS:
+                    within = "article" if tag == "article" else "main" if tag == "main" or whole and tag != "body" else within
+        flush()
+
+    def votes(self) -> dict[int, list[int]]:
+        """By path: votes of the text in its containers, halved with each container between; of the own text alone; and how many names lower them."""
+        out: dict[int, list[int]] = {}
+        lowered: list[int] = []
+        for parent, noise in zip(self.parents, self.noise, strict=True):
+            lowered.append((lowered[parent] if parent >= 0 else 0) + noise)
+        for node, weight in zip(self.at, self.weights, strict=True):
+            vote, own = (weight * VOTES >> LOWERED * lowered[node], True) if node >= 0 else (0, False)
+            while node >= 0 and (vote or own):
+                kept = out.setdefault(self.paths[node], [0, 0, lowered[node]])
+                kept[0] += vote
+                kept[1] += vote if own else 0
+                vote, own, node = vote >> 1, False, self.parents[node]
+        return out
+
+
+def read_at(texts: list[str], at: list[int], parents: list[int], paths: list[int], noise: list[bool], read: set[int]) -> list[str]:
+    """The blocks within containers on the paths, less those within noise in these, unless nothing else is there; all blocks if `read` is empty."""
+    if not read:
+        return texts
+    for strict in (True, False):
+        inside: list[bool] = []
+        for parent, path, noisy in zip(parents, paths, noise, strict=True):
+            inside.append(path in read or (parent >= 0 and inside[parent] and not (strict and noisy)))
+        if found := [text for text, node in zip(texts, at, strict=True) if node >= 0 and inside[node]]:
+            return found
+    return []
+
+
+_PARSED = "page_id long, url string, host string, texts array<string>, at array<int>, parents array<int>, paths array<long>, names array<string>, noise array<boolean>, votes array<struct<path:bigint,score:bigint,own:bigint,lowered:int>>"
+
+
+def _signed(path: int) -> int:
+    return path - (1 << 64) if path >> 63 else path
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    vote = pa.struct([("path", pa.int64()), ("score", pa.int64()), ("own", pa.int64()), ("lowered", pa.int32())])
+    kinds = {"texts": pa.string(), "at": pa.int32(), "parents": pa.int32(), "paths": pa.int64(), "names": pa.string(), "noise": pa.bool_(), "votes": vote}
     for batch in batches:
-        totals: dict[tuple, tuple[float, float]] = {}
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-            for path, (score, own) in container_scores(page.as_py() or "").items():
-                before = totals.get((host, path), (0.0, 0.0))
-                totals[host, path] = before[0] + score, before[1] + own
-        keys = list(totals)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), *(pa.array([int(totals[k][n] * 1024) for k in keys], pa.int64()) for n in (0, 1))], names=["host", "path", "score", "own"])
+        for lo in range(0, len(batch), 64):  # so that only so many parsed pages are held at once
+            part = batch.slice(lo, 64)
+            columns: dict[str, list] = {c: [] for c in kinds}
+            for page in part.column("html"):
+                p = Page(page.as_py() or "")
+                votes = [{"path": _signed(k), "score": s, "own": o, "lowered": n} for k, (s, o, n) in p.votes().items()]
+                for c, x in zip(kinds, (p.texts, p.at, p.parents, [_signed(k) for k in p.paths], p.names, p.noise, votes), strict=True):
+                    columns[c].append(x)
+            arrays = [pa.array(columns[c], pa.list_(kind)) for c, kind in kinds.items()]
+            yield pa.RecordBatch.from_arrays([part.column("page_id").cast(pa.int64()), part.column("url").cast(pa.string()), part.column("host"), *arrays], names=["page_id", "url", "host", *kinds])
+
+
+def _label(node: int, parents: list[int], names: list[str]) -> str:
+    """The last names of a container's path."""
+    out: list[str] = []
+    while node >= 0 and len(out) < 6:
+        out.append(names[node])
+        node = parents[node]
+    return ">".join(reversed(out))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = ("texts", "at", "parents", "paths", "noise", "names", "best", "also")
     for batch in batches:
         texts, used = [], []
-        for page, ranked, besides in zip(batch.column("html"), batch.column("paths"), batch.column("also"), strict=True):
-            page = page.as_py() or ""
-            rank = {p: k for k, p in enumerate(ranked.as_py() or [])}
-            found = list(blocks(page))
-            here = min((p for rings, _, _ in found for p, _ in rings), key=lambda p: (rank.get(p, len(rank)), p), default=None)
-            read = {here, *(besides.as_py() or [])}
-            texts.append(" ".join(text for rings, text, _ in found if here is None or any(p in read for p, _ in rings)))
-            used.append(here)
-        yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url").cast(pa.string()), pa.array(texts, pa.string()), pa.array(used, pa.string())], names=["page_id", "url", "text", "path"])
+        for row in zip(*(batch.column(c) for c in fields), strict=True):
+            blocks, at, parents, paths, noise, names, best, also = (x.as_py() for x in row)
+            texts.append(" ".join(read_at(blocks, at, parents, paths, noise, {best, *(also or [])} if best is not None else set())))
+            used.append(_label(paths.index(best), parents, names) if best is not None else None)
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(used, pa.string())], names=["page_id", "url", "text", "path"])
 
 
 def host_of(url: Column) -> Column:
@@ -231,18 +274,22 @@ def host_of(url: Column) -> Column:
 def main_texts(pages: DataFrame, broadcast_paths: int = BROADCAST_PATHS) -> DataFrame:
     """(page_id, url, text, n_chars, path) of every row of pages (page_id, url, html).
 
-    text: the blocks inside the winning containers and those beside them (see above), in page order, each with its character references decoded and its white space
-    turned into single spaces, joined by one space. path: the winning path; null if the page has no container with text.
+    text: the blocks inside the winning containers and those beside them (see above), in page order, each with its
+    character references decoded and its white space turned into single spaces, joined by one space. path: the last names
+    of the winning path, with ! after those that lower votes; null if the page has no container with text.
 
     Null or empty html: empty text. Null urls and those without a host share the host ''. Repeated rows vote and are
-    returned each. Ties between paths go to the smaller path. Other columns are ignored. An empty table: no rows.
+    returned each. Ties between paths go to the smaller hash of the path. Other columns are ignored. An empty table: no rows.
     """
     pages = only(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
-    votes = pages.select("host", "html").mapInArrow(_votes, "host string, path string, score long, own long")
-    ranked = votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("own").alias("own"))
-    ranked = ranked.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "path", "own"))).alias("x"), F.max("own").alias("most"))
-    also = F.transform(F.filter("x", lambda p: p["own"] > F.col("most") * SHARE), lambda p: p["path"])
-    winners = small_or_shuffled(staged(ranked.select(F.col("host").alias("_host"), F.col("x.path").alias("paths"), also.alias("also"))), broadcast_paths)
-    joined = pages.join(winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "paths", "also")
-    out = joined.mapInArrow(_extracted, "page_id long, url string, text string, path string")
+    parsed = staged(pages.mapInArrow(_parsed, _PARSED).withColumn("row", F.monotonically_increasing_id()))
+    votes = parsed.select("row", "host", F.explode("votes").alias("x")).select("row", "host", "x.*")
+    ranked = staged(votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("own").alias("own"), F.min("lowered").alias("lowered")))
+    tops = ranked.groupBy("host").agg(F.max(F.struct("own", (-F.col("lowered")).alias("raised"))).alias("top"))
+    also = (F.col("own") > F.col("top.own") * SHARE) & (-F.col("lowered") >= F.col("top.raised"))
+    ranked = staged(ranked.join(small_or_shuffled(staged(tops)), "host").select("host", "path", (-F.col("score")).alias("low"), also.alias("also")))  # so that the join with a common path's rows can be split
+    of_page = votes.select("row", "host", "path").join(ranked, ["host", "path"])
+    chosen = of_page.groupBy("row").agg(F.min(F.struct("low", "path")).alias("x"), F.collect_set(F.when(F.col("also"), F.col("path"))).alias("also"))
+    chosen = small_or_shuffled(staged(chosen.select("row", F.col("x.path").alias("best"), "also")), broadcast_paths, 1 + F.size("also"))
+    out = parsed.drop("votes", "host").join(chosen, "row", "left").mapInArrow(_extracted, "page_id long, url string, text string, path string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -58,6 +61,96 @@ def test_wrappers_named_after_a_sidebar_are_read(spark, name, tag):
     assert texts(spark, page) == [MAIN]
 
 
+NAMES = ["elementor-widget-container", "search-results", "form-page", "widget-content", "share-content", "header-inner", "social-studies", "content login-required", "entry-content related", "article-alert", "sidebar", "comments"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_name_alone_deletes_no_text(spark, name):
+    """Whatever the container of a page's whole text is called, the text is found; menus and footers round it aren't."""
+    page = f"<body><nav><a href=/>Home</a></nav><div class='{name}'>{BODY}</div><footer>f</footer></body>"
+    assert texts(spark, page) == [MAIN]
+    assert texts(spark, f"<body><form id=aspnetForm><div class='{name}'><div>{BODY}</div></div></form></body>") == [MAIN]
+
+
+def test_quotes_count_at_the_start_of_a_value_only(spark):
+    pages = ["<div><p data-x=it's>Hello it is me</p><p>it's second</p></div>", "<div><p title='a > b' x=\"c>d\" = y>one</p><p a=\"never closed>two</p></div>"]
+    assert texts(spark, *pages) == ["Hello it is me it's second", "one two"]
+
+
+@pytest.mark.parametrize("page", ["<div>" * 16_000 + "deep" + "</p>" * 16_000, "<svg>" * 16_000 + "deep", "<div class='a b'>x" * 16_000])
+def test_deep_and_unbalanced_pages_take_linear_time(page):
+    start = time.time()
+    html_text.Page(page).votes()
+    assert time.time() - start < 2
+
+
+class Walk(HTMLParser):
+    """All text of well-formed pages by the standard library's reader, a list of blocks."""
+
+    def __init__(self):
+        super().__init__()
+        self.out, self.part = [], []
+
+    def end(self):
+        if text := " ".join("".join(self.part).split()):
+            self.out.append(text)
+        self.part = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.part.append(" ")
+        elif tag in ("div", "p", "ul", "li", "h2", "section", "blockquote"):
+            self.end()
+
+    def handle_endtag(self, tag):
+        if tag != "br":
+            self.handle_starttag(tag, [])
+
+    def handle_data(self, data):
+        self.part.append(data)
+
+
+def random_part(r, depth, word):
+    """Random well-formed markup of text."""
+    if depth == 0 or r.random() < 0.3:
+        return " ".join(r.choice([word, word.upper(), "&amp;", "&eacute;t&#233;", f"<b>{word}</b>{word}", f"<i class='ad x'>{word}</i>", "<br>", "\n  "]) if "ad" not in word else word for _ in range(r.randrange(1, 9)))
+    tag = r.choice(["p", "div", "div class='k1 z'", "section id=s3", "h2", "ul", "blockquote", "span"])
+    inner = "".join(random_part(r, depth - 1, word) for _ in range(r.randrange(1, 4)))
+    inner = f"<li>{inner}</li>" if tag == "ul" else inner
+    return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+
+def test_blocks_like_the_standard_librarys_reader():
+    r = random.Random(5)
+    for k in range(300):
+        page = "".join(random_part(r, 4, f"w{k}") for _ in range(3)).replace(" class='ad x'", "")
+        page = re.sub(r"<p>(.*?)</p>", lambda m: f"<p>{re.sub(r'</?(?:p|div|ul|li|h2|section|blockquote)[^>]*>', ' ', m[1])}</p>", page, flags=re.S)
+        walk = Walk()
+        walk.feed(page)
+        walk.close()
+        walk.end()
+        assert " ".join(html_text.Page(page).texts).split() == " ".join(walk.out).split()
+
+
+def test_random_pages_give_their_article_and_nothing_else(spark):
+    """By construction: an article of random markup among parts of other kinds, which also stand in it."""
+    r = random.Random(6)
+    pages, want = [], []
+    noise = ["<nav>{}</nav>", "<div class='site-sidebar'>{}</div>", "<aside>{}</aside>", "<div id=comments><p>{}</p></div>", "<form>{}</form>", "<div class='ad'>{}</div>", "<footer>{}</footer>", "<ul class='related-posts'><li>{}</li></ul>", "<script>{}</script>", "<div class=cookie-notice>{}</div>"]
+    for k in range(60):
+        parts = [" ".join(f"text{k}" for _ in range(r.randrange(5, 40))) for _ in range(r.randrange(3, 7))]
+        inside = [f"<p>{x}</p>" for x in parts]
+        for _ in range(r.randrange(3)):
+            inside.insert(r.randrange(len(inside) + 1), r.choice(noise).format("noise " * r.randrange(1, 30)))
+        around = [r.choice(noise).format("noise " * r.randrange(1, 60)) for _ in range(4)]
+        shell = r.choice(["<article>{}</article>", "<main><div>{}</div></main>", "<div class='post-content'>{}</div>", "<div class='row'><div class='col'>{}</div></div>"])
+        pages.append("<html><head><title>t</title><body>" + "".join(around[:2]) + shell.format("".join(inside)) + "".join(around[2:]) + "</body></html>")
+        want.append(" ".join(parts))
+    rows = [(k, f"http://h{k}.example.com/", p) for k, p in enumerate(pages)]
+    got = [x["text"] for x in html_text.main_texts(spark.createDataFrame(rows, PAGES)).orderBy("page_id").collect()]
+    assert got == want
+
+
 def test_a_hosts_pages_vote(spark):
     """One page's side text is longer than its article; the host's other pages outvote it."""
     page = lambda side, body: f"<body><div class=alpha7><p>{side}</p></div><div class=beta{len(body)}><p>{body}</p></div></body>"
