@@ -29,8 +29,10 @@ def hk_metadata(reports: DataFrame) -> DataFrame:
 
 
 def downloaded_with_metadata(files: DataFrame, reports: DataFrame) -> DataFrame:
-    """files (url, path) with the report of the same url: a failed download shifts nothing."""
-    return files.join(reports.dropDuplicates(["url"]), "url", "left")
+    """files (url, path) with the report of the same url, the smallest of several: a failed download shifts nothing."""
+    rest = [c for c in reports.columns if c != "url"]
+    one = reports.groupBy("url").agg(F.min(F.struct(*rest)).alias("_r")).select("url", *(F.col("_r")[c].alias(c) for c in rest))
+    return files.join(one, "url", "left")
 
 
 def payloads(facts: DataFrame, evidence: DataFrame, periods: DataFrame, quality: DataFrame) -> DataFrame:
@@ -47,19 +49,26 @@ def read_payloads(cache: DataFrame, ddl: str) -> DataFrame:
     return cache.withColumn("parsed", F.from_json(F.coalesce("payload", F.lit("{}")), ddl))
 
 
-# Phrases before the totals of dealings with related parties.
+#: Our own names of dealings with related parties, by total.
 RELATED = {
-    "total_sales": ["向关联方销售[商品产品服务劳务]*[金额合计：:\\s]*", "销售商品[、/]提供劳务[金额合计：:\\s]*"],
-    "total_purchases": ["向关联方采购[商品产品材料]*[金额合计：:\\s]*", "采购商品[、/]接受劳务[金额合计：:\\s]*"],
-    "total_receivables": ["应收关联方[款项余额：:\\s]*"],
-    "total_payables": ["应付关联方[款项余额：:\\s]*"],
+    "total_sales": ["向关联方销售", "向关联方提供劳务", "销售商品、提供劳务", "销售商品/提供劳务", "关联销售"],
+    "total_purchases": ["向关联方采购", "向关联方接受劳务", "采购商品、接受劳务", "采购商品/接受劳务", "关联采购"],
+    "total_receivables": ["应收关联方", "关联方应收款"],
+    "total_payables": ["应付关联方", "关联方应付款"],
 }
+#: Characters between a name and its amount at most, none of them a digit, a line break or the end of a sentence.
+RELATED_WITHIN = 16
 
 
 def related_totals(documents: DataFrame) -> DataFrame:
-    """documents (text) with the four totals: the first number behind the first phrase that has one."""
-    first = lambda lead: F.get(F.filter(F.transform(F.regexp_extract_all("text", F.lit(lead + "([0-9,，]+\\.?[0-9]*)"), F.lit(1)), parse_number), lambda v: v.isNotNull()), 0)
-    return documents.withColumns({name: F.coalesce(*map(first, leads)) for name, leads in RELATED.items()})
+    """documents (text) with the four totals: the first amount that stands within a short distance behind one of a total's names."""
+    amount = r"([0-9][0-9,，]*(?:\.[0-9]+)?)"
+
+    def total(names: list[str]) -> Column:
+        behind = F.regexp_extract_all("text", F.lit(rf"(?:{'|'.join(names)})[^0-9\n。；]{{0,{RELATED_WITHIN}}}{amount}"), F.lit(1))
+        return F.get(F.filter(F.transform(behind, parse_number), lambda v: v.isNotNull()), 0)
+
+    return documents.withColumns({name: total(names) for name, names in RELATED.items()})
 
 
 def control_sheet(log: DataFrame) -> DataFrame:

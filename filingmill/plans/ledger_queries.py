@@ -8,6 +8,7 @@ from .. import vocab
 from ..functions import numbers
 from ..operators import analysis, context, facts, merge, periods, shape, tables
 from ..sources import documents
+from ..staging import staged
 from . import views
 from .catalog import query
 from .views import QUARTERS, STATEMENTS, TITLES_SQL
@@ -39,8 +40,9 @@ _MARGIN, _NET = "floor(gross_profit / revenue * 100 * 100 + 0.5) / 100", "floor(
 )
 def prj8_mth1_facts(spark, sf_dir):
     """Wide yearly records to derived facts with method and confidence; without tables, so without evidence."""
-    records = facts.derive(_records(spark, sf_dir).select("doc_id", *vocab.STATEMENT_OF))
-    spans = periods.periods(_records(spark, sf_dir).select("doc_id", "fiscal_year", F.lit("annual").alias("kind")))
+    both = staged(_records(spark, sf_dir).select("doc_id", "fiscal_year", *vocab.STATEMENT_OF))
+    records = facts.derive(both.drop("fiscal_year"))
+    spans = periods.periods(both.select("doc_id", "fiscal_year", F.lit("annual").alias("kind")))
     v = facts.metric_values(records, spans)
     method = F.when(F.col("is_derived"), "derived").otherwise("text_regex")
     return v.select("doc_id", "metric", "period_id", "value", "is_derived", method.alias("source_method"), F.when(F.col("is_derived"), 1.0).otherwise(0.75).alias("confidence"))
@@ -182,7 +184,10 @@ def agg6_agg7_row_picks(spark, sf_dir):
     li = views.table(spark, sf_dir, "lineitem")
     v = li.select("l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), (F.floor("l_extendedprice") * F.when(F.col("l_returnflag") == "R", -1).otherwise(1)).cast("double").alias("value"))
     u = v.groupBy("l_partkey", "seq").agg(F.max("value").alias("value"))
-    return u.groupBy("l_partkey").agg(F.max_by("value", F.struct(F.abs("value").alias("a"), "seq")).alias("largest"), F.min_by("value", "seq").alias("first"))
+    both = u.withColumn("metric", F.explode(F.array(F.lit("revenue"), F.lit("eps"))))
+    offered = both.select(F.col("l_partkey").alias("doc_id"), "metric", "seq", "value", F.lit("en").alias("lang"))
+    records = u.select(F.col("l_partkey").alias("doc_id")).distinct().select("doc_id", *(F.lit(None).cast("double").alias(m) for m in vocab.STATEMENT_OF))
+    return tables.table_pass(records, offered).select(F.col("doc_id").alias("l_partkey"), F.col("revenue").alias("largest"), F.col("eps").alias("first"))
 
 
 _LABELS = [(m, w) for m, ws in vocab.LABELS["en"].items() for w in ws]

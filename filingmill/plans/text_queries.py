@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import arrays, dates, numbers, text, validators
 from ..operators import candidates, context
 from ..sources import announcements, html_rows
+from ..staging import shared_folder
 from ..streaming import ingest
 from . import views
 from .catalog import query
@@ -235,14 +238,15 @@ def str14_str20_str27_names(spark, sf_dir):
 
 @query("SELECT event_id FROM events")
 def stm2_stream_dedup(spark, sf_dir):
-    """The events delivered twice, as a stream: each comes out once. The result is read from a memory table."""
+    """The events delivered twice, as a stream: each comes out once. The stream appends to a table of files, which is read again."""
     schema = views.table(spark, sf_dir, "events").schema
     feed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     twice = feed.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("at", F.col("ts").cast("timestamp"))
-    name = f"stream_dedup_{abs(hash(sf_dir))}"
-    run = ingest.deduplicated(twice, "event_id", "at").select("event_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    at = f"{shared_folder(spark)}/stream-dedup-{uuid.uuid4().hex}"
+    once = ingest.deduplicated(twice, "event_id", "at").select("event_id")
+    run = once.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(once.schema).parquet(f"{at}/rows")
 
 
 @query(f"WITH {TITLES_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'given' WHEN title LIKE '%Annual Report%' THEN '2024_fy' WHEN title LIKE 'Q3%' THEN '2024_fy' ELSE coalesce(nullif(regexp_extract(title, '20[0-9]{{2}}'), '') || '_fy', NULL) END AS hint, path AS web_path FROM titles")
@@ -267,6 +271,35 @@ def win1_str6_flt8_best_candidate(spark, sf_dir):
     return candidates.best(docs).where("field = 'revenue'").select(F.col("doc_id").alias("o_orderkey"), "value", "score")
 
 
+_EN_NAMES = {"net_profit": "Net income", "gross_profit": "Gross profit", "operating_cost": "Cost of sales", "total_profit": "Profit before tax", "gross_margin": "Gross margin", "rd_expense": "R&D expense", "current_assets": "Total current assets", "inventory": "Inventories", "goodwill": "Goodwill", "total_liabilities": "Total liabilities", "short_term_debt": "Short-term borrowings", "operating_cash_flow": "Net cash from operating activities", "free_cash_flow": "Free cash flow", "dividend_per_share": "Dividend per share", "roe": "Return on equity", "current_ratio": "Current ratio"}
+_ZH_NAMES = {"revenue": "营业总收入", "operating_cost": "营业成本", "gross_profit": "毛利", "operating_profit": "营业利润", "total_profit": "利润总额", "net_profit_attributable_to_parent": "归母净利润", "interest_expense": "财务费用", "rd_expense": "研发费用", "total_assets": "资产总计", "cash_and_equivalents": "货币资金", "accounts_receivable": "应收账款", "inventory": "存货", "fixed_assets": "固定资产", "bonds_payable": "应付债券", "investing_cash_flow": "投资活动产生的现金流量净额", "capital_expenditure": "购建固定资产支付的现金", "eps_diluted": "稀释每股收益", "bps": "每股净资产", "debt_ratio": "资产负债率", "total_shares": "总股本"}
+
+
+def _fields_sql(names: dict) -> str:
+    of = ", ".join(f"({k}, '{m}')" for k, m in enumerate(names))
+    return f"SELECT o_orderkey, metric AS field, CAST(o_custkey % 90 + 1 AS DOUBLE) + k AS value FROM orders, (VALUES {of}) AS f(k, metric)"
+
+
+def _fields(spark, sf_dir, names: dict, lang: str):
+    """A filing's text that names every field once, in its own line; the pattern of each field finds its own amount."""
+    o = views.table(spark, sf_dir, "orders")
+    lines = [F.concat(F.lit(f"{name}: "), (F.col("o_custkey") % 90 + 1 + k).cast("string")) for k, name in enumerate(names.values())]
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"), F.lit(lang).alias("lang"))
+    hits = candidates.found(docs).where((F.col("pattern_lang") == lang) & F.col("field").isin(list(names)))
+    first = hits.groupBy("doc_id", "field").agg(F.min_by("value_text", F.struct("pattern_no", "start")).alias("v"))
+    return first.select(F.col("doc_id").alias("o_orderkey"), "field", F.col("v").cast("double").alias("value"))
+
+
+@query(_fields_sql(_EN_NAMES))
+def str7_english_fields(spark, sf_dir):
+    return _fields(spark, sf_dir, _EN_NAMES, "en")
+
+
+@query(_fields_sql(_ZH_NAMES))
+def str7_chinese_fields(spark, sf_dir):
+    return _fields(spark, sf_dir, _ZH_NAMES, "zh")
+
+
 @query("SELECT o_orderkey, 'k: ' || o_custkey AS line, CASE o_orderkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1000.0 WHEN 2 THEN 0.001 ELSE 1.0 END::DOUBLE AS multiplier FROM orders")
 def str4_str5_lines_and_units(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders")

@@ -56,11 +56,11 @@ def identity(market: str) -> Column:
 
 
 def internal_ids(reports: DataFrame, dim: DataFrame, limit: int = 100_000) -> DataFrame:
-    """reports with internal_id, looked up by stock_code in dim (code, internal_id); null where unknown.
+    """reports with internal_id, looked up by stock_code in dim (code, internal_id), the smallest of several; null where unknown.
 
     dim is broadcast if it has at most `limit` codes.
     """
-    dim = dim.select(F.col("code").alias("stock_code"), "internal_id").dropDuplicates(["stock_code"])
+    dim = dim.groupBy(F.col("code").alias("stock_code")).agg(F.min("internal_id").alias("internal_id"))
     small = dim.limit(limit + 1).count() <= limit
     return reports.join(F.broadcast(dim) if small else dim, "stock_code", "left")
 

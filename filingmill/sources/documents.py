@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.arrays import page_ranges, split_pages
 
-PARSED = "source string, success boolean, error string, num_pages int, pages array<struct<page_no:int,text:string>>, cells array<struct<page:int,table_index:int,row_no:int,col_no:int,cell:string>>"
+PARSED = "source string, file_hash string, success boolean, error string, num_pages int, pages array<struct<page_no:int,text:string>>, cells array<struct<page:int,table_index:int,row_no:int,col_no:int,cell:string>>"
 Parser = Callable[[bytes], tuple[list[str], list[list[list[list[str]]]]]]
 
 
@@ -30,13 +30,13 @@ def pdf_parser(content: bytes) -> tuple[list[str], list[list[list[list[str]]]]]:
 
 
 def parsed_files(spark: SparkSession, path: str, parser: Parser = pdf_parser, pattern: str = "*.pdf") -> DataFrame:
-    """One row for each file: its pages and cells, or the error that it gave. A bad file never ends the job."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    """One row for each file: the hash of its bytes, its pages and cells, or the error that it gave. A bad file never ends the job."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path).select("path", F.sha2("content", 256).alias("file_hash"), "content")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for source, content in zip(batch["path"], batch["content"], strict=True):
+            for source, name, content in zip(batch["path"], batch["file_hash"], batch["content"], strict=True):
                 try:
                     pages, tables = parser(content)
                     cells = [
@@ -46,17 +46,23 @@ def parsed_files(spark: SparkSession, path: str, parser: Parser = pdf_parser, pa
                         for r, row in enumerate(table)
                         for c, cell in enumerate(row or [])
                     ]
-                    rows.append((source, True, None, len(pages), [{"page_no": k, "text": t} for k, t in enumerate(pages, 1)], cells))
+                    rows.append((source, name, True, None, len(pages), [{"page_no": k, "text": t} for k, t in enumerate(pages, 1)], cells))
                 except Exception as e:  # whatever a parser says of a broken file is that file's result
-                    rows.append((source, False, f"{type(e).__name__}: {e}", None, None, None))
-            yield pd.DataFrame(rows, columns=["source", "success", "error", "num_pages", "pages", "cells"])
+                    rows.append((source, name, False, f"{type(e).__name__}: {e}", None, None, None))
+            yield pd.DataFrame(rows, columns=["source", "file_hash", "success", "error", "num_pages", "pages", "cells"])
 
     return files.mapInPandas(parse, PARSED)
 
 
+def documents_of(parsed: DataFrame) -> DataFrame:
+    """(doc_id, file_hash, source, file_name) of the files that could be read: a document is named by its bytes, so it keeps its name where it is moved; of several places the smallest counts."""
+    one = parsed.where("success").groupBy("file_hash").agg(F.min("source").alias("source"))
+    return one.select(F.col("file_hash").alias("doc_id"), "file_hash", "source", F.substring_index("source", "/", -1).alias("file_name"))
+
+
 def pages_and_cells(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The two tables of schemas.PAGES and schemas.CELLS of the files that could be read."""
-    good = parsed.where("success").withColumns({"doc_id": F.sha2("source", 256), "file_name": F.substring_index("source", "/", -1)})
+    """The two tables of schemas.PAGES and schemas.CELLS of the files that could be read, each document once."""
+    good = parsed.join(documents_of(parsed).select("doc_id", "source", "file_name"), "source")
     pages = good.select("doc_id", "file_name", F.explode("pages").alias("p")).select("doc_id", "file_name", "p.page_no", "p.text")
     cells = good.select("doc_id", F.explode("cells").alias("c")).select("doc_id", "c.*")
     return pages, cells

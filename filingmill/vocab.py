@@ -63,12 +63,12 @@ LABELS = {
 
 # Labels that look like a metric's and aren't.
 NOT_LABELS = {
-    "revenue": ["company sales", "other revenue", "other operating revenue", "deferred revenue", "unearned revenue", "interest revenue", "investment revenue", "franchise fees", "franchisee", "其他收益", "其他业务收入", "递延收入", "利息收入"],
+    "revenue": ["company sales", "other revenue", "other operating revenue", "excluding the impact of f/x", "deferred revenue", "unearned revenue", "interest revenue", "investment revenue", "franchise fees", "franchisee", "其他收益", "其他业务收入", "递延收入", "利息收入"],
     "net_profit": ["noncontrolling", "non-controlling", "minority interests", "非控股", "少数股东", "net profit margin", "profit ratio", "adjusted net income"],
     "net_profit_attributable_to_parent": ["noncontrolling", "non-controlling", "minority interests", "非控股", "少数股东"],
-    "cash_and_equivalents": ["restricted cash", "pledged deposits", "time deposits", "受限制现金", "受限货币资金", "抵押存款"],
-    "accounts_receivable": ["other receivables", "receivables financing", "due from related parties", "其他应收", "应收关联方"],
-    "operating_cash_flow": ["before changes in working capital", "excluding working capital"],
+    "cash_and_equivalents": ["restricted cash", "pledged deposits", "time deposits", "受限制现金", "受限货币资金", "受限制銀行存款", "抵押存款"],
+    "accounts_receivable": ["other receivables", "receivables financing", "due from related parties", "其他应收", "应收关联方", "应收款项融资"],
+    "operating_cash_flow": ["before changes in working capital", "excluding working capital", "未计营运资金变动", "營運資金變動前"],
     "total_equity": ["net profit", "净利润"],
     "operating_cost": ["sales and marketing", "selling expenses", "销售费用"],
     "operating_profit": ["core operating profit", "adjusted operating profit"],
