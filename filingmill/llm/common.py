@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import staged as staged
+
 #: Rows up to which a table of a few numeric columns may be broadcast (at most some 24 MB).
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that numpy works on at once; a longer single text is a chunk of its own.
@@ -20,18 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder, so that later steps neither recompute it nor depend on executors.
-
-    The folder is spark.checkpoint.dir; only where that is unset (tests, a laptop) a folder of our own is taken.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
-
-
 def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """A staged df with a broadcast hint if it has at most `limit` rows, or if the weights of its rows sum up to that at most; as it is otherwise."""
     size = df.count() if weight is None else df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
