@@ -9,8 +9,9 @@ Bands of `rows` coordinates are the buckets. With 64 bands of 8 a pair at simila
 probability (1 - 0.8^8)^64 < 1e-5. Each bucket's texts are first compared with its first one, exactly, on full
 shingle sets, so groups of copies cost a number of pairs in proportion to their size. Only where a bucket then still spans
 several components are its other texts compared across components, by an exact prefix filter: sets that are alike enough
-share one of their rarest shingles, the fewer the more alike they must be. So a crowded bucket of texts that aren't
-alike, each with some shingles of its own, gives hardly any pairs, and no link between candidates is lost.
+share one of their rarest shingles, the fewer the more alike they must be, and not too far along. Pairs that the hash cells
+of both sets rule out are dropped where they meet. So a crowded bucket of texts that aren't alike, each with some shingles
+of its own, gives hardly any pairs, and no link between candidates is lost.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import gram_hashes, longs, mix, only, salted, shingle_sets, small_or_shuffled, staged, text_chunks
 from .components import components
 
+#: Hash cells in which sets are compared before they are verified.
+CELLS = 2048
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -123,24 +126,42 @@ def _each_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([*(batch.column(c).take(where) for c in ("node", "n", "root")), longs(np.concatenate([*sets, np.zeros(0, np.uint64)]))], names=["node", "n", "root", "shingle"])
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Which of CELLS hash cells a set has shingles in, as bits of longs."""
+    for batch in batches:
+        bits = []
+        for s in batch.column("shingles"):
+            cells = np.zeros(CELLS, np.uint8)
+            cells[(salted(np.frombuffer(s.as_buffer(), np.uint64), 103) % np.uint64(CELLS)).astype(np.int64)] = 1
+            bits.append(np.packbits(cells).view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(bits, pa.list_(pa.int64()))], names=["node", "cells"])
+
+
 def crossing_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of all pairs of sets (node, n, root, shingles) that may be linked and have other roots: an exact prefix filter.
 
-    Of two linked sets, put in the order of how many sets have a shingle, the smaller one's first
-    n - ceil(2 percent n / (100 + percent)) + 1 and the other's first n - ceil(percent n / 100) + 1 have one in common.
-    Shingles of one set only come first and are met by none, so they are counted and not sent.
+    Linked sets have `least` = ceil(percent (n_x + n_y) / (100 + percent)) shingles in common. In the order of how many sets have
+    a shingle, the smaller one's first n - ceil(2 percent n / (100 + percent)) + 1 and the other's first
+    n - ceil(percent n / 100) + 1 have one in common, and behind the first such one there are enough on both sides.
+    Shingles of one set only come first and are met by none, so they are counted and not sent. What two sets have in
+    common is at most either's size less its shingles in cells that the other lacks.
     """
     each = sets.mapInArrow(_each_shingle, "node long, n long, root long, shingle long")
     held = staged(each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1"))  # so that the join with a common shingle's rows can be split
     shared = each.join(held, "shingle").groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.array_sort(F.collect_list(F.struct("c", "shingle"))).alias("x"))
-    own = F.col("n") - F.size("x")
-    of = lambda least, whole: F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(least) * F.col("n") / F.lit(whole)) + 1 - own).cast("int")
-    asked = shared.select("node", "n", "root", of(2 * percent, 100 + percent).alias("few"), F.slice("x", F.lit(1), of(percent, 100)).alias("x")).where("size(x) > 0")
-    asked = staged(asked.select("node", "n", "root", "few", F.posexplode(F.transform("x", lambda y: y["shingle"])).alias("place", "shingle")))
-    side = lambda df, x: df.select("shingle", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"))
-    both = side(asked.where("place < few"), "x").join(side(asked, "y"), "shingle")
+    shared = shared.withColumn("own", F.col("n") - F.size("x"))
+    of = lambda least, whole: F.greatest(F.lit(0), F.col("n") - F.ceil(F.lit(least) * F.col("n") / F.lit(whole)) + 1 - F.col("own")).cast("int")
+    asked = shared.select("node", "n", "root", "own", of(2 * percent, 100 + percent).alias("few"), F.slice("x", F.lit(1), of(percent, 100)).alias("x")).where("size(x) > 0")
+    asked = asked.join(sets.mapInArrow(_cells, "node long, cells array<long>"), "node")
+    asked = asked.select("node", "n", "root", "own", "few", "cells", F.posexplode(F.transform("x", lambda y: y["shingle"])).alias("place", "shingle"))
+    asked = staged(asked.withColumn("left", F.col("n") - F.col("own") - F.col("place")))
+    side = lambda df, x: df.select("shingle", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "root", "left", "cells")))
+    lacking = lambda x, y: F.aggregate(F.zip_with(f"cells_{x}", f"cells_{y}", lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, c: s + c)
+    enough = lambda most: most * (100 + percent) >= (F.col("n_x") + F.col("n_y")) * percent
     ahead = (F.col("n_x") < F.col("n_y")) | (F.col("n_x") == F.col("n_y")) & (F.col("x") < F.col("y"))
-    both = both.where(ahead & (F.col("root_x") != F.col("root_y")) & (F.col("n_x") * 100 >= F.col("n_y") * percent))
+    met = ahead & (F.col("root_x") != F.col("root_y")) & (F.col("n_x") * 100 >= F.col("n_y") * percent) & enough(F.least("left_x", "left_y"))
+    met = met & enough(F.col("n_x") - lacking("x", "y")) & enough(F.col("n_y") - lacking("y", "x"))
+    both = side(asked.where("place < few"), "x").join(side(asked, "y"), "shingle").where(met)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
