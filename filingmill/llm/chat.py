@@ -1,7 +1,8 @@
 """Chat formatting with schema fingerprints, by built-in functions only.
 
 Records come in many layouts. Each is named by the hash of its nested field paths; the hash selects a declarative
-mapping, which turns the record into canonical turns (role, text). Turns are laid out as
+mapping, which turns the record into canonical turns (role, text). Fields that a record lacks have no path, so a table may
+hold records of all layouts side by side. Turns are laid out as
 
     <turn role="user">\n ... </turn>\n
 
@@ -101,12 +102,13 @@ def json_turns(records: DataFrame, column: str) -> DataFrame:
 
 
 def typed_turns(records: DataFrame, column: str) -> DataFrame:
-    """The same for a struct column, whose paths its type gives."""
+    """The same for a struct column: the type gives the fields' paths, and each row's shape has those of its fields that aren't null."""
     kind = records.schema[column].dataType
     paths = {f.name: f.dataType for f in kind.fields}
     get = lambda path, to: F.col(f"{column}.{path}") if path in paths and _fits(paths[path], to) else F.lit(None).cast(to)
-    shape = F.lit(shape_of_type(kind))
-    return records.withColumn("fingerprint", fingerprint(shape)).withColumn("turns", canonical_turns(get, shape))
+    held = [F.when(F.col(f"{column}.{f.name}").isNotNull(), f.name + shape_of_type(f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+    shape = F.concat(F.lit("{"), F.concat_ws(",", *held), F.lit("}"))
+    return records.withColumn("_shape", shape).withColumn("fingerprint", fingerprint(F.col("_shape"))).withColumn("turns", canonical_turns(get, F.col("_shape"))).drop("_shape")
 
 
 def _fits(kind: T.DataType, to: str) -> bool:
@@ -150,10 +152,19 @@ def read_back(df: DataFrame) -> DataFrame:
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """(conv_id, record) of rows (conv_id, turn, role, text): one message record for each conversation, in the order of turn, then role and text."""
+    """(conv_id, record) of rows (conv_id, turn, role, text): one record for each conversation, its turns in the order of turn, then role and text.
+
+    Records have the layout that fits: a prompt and its completion, a list of what a human and a model said, or messages.
+    """
     some = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     listed = some.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("x"))
-    return listed.select("conv_id", F.struct(F.transform("x", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")).alias("record"))
+    first, second = F.get("x", F.lit(0)), F.get("x", F.lit(1))
+    pair = (F.size("x") == 2) & (first["role"] == "user") & (second["role"] == "assistant")
+    talk = ~pair & F.forall("x", lambda m: m["role"].isin("user", "assistant"))
+    said = F.transform("x", lambda m: F.struct(F.when(m["role"] == "user", "human").otherwise("gpt").alias("from"), m["content"].alias("value")))
+    messages = F.transform("x", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    fields = [F.when(talk, said).alias("conversations"), F.when(~pair & ~talk, messages).alias("messages"), F.when(pair, first["content"]).alias("prompt"), F.when(pair, second["content"]).alias("completion")]
+    return listed.select("conv_id", F.struct(*fields).alias("record"))
 
 
 def chat_digests(rows: DataFrame) -> DataFrame:

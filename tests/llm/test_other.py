@@ -204,6 +204,28 @@ def test_odd_vectors(spark):
     assert topk.top_products(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_norm_buckets_are_exact(spark, spread):
+    """Many buckets of unlike lengths, queries that reach the first only and queries that reach all, and components that no double's fraction fits."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(600, 6)) * np.exp(r.normal(size=600) * spread)[:, None]
+    x[50] = 0
+    x[60:64] = np.floor(r.normal(size=(4, 6)) * 2**21) * 2.0**24
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").where("vec_id not in (100, 150)")
+    ids = [k for k in range(600) if k not in (100, 150)]
+    v = [[int(np.floor(256 * c)) for c in x[k]] for k in ids]
+    want = [w for w in brute(ids, v)]
+    if max(abs(w[3]) for w in want) >= 1 << 63:
+        with pytest.raises(Exception, match="larger than a long"):
+            topk.top_products(df, block=40, query_block=4).collect()
+        x[60:64] /= 2.0**20
+        df = spark.createDataFrame([(k, x[k].tolist()) for k in ids], "vec_id long, embedding array<double>")
+        v = [[int(np.floor(256 * c)) for c in x[k]] for k in ids]
+        want = brute(ids, v)
+    got = topk.top_products(df, block=40, query_block=4)
+    assert sorted(tuple(row) for row in got.select("query_id", "rank", "vec_id", "score").collect()) == want
+
+
 def test_large_products_stay_whole():
     v = np.array([[2**40, 3], [2**40 + 1, 5], [7, 2**41]], np.int64)
     got = topk.search_block(np.array([9]), v[:1], np.array([1, 2, 3]), v, 3)
