@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import chat, licenses
 
 _NUMBERS = "list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))"
@@ -40,7 +42,8 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
-_TEMPLATES = ", ".join(f"({k}, '{label}', {str(k < len(licenses.BASE)).lower()}, '{text}')" for k, (label, text) in enumerate([*licenses.BASE, *licenses.NOTICES]))
+_BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
+_TEMPLATES = ", ".join(f"({k}, '{label}', {str(k < len(_BASE)).lower()}, '{text}')" for k, (label, text) in enumerate([*_BASE, *((label, " ".join(re.findall("[a-z0-9]+", body.lower()))) for label, body in licenses.NOTICES)]))
 
 LICENSES = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),

@@ -596,6 +596,27 @@ def test_licenses_by_diagonals(spark):
     assert got[4]["labels"] == got[5]["labels"] == "" and got[5]["first_word"] is None
 
 
+def test_whole_licence_bodies_with_edits_are_found(spark):
+    from filingmill.llm.licenses import NOTICES
+
+    r = random.Random(3)
+    texts, want = [], []
+    for label, body in NOTICES[-5:]:
+        ws = body.split()
+        for _ in range(3):
+            edited = list(ws)
+            for _ in range(len(ws) // 60):  # a word more, a word less, another word
+                edited.insert(r.randrange(len(edited)), "inserted")
+                del edited[r.randrange(len(edited))]
+                edited[r.randrange(len(edited))] = "changed"
+            texts.append(" ".join([*words(30, len(texts)), *edited, *words(30, 900 + len(texts))]))
+            want.append(label)
+    texts.append(" ".join(x for _, body in NOTICES[-5:] for x in body.split()[:9]))  # beginnings only
+    got = {x["doc_id"]: x for x in license_scan(docs(spark, *texts)).collect()}
+    assert all(label in got[k]["labels"].split(",") and got[k]["score"] >= 0.8 for k, label in enumerate(want))
+    assert "isc" not in got[len(want)]["labels"]
+
+
 def test_words_hash_alike_however_texts_are_laid_out():
     texts = ["Aé b", "", None, "b aé", "x" * 1000]
     (_, _, raw, offsets), *_ = common.text_chunks(pa.array(texts))
