@@ -259,7 +259,8 @@ def line_blocks(docs: DataFrame, min_words: int) -> DataFrame:
     found = hits.dropDuplicates(["doc_id", "version"]).mapInArrow(partial(_blocks, min_words=min_words), f"doc_id long, version long, row long, blocks array<{_BLOCK}>")
     found = staged(found)
 
-    one = found.select("row", F.explode("blocks").alias("x")).select("row", "x.*")
+    # only blocks that may grow: however many holders a passage's parts have, it has two ends
+    one = found.select("row", F.explode(F.filter("blocks", lambda b: b["left"] | b["right"])).alias("x")).select("row", "x.*")
     ahead = one.where("left").select("row", "first_row", F.col("at").alias("place"), F.lit(False).alias("behind"), F.col("start").alias("word"))
     behind = one.where("right").select("row", "first_row", (F.col("at") + F.col("end") - F.col("start")).alias("place"), F.lit(True).alias("behind"), F.col("end").alias("word"))
     wanted = staged(ahead.unionByName(behind))
