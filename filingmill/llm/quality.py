@@ -14,14 +14,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import gram_hashes, mix, only, staged, text_chunks, word_beginnings, word_hashes
 
-#: Graded documents to fit on, at most; how many standard errors from no effect a hash must be to get a weight.
-SAMPLE, SURE = 8000, 3.5
+#: Graded documents to fit on, at most, and bytes of their texts; how many standard errors from no effect a hash must be to get a weight.
+SAMPLE, SAMPLE_BYTES, SURE = 8000, 64 << 20, 3.5
+#: Parts of the hashes that are counted one after another when the model is fitted.
+PARTS = 16
 #: Bytes of the word beginnings that are hashed besides whole words.
 BEGINNINGS = (5, 6, 7, 8)
 # letters in lower case and beyond ASCII, capitals, digits, blanks and usual punctuation, other signs
@@ -83,15 +85,18 @@ def originals(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def telling(hashes: np.ndarray, text: np.ndarray, grades: np.ndarray) -> np.ndarray:
     """Of hashes that stand once for each text: those, sorted, whose presence goes with the lower side of some cut of the grades: the log odds ratio is SURE standard errors below nought."""
-    keys, at = np.unique(hashes, return_inverse=True)
-    chosen = np.zeros(len(keys), bool)
-    for k in range(int(grades.max(initial=0))):
+    order = np.argsort(hashes, kind="stable")
+    hashes, text = hashes[order], text[order]
+    start = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
+    count = np.diff(np.append(start, len(hashes)))
+    chosen = np.zeros(len(start), bool)
+    for k in range(int(grades.max(initial=0))) if len(start) else ():
         above = grades > k
-        a = np.bincount(at[above[text]], minlength=len(keys)) + 0.5
-        b = np.bincount(at, minlength=len(keys)) + 1 - a
+        a = np.add.reduceat(above[text], start, dtype=np.int64) + 0.5
+        b = count + 1 - a
         c, d = above.sum() + 1 - a, (~above).sum() + 1 - b
         chosen |= -np.log(a * d / (b * c)) > SURE * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
-    return keys[chosen]
+    return hashes[start][chosen]
 
 
 def present(hashes: np.ndarray, text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,13 +137,18 @@ def fitted(texts: pa.Array, grades: np.ndarray) -> bytes:
     marks = np.concatenate([originals(raw, offsets) for _, _, raw, offsets in text_chunks(texts)])
     kept = np.sort(np.unique(np.column_stack([marks, grades.astype(np.uint64)]), axis=0, return_index=True)[1])
     texts, grades = texts.take(pa.array(kept)), grades[kept]
-    hashes, text, forms = [], [], []
+    chunks, forms = [], []
     for lo, _, raw, offsets in text_chunks(texts):
         h, t = once_each(*text_hashes(raw, offsets))
-        hashes, text, forms = [*hashes, h], [*text, t + lo], [*forms, shapes(raw, offsets)]
-    hashes, text = np.concatenate(hashes), np.concatenate(text)
-    keys = telling(hashes, text, grades)
-    w, theta = fit(present(hashes, text, keys), len(keys), np.concatenate(forms), grades)
+        chunks.append((h, (t + lo).astype(np.int32)))
+        forms.append(shapes(raw, offsets))
+    keys = []
+    for part in range(PARTS):  # equal hashes are in one part, so counting by parts changes nothing
+        here = [h >> np.uint64(32) & np.uint64(PARTS - 1) == part for h, _ in chunks]
+        keys.append(telling(*(np.concatenate([chunk[i][sel] for chunk, sel in zip(chunks, here, strict=True)]) for i in (0, 1)), grades))
+    keys = np.sort(np.concatenate(keys))
+    where = [present(h, t, keys) for h, t in chunks]
+    w, theta = fit(tuple(np.concatenate([pair[i] for pair in where]) for i in (0, 1)), len(keys), np.concatenate(forms), grades)
     return np.concatenate([theta.view(np.uint64), keys, w.view(np.uint64)]).tobytes()
 
 
@@ -156,15 +166,22 @@ def _fit_group(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"model": [fitted(pa.array(frame["text"], pa.large_string()), frame["grade"].to_numpy(np.int64))]})
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray | None:
     """The model (see fitted); None without graded documents.
 
-    The sample is the `sample` graded rows with the smallest hash of their doc_id, so it is the same on every run.
+    The sample is the `sample` graded rows with the smallest hash of their doc_id, less those that would take their texts
+    beyond `sample_bytes` (the first one always stays), so it is the same on every run.
     """
     graded = only(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     graded = graded.select("doc_id", grade(F.col("quality"), F.col("toxic")).alias("grade")).join(only(docs, "doc_id").distinct(), "doc_id", "left_semi")
-    chosen = staged(graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
-    rows = only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")  # at most `sample` rows
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    chosen = F.broadcast(staged(graded.orderBy(*order).limit(sample)))
+    texts = only(docs, "doc_id", "text").where("text is not null").withColumn("mark", F.xxhash64("text"))
+    # a repeated doc_id may have many texts, and texts may be long: sample and sample_bytes hold for the rows, not only for the ids
+    rows = texts.withColumn("size", F.octet_length("text")).drop("text").join(chosen, "doc_id").distinct().orderBy(*order, "mark").limit(sample)
+    before = F.sum("size").over(Window.orderBy(*order, "mark").rowsBetween(Window.unboundedPreceding, -1))  # of `sample` rows at most
+    bounded = staged(rows.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= sample_bytes)))
+    rows = texts.join(F.broadcast(bounded.select("doc_id", "mark", "grade")), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda frame: _fit_group(frame), "model binary").collect()
     return np.frombuffer(found[0]["model"], np.uint64) if found else None
 
