@@ -14,7 +14,7 @@ from ..staging import staged as staged
 #: Rows up to which a table of a few numeric columns may be broadcast (at most some 24 MB).
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that numpy works on at once; a longer single text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
