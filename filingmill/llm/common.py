@@ -15,6 +15,8 @@ from ..staging import staged as staged
 BROADCAST_ROWS = 1_000_000
 #: Bytes of text that numpy works on at once; a longer single text is a chunk of its own.
 CHUNK_BYTES = 1 << 18
+#: Rows of texts that go to a Python worker at once: JVM and worker each hold some copies of such a batch.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that sends at most BATCH_ROWS rows at once to Python workers. A lower setting stays as it is."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns: others, whatever they are called, can't clash with ours."""
     return df.select(*names)
@@ -64,7 +74,7 @@ def salted(x: np.ndarray, salt: int) -> np.ndarray:
 
 def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets in them) of runs of rows with up to `limit` bytes; null is empty."""
-    column = column.fill_null("").cast(pa.large_string())
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_string())
     if not len(column):
         return
     _, offs, data = column.buffers()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, gram_hashes, gram_hashes_at, longs, only, staged, text_chunks, word_hashes
+from .common import BROADCAST_ROWS, gram_hashes, gram_hashes_at, longs, only, small_batches, staged, text_chunks, word_hashes
 
 #: Words of a window, of a fingerprint's gram, and grams in a window.
 WINDOW, GRAM = 13, 5
@@ -130,6 +130,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = 5, broad
     judged one by one. Items that repeat an item_id count once; one whose item_id is null hits words without being
     counted. Other columns are ignored. An empty table of documents: no rows; of items: no hits.
     """
+    docs = small_batches(docs)
     spark = docs.sparkSession
     items = staged(only(benchmark, "item_id", "text").mapInArrow(_item_prints, "item_id long, kind int, hash long, is_window boolean").distinct())
     shorts = sorted(r["kind"] for r in items.where(F.col("kind") < WINDOW).select("kind").distinct().collect())  # 12 at most

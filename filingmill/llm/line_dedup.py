@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import longs, mix, only, small_or_shuffled, staged, text_chunks, word_hashes
+from .common import longs, mix, only, small_batches, small_or_shuffled, staged, text_chunks, word_hashes
 
 #: Repeated words in a row from which a passage meets an earlier document that holds it, wherever its lines end.
 SPAN_WORDS = 50
@@ -379,6 +379,7 @@ def line_dedup(docs: DataFrame, min_words: int = 30, broadcast_bytes: int = BROA
     compared; of the texts of a repeated doc_id the one with the smallest hash stands for it as the first holder of a run.
     Columns of docs named like ours are replaced. An empty table: no rows.
     """
+    docs = small_batches(docs)
     own = [*_COUNTS, "earlier"]
     docs = docs.drop(*own)
     found = line_blocks(docs.select("doc_id", "text"), min_words)

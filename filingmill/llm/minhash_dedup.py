@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, longs, mix, only, salted, shingle_sets, small_or_shuffled, staged, text_chunks
+from .common import gram_hashes, longs, mix, only, salted, shingle_sets, small_batches, small_or_shuffled, staged, text_chunks
 from .components import components
 
 #: Hash cells in which sets are compared before they are verified.
@@ -176,6 +176,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, bands: int =
     Rows that repeat a doc_id count as one document: each of their texts that isn't empty may link it, and each row is
     returned. A null doc_id takes no part: component_id null, kept true. Other columns are ignored. An empty table: no rows.
     """
+    docs = small_batches(docs)
     docs = only(docs, "doc_id", "text")
     sketched = staged(docs.mapInArrow(partial(_sketch, n=n, bands=bands, rows=rows), "doc_id long, n long, lo long, hi long, bands array<long>"))
     # one node for all documents with the same set

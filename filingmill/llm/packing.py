@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, staged
+from .common import only, small_batches, staged
 
 #: Code points below this are known to be cut alike by both tokenizer libraries (tests/llm); other texts go to the slower one.
 PLAIN = 0x250
@@ -197,6 +197,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str, ranks: str | None, pattern
     Null text is empty: end_id alone. Repeated rows and null doc_ids are packed like any others. Other columns are
     ignored. An empty table: no rows. turns: exchanges at most, each between partitions four times as large as before.
     """
+    docs = small_batches(docs)
     cut_up = partial(_pieces, tokenizer=tokenizer, ranks=ranks, pattern=pattern, end_id=end_id, capacity=capacity)
     if not 0 <= turns <= 7:
         raise ValueError(f"turns must lie between 0 and 7: {turns}")

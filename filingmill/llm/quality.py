@@ -12,13 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import gram_hashes, mix, only, staged, text_chunks, word_beginnings, word_hashes
+from .common import gram_hashes, mix, only, small_batches, staged, text_chunks, word_beginnings, word_hashes
 
 #: Graded documents to fit on, at most, and bytes of their texts; how many standard errors from no effect a hash must be to get a weight.
 SAMPLE, SAMPLE_BYTES, SURE = 8000, 64 << 20, 3.5
@@ -161,9 +160,10 @@ def scored(raw: np.ndarray, offsets: np.ndarray, model: np.ndarray) -> np.ndarra
     return np.round(_sigmoid(score[:, None] - theta[None, :]), 6)
 
 
-def _fit_group(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["doc_id", "grade", "text"], ignore_index=True)
-    return pd.DataFrame({"model": [fitted(pa.array(frame["text"], pa.large_string()), frame["grade"].to_numpy(np.int64))]})
+def _fit_group(table: pa.Table) -> pa.Table:
+    table = table.select(["doc_id", "mark", "grade", "text"]).sort_by([("doc_id", "ascending"), ("mark", "ascending")])
+    grades = table.column("grade").to_numpy().astype(np.int64)
+    return pa.table({"model": pa.array([fitted(table.column("text").cast(pa.large_string()).combine_chunks(), grades)], pa.binary())})
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> np.ndarray | None:
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
     before = F.sum("size").over(Window.orderBy(*order, "mark").rowsBetween(Window.unboundedPreceding, -1))  # of `sample` rows at most
     bounded = staged(rows.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") == 0) | (F.col("before") + F.col("size") <= sample_bytes)))
     rows = texts.join(F.broadcast(bounded.select("doc_id", "mark", "grade")), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
-    found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda frame: _fit_group(frame), "model binary").collect()
+    found = rows.groupBy(F.lit(0).alias("all")).applyInArrow(lambda table: _fit_group(table), "model binary").collect()
     return np.frombuffer(found[0]["model"], np.uint64) if found else None
 
 
@@ -201,7 +201,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lea
     shape alone and rejected only as that says; without any graded document every probability is 1, and all are accepted.
     Repeated rows are scored alike. Columns of docs named like ours are replaced. An empty table: no rows.
     """
-    docs = docs.drop("expected_grade", "p_above_0", "p_above_1", "accepted")
+    docs = small_batches(docs).drop("expected_grade", "p_above_0", "p_above_1", "accepted")
     model = train(docs, labels, sample)
     if model is None:
         return docs.withColumns({"expected_grade": F.lit(2.0), "p_above_0": F.lit(1.0), "p_above_1": F.lit(1.0), "accepted": F.lit(True)})
