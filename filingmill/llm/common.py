@@ -9,7 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import released as released
 from ..staging import staged as staged
+from ..staging import written as written
 
 #: Rows up to which a table of a few numeric columns may be broadcast (at most some 24 MB).
 BROADCAST_ROWS = 1_000_000

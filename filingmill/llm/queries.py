@@ -16,6 +16,7 @@ from .minhash_dedup import near_duplicates
 from .packing import best_fit_packing
 from .quality import quality_scores
 from .secrets import secret_scan
+from .suffix_dedup import suffix_dedup
 from .topk import top_products
 
 
@@ -69,6 +70,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_cut_lines", "n_cut_words", "n_left_words", "earlier")
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_exact_topk": op2_exact_topk,
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 #: HTML trees, packing, the classifier and patience diff have no SQL; tests/llm compares them with brute force.
