@@ -83,3 +83,16 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT a AS doc_id, b AS seen FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen),
 m AS (SELECT doc_id, min(seen) AS least FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(coalesce(m.least, d.doc_id), d.doc_id) AS component_id, d.doc_id <= coalesce(m.least, d.doc_id) AS kept FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+
+DIVERGENCE = rf"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM documents),
+k AS (SELECT lang, term FROM d GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM d JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT x.lang, x.source, coalesce(s.n, 0) AS n, coalesce(v.v, 0) AS v FROM (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents) x
+  LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) s USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + CAST(1000000000 * (coalesce(c.n, 0) + 5) AS HUGEINT) // CAST(g.n + 5 * g.v AS HUGEINT) AS p FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, term, 1 + CAST(1000000000 * (sum(c.n) + 5) AS HUGEINT) // CAST(any_value(t.n) + 5 * any_value(t.v) AS HUGEINT) AS q FROM c JOIN (SELECT lang, sum(n) AS n, any_value(v) AS v FROM g GROUP BY 1) t USING (lang) GROUP BY 1, 2),
+f AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS a, y.source AS b, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY 1, 2, 3) s ON s.lang = a.lang AND s.a = a.source AND s.b = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER w AS INTEGER) AS rank FROM f WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, item) QUALIFY part = 'pair' OR row_number() OVER w <= 50"""

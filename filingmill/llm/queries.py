@@ -9,6 +9,7 @@ from . import oracles
 from .chat import chat_digests, probe
 from .common import table
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .html_text import main_texts
 from .licenses import license_scan
 from .line_dedup import line_dedup
@@ -70,6 +71,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "text", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"), "n_cut_lines", "n_cut_words", "n_left_words", "earlier")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), with_bytes=False)
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
@@ -96,4 +102,5 @@ ORACLE_SQL = {
     "op6_license_scan": oracles.LICENSES,
     "op7_chat_formatting": oracles.CHAT,
     "op9_decontamination": oracles.CONTAMINATION,
+    "op11_source_divergence": oracles.DIVERGENCE,
 }
