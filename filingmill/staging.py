@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -32,16 +33,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: smaller than a checkpoint, and released() can remove it."""
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, with a folder for each value of the columns `by`: smaller than a checkpoint, and released() can remove it."""
     at = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.partitionBy(*by).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
 def released(*tables: DataFrame) -> None:
     """Removes the files of tables from written() that nothing reads any more."""
     for table in tables:
-        for at in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        for at in {re.match("(.*/table-[0-9a-f]{32})/", file)[1] for file in table.inputFiles()}:
             path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
