@@ -373,3 +373,42 @@ def jon10_win9_evidence(spark, sf_dir):
     docs = r.select("doc_id", F.lit("USD").alias("currency"), F.lit("million").alias("amount_unit"))
     found = facts.build_facts(r, spans, seen, docs, parity=True)[0]
     return found.where(F.col("metric").isin("revenue", "operating_cost", "gross_profit")).select("doc_id", "metric", F.array_join("evidence_ids", ",").alias("ids"))
+
+
+#: What a filing of the graph's queries gives, as SQL that both engines read; what isn't here is derived, where its formula allows. debt_ratio is always computed anew.
+_GIVEN = {
+    "revenue": "revenue", "operating_cost": "CASE WHEN company % 3 <> 1 THEN operating_cost END", "gross_profit": "CASE WHEN company % 3 <> 0 THEN revenue - operating_cost END", "net_profit": "net_profit",
+    "total_assets": "revenue * 2", "current_assets": "revenue", "inventory": "CASE WHEN company % 5 <> 0 THEN net_profit END", "total_liabilities": "revenue", "current_liabilities": "operating_cash_flow", "total_equity": "revenue",
+    "operating_cash_flow": "operating_cash_flow", "capital_expenditure": "capital_expenditure", "eps": "2.0", "debt_ratio": "50.0", "total_shares": "CASE WHEN company % 2 = 0 THEN net_profit / 2 END",
+}
+_DERIVED_HERE = {"operating_cost": "company % 3 = 1", "gross_profit": "company % 3 = 0", "total_shares": "company % 2 = 1"} | dict.fromkeys(["gross_margin", "net_margin", "debt_ratio", "current_ratio", "quick_ratio", "roa", "roe", "free_cash_flow", "bps"], "true")
+_SEQ = {m: k for k, _, m in vocab.SPECS}
+_SOUND = "revenue > operating_cost AND operating_cost > 0 AND net_profit > 0 AND operating_cash_flow > 0 AND capital_expenditure > 0"
+_GRAPH = (
+    f"WITH RECURSIVE {STATEMENTS}, g AS (SELECT company || '-' || fiscal_year AS doc_id, * FROM statements WHERE {_SOUND}), seen AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{m}' AS metric, {_SEQ[m]} AS seq FROM g WHERE {e} IS NOT NULL" for m, e in _GIVEN.items())
+    + "), ev AS (SELECT doc_id, metric, 'ev_' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS VARCHAR), 4, '0') AS id FROM seen), derived AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{m}' AS metric FROM g WHERE {w}" for m, w in _DERIVED_HERE.items())
+    + "), facts AS (SELECT doc_id, metric FROM seen UNION SELECT doc_id, metric FROM derived), deps(metric, k, dep) AS (VALUES "
+    + ", ".join(f"('{m}', {k}, '{d}')" for m, (_, ds) in vocab.FORMULAS.items() for k, d in enumerate(ds))
+    + "), paths AS (SELECT doc_id, metric AS root, metric AS node, []::INT[] AS path FROM facts UNION ALL SELECT p.doc_id, root, d.dep, list_append(path, d.k) FROM paths p JOIN derived x ON x.doc_id = p.doc_id AND x.metric = p.node JOIN deps d ON d.metric = p.node"
+    + " JOIN facts f ON f.doc_id = p.doc_id AND f.metric = d.dep), firsts AS (SELECT p.doc_id, root, id, min(path) AS path FROM paths p JOIN ev ON ev.doc_id = p.doc_id AND ev.metric = p.node GROUP BY 1, 2, 3)"
+    + " SELECT f.doc_id, f.metric, x.metric IS NOT NULL AS is_derived, coalesce(string_agg(id, ',' ORDER BY path), '') AS ids FROM facts f LEFT JOIN derived x USING (doc_id, metric) LEFT JOIN firsts t ON t.doc_id = f.doc_id AND t.root = f.metric GROUP BY 1, 2, 3"
+)
+
+
+@query(_GRAPH)
+def jon10_evidence_through_derivations(spark, sf_dir):
+    """Filings whose table has a row for each figure given; all twelve derived metrics, each with the evidence of whatever it comes from."""
+    s = staged(views.statements(spark, sf_dir).where(_SOUND).withColumn("doc_id", F.concat_ws("-", F.col("company").cast("string"), F.col("fiscal_year").cast("string"))))
+    given = s.select("doc_id", *(F.expr(_GIVEN.get(m, "CAST(NULL AS DOUBLE)")).cast("double").alias(m) for m in vocab.STATEMENT_OF))
+    long = given.select("doc_id", F.explode(F.array(*(F.struct(F.lit(_SEQ[m]).cast("long").alias("obs_seq"), F.lit(vocab.STATEMENT_OF[m]).alias("statement"), F.lit(m).alias("metric"), F.col(m).alias("value")) for m in _GIVEN))).alias("o")).select("doc_id", "o.*").where("value is not null")
+    role = F.when(F.col("statement") == vocab.BALANCE, "point_in_time").otherwise("full_year")
+    seen = long.select(
+        "doc_id", "obs_seq", "statement", "metric", F.lit(1).alias("page"), F.lit(1).alias("table_index"), F.col("metric").alias("row_label"), F.lit("h").alias("column_header"), role.alias("column_role"),
+        F.lit(None).cast("int").alias("column_year"), F.lit(False).alias("is_comparison"), F.col("value").cast("string").alias("raw_value"), "value", F.lit("s").alias("snippet"),
+    )
+    spans = periods.periods(s.select("doc_id", "fiscal_year", F.lit("annual").alias("kind")))
+    docs = s.select("doc_id", F.lit("USD").alias("currency"), F.lit("million").alias("amount_unit"))
+    found = facts.build_facts(facts.derive(given), spans, seen, docs)[0]
+    return found.where(F.col("period_id").endswith("FY") | F.col("period_id").startswith("BS_")).select("doc_id", "metric", "is_derived", F.array_join("evidence_ids", ",").alias("ids"))
