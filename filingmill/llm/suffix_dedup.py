@@ -131,48 +131,64 @@ def _first_rows(batches: Iterator[pa.RecordBatch], length: int, core: int) -> It
 _KEYS = ["core", "whole", "doc_id", "version", "place", "low", "high"]
 
 
-def _cells(bytes_: pa.Array, low: np.ndarray, high: np.ndarray, length: int, width: int, most: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The rows' ranges (bytes_: all that their windows cover) cut at multiples of width: (row, core's rank, rank of all bytes, low, high, start, end of its bytes in the row)."""
-    column = bytes_.cast(pa.large_binary())
+def _buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts or byte strings of a column without nulls, and the offsets in them."""
+    column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-    hashes, at = Hashes(raw), offsets[:-1] - offsets[0] + high
-    for p in range(0, most + 1, width):
-        q = min(p + width - 1, most)
-        row = np.flatnonzero((low <= q) & (high >= p))
-        x, y, a = np.maximum(low[row], p), np.minimum(high[row], q), at[row]
-        core = mix(hashes.of(a - p, a - q + length) + np.uint64(p))
-        yield row, core, _with_shape(hashes.of(a - y, a - x + length), x, y), x, y, high[row] - y, high[row] - x + length
-
-
-def _cut(bytes_: pa.Array, batch: pa.RecordBatch, low: np.ndarray, high: np.ndarray, length: int, width: int, core: int) -> Iterator[pa.RecordBatch]:
-    if not len(bytes_):
-        return
-    values = bytes_.to_pylist()
-    for row, rank, whole, x, y, start, end in _cells(bytes_, low, high, length, width, length - core):
-        of = pa.array(row)
-        own = [] if width == 1 else [pa.array([values[r][s:e] for r, s, e in zip(row.tolist(), start.tolist(), end.tolist(), strict=True)], pa.binary())]
-        yield pa.RecordBatch.from_arrays([longs(rank), longs(whole), batch["doc_id"].take(of), batch["version"].take(of), batch["place"].take(of), pa.array(x, pa.int32()), pa.array(y, pa.int32()), *own], [*_KEYS, *["bytes"] * len(own)])
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets
+
+
+def _stretches(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of some stretches laid end to end, and their offsets."""
+    offsets = np.append(0, np.cumsum(ends - starts))
+    return raw[np.repeat(starts - offsets[:-1], ends - starts) + np.arange(offsets[-1])], offsets
+
+
+def _cut(raw: np.ndarray, offsets: np.ndarray, row: pa.RecordBatch, length: int, width: int, core: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of windows cut at multiples of `width` offsets. raw, offsets: all bytes that the windows of each row cover; row: doc_id, version, place, low, high."""
+    low, high = (row[c].to_numpy().astype(np.int64) for c in ("low", "high"))
+    hashes, at = Hashes(raw), offsets[:-1] + high
+    for p in range(0, length - core + 1, width):
+        q = min(p + width - 1, length - core)
+        some = np.flatnonzero((low <= q) & (high >= p))
+        if not len(some):
+            continue
+        x, y, a = np.maximum(low[some], p), np.minimum(high[some], q), at[some]
+        rank = mix(hashes.of(a - p, a - q + length) + np.uint64(p))
+        whole, of = _with_shape(hashes.of(a - y, a - x + length), x, y), pa.array(some)
+        own = []
+        if width > 1:
+            part, bounds = _stretches(raw, a - y, a - x + length)
+            own = [pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(part)])]
+        yield pa.RecordBatch.from_arrays([longs(rank), longs(whole), *(row[c].take(of) for c in ("doc_id", "version", "place")), pa.array(x, pa.int32()), pa.array(y, pa.int32()), *own], [*_KEYS, *["bytes"] * len(own)])
+
+
+#: Rows whose windows are cut at once.
+ROWS = 8192
 
 
 def _second_rows(batches: Iterator[pa.RecordBatch], length: int, core: int) -> Iterator[pa.RecordBatch]:
     """From texts with the places that are still open: the ranges of the second sort, each with its bytes."""
     for batch in batches:
-        for k in range(len(batch)):
-            text, open_ = batch["text"][k].as_buffer(), batch["open"][k].values
-            for lo in range(0, len(open_), 1024):
-                part = open_[lo : lo + 1024]
-                place, low, high = (part.field(c).to_numpy() for c in range(3))
-                own = pa.array([text[s:e].to_pybytes() for s, e in zip((place - high).tolist(), (place - low + length).tolist(), strict=True)], pa.binary())
-                one = pa.RecordBatch.from_arrays([pa.array([batch[c][k].as_py()] * len(part), batch[c].type) for c in ("doc_id", "version")] + [pa.array(place)], ["doc_id", "version", "place"])
-                yield from _cut(own, one, low.astype(np.int64), high.astype(np.int64), length, WIDTHS[0], core)
+        raw, offsets = _buffer(batch["text"])
+        open_ = batch["open"]
+        text = np.repeat(np.arange(len(batch)), np.diff(open_.offsets.to_numpy()))
+        place, low, high = open_.flatten().flatten()
+        for lo in range(0, len(text), ROWS):
+            some = slice(lo, lo + ROWS)
+            of, at = pa.array(text[some]), offsets[text[some]] + place.to_numpy()[some]
+            row = pa.RecordBatch.from_arrays([batch["doc_id"].take(of), batch["version"].take(of), *(c[some] for c in (place, low, high))], ["doc_id", "version", "place", "low", "high"])
+            own, bounds = _stretches(raw, at - row["high"].to_numpy(), at - row["low"].to_numpy() + length)
+            yield from _cut(own, bounds, row, length, WIDTHS[0], core)
 
 
 def _next_rows(batches: Iterator[pa.RecordBatch], length: int, width: int, core: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo in range(0, len(batch), 2048):
-            part = batch.slice(lo, 2048)
-            yield from _cut(part["bytes"], part, part["low"].to_numpy().astype(np.int64), part["high"].to_numpy().astype(np.int64), length, width, core)
+        for lo in range(0, len(batch), ROWS):
+            part = batch.slice(lo, ROWS)
+            raw, offsets = _buffer(part["bytes"])
+            yield from _cut(raw[offsets[0] : offsets[-1]], offsets - offsets[0], part, length, width, core)
 
 
 def _codes(column: pa.Array) -> np.ndarray:
