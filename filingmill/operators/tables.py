@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.dates import column_year
+from ..functions.names import spans, word_bounded
 from ..functions.numbers import parse_number, stripped
 from ..functions.text import contains_any, normalized_label
+from ..vocab import STATEMENT_OF
 
 TABLE = ["doc_id", "page", "table_index"]
 SEGMENT_WORDS = ["segment results", "all other segments", "reportable segments"]
@@ -58,20 +63,26 @@ def column_profiles(cells: DataFrame, documents: DataFrame) -> DataFrame:
 def label_metrics(labels: DataFrame, extra: list[str] = ()) -> DataFrame:
     """labels (lang, label) -> (lang, label, statement, metric) of the metrics that a row's label names.
 
-    English words count as whole words, Chinese ones anywhere; labels that a metric's blacklist has are out. The
-    vocabulary is broadcast (some hundred rows) and joined on the language, with the match as the rest of the condition;
-    labels are made distinct first, so their number doesn't grow with the tables.
+    English words count as whole words, Chinese ones anywhere; labels that a metric's blacklist has are out. Labels are made
+    distinct first, so their number doesn't grow with the tables; each is read once, for all words and blacklists together.
     """
-    spark = labels.sparkSession
     each = labels.select("lang", "label").distinct().withColumn("norm", normalized_label(F.col("label")))
-    words = F.broadcast(vocab.label_dim(spark).withColumn("word", normalized_label(F.col("label"))).select("lang", "statement", "metric", "word"))
-    bounded = F.concat(F.lit(" "), F.regexp_replace("norm", "[^a-z0-9]", " "), F.lit(" ")).contains(F.concat(F.lit(" "), F.regexp_replace("word", "[^a-z0-9]", " "), F.lit(" ")))
-    # a whole word, and as it is written
-    named = each.join(words, "lang").where(F.when(F.col("lang") == "en", F.col("norm").contains(F.col("word")) & bounded).otherwise(F.col("norm").contains(F.col("word"))))
-    not_words = F.broadcast(vocab.not_label_dim(spark))
-    out = named.select("lang", "label", "norm", "statement", "metric").distinct()
-    bad = out.join(not_words, "metric").where(F.col("norm").contains(F.col("token"))).select("lang", "label", "metric").distinct()
-    return out.join(bad, ["lang", "label", "metric"], "left_anti").select("lang", "label", "statement", "metric")
+    words = [(lang, STATEMENT_OF[m], m, w) for lang, by in vocab.LABELS.items() for m, ws in by.items() for w in ws]
+    barred = [(m, w) for m, ws in vocab.NOT_LABELS.items() for w in ws]
+    return each.mapInArrow(lambda batches: _named(batches, words, barred), "lang string, label string, statement string, metric string")
+
+
+def _named(batches: Iterator[pa.RecordBatch], words: list[tuple[str, str, str, str]], barred: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    names = (*(w for *_, w in words), *(w for _, w in barred))
+    for batch in batches:
+        rows = []
+        for lang, label, norm in zip(*(batch[c].to_pylist() for c in ("lang", "label", "norm")), strict=True):
+            hits = list(spans(norm, names)) if norm else []
+            bad = {barred[k - len(words)][0] for _, _, k, _ in hits if k >= len(words)}
+            own = [(start, end, words[k]) for start, end, k, _ in hits if k < len(words) and words[k][0] == lang]
+            rows += dict.fromkeys((lang, label, statement, m) for start, end, (_, statement, m, _) in own if m not in bad and (lang != "en" or word_bounded(norm, start, end)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["lang", "label", "statement", "metric"])
 
 
 def observations(cells: DataFrame, documents: DataFrame) -> DataFrame:

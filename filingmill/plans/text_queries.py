@@ -271,23 +271,38 @@ def win1_str6_flt8_best_candidate(spark, sf_dir):
     return candidates.best(docs).where("field = 'revenue'").select(F.col("doc_id").alias("o_orderkey"), "value", "score")
 
 
-_EN_NAMES = {"net_profit": "Net income", "gross_profit": "Gross profit", "operating_cost": "Cost of sales", "total_profit": "Profit before tax", "gross_margin": "Gross margin", "rd_expense": "R&D expense", "current_assets": "Total current assets", "inventory": "Inventories", "goodwill": "Goodwill", "total_liabilities": "Total liabilities", "short_term_debt": "Short-term borrowings", "operating_cash_flow": "Net cash from operating activities", "free_cash_flow": "Free cash flow", "dividend_per_share": "Dividend per share", "roe": "Return on equity", "current_ratio": "Current ratio"}
-_ZH_NAMES = {"revenue": "营业总收入", "operating_cost": "营业成本", "gross_profit": "毛利", "operating_profit": "营业利润", "total_profit": "利润总额", "net_profit_attributable_to_parent": "归母净利润", "interest_expense": "财务费用", "rd_expense": "研发费用", "total_assets": "资产总计", "cash_and_equivalents": "货币资金", "accounts_receivable": "应收账款", "inventory": "存货", "fixed_assets": "固定资产", "bonds_payable": "应付债券", "investing_cash_flow": "投资活动产生的现金流量净额", "capital_expenditure": "购建固定资产支付的现金", "eps_diluted": "稀释每股收益", "bps": "每股净资产", "debt_ratio": "资产负债率", "total_shares": "总股本"}
+#: A name for each of the 42 fields, by language, as filings print it.
+_EN_NAMES = {
+    "revenue": "Total revenue", "operating_cost": "Cost of sales", "gross_profit": "Gross profit", "operating_profit": "Profit from operations", "total_profit": "Profit before tax", "net_profit": "Net income",
+    "net_profit_attributable_to_parent": "Profit attributable to owners", "net_profit_deducted": "Net profit excluding non-recurring items", "interest_expense": "Finance costs", "rd_expense": "R&D expense", "gross_margin": "Gross profit margin",
+    "net_margin": "Net margin", "total_assets": "Total assets", "current_assets": "Total current assets", "cash_and_equivalents": "Cash and  cash equivalents", "accounts_receivable": "Trade receivables", "inventory": "Inventories",
+    "fixed_assets": "Property, plant and equipment", "goodwill": "GOODWILL", "intangible_assets": "Intangible assets", "total_liabilities": "Total liabilities", "current_liabilities": "Total current liabilities",
+    "short_term_debt": "Short-term borrowings", "long_term_debt": "Long-term borrowings", "bonds_payable": "Bonds payable", "total_equity": "Total equity", "equity_attributable_to_parent": "Equity attributable to owners of the parent",
+    "operating_cash_flow": "Net cash from operating activities", "investing_cash_flow": "Net cash used in investing activities", "financing_cash_flow": "Net cash used in financing activities", "capital_expenditure": "Capital expenditure",
+    "free_cash_flow": "Free cash flow", "eps": "Basic earnings per share", "eps_diluted": "Diluted earnings per share", "bps": "Net assets per share", "dividend_per_share": "Dividend per share", "roe": "Return on equity", "roa": "Return on assets",
+    "debt_ratio": "Gearing ratio", "current_ratio": "Current ratio", "quick_ratio": "Quick ratio", "total_shares": "Issued shares",
+}
+_ZH_NAMES = {
+    "revenue": "营业总收入", "operating_cost": "营业成本", "gross_profit": "毛利", "operating_profit": "营业利润", "total_profit": "利润总额", "net_profit": "净利润", "net_profit_attributable_to_parent": "归属于母公司股东的净利润",
+    "net_profit_deducted": "扣非净利润", "interest_expense": "利息支出", "rd_expense": "研发费用", "gross_margin": "毛利率", "net_margin": "净利率", "total_assets": "资产总计", "current_assets": "流动资产合计", "cash_and_equivalents": "货币资金",
+    "accounts_receivable": "应收账款", "inventory": "存货", "fixed_assets": "固定资产", "goodwill": "商誉", "intangible_assets": "无形资产", "total_liabilities": "负债合计", "current_liabilities": "流动负债合计", "short_term_debt": "短期借款",
+    "long_term_debt": "长期借款", "bonds_payable": "应付债券", "total_equity": "股东权益合计", "equity_attributable_to_parent": "归属于母公司所有者的权益", "operating_cash_flow": "经营活动产生的现金流量净额",
+    "investing_cash_flow": "投资活动产生的现金流量净额", "financing_cash_flow": "筹资活动产生的现金流量净额", "capital_expenditure": "购建固定资产支付的现金", "free_cash_flow": "自由现金流量", "eps": "基本每股收益", "eps_diluted": "稀释每股收益",
+    "bps": "每股净资产", "dividend_per_share": "每股股利", "roe": "加权平均净资产收益率", "roa": "总资产收益率", "debt_ratio": "资产负债率", "current_ratio": "流动比率", "quick_ratio": "速动比率", "total_shares": "总股本",
+}
 
 
 def _fields_sql(names: dict) -> str:
     of = ", ".join(f"({k}, '{m}')" for k, m in enumerate(names))
-    return f"SELECT o_orderkey, metric AS field, CAST(o_custkey % 90 + 1 AS DOUBLE) + k AS value FROM orders, (VALUES {of}) AS f(k, metric)"
+    return f"SELECT o_orderkey, metric AS field, CAST(o_custkey % 40 + 1 AS DOUBLE) + k AS value FROM orders, (VALUES {of}) AS f(k, metric)"
 
 
 def _fields(spark, sf_dir, names: dict, lang: str):
-    """A filing's text that names every field once, in its own line; the pattern of each field finds its own amount."""
+    """A filing's text that names every field once, in its own line; each field's best candidate is its own amount."""
     o = views.table(spark, sf_dir, "orders")
-    lines = [F.concat(F.lit(f"{name}: "), (F.col("o_custkey") % 90 + 1 + k).cast("string")) for k, name in enumerate(names.values())]
+    lines = [F.concat(F.lit(f"{name}: "), (F.col("o_custkey") % 40 + 1 + k).cast("string")) for k, name in enumerate(names.values())]
     docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"), F.lit(lang).alias("lang"))
-    hits = candidates.found(docs).where((F.col("pattern_lang") == lang) & F.col("field").isin(list(names)))
-    first = hits.groupBy("doc_id", "field").agg(F.min_by("value_text", F.struct("pattern_no", "start")).alias("v"))
-    return first.select(F.col("doc_id").alias("o_orderkey"), "field", F.col("v").cast("double").alias("value"))
+    return candidates.best(docs).select(F.col("doc_id").alias("o_orderkey"), "field", "value")
 
 
 @query(_fields_sql(_EN_NAMES))
@@ -300,6 +315,18 @@ def str7_chinese_fields(spark, sf_dir):
     return _fields(spark, sf_dir, _ZH_NAMES, "zh")
 
 
+@query(
+    "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 2 THEN 'revenue' ELSE 'net_profit' END AS field, CASE o_orderkey % 3 WHEN 2 THEN (o_custkey % 50 + 1) * 1000.0 ELSE CAST(5000000 + o_custkey AS DOUBLE) END AS value FROM orders"
+)
+def str7_amounts_past_notes_and_ahead(spark, sf_dir):
+    """A note's number between name and amount, with and without the name in two languages; an amount in words' units ahead of the name."""
+    o = views.table(spark, sf_dir, "orders")
+    big = F.format_number(F.col("o_custkey") + 5000000, 0)
+    body = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("Profit for the year 年內溢利 12 "), big)).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("Net profit 7 "), big)).otherwise(F.concat(F.lit("It had $"), (F.col("o_custkey") % 50 + 1).cast("string"), F.lit(" billion of revenue, as planned.")))
+    docs = o.select(F.col("o_orderkey").alias("doc_id"), body.alias("text"), F.lit("en").alias("lang"))
+    return candidates.best(docs).select(F.col("doc_id").alias("o_orderkey"), "field", "value")
+
+
 @query("SELECT o_orderkey, 'k: ' || o_custkey AS line, CASE o_orderkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1000.0 WHEN 2 THEN 0.001 ELSE 1.0 END::DOUBLE AS multiplier FROM orders")
 def str4_str5_lines_and_units(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders")

@@ -61,6 +61,37 @@ LABELS = {
     },
 }
 
+#: What running text calls fields, besides row labels; our own choice, in lower case.
+TEXT_NAMES = {
+    "en": {
+        "revenue": ["total revenue"], "operating_cost": ["cost of goods sold"], "operating_profit": ["operating income"], "total_profit": ["profit before taxation", "profit before income tax"],
+        "net_profit_deducted": ["net profit excluding non-recurring items"], "interest_expense": ["interest expenses"], "rd_expense": ["r&d expenses", "r&d expense"], "gross_margin": ["gross margin", "gross profit margin"],
+        "net_margin": ["net margin", "net profit margin"], "accounts_receivable": ["trade and notes receivables"], "fixed_assets": ["fixed assets"], "short_term_debt": ["short-term loans", "short-term debt"],
+        "long_term_debt": ["long-term loans", "long-term debt"], "total_equity": ["shareholders' equity", "shareholders’ equity"], "operating_cash_flow": ["net cash generated from operating activities", "cash generated from operating activities"],
+        "investing_cash_flow": ["net cash from investing activities"], "financing_cash_flow": ["net cash from financing activities"], "free_cash_flow": ["free cash flow"], "eps_diluted": ["diluted eps"],
+        "bps": ["book value per share"], "dividend_per_share": ["dividends per share"], "roa": ["return on assets", "return on total assets"], "debt_ratio": ["debt ratio", "gearing ratio"], "total_shares": ["issued shares", "outstanding shares"],
+    },
+    "zh": {
+        "operating_cost": ["营业总成本"], "total_profit": ["税前利润"], "net_profit_attributable_to_parent": ["归母净利润", "归属于上市公司股东的净利润"], "net_profit_deducted": ["扣除非经常性损益后的净利润", "扣除非经常性损益的净利润"],
+        "interest_expense": ["利息费用", "利息支出"], "rd_expense": ["研发支出"], "gross_margin": ["毛利率"], "net_margin": ["净利率"], "total_assets": ["总资产"], "cash_and_equivalents": ["现金及现金等价物"],
+        "total_liabilities": ["总负债"], "total_equity": ["股东权益合计"], "equity_attributable_to_parent": ["归母权益", "归属于母公司股东权益", "归属于母公司股东的权益", "归属于母公司所有者权益", "归属于母公司所有者的权益"],
+        "operating_cash_flow": ["经营活动现金流量净额"], "free_cash_flow": ["自由现金流量", "自由现金流"], "eps": ["每股收益"], "dividend_per_share": ["每股派息", "每股分红", "每股现金股利"], "roa": ["总资产收益率"], "debt_ratio": ["资产负债率"],
+    },
+}
+
+# Words near an amount that tell for it or against it: points, the field they count for (None: all), words.
+NEAR_POINTS = [
+    (2, None, ["rmb", "hkd", "usd", "million", "billion", "thousand"]),
+    (2, "revenue", [" revenue 收入", " total revenue ", "總收入"]),
+    (2, "net_profit", ["profit for the period", "profit for the year", "期內溢利", "年內溢利"]),
+    (-2, None, ["non-ifrs"]),
+    (-1, None, ["note", "附注"]),
+]
+# Sizes that tell for an amount: points, fields, least and greatest size.
+SIZE_POINTS = [(1, ["revenue", "total_assets", "total_liabilities", "total_equity"], 1000, None), (1, ["eps", "eps_diluted"], None, 20)]
+# A mark of thousands or decimals in the amount, and its points.
+MARK_POINTS = (1, "[,.]")
+
 # Labels that look like a metric's and aren't.
 NOT_LABELS = {
     "revenue": ["company sales", "other revenue", "other operating revenue", "excluding the impact of f/x", "deferred revenue", "unearned revenue", "interest revenue", "investment revenue", "franchise fees", "franchisee", "其他收益", "其他业务收入", "递延收入", "利息收入"],
@@ -120,13 +151,14 @@ def rows(spark: SparkSession, columns: dict[str, str], values: list[tuple]) -> D
     return spark.range(1).select(F.explode(F.array(*structs)).alias("r")).select("r.*")
 
 
-def label_dim(spark: SparkSession) -> DataFrame:
-    """(lang, statement, metric, label): at most some hundred rows."""
-    return rows(spark, {"lang": "string", "statement": "string", "metric": "string", "label": "string"}, [(lang, STATEMENT_OF[m], m, w) for lang, by in LABELS.items() for m, ws in by.items() for w in ws])
-
-
-def not_label_dim(spark: SparkSession) -> DataFrame:
-    return rows(spark, {"metric": "string", "token": "string"}, [(m, w) for m, ws in NOT_LABELS.items() for w in ws])
+def text_names() -> list[tuple[str, str, int, str]]:
+    """(language, field, place in the field's list, name): what an amount of running text may follow, row labels last."""
+    out = []
+    for lang, labels in LABELS.items():
+        for field in STATEMENT_OF:
+            names = dict.fromkeys([*TEXT_NAMES[lang].get(field, []), *labels.get(field, [])])
+            out += [(lang, field, k, name) for k, name in enumerate(names)]
+    return out
 
 
 def spec_dim(spark: SparkSession) -> DataFrame:
