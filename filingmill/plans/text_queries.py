@@ -294,15 +294,15 @@ _ZH_NAMES = {
 
 def _fields_sql(names: dict) -> str:
     of = ", ".join(f"({k}, '{m}')" for k, m in enumerate(names))
-    return f"SELECT o_orderkey, metric AS field, CAST(o_custkey % 40 + 1 AS DOUBLE) + k AS value FROM orders, (VALUES {of}) AS f(k, metric)"
+    return f"SELECT p_partkey, metric AS field, CAST(p_size % 40 + 1 AS DOUBLE) + k AS value FROM part, (VALUES {of}) AS f(k, metric)"
 
 
 def _fields(spark, sf_dir, names: dict, lang: str):
     """A filing's text that names every field once, in its own line; each field's best candidate is its own amount."""
-    o = views.table(spark, sf_dir, "orders")
-    lines = [F.concat(F.lit(f"{name}: "), (F.col("o_custkey") % 40 + 1 + k).cast("string")) for k, name in enumerate(names.values())]
-    docs = o.select(F.col("o_orderkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"), F.lit(lang).alias("lang"))
-    return candidates.best(docs).select(F.col("doc_id").alias("o_orderkey"), "field", "value")
+    p = views.table(spark, sf_dir, "part")
+    lines = [F.concat(F.lit(f"{name}: "), (F.col("p_size") % 40 + 1 + k).cast("string")) for k, name in enumerate(names.values())]
+    docs = p.select(F.col("p_partkey").alias("doc_id"), F.concat_ws("\n", *lines).alias("text"), F.lit(lang).alias("lang"))
+    return candidates.best(docs).select(F.col("doc_id").alias("p_partkey"), "field", "value")
 
 
 @query(_fields_sql(_EN_NAMES))
