@@ -21,7 +21,8 @@ from filingmill.llm.quality import quality_scores
 from filingmill.llm.queries import public_vocabulary
 from filingmill.staging import shared_folder
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: The similarity of near copies, on shingles of five words.
+NEAR = 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes repeated blocks of lines from later documents; one of which nothing is left goes."""
-    cut = line_dedup(docs)
+    """Deletes repeated blocks of lines from later documents; one of which nothing is left goes. Near copies of one document stay whole for the next stage, which drops them."""
+    cut = line_dedup(docs, near_copies=NEAR)
     left = cut.where((F.col("n_cut_lines") == 0) | (F.col("n_left_words") > 0))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("n_cut_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
@@ -40,7 +41,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of near-duplicates."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_duplicates(docs, percent=round(100 * NEAR)).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 

@@ -35,6 +35,8 @@ from .common import longs, mix, only, small_batches, small_or_shuffled, staged,
 
 #: Repeated words in a row from which a passage meets an earlier document that holds it, wherever its lines end.
 SPAN_WORDS = 50
+#: Words of the shingles by which near copies are told.
+SHINGLE = 5
 _BREAK = re.compile(r"(\n|(?<=[.!?]) )")
 _WORDS = re.compile(r"[^ \t\n\v\f\r]+")
 #: Bytes of ranges and neighbouring words up to which they may be broadcast.
@@ -136,7 +138,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[
             again[order[np.append(True, (np.diff(text[order]) != 0) | (np.diff(runs[order]) != 0))[: len(s)]]] = False
             at = pa.array(np.searchsorted(s, first), pa.int32())
             lists = [pa.ListArray.from_arrays(at, x) for x in (longs(runs), pa.array(s - first[text], pa.int32()), pa.array(again))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("version").slice(lo, hi - lo), *lists], names=["doc_id", "version", "run", "start", "again"])
+            names = ["doc_id", "version", "words", "run", "start", "again"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), batch.column("version").slice(lo, hi - lo), pa.array(np.diff(first), pa.int32()), *lists], names=names)
 
 
 def joined_blocks(doc: np.ndarray, mate: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -195,7 +198,7 @@ def _open_ends(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.
     return (reach < base + start) & (start > 0), least > base + end
 
 
-_BLOCK = "struct<start:int,end:int,first:bigint,first_row:bigint,at:int,moved:boolean,left:boolean,right:boolean>"
+_BLOCK = "struct<start:int,end:int,first:bigint,first_row:bigint,first_words:int,at:int,moved:boolean,left:boolean,right:boolean>"
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
@@ -203,7 +206,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
         hits = batch.column("hits")
         sizes = hits.value_lengths().to_numpy(zero_copy_only=False)
         x = hits.flatten()
-        first, first_row, start, at = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "first_row", "start", "at"))
+        first, first_row, first_words, start, at = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("first", "first_row", "first_words", "start", "at"))
         rows, one, mate = np.unique(first_row, return_index=True, return_inverse=True)
         doc, mate, start, end, at = joined_blocks(np.repeat(np.arange(len(sizes)), sizes), mate.reshape(-1), start, start + min_words, at)
         left, right = _open_ends(doc, start, end)
@@ -214,7 +217,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.Re
             if b - a > 1:
                 some = order[a:b]
                 moved[some] = ~np.array(patience(list(zip(start[some].tolist(), end[some].tolist(), at[some].tolist(), strict=True))))
-        fields = {"start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "first": pa.array(first[one][mate]), "first_row": pa.array(rows[mate]), "at": pa.array(at, pa.int32()), "moved": pa.array(moved), "left": pa.array(left & (at > 0)), "right": pa.array(right)}
+        fields = {"start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "first": pa.array(first[one][mate]), "first_row": pa.array(rows[mate]), "first_words": pa.array(first_words[one][mate], pa.int32()), "at": pa.array(at, pa.int32()), "moved": pa.array(moved), "left": pa.array(left & (at > 0)), "right": pa.array(right)}
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "version", "row")), lists], names=["doc_id", "version", "row", "blocks"])
 
@@ -247,14 +250,14 @@ def line_blocks(docs: DataFrame, min_words: int) -> DataFrame:
     which word a block may grow, to which side, and the hashes of the earlier document's words there.
     """
     keyed = docs.where("doc_id is not null and text is not null").select("doc_id", "text", F.xxhash64("text").alias("version"))
-    kept = keyed.mapInArrow(partial(_anchor_rows, min_words=min_words), "doc_id long, version long, run array<long>, start array<int>, again array<boolean>")
+    kept = keyed.mapInArrow(partial(_anchor_rows, min_words=min_words), "doc_id long, version long, words int, run array<long>, start array<int>, again array<boolean>")
     kept = staged(kept.withColumn("row", F.monotonically_increasing_id()))
-    each = kept.select("doc_id", "row", F.explode(F.arrays_zip("run", "start", "again")).alias("x")).select("doc_id", "row", "x.*")
+    each = kept.select("doc_id", "row", "words", F.explode(F.arrays_zip("run", "start", "again")).alias("x")).select("doc_id", "row", "words", "x.*")
     # all of one width, so that hashing adds them up; a text has a run once here, so its place is one
-    firsts = each.where("not again").groupBy("run").agg(F.min("doc_id").alias("first"), F.min_by("row", "doc_id").alias("first_row"), F.min_by("start", "doc_id").alias("at"), F.count("*").alias("n")).where("n > 1")
-    firsts = staged(firsts.select("run", "first", "first_row", "at"))  # so that the join with a common run's rows can be split
+    firsts = each.where("not again").groupBy("run").agg(F.min("doc_id").alias("first"), F.min_by("row", "doc_id").alias("first_row"), F.min_by("words", "doc_id").alias("first_words"), F.min_by("start", "doc_id").alias("at"), F.count("*").alias("n")).where("n > 1")
+    firsts = staged(firsts.select("run", "first", "first_row", "first_words", "at"))  # so that the join with a common run's rows can be split
     hits = each.select("run", "row", "start").join(firsts, "run").where("row <> first_row")
-    hits = hits.groupBy("row").agg(F.collect_list(F.struct("first", "first_row", "start", "at")).alias("hits"))
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("first", "first_row", "first_words", "start", "at")).alias("hits"))
     hits = hits.join(kept.select("row", "doc_id", "version"), "row").withColumn("hits", F.filter("hits", lambda x: x["first"] < F.col("doc_id"))).where("size(hits) > 0")
     found = hits.dropDuplicates(["doc_id", "version"]).mapInArrow(partial(_blocks, min_words=min_words), f"doc_id long, version long, row long, blocks array<{_BLOCK}>")
     found = staged(found)
@@ -347,33 +350,68 @@ def without(text: str, cuts: list[tuple[int, ...]]) -> str:
     return "\n".join(out)
 
 
+def spared(blocks: list[dict], more: list[tuple[int, int]], n: int, similar: float, passage: int) -> list[tuple[int, int]]:
+    """The word ranges to cut of a text of n words: all of them, unless what is left is that of a near copy. more: ranges by which blocks grow.
+
+    A near copy shares at least `similar` of its SHINGLE-word shingles, and of its first holder's, with one earlier text, but for what
+    others had first, and has nowhere `passage` words in a row of its own. It keeps what it shares with that text, so that near-duplicate
+    detection meets it whole; else the words that differ would stay by themselves.
+    """
+    everything = _union([*((b["start"], b["end"]) for b in blocks), *more])
+    cut = sum(e - s for s, e in everything)
+    between = zip([0, *(e for _, e in everything)], [*(s for s, _ in everything), n], strict=True)
+    if not similar or cut >= n or any(s - e >= passage for e, s in between):
+        return everything
+    own: dict[int, list[dict]] = {}
+    for b in blocks:
+        own.setdefault(b["first_row"], []).append(b)
+    mate = max(own.values(), key=lambda held: (sum(e - s for s, e in _union((b["start"], b["end"]) for b in held)), -held[0]["first"]))
+    touching = lambda held: _union([*(r := [(b["start"], b["end"]) for b in held]), *(m for m in more if any(m[0] <= e and m[1] >= s for s, e in r))])
+    shared = touching(mate)
+    n_shared = sum(e - s for s, e in shared)
+    elsewhere, grams = cut - n_shared, sum(max(0, e - s - SHINGLE + 1) for s, e in shared)
+    sides = n - elsewhere + max(mate[0]["first_words"] - elsewhere, n_shared) - 2 * (SHINGLE - 1)
+    if not grams or grams < similar * (sides - grams):
+        return everything
+    return touching([b for b in blocks if b["first_row"] != mate[0]["first_row"]]) if len(own) > 1 else []
+
+
 _COUNTS = ("n_cut_lines", "n_cut_words", "n_moved_words", "n_left_words")
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)]))
-def _cut(texts: pd.Series, blocks: pd.Series, ends: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, held, near in zip(texts, blocks, ends, strict=True):
-        if text is None or held is None:
-            rows.append((text, 0, 0, 0, None))
-            continue
-        raw = np.frombuffer(text.encode(), np.uint8)
-        words = _small_hashes(word_hashes(raw, np.array([0, len(raw)]), "blank")[0])
-        more = grown(words, ((x["word"], x["behind"], x["near"]) for x in (near if near is not None else ())))
-        moved = sum(e - s for s, e in _union((b["start"], b["end"]) for b in held if b["moved"]))
-        counts = [len(_WORDS.findall(x)) for x in _BREAK.split(text)[::2]]
-        cuts = in_lines([*((b["start"], b["end"]) for b in held), *more], counts)
-        gone = sum(c["words"] for c in cuts)
-        rows.append((without(text, [(c["start"], c["end"], c["head"], c["tail"]) for c in cuts]), sum(c["end"] - c["start"] for c in cuts), gone, moved, sum(counts) - gone))
-    return pd.DataFrame(rows, columns=["text", *_COUNTS]).astype({"text": object, "n_left_words": "Int64"})
-
-
-def line_dedup(docs: DataFrame, min_words: int = 30, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+_CUT = T.StructType([T.StructField("text", T.StringType()), *(T.StructField(c, T.LongType()) for c in _COUNTS)])
+
+
+def _cutter(similar: float, passage: int):
+    """The deletion as a column function."""
+
+    @F.pandas_udf(_CUT)
+    def cut(texts: pd.Series, blocks: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text, held, near in zip(texts, blocks, ends, strict=True):
+            if text is None or held is None:
+                rows.append((text, 0, 0, 0, None))
+                continue
+            raw = np.frombuffer(text.encode(), np.uint8)
+            words = _small_hashes(word_hashes(raw, np.array([0, len(raw)]), "blank")[0])
+            more = grown(words, ((x["word"], x["behind"], x["near"]) for x in (near if near is not None else ())))
+            counts = [len(_WORDS.findall(x)) for x in _BREAK.split(text)[::2]]
+            going = spared(list(held), more, sum(counts), similar, passage)
+            moved = sum(min(e, b) - max(s, a) for s, e in _union((b["start"], b["end"]) for b in held if b["moved"]) for a, b in going if a < e and s < b)
+            cuts = in_lines(going, counts)
+            gone = sum(c["words"] for c in cuts)
+            rows.append((without(text, [(c["start"], c["end"], c["head"], c["tail"]) for c in cuts]) if cuts else text, sum(c["end"] - c["start"] for c in cuts), gone, moved, sum(counts) - gone if cuts else None))
+        return pd.DataFrame(rows, columns=["text", *_COUNTS]).astype({"text": object, "n_left_words": "Int64"})
+
+    return cut
+
+
+def line_dedup(docs: DataFrame, min_words: int = 30, broadcast_bytes: int = BROADCAST_BYTES, near_copies: float = 0.0) -> DataFrame:
     """docs (doc_id, text and any others) with `text` less the deleted lines and words, and n_cut_lines (each block's lines, those cut in part included), n_cut_words, n_moved_words (of these in blocks out of order), n_left_words (null if nothing went) and earlier, the documents that it was aligned with if anything went.
 
     Documents are in the order of doc_id; the first holder of a run keeps it. Lines (see above) are compared by their
     words, without regard to the case of A-Z or white space; deleted blocks have min_words words or more. Equal 64-bit
-    hashes count as equal runs.
+    hashes count as equal runs. near_copies, if not 0: texts that share so much with one earlier text, but not all, keep it (see spared).
 
     Null text stays null, an empty one empty. Rows with a null doc_id, and rows of one doc_id among each other, aren't
     compared; of the texts of a repeated doc_id the one with the smallest hash stands for it as the first holder of a run.
@@ -388,8 +426,8 @@ def line_dedup(docs: DataFrame, min_words: int = 30, broadcast_bytes: int = BROA
     found = found.select(F.col("doc_id").alias("_cut_id"), F.col("version").alias("_cut_version"), F.col("blocks").alias("_blocks"), F.col("ends").alias("_ends"))
     held = docs.join(found, (docs["doc_id"] == F.col("_cut_id")) & (F.xxhash64(docs["text"]) == F.col("_cut_version")), "left")
     some = F.col("_blocks").isNotNull()
-    held = held.withColumn("_cut", _cut(F.when(some, F.col("text")), F.transform("_blocks", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), b["moved"].alias("moved"))), F.col("_ends")))
+    held = held.withColumn("_cut", _cutter(near_copies, min_words)(F.when(some, F.col("text")), F.transform("_blocks", lambda b: F.struct(*(b[c].alias(c) for c in ("start", "end", "first", "first_row", "first_words", "moved")))), F.col("_ends")))
     earlier = F.array_sort(F.array_distinct(F.transform("_blocks", lambda b: b["first"])))
     number = lambda c: F.coalesce(F.col(f"_cut.{c}"), F.lit(0).cast("long"))
-    out = held.withColumns({"text": F.when(some, F.col("_cut.text")).otherwise(F.col("text")), **{c: number(c) for c in own[:3]}, "n_left_words": F.when(some, F.col("_cut.n_left_words")), "earlier": F.coalesce(earlier, F.array().cast("array<long>"))})
+    out = held.withColumns({"text": F.when(some, F.col("_cut.text")).otherwise(F.col("text")), **{c: number(c) for c in own[:3]}, "n_left_words": F.when(some, F.col("_cut.n_left_words")), "earlier": F.coalesce(F.when(F.col("_cut.n_cut_words") > 0, earlier), F.array().cast("array<long>"))})
     return out.select(*docs.columns, *own)

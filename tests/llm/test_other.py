@@ -330,6 +330,19 @@ def test_what_stands_nowhere_else_stays_in_the_pipeline(spark):
     assert {x["doc_id"]: x["text"] for x in corpus_pipeline.lines(spark, docs, "").collect()} == {1: shared, 2: own}
 
 
+def test_near_copies_are_spared():
+    from filingmill.llm.line_dedup import spared
+
+    block = lambda start, end, row=1, words=100: {"start": start, "end": end, "first": row, "first_row": row, "first_words": words}
+    near = [block(0, 40), block(41, 100)]
+    assert spared(near, [], 100, 0.8, 30) == [] and spared(near, [], 100, 0.0, 30) == [(0, 40), (41, 100)]
+    assert spared(near, [(40, 41)], 100, 0.8, 30) == [(0, 100)]  # an exact copy goes
+    assert spared([block(0, 100, words=100)], [], 130, 0.5, 30) == [(0, 100)]  # a passage of its own
+    assert spared([block(0, 90, words=5000)], [], 100, 0.8, 30) == [(0, 90)]  # a part of a long text is no near copy
+    others = [block(0, 60, 2, 500), block(60, 115), block(117, 160)]  # what a third text has first goes all the same
+    assert spared(others, [], 160, 0.8, 30) == [(0, 60)]
+
+
 def test_every_query_is_registered():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and oracles.CHAT
