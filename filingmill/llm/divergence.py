@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import only, small_or_shuffled, staged, text_chunks
+from .common import only, small_batches, small_or_shuffled, staged, text_chunks
 
 #: Bytes of text that are split at once, and bytes whose terms are added up before they leave the task.
 PIECE_BYTES, BLOCK_BYTES = 1 << 20, 16 << 20
@@ -201,7 +201,7 @@ def source_divergence(docs: DataFrame, min_docs: int = 30, top: int = 50) -> Dat
     A document without terms still makes its group, and a group alone in its language has no pairs. Texts are read whole, a
     piece at a time. Other columns, whatever their names, aren't read. No rows: no rows.
     """
-    docs = only(docs, "doc_id", "lang", "source", "text")
+    docs = only(small_batches(docs), "doc_id", "lang", "source", "text")
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")), F.col("doc_id").cast("string").alias("document"))
     kept = staged(kept_terms(docs, min_docs))
 

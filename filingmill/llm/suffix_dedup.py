@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import longs, mix, only, released, small_or_shuffled, staged, text_chunks, written
+from .common import longs, mix, only, released, small_batches, small_or_shuffled, staged, text_chunks, written
 
 #: Bytes of the first cores. Fewer: fewer rows in the first sort, more in the others.
 CORE = 32
@@ -364,7 +364,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, with_bytes: bool = True) ->
     doc_id and text are one document, and each gets its result; rows that share only the doc_id come in order of their texts'
     hashes. Long texts are hashed piece by piece. Other columns, whatever their names, aren't read. No rows: no rows.
     """
-    docs = only(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = only(small_batches(docs), "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     named = docs.select("doc_id", F.xxhash64("text").alias("h"))
     several = staged(named.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select(F.col("doc_id").alias("_several")))
     docs = docs.withColumn("version", F.lit(0).cast("long"))
