@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import staged
+
 SORTS = ["download_time", "announcement_date", "report_year"]
 #: Fields that a new copy of a known file overwrites where it has a value.
 REFRESHED = ["stock_code", "stock_name", "market", "report_type", "report_year", "report_quarter", "announcement_date", "original_title", "source_url", "source_name", "metadata_json"]
@@ -57,18 +59,22 @@ def add(registry: DataFrame, incoming: DataFrame, as_of: str) -> DataFrame:
     return kept.unionByName(added.select(*(F.col(c).cast(registry.schema[c].dataType).alias(c) for c in registry.columns)))
 
 
-def with_ranks(df: DataFrame, order: str, width: int = 100_000) -> DataFrame:
-    """df with rank: 1, 2, ... in the order of a long column without repeats, without sorting it all in one task.
+def with_ranks(df: DataFrame, *order: str, width: int | None = None) -> DataFrame:
+    """df with rank: 1, 2, ... in the order of columns that together don't repeat. width: rows of a range, if not as many ranges as shuffles have partitions.
 
-    Rows are ranked inside ranges of `width` values; a table of the ranges' counts, small beside the rows, gives each its start.
+    Rows are dealt to ranges by sampled quantiles and sorted within them; a row's place in its range and the counts of the
+    ranges before, one number for each partition, make its rank.
     """
-    from pyspark.sql import Window
-
-    ranged = df.withColumn("_range", F.floor(F.col(order) / width))
-    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))).select("_range", F.coalesce("_before", F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return ranged.withColumn("_inside", inside).join(before, "_range").withColumn("rank", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+    at = F.monotonically_increasing_id()  # the partition's number above its rows' places
+    ranges = [max(1, -(-df.count() // width))] if width else []
+    ranged = staged(df.repartitionByRange(*ranges, *order).sortWithinPartitions(*order).withColumn("_at", at))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    before, done = [], 0
+    for row in sorted(ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        before.append((row["part"], done))
+        done += row["n"]
+    starts = F.broadcast(df.sparkSession.createDataFrame(before, "_part long, _before long"))
+    return ranged.withColumn("_part", part).join(starts, "_part").withColumn("rank", F.col("_before") + place + 1).drop("_part", "_before", "_at")
 
 
 def mark_unavailable(registry: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,14 +114,28 @@ def stats(registry: DataFrame) -> DataFrame:
     return registry.where("is_available").agg(F.count("*").alias("total"), *by("market", ["CN", "HK", "US"]), *by("report_type", ["annual", "semi_annual", "quarterly"]))
 
 
-def collection_stats(log: DataFrame, downloaded: Column, group_columns: list[str], size: str) -> DataFrame:
-    """(dimension, key, n): totals, downloads, bytes and megabytes in hundredths, and the counts of each group column."""
-    total = log.agg(F.count("*").alias("all"), F.count_if(downloaded).alias("downloaded"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
-    total = total.withColumn("megabytes_x100", F.floor(F.col("bytes") * 100.0 / 1048576 + 0.5).cast("long"))
-    out = total.unpivot([F.lit("total").alias("dimension")], ["all", "downloaded", "bytes", "megabytes_x100"], "key", "n")
-    for c in group_columns:
-        out = out.unionByName(log.groupBy(F.col(c).cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit(c).alias("dimension"), "key", "n"))
-    return out
+def collection_stats(log: DataFrame, downloaded: Column, group_columns: list[str], size: str, domains: dict[str, list[str]] | None = None) -> DataFrame:
+    """(dimension, key, n): totals, downloads, bytes and megabytes in hundredths, and the counts of each group column; one scan, by grouping sets.
+
+    domains: keys by group column that are listed whether they occur or not.
+    """
+    named = log.select(*(F.col(c).cast("string").alias(c) for c in group_columns), F.coalesce(downloaded, F.lit(False)).alias("_downloaded"), F.col(size).alias("_size"))
+    level = F.grouping_id(*group_columns) if group_columns else F.lit(0)
+    sums = [level.alias("_level"), F.count("*").alias("all"), F.count_if("_downloaded").alias("downloaded"), F.coalesce(F.sum("_size"), F.lit(0)).cast("long").alias("bytes")]
+    sets = named.groupingSets([[], *([c] for c in group_columns)], *group_columns).agg(*sums) if group_columns else named.agg(*sums)
+    everything = (1 << len(group_columns)) - 1
+    of = {everything ^ (1 << len(group_columns) - 1 - k): c for k, c in enumerate(group_columns)}
+    pair = lambda dimension, key, n: F.struct(F.lit(dimension).alias("dimension"), key.alias("key"), n.alias("n"))
+    total = {"all": F.col("all"), "downloaded": F.col("downloaded"), "bytes": F.col("bytes"), "megabytes_x100": F.floor(F.col("bytes") * 100.0 / 1048576 + 0.5).cast("long")}
+    lines = F.array(*(pair("total", F.lit(k), n) for k, n in total.items()))
+    for number, c in of.items():
+        lines = F.when(F.col("_level") == number, F.array(pair(c, F.col(c), F.col("all")))).otherwise(lines)
+    out = sets.select(F.explode(lines).alias("x")).select("x.*")
+    listed = [(c, k) for c, ks in (domains or {}).items() for k in ks]
+    if not listed:
+        return out
+    zeros = log.sparkSession.createDataFrame(listed, "dimension string, key string").withColumn("n", F.lit(0).cast("long"))
+    return out.unionByName(zeros).groupBy("dimension", "key").agg(F.sum("n").alias("n"))
 
 
 def most_recent(log: DataFrame, time: str, key: str, n: int = 5) -> DataFrame:

@@ -46,3 +46,9 @@ def released(*tables: DataFrame) -> None:
         for at in {re.match("(.*/table-[0-9a-f]{32})/", file)[1] for file in table.inputFiles()}:
             path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
             path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder, wherever Spark's paths lead."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
