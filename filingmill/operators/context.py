@@ -49,10 +49,10 @@ def read_payloads(cache: DataFrame, ddl: str) -> DataFrame:
     return cache.withColumn("parsed", F.from_json(F.coalesce("payload", F.lit("{}")), ddl))
 
 
-#: Our own names of dealings with related parties, by total.
+# What dealings with related parties are called, by total; parts may be joined by a slash instead.
 RELATED = {
-    "total_sales": ["向关联方销售", "向关联方提供劳务", "销售商品、提供劳务", "销售商品/提供劳务", "关联销售"],
-    "total_purchases": ["向关联方采购", "向关联方接受劳务", "采购商品、接受劳务", "采购商品/接受劳务", "关联采购"],
+    "total_sales": ["向关联方销售", "向关联方提供劳务", "销售商品、提供劳务", "关联销售"],
+    "total_purchases": ["向关联方采购", "向关联方接受劳务", "采购商品、接受劳务", "关联采购"],
     "total_receivables": ["应收关联方", "关联方应收款"],
     "total_payables": ["应付关联方", "关联方应付款"],
 }
@@ -65,7 +65,7 @@ def related_totals(documents: DataFrame) -> DataFrame:
     amount = r"([0-9][0-9,，]*(?:\.[0-9]+)?)"
 
     def total(names: list[str]) -> Column:
-        behind = F.regexp_extract_all("text", F.lit(rf"(?:{'|'.join(names)})[^0-9\n。；]{{0,{RELATED_WITHIN}}}{amount}"), F.lit(1))
+        behind = F.regexp_extract_all(F.translate("text", "/", "、"), F.lit(rf"(?:{'|'.join(names)})[^0-9\n。；]{{0,{RELATED_WITHIN}}}{amount}"), F.lit(1))
         return F.get(F.filter(F.transform(behind, parse_number), lambda v: v.isNotNull()), 0)
 
     return documents.withColumns({name: total(names) for name, names in RELATED.items()})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ledger_queries, registry_queries, text_queries  # noqa: F401  they register themselves
+from . import ledger_queries, mechanism_queries, registry_queries, text_queries  # noqa: F401  they register themselves
 from .catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

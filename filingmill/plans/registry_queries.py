@@ -280,16 +280,6 @@ def src15_daily_requests(spark, sf_dir):
     return F.broadcast(days).join(twice, "day", "right").where("until is not null").unionByName(days.join(twice, "day", "left_anti").withColumn("event_id", F.lit(None).cast("bigint"))).agg(F.count("*").alias("requests"), F.countDistinct("event_id").alias("events"))
 
 
-@query("SELECT CAST(n AS INTEGER) AS slice_no, strftime(DATE '2024-01-01' + CAST(n * 30 AS INTEGER), '%Y-%m-%d') AS start_date, strftime(least(DATE '2024-01-01' + CAST(n * 30 + 29 AS INTEGER), DATE '2024-12-31'), '%Y-%m-%d') AS end_date FROM range(0, 13) r(n)")
-def src16_slices(spark, sf_dir):
-    return announcements.slices(spark, "2024-01-01", "2024-12-31").select("slice_no", F.date_format("start_date", "yyyy-MM-dd").alias("start_date"), F.date_format("end_date", "yyyy-MM-dd").alias("end_date"))
-
-
-@query("SELECT language, headline FROM (VALUES ('EN'), ('ZH')) a(language), (VALUES ('quarterly'), ('results announcement')) b(headline)")
-def src6_search_requests(spark, sf_dir):
-    return announcements.search_requests(spark, ["EN", "ZH"], ["quarterly", "results announcement"])
-
-
 @query(f"WITH {REGISTRY} SELECT id, CAST(c_nationkey AS INTEGER) AS internal_id FROM registry LEFT JOIN customer ON stock_code = lpad(CAST(c_custkey AS VARCHAR), 6, '0') AND c_custkey % 3 = 0")
 def src10_jon5_internal_ids(spark, sf_dir):
     dim = views.table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("code"), F.col("c_nationkey").alias("internal_id"))

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..operators.merge import insert_ignore
+from ..staging import exists
 
 
 def polled(spark: SparkSession, folder: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
@@ -28,24 +29,23 @@ def counts(feed: DataFrame, time: str, group: str, window: str = "1 day", delay:
     return feed.withWatermark(time, delay).groupBy(F.window(time, window), group).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), group, "n")
 
 
-def append_new(feed: DataFrame, table: str, key: str, seq: str, checkpoint: str) -> StreamingQuery:
-    """Appends to a Parquet table, batch by batch, the rows whose key it doesn't hold yet; for keys without a time to expire them by.
+def append_new(feed: DataFrame, table: str, key: str, seq: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
+    """Appends to a Parquet table, batch by batch, the rows whose key it doesn't hold yet; for keys without a time to expire them by (else see keyed.first_arrivals).
 
-    Each batch writes a folder of its own, and writes it anew if it is run again after a failure.
+    The table lies in folders by batch and by key_bucket, the key's hash, so a batch reads the keys of its own buckets only. Each batch
+    writes a folder of its own, and writes it anew if it is run again after a failure.
     """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        reader = spark.read.schema(batch.schema)
-        stored = reader.option("recursiveFileLookup", "true").parquet(table) if _exists(spark, table) else spark.createDataFrame([], batch.schema)
-        own = f"{table}/batch={number}"
-        if _exists(spark, own):
-            stored = stored.where(~F.input_file_name().contains(f"/batch={number}/"))
-        insert_ignore(stored, batch, [key], seq).write.mode("overwrite").parquet(own)
+        rows = batch.withColumn("key_bucket", bucket)
+        stored = spark.createDataFrame([], batch.schema)
+        if exists(spark, table):
+            touched = [r["key_bucket"] for r in rows.select("key_bucket").distinct().collect()]
+            layout = StructType([*batch.schema, StructField("batch", LongType()), StructField("key_bucket", IntegerType())])
+            stored = spark.read.schema(layout).parquet(table).where(F.col("key_bucket").isin(touched) & (F.col("batch") != number))
+        fresh = insert_ignore(stored, rows, [key], seq)
+        fresh.repartition("key_bucket").write.mode("overwrite").partitionBy("key_bucket").parquet(f"{table}/batch={number}")
 
     return feed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
