@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import intervals, similar
+from .. import vocab
+from ..operators import facts, intervals, periods, similar, tables
 from ..operators.bucketed import Bucketed
 from ..sources import announcements, paged, passes
-from ..staging import shared_folder
+from ..staging import shared_folder, staged
 from ..streaming import keyed
 from . import views
 from .catalog import query
@@ -156,3 +157,91 @@ def stm4_cached_versions(spark, sf_dir):
         F.when(F.col("event_type") == "signup", F.concat(F.lit("p"), F.col("event_id").cast("string"))).alias("payload"),
     )
     return _streamed(spark, e, e.schema, keyed.cached_lookups).select("file_hash", "seq", "hit", "payload")
+
+
+_SOUND = "revenue > operating_cost AND operating_cost > 1 AND net_profit > 1"
+
+
+def _filings(spark, sf_dir):
+    """(doc_id, fiscal_year, lang, currency, amount_unit and the figures), a filing for each customer's year, twenty years on."""
+    s = views.statements(spark, sf_dir).where(_SOUND)
+    return s.select(F.concat_ws("-", "company", "fiscal_year").alias("doc_id"), (F.col("fiscal_year") + 20).alias("fiscal_year"), F.lit("en").alias("lang"), F.lit("USD").alias("currency"), F.lit("million").alias("amount_unit"), "revenue", "operating_cost", "net_profit")
+
+
+def _cells(filings):
+    """Three tables a filing: an income statement with a comparison column, a barred label and an amount under 1, a segment table, and one that nothing classifies."""
+    year, before = (F.concat(F.lit("Year ended "), (F.col("fiscal_year") - k).cast("string")) for k in (0, 1))
+    n = lambda c: F.format_number(c, 0)
+    blank = F.lit("")
+    income = [
+        [F.lit("Income statement"), year, before], [blank, blank, blank], [blank, blank, blank], [F.lit("Revenue"), n(F.col("revenue")), n(F.col("revenue") + 7)], [F.lit("Cost of sales"), n(F.col("operating_cost")), blank],
+        [F.lit("Deferred revenue"), F.lit("5"), F.lit("6")], [F.lit("Gross profit"), F.lit("0.3"), blank], [F.lit("Net income"), n(F.col("net_profit")), n(F.col("net_profit") + 1)],
+    ]
+    shares = [[F.lit("Per share data"), year, before], [blank], [blank], [F.lit("Earnings per share"), F.lit("0.5"), F.lit("0.4")]]
+    segments = [[F.lit("Reportable segments"), year], [F.lit("Revenue"), F.lit("999,999,999")]]
+    cells = [F.struct(F.lit(page).alias("page"), F.lit(1).alias("table_index"), F.lit(r).alias("row_no"), F.lit(c).alias("col_no"), cell.alias("cell")) for page, rows in ((1, income), (2, segments), (3, shares)) for r, row in enumerate(rows) for c, cell in enumerate(row)]
+    return filings.select("doc_id", F.explode(F.array(*cells)).alias("x")).select("doc_id", "x.*")
+
+
+_FILINGS = f"WITH {views.STATEMENTS}, g AS (SELECT company || '-' || fiscal_year AS doc_id, fiscal_year + 20 AS y, revenue, operating_cost AS cost, net_profit AS np FROM statements WHERE {_SOUND})"
+
+
+@query(
+    f"""{_FILINGS} SELECT doc_id, metric, seq AS obs_seq, 'full_year' AS column_role, CAST(y - older AS INTEGER) AS column_year, older = 1 AS is_comparison, value FROM (SELECT doc_id, y, 'revenue' AS metric, 1 AS seq, 0 AS older, revenue AS value FROM g UNION ALL SELECT doc_id, y, 'revenue', 2, 1, revenue + 7 FROM g
+UNION ALL SELECT doc_id, y, 'operating_cost', 1, 0, cost FROM g UNION ALL SELECT doc_id, y, 'net_profit', 1, 0, np FROM g UNION ALL SELECT doc_id, y, 'net_profit', 2, 1, np + 1 FROM g UNION ALL SELECT doc_id, y, 'eps', 1, 0, 0.5 FROM g UNION ALL SELECT doc_id, y, 'eps', 2, 1, 0.4 FROM g)"""
+)
+def jon8_flt10_flt11_dat6_str8_observations(spark, sf_dir):
+    """What the tables of filings give: roles and years of columns, segment tables, barred labels and small amounts left out."""
+    f = _filings(spark, sf_dir)
+    seen = tables.observations(_cells(f), f)
+    return seen.select("doc_id", "metric", F.col("obs_seq").cast("int").alias("obs_seq"), "column_role", "column_year", "is_comparison", "value")
+
+
+def _facts(spark, sf_dir):
+    """(facts, periods, cells, filings) of the filings, by the whole way from cells to facts."""
+    f = staged(_filings(spark, sf_dir))
+    cells = _cells(f)
+    empty = f.select("doc_id", *(F.lit(None).cast("double").alias(m) for m in vocab.STATEMENT_OF))
+    records = staged(facts.derive(tables.table_pass(empty, tables.table_values(cells, f))))
+    spans = periods.periods(f.select("doc_id", "fiscal_year", F.lit("annual").alias("kind")))
+    return staged(facts.build_facts(records, spans, staged(tables.observations(cells, f)), f)[0]), spans, cells, f
+
+
+_TWO = "floor({} * 100 * 100 + 0.5) / 100"
+_BUILT = [
+    ("revenue", 0, "revenue", "table", 0.96, 1), ("revenue", 1, "revenue + 7", "table", 0.95, 1), ("operating_cost", 0, "cost", "table", 0.96, 1), ("gross_profit", 0, "revenue - cost", "derived", 1.0, 2), ("net_profit", 0, "np", "table", 0.96, 1),
+    ("net_profit", 1, "np + 1", "table", 0.95, 1), ("gross_margin", 0, _TWO.format("(revenue - cost) / revenue"), "derived", 1.0, 2), ("net_margin", 0, _TWO.format("np / revenue"), "derived", 1.0, 2), ("eps", 0, "0.5", "table", 0.96, 1),
+    ("total_shares", 0, "np / 0.5", "derived", 1.0, 2),
+]
+
+
+@query(_FILINGS + " " + " UNION ALL ".join(f"SELECT doc_id, '{m}' AS metric, (y - {older}) || 'FY' AS period_id, CAST({v} AS DOUBLE) AS value, '{how}' AS source_method, {sure}::DOUBLE AS confidence, {n} AS n_evidence FROM g" for m, older, v, how, sure, n in _BUILT))
+def mth3_win8_jon9_agg6_built_facts(spark, sf_dir):
+    """Cells of filings to facts, each with its method, confidence and evidence."""
+    found = _facts(spark, sf_dir)[0]
+    return found.select("doc_id", "metric", "period_id", "value", "source_method", "confidence", F.size("evidence_ids").alias("n_evidence"))
+
+
+@query(_FILINGS + " SELECT doc_id, 'partial' AS status, 'period_ambiguous,segment_table_skipped' AS issues, 'cash_flow_statement.operating_cash_flow@' || (y - 1) || 'FY;' AS affected FROM g")
+def agg9_jon11_arr5_quality_issues(spark, sf_dir):
+    """What is doubtful about those facts: a comparison figure that is missing, a table that was skipped."""
+    found, spans, cells, f = _facts(spark, sf_dir)
+    segments = tables.table_profiles(cells, f).where("is_segment")
+    q = facts.quality(f, facts.issues(found, spans, segments))
+    names = F.transform("issues", lambda i: i["type"])
+    return q.select("doc_id", "status", F.array_join(names, ",").alias("issues"), F.array_join(F.transform("issues", lambda i: F.array_join(i["affected_facts"], ",")), ";").alias("affected"))
+
+
+@query(
+    f"""WITH {views.TITLES_SQL} SELECT CAST(id AS VARCHAR) AS news_id, lpad(code, 5, '0') AS stock_code, title, 'http://h' || path AS pdf_url, CAST(2024 AS INTEGER) AS year FROM (SELECT id, right(code, 4) AS code, '2024 Annual Report ' || id AS title, '/a/' || id || '.pdf' AS path FROM titles WHERE id % 5 <> 0 AND id % 7 <> 0)"""
+)
+def src8_src9_hk_items(spark, sf_dir):
+    """Announcement pages as an object with a list and as a bare list; items without stock or path go."""
+    t = views.titles(spark, sf_dir)
+    item = F.struct(
+        F.col("id").cast("string").alias("newsId"), F.concat(F.lit("2024 Annual Report "), F.col("id").cast("string")).alias("title"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("/a/"), F.col("id").cast("string"), F.lit(".pdf"))).otherwise("").alias("webPath"),
+        F.when(F.col("id") % 5 != 0, F.array(F.struct(F.substring("code", -4, 4).alias("sc"), F.lit("n").alias("sn")))).otherwise(F.array().cast("array<struct<sc:string,sn:string>>")).alias("stock"),
+    )
+    pages = t.select((F.col("id") % 50).alias("page"), item.alias("x")).groupBy("page").agg(F.collect_list("x").alias("xs"))
+    answers = pages.select(F.when(F.col("page") % 2 == 0, F.to_json(F.struct(F.col("xs").alias("newsInfoLst")))).otherwise(F.to_json("xs")).alias("j"))
+    return announcements.hk_announcements(answers, "j", "http://h", "annual").select("news_id", "stock_code", "title", "pdf_url", "year")
