@@ -27,7 +27,7 @@ from .common import only, small_or_shuffled, staged
 #: Chosen paths, of all pages, up to which they are broadcast.
 BROADCAST_PATHS = 200_000
 
-#: Share of the largest path's own text above which a path is read besides the winning one.
+#: Share of the largest path's own text above which a path is read besides the winning one, wherever it lies. Those beside the winning one are read whatever their size.
 SHARE = 0.25
 #: Votes of a character, and the bits by which a name halves them: a sixty-fourth.
 VOTES, LOWERED = 1 << 12, 6
@@ -51,11 +51,13 @@ NOISE = {
     "ad", "ads", "adsbygoogle", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "promo", "promotion", "widget", "related",
     "comment", "comments", "disqus", "replies", "respond", "reply", "discussion",
 }
+#: Beginnings of words that are such names in longer forms too.
+STEMS = ("comment", "sidebar", "breadcrumb", "advert", "newsletter", "sponsor", "footer")
 #: Last words with which one of these ahead is no main text either.
-LISTS = {"articles", "bar", "block", "box", "button", "buttons", "icons", "item", "items", "links", "list", "posts", "stories", "thread", "unit", "units"}
+LISTS = {"area", "articles", "bar", "block", "box", "button", "buttons", "icons", "item", "items", "links", "list", "posts", "section", "stories", "thread", "unit", "units", "wrapper"}
 #: Headers of an article itself, by their first word.
 TITLED = {"post", "entry", "article", "story", "content"}
-#: Containers that hold the main text whole, by the last word: what stands in them isn't split further, and no other name makes them noise.
+#: Containers that hold the main text whole, by the last word, unless the first names what is no main text: they aren't split further, and no other name makes them noise.
 WHOLE = {"content", "article", "post", "entry", "story", "main"}
 KEPT = {"main", "body", "html"}
 
@@ -66,6 +68,7 @@ _ATTR = re.compile(rf"[\s/]*+{_ATTRIBUTE}")
 _TELLS = re.compile("class|id|role|hidden", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _SPACE = re.compile(r"\s+")
+_SENTENCE = tuple(".!?…。！？") + tuple(end + quote for end in ".!?" for quote in "\"')”’")
 
 
 def _noisy(token: str) -> bool:
@@ -74,13 +77,15 @@ def _noisy(token: str) -> bool:
         return bool(words)
     if words[-1] == "header" and words[0] in TITLED:
         return False
-    return words[-1] in NOISE or words[-1] in LISTS and words[0] in NOISE
+    if len(words) == 1:
+        return words[0].startswith(STEMS)
+    return words[-1] in NOISE or words[-1] in LISTS | WHOLE and (words[0] in NOISE or words[0].startswith(STEMS))
 
 
 @lru_cache(1 << 16)
 def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
     """The generalised name; whether names or flags say that this is no main text; whether they say that it is."""
-    klass, noise, whole, hidden = "", False, False, False
+    klass, noise, whole, hidden, beaten = "", False, False, False, False
     if _TELLS.search(attributes):
         for m in _ATTR.finditer(attributes):
             name = m[1].lower()
@@ -91,10 +96,12 @@ def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
                 hidden |= name == "hidden" or value.lower() == "true"
                 continue
             for token in value.split():
-                noise |= _noisy(token)
-                whole |= (_WORD.findall(token) or [""])[-1].lower() in WHOLE
+                bad = _noisy(token)
+                noise |= bad
+                beaten |= bad and (_WORD.findall(token) or [""])[-1].lower() in WHOLE
+                whole |= not bad and (_WORD.findall(token) or [""])[-1].lower() in WHOLE
             klass = value if name == "class" else klass
-    noise = tag not in KEPT and (hidden or tag in BESIDE or noise and not whole)
+    noise = tag not in KEPT and (hidden or tag in BESIDE or beaten or noise and not whole)
     return re.sub(r"\d+", "", ".".join([tag, *sorted(klass.split())])) + "!" * noise, noise, whole
 
 
@@ -195,18 +202,21 @@ class Page:
                     within = "article" if tag == "article" else "main" if tag == "main" or whole and tag != "body" else within
         flush()
 
-    def votes(self) -> dict[int, list[int]]:
-        """By path: votes of the text in its containers, halved with each container between; of the own text alone; and how many names lower them."""
-        out: dict[int, list[int]] = {}
+    def votes(self) -> dict[int, list]:
+        """By path: votes of the text in its containers, halved with each container between; of the own text alone; how many names lower them; the path above, and whether that is the page itself; and how many blocks of own text end a sentence."""
+        out: dict[int, list] = {}
         lowered: list[int] = []
         for parent, noise in zip(self.parents, self.noise, strict=True):
             lowered.append((lowered[parent] if parent >= 0 else 0) + noise)
-        for node, weight in zip(self.at, self.weights, strict=True):
+        for node, weight, text in zip(self.at, self.weights, self.texts, strict=True):
             vote, own = (weight * VOTES >> LOWERED * lowered[node], True) if node >= 0 else (0, False)
             while node >= 0 and (vote or own):
-                kept = out.setdefault(self.paths[node], [0, 0, lowered[node]])
+                above = self.parents[node]
+                outer = above < 0 or self.names[above].startswith(("body", "html"))
+                kept = out.setdefault(self.paths[node], [0, 0, lowered[node], self.paths[above] if above >= 0 else 0, outer, 0])
                 kept[0] += vote
                 kept[1] += vote if own else 0
+                kept[5] += own and text.endswith(_SENTENCE)
                 vote, own, node = vote >> 1, False, self.parents[node]
         return out
 
@@ -224,7 +234,7 @@ def read_at(texts: list[str], at: list[int], parents: list[int], paths: list[int
     return []
 
 
-_PARSED = "page_id long, url string, host string, texts array<string>, at array<int>, parents array<int>, paths array<long>, names array<string>, noise array<boolean>, votes array<struct<path:bigint,score:bigint,own:bigint,lowered:int>>"
+_PARSED = "page_id long, url string, host string, texts array<string>, at array<int>, parents array<int>, paths array<long>, names array<string>, noise array<boolean>, votes array<struct<path:bigint,score:bigint,own:bigint,lowered:int,above:bigint,outer:boolean,told:int>>"
 
 
 def _signed(path: int) -> int:
@@ -232,7 +242,7 @@ def _signed(path: int) -> int:
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vote = pa.struct([("path", pa.int64()), ("score", pa.int64()), ("own", pa.int64()), ("lowered", pa.int32())])
+    vote = pa.struct([("path", pa.int64()), ("score", pa.int64()), ("own", pa.int64()), ("lowered", pa.int32()), ("above", pa.int64()), ("outer", pa.bool_()), ("told", pa.int32())])
     kinds = {"texts": pa.string(), "at": pa.int32(), "parents": pa.int32(), "paths": pa.int64(), "names": pa.string(), "noise": pa.bool_(), "votes": vote}
     for batch in batches:
         for lo in range(0, len(batch), 64):  # so that only so many parsed pages are held at once
@@ -240,7 +250,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns: dict[str, list] = {c: [] for c in kinds}
             for page in part.column("html"):
                 p = Page(page.as_py() or "")
-                votes = [{"path": _signed(k), "score": s, "own": o, "lowered": n} for k, (s, o, n) in p.votes().items()]
+                votes = [{"path": _signed(k), "score": s, "own": o, "lowered": n, "above": _signed(above), "outer": outer, "told": told} for k, (s, o, n, above, outer, told) in p.votes().items()]
                 for c, x in zip(kinds, (p.texts, p.at, p.parents, [_signed(k) for k in p.paths], p.names, p.noise, votes), strict=True):
                     columns[c].append(x)
             arrays = [pa.array(columns[c], pa.list_(kind)) for c, kind in kinds.items()]
@@ -284,12 +294,17 @@ def main_texts(pages: DataFrame, broadcast_paths: int = BROADCAST_PATHS) -> Data
     pages = only(pages, "page_id", "url", "html").withColumn("host", host_of(F.col("url")))
     parsed = staged(pages.mapInArrow(_parsed, _PARSED).withColumn("row", F.monotonically_increasing_id()))
     votes = parsed.select("row", "host", F.explode("votes").alias("x")).select("row", "host", "x.*")
-    ranked = staged(votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("own").alias("own"), F.min("lowered").alias("lowered")))
+    ranked = staged(votes.groupBy("host", "path").agg(F.sum("score").alias("score"), F.sum("own").alias("own"), F.min("lowered").alias("lowered"), F.min("above").alias("above"), F.min("outer").alias("outer"), F.sum("told").alias("told"), F.count("*").alias("pages")))
     tops = ranked.groupBy("host").agg(F.max(F.struct("own", (-F.col("lowered")).alias("raised"))).alias("top"))
     also = (F.col("own") > F.col("top.own") * SHARE) & (-F.col("lowered") >= F.col("top.raised"))
-    ranked = staged(ranked.join(small_or_shuffled(staged(tops)), "host").select("host", "path", (-F.col("score")).alias("low"), also.alias("also")))  # so that the join with a common path's rows can be split
+    facts = ["above", "own", "lowered", "pages", "outer", "told"]
+    ranked = staged(ranked.join(small_or_shuffled(staged(tops)), "host").select("host", "path", (-F.col("score")).alias("low"), also.alias("also"), *facts))  # so that the join with a common path's rows can be split
     of_page = votes.select("row", "host", "path").join(ranked, ["host", "path"])
-    chosen = of_page.groupBy("row").agg(F.min(F.struct("low", "path")).alias("x"), F.collect_set(F.when(F.col("also"), F.col("path"))).alias("also"))
-    chosen = small_or_shuffled(staged(chosen.select("row", F.col("x.path").alias("best"), "also")), broadcast_paths, 1 + F.size("also"))
+    best, path = F.struct("low", "path", *facts), F.struct("path", "also", *facts)
+    chosen = of_page.groupBy("row").agg(F.min(best).alias("x"), F.collect_set(path).alias("paths"))
+    # beside the winner: under the same container, no name against it, more text than links on the host, and on half as many of its pages at least; right under the page itself, where all kinds of boxes stand, sentences too
+    beside = lambda p: (p["above"] == F.col("x.above")) & (p["own"] > 0) & (p["lowered"] <= F.col("x.lowered")) & (2 * p["pages"] >= F.col("x.pages")) & (~p["outer"] | (p["told"] > 0))
+    read = F.transform(F.filter("paths", lambda p: p["also"] | beside(p)), lambda p: p["path"])
+    chosen = small_or_shuffled(staged(chosen.select("row", F.col("x.path").alias("best"), read.alias("also"))), broadcast_paths, 1 + F.size("also"))
     out = parsed.drop("votes", "host").join(chosen, "row", "left").mapInArrow(_extracted, "page_id long, url string, text string, path string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "path")

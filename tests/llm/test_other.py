@@ -54,6 +54,22 @@ def test_an_article_in_containers_side_by_side_is_whole(spark):
     assert texts(spark, table) == [f"{rest}{lead}{rest}".strip()]
 
 
+def test_parts_beside_the_winner_are_read_whatever_their_size(spark):
+    intro, rest, links = "Intro words here. " * 8, "Body of text. " * 60, "link words " * 30
+    page = f"<body><div class=page><div class=intro><p>{intro}</p></div><div class=text><p>{rest}</p></div><div class=k9><a href=x>{links}</a></div></div></body>"
+    assert texts(spark, page) == [f"{intro}{rest}".strip()]
+    parts = ["One sentence. " * 20, "Two. " * 3, "Three. " * 2]
+    page = "<body><main>" + "".join(f"<section class={c}><p>{t}</p></section>" for c, t in zip("abc", parts, strict=True)) + "</main></body>"
+    assert texts(spark, page) == ["".join(parts).strip()]
+
+
+@pytest.mark.parametrize("name", ["comment-content", "sidebar-content", "footer-main", "comments-area", "commentlist", "commentList", "comment-section", "related-content"])
+def test_names_of_what_is_no_main_text(spark, name):
+    long, article = "More and more of it. " * 90, "The article itself. " * 20
+    assert texts(spark, f"<body><div class=post><p>{article}</p></div><div class='{name}'><p>{long}</p></div></body>") == [article.strip()]
+    assert texts(spark, f"<body><article><p>{article}</p><div class='{name}'><p>{long}</p></div></article></body>") == [article.strip()]
+
+
 @pytest.mark.parametrize("name", ["content-sidebar-wrap", "page-with-sidebar", "layout-sidebar-right"])
 @pytest.mark.parametrize("tag", ["article", "main"])
 def test_wrappers_named_after_a_sidebar_are_read(spark, name, tag):
