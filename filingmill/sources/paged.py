@@ -14,12 +14,13 @@ import fnmatch
 import hashlib
 import importlib
 import io
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
@@ -157,15 +158,22 @@ class PagedDocuments(DataSource):
         return (PruningReader if self.options.get("pushdown") == "true" else PagedReader)(self.options)
 
 
+_NAMES: WeakKeyDictionary[SparkSession, str] = WeakKeyDictionary()
+
+
+def _registered(spark: SparkSession) -> str:
+    """The source's name in this session. Sessions of an application don't see each other's sources, but no two may share a name."""
+    if spark not in _NAMES:
+        name = f"paged_documents_{uuid.uuid4().hex}" if _NAMES else PagedDocuments.name()
+        spark.dataSource.register(type("Named", (PagedDocuments,), {"name": classmethod(lambda cls: name)}))
+        _NAMES[spark] = name
+    return _NAMES[spark]
+
+
 def paged_documents(spark: SparkSession, path: str, parser: str = "filingmill.sources.paged:Pdf", pattern: str = "*", partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """The pages of the files at a path: (source, file_hash, num_pages, page_no, text, error)."""
-    try:
-        spark.dataSource.register(PagedDocuments)
-    except AnalysisException as e:  # another session of this application has
-        if e.getCondition() != "DATA_SOURCE_ALREADY_EXISTS":
-            raise
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
-    return spark.read.format("paged_documents").option("parser", parser).option("pattern", pattern).option("partitionBytes", partition_bytes).option("pushdown", pushdown).load(path)
+    return spark.read.format(_registered(spark)).option("parser", parser).option("pattern", pattern).option("partitionBytes", partition_bytes).option("pushdown", pushdown).load(path)
 
 
 def checked_requests(requests: DataFrame) -> DataFrame:
