@@ -174,12 +174,13 @@ def _second_rows(batches: Iterator[pa.RecordBatch], length: int, core: int) -> I
         raw, offsets = _buffer(batch["text"])
         open_ = batch["open"]
         text = np.repeat(np.arange(len(batch)), np.diff(open_.offsets.to_numpy()))
-        place, low, high = open_.flatten().flatten()
+        packed = open_.flatten().to_numpy()
         for lo in range(0, len(text), ROWS):
             some = slice(lo, lo + ROWS)
-            of, at = pa.array(text[some]), offsets[text[some]] + place.to_numpy()[some]
-            row = pa.RecordBatch.from_arrays([batch["doc_id"].take(of), batch["version"].take(of), *(c[some] for c in (place, low, high))], ["doc_id", "version", "place", "low", "high"])
-            own, bounds = _stretches(raw, at - row["high"].to_numpy(), at - row["low"].to_numpy() + length)
+            place, high, low = packed[some] // (length + 1) ** 2, packed[some] // (length + 1) % (length + 1), packed[some] % (length + 1)
+            of, at = pa.array(text[some]), offsets[text[some]] + place
+            row = pa.RecordBatch.from_arrays([batch["doc_id"].take(of), batch["version"].take(of), pa.array(place), pa.array(low), pa.array(high)], ["doc_id", "version", "place", "low", "high"])
+            own, bounds = _stretches(raw, at - high, at - low + length)
             yield from _cut(own, bounds, row, length, WIDTHS[0], core)
 
 
@@ -328,8 +329,9 @@ def repeated_spans(docs: DataFrame, length: int = 100, core: int = CORE) -> Data
     found = written(_sorted(rows).mapInArrow(_scan, spoken(shape)).select("kind", "doc_id", "version", "place", "low", "high"))
     tables = [found]
     marked = [found.where("kind = 'repeated'").select(*span)]
-    open_ = found.where("kind = 'open'").groupBy("doc_id", "version").agg(F.collect_list(F.struct("place", "low", "high")).alias("open"))
-    open_ = small_or_shuffled(staged(open_), BROADCAST_BYTES, 32 + 16 * F.size("open"))
+    packed = (F.col("place") * (length + 1) + F.col("high")) * (length + 1) + F.col("low")  # a number for each place: the list may be broadcast
+    open_ = found.where("kind = 'open'").groupBy("doc_id", "version").agg(F.collect_list(packed).alias("open"))
+    open_ = small_or_shuffled(staged(open_), BROADCAST_BYTES, 64 + 8 * F.size("open"))
     open_ = open_.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "open")
     texts = docs.join(open_, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["version"] == F.col("_version"))).select("doc_id", "version", "text", "open")
     rows = texts.mapInArrow(lambda batches: _second_rows(batches, length, core), with_bytes)
@@ -374,7 +376,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, with_bytes: bool = True) ->
         docs = docs.join(known, docs["doc_id"].eqNullSafe(F.col("_several")), "left").select("doc_id", "text", version.alias("version"))
     spans = repeated_spans(docs, length)
     by_doc = staged(spans.groupBy("doc_id", "version").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")))
-    by_doc = small_or_shuffled(by_doc, BROADCAST_BYTES, 32 + 16 * F.size("spans")).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "spans")
+    by_doc = small_or_shuffled(by_doc, BROADCAST_BYTES, 64 + 40 * F.size("spans")).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "spans")
     joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(F.col("_id")) & (docs["version"] == F.col("_version")), "left").select("doc_id", "text", "spans")
     out = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType()), T.StructField("spans", joined.schema["spans"].dataType), *([T.StructField("kept", T.BinaryType())] if with_bytes else [])])
     return joined.mapInArrow(lambda batches: _kept(batches, with_bytes), out)
