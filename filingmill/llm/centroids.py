@@ -131,9 +131,19 @@ def _sums(values: np.ndarray, cluster: np.ndarray, sign: int) -> Iterator[tuple[
             yield c, limb, sign * len(own) if limb == 0 else 0, [sign * x for x in part]
 
 
+#: Rows of both parts: of "vector" the first six columns, of "sum" the cluster and the last three.
 _STATE = T.StructType(
-    [T.StructField("part", T.StringType()), T.StructField("vec_id", T.LongType()), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("cluster", T.IntegerType()), T.StructField("upper", T.DoubleType()), T.StructField("lower", T.DoubleType())]
-    + [T.StructField("limb", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("sums", T.ArrayType(T.LongType()))]
+    [
+        T.StructField("part", T.StringType()),
+        T.StructField("vec_id", T.LongType()),
+        T.StructField("v", T.ArrayType(T.DoubleType())),
+        T.StructField("cluster", T.IntegerType()),
+        T.StructField("upper", T.DoubleType()),
+        T.StructField("lower", T.DoubleType()),
+        T.StructField("limb", T.IntegerType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("sums", T.ArrayType(T.LongType())),
+    ]
 )
 
 
@@ -144,6 +154,7 @@ def _values(batch: pa.RecordBatch, dims: int) -> np.ndarray:
 def _round(batches: Iterator[pa.RecordBatch], centroids: Centroids, drifts: np.ndarray | None, dims: int) -> Iterator[pa.RecordBatch]:
     """One round over vectors: loosened bounds, new centroids, and what moves between sums."""
     names = _STATE.fieldNames()
+    null = pa.nulls
     for whole in batches:
         for lo in range(0, len(whole), ROWS):
             batch = whole.slice(lo, ROWS)
@@ -158,14 +169,20 @@ def _round(batches: Iterator[pa.RecordBatch], centroids: Centroids, drifts: np.n
                     lower = np.nan_to_num(np.maximum(lower - other, 0) * _DOWN, posinf=np.inf)
             assign(values, centroids, cluster, upper, lower)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(["vector"] * n), batch["vec_id"], batch["v"], pa.array(cluster, pa.int32()), pa.array(upper), pa.array(lower), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64()))], names
+                [pa.array(["vector"] * n), batch["vec_id"], batch["v"], pa.array(cluster, pa.int32()), pa.array(upper), pa.array(lower)]
+                + [null(n, pa.int32()), null(n, pa.int64()), null(n, pa.list_(pa.int64()))],
+                names,
             )
             moved = np.flatnonzero(was != cluster)
             sums = [*_sums(values[moved], cluster[moved], 1), *_sums(values[moved], was[moved], -1)]
             if sums:
                 c, limb, k, parts = zip(*sums, strict=True)
-                m, null = len(sums), pa.nulls
-                yield pa.RecordBatch.from_arrays([pa.array(["sum"] * m), null(m, pa.int64()), null(m, pa.list_(pa.float64())), pa.array(c, pa.int32()), null(m, pa.float64()), null(m, pa.float64()), pa.array(limb, pa.int32()), pa.array(k, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], names)
+                m = len(sums)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(["sum"] * m), null(m, pa.int64()), null(m, pa.list_(pa.float64())), pa.array(c, pa.int32()), null(m, pa.float64()), null(m, pa.float64())]
+                    + [pa.array(limb, pa.int32()), pa.array(k, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
+                    names,
+                )
 
 
 def _moved(state: DataFrame, counts: list[int], totals: list[list[int]]) -> None:
