@@ -12,24 +12,27 @@ from pyspark.sql import functions as F
 
 #: Levels of blocks; an interval longer than 2**LEVELS takes several of the largest.
 LEVELS = 16
+_BLOCKS = "array<struct<level:int,block:bigint>>"
 
 
 def dyadic(first: Column, last: Column, levels: int = LEVELS) -> Column:
     """array<struct<level,block>> of the ranges that make up first..last, both included; none if last is smaller."""
     # From the finest level on: a block is taken at either end where the coarser block there would reach beyond.
-    start = F.struct(first.cast("long").alias("lo"), (last.cast("long") + 1).alias("hi"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out"))
+    start = F.struct(first.cast("long").alias("lo"), (last.cast("long") + 1).alias("hi"), F.array().cast(_BLOCKS).alias("out"))
 
     def step(s: Column, k: Column) -> Column:
         lo, hi = s["lo"], s["hi"]
         odd_lo, odd_hi = (lo < hi) & (F.pmod(lo, F.lit(2)) == 1), (lo < hi) & (F.pmod(hi, F.lit(2)) == 1)
         at = lambda block: F.array(F.struct(k.cast("int").alias("level"), block.alias("block")))
-        none = F.array().cast("array<struct<level:int,block:bigint>>")
+        none = F.array().cast(_BLOCKS)
         one = odd_lo & odd_hi & (lo + 1 == hi)  # the same block from both ends
         out = F.concat(s["out"], F.when(odd_lo, at(lo)).otherwise(none), F.when(odd_hi & ~one, at(hi - 1)).otherwise(none))
         return F.struct(F.floor((lo + F.when(odd_lo, 1).otherwise(0)) / 2).cast("long").alias("lo"), F.floor((hi - F.when(odd_hi, 1).otherwise(0)) / 2).cast("long").alias("hi"), out.alias("out"))
 
     ended = F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), start, step)
-    rest = F.when(ended["lo"] < ended["hi"], F.transform(F.sequence(ended["lo"], ended["hi"] - 1), lambda b: F.struct(F.lit(levels).alias("level"), b.alias("block")))).otherwise(F.array().cast("array<struct<level:int,block:bigint>>"))
+    blocks = F.sequence(ended["lo"], ended["hi"] - 1)
+    coarsest = F.transform(blocks, lambda b: F.struct(F.lit(levels).alias("level"), b.alias("block")))
+    rest = F.when(ended["lo"] < ended["hi"], coarsest).otherwise(F.array().cast(_BLOCKS))
     return F.concat(ended["out"], rest)
 
 
