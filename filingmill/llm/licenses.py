@@ -5,6 +5,9 @@ place p votes for the diagonal i - p. A base phrase stands at a diagonal on whic
 neighbouring diagonals (words put in or left out) are merged, and a merged span is verified by the share of the
 template's grams that it holds, word for word, and by its length. Templates are openings and whole bodies of notices, so an
 edited body is found by its body, and a lone opening by its opening.
+
+Licences of a family share most of their words and differ in their names and duties. So a span must hold the words that name
+its licence, and of verified spans of several licences at one place the one that holds the greatest share stays.
 """
 
 from __future__ import annotations
@@ -30,6 +33,42 @@ NOTICES = [
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under a creative commons attribution sharealike"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("lgpl-3", "this work is licensed under the gnu lesser general public license version 3"),
+    ("agpl-3", "this work is licensed under the gnu affero general public license version 3"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc-sa", "licensed under a creative commons attribution noncommercial sharealike"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
+    ("boost", "distributed under the boost software license version 1 0"),
+    ("epl-2", """
+        This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at
+        https://www.eclipse.org/legal/epl-2.0/"""),
+    ("mpl-2", """
+        This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one
+        at https://mozilla.org/MPL/2.0/."""),
+    ("lgpl", """
+        This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT
+        ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+        You should have received a copy of the GNU Lesser General Public License along with this library. If not, see https://www.gnu.org/licenses/."""),
+    ("agpl", """
+        This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT
+        ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.
+        You should have received a copy of the GNU Affero General Public License along with this program. If not, see https://www.gnu.org/licenses/."""),
+    ("0bsd", """
+        Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+        DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+        SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+        OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("unlicense", """
+        This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either
+        in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."""),
+    ("zlib", """
+        This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this
+        software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject
+        to the following restrictions"""),
     ("mit", """
         Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in
         the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of
@@ -66,6 +105,23 @@ NOTICES = [
 ]
 GRAM = 3
 
+# The words that name a licence of a family; every span of such a label holds each of them once at least.
+NAMED = {
+    "apache-2": ["apache license version"],
+    "gpl": ["gnu general public"],
+    "gpl-3": ["gnu general public", "license version 3"],
+    "lgpl": ["gnu lesser general"],
+    "lgpl-3": ["gnu lesser general", "license version 3"],
+    "agpl": ["gnu affero general"],
+    "agpl-3": ["gnu affero general", "license version 3"],
+    "mpl-2": ["mozilla public license"],
+    "epl-2": ["eclipse public license"],
+    "cc-by": ["commons attribution 4"],
+    "cc-by-sa": ["commons attribution sharealike"],
+    "cc-by-nc": ["cc by nc"],
+    "cc-by-nc-sa": ["attribution noncommercial sharealike"],
+}
+
 
 def words(text: Column) -> Column:
     """The words of a text as an array; ['']: none."""
@@ -81,37 +137,64 @@ def _grams(df: DataFrame, place: str) -> DataFrame:
 
 
 def templates(spark: SparkSession) -> DataFrame:
-    """(template, label, base, grams_n, words_n, p, gram, t0, t1, t2) of all grams of the templates: a table of fixed size."""
-    rows = [{"template": k, "label": label, "base": k < len(BASE), "text": text} for k, (label, text) in enumerate([*BASE, *NOTICES])]
-    df = literal_rows(spark, rows).withColumn("words", words(F.col("text")))
+    """(template, label, base, grams_n, words_n, names_n, p, gram, t0, t1, t2, name) of all grams of the templates: a table of fixed size. name: the gram, if it names the licence."""
+    rows = [{"template": k, "label": label, "base": k < len(BASE), "names": "|".join(NAMED.get(label, [])), "text": text} for k, (label, text) in enumerate([*BASE, *NOTICES])]
+    df = literal_rows(spark, rows).withColumn("words", words(F.col("text"))).withColumn("names", F.array_remove(F.split("names", "[|]"), ""))
     df = _grams(df, "p").withColumn("grams_n", F.size("words") - GRAM + 1).withColumn("words_n", F.size("words"))
-    return df.select("template", "label", "base", "grams_n", "words_n", "p", "gram", *(F.get("words", F.col("p") + k).alias(f"t{k}") for k in range(GRAM)))
+    said = F.concat_ws(" ", *(F.get("words", F.col("p") + k) for k in range(GRAM)))
+    df = df.withColumn("names_n", F.size("names")).withColumn("name", F.when(F.array_contains("names", said), said))
+    return df.select("template", "label", "base", "grams_n", "words_n", "names_n", "p", "gram", *(F.get("words", F.col("p") + k).alias(f"t{k}") for k in range(GRAM)), "name")
+
+
+def _best(spans: DataFrame, reach: int) -> DataFrame:
+    """spans less those that another label's span beats: one on the same place, which holds a greater share of its template, or as great a share of more grams.
+
+    On the same place: they share more than half of the shorter one's words. reach: no span is longer. What a span is compared
+    with begins within reach of its own beginning, so it is bounded, as each verified span needs words of its own.
+    """
+    near = Window.partitionBy("doc_id", "version").orderBy("start").rangeBetween(-reach, reach)
+    rivals = F.collect_list(F.struct("label", "start", "end", "share", "held")).over(near)
+    common = lambda x: F.least(x["end"], F.col("end")) - F.greatest(x["start"], F.col("start"))
+    shorter = lambda x: F.least(x["end"] - x["start"], F.col("end") - F.col("start"))
+    better = lambda x: (x["share"] > F.col("share")) | ((x["share"] == F.col("share")) & (x["held"] > F.col("held")))
+    beaten = F.exists("rivals", lambda x: (x["label"] != F.col("label")) & better(x) & (common(x) * 2 > shorter(x)))
+    return spans.withColumn("rivals", rivals).where(~beaten).drop("rivals")
+
+
+SPAN = "struct<start:bigint,end:bigint,label:string,template:int,share:double>"
 
 
 def license_scan(docs: DataFrame, least: float = 0.8, near: int = 2) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row of docs (doc_id, text).
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of every row of docs (doc_id, text).
 
     least: share of a notice's grams that a verified span holds; near: diagonals this far apart are merged. score: 1 if
-    a base phrase stands in the text, else the best share of a verified span, else 0.
+    a base phrase stands in the text, else the best share of a verified span, else 0. spans: the verified spans, in
+    order, as words from start up to end, with their template's number and the share that they hold.
 
-    Null or wordless text: no words, no labels, score 0. Rows that repeat a doc_id and a text get the same result each.
-    Other columns are ignored. An empty table: no rows.
+    Null or wordless text: no words, no labels, no spans, score 0. Rows that repeat a doc_id and a text get the same result
+    each. Spans that tie at one place all stay. Other columns are ignored. An empty table: no rows.
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("version"), words(F.col("text")).alias("words"))
     grams = _grams(keyed, "i")
     hits = grams.join(F.broadcast(templates(spark)), "gram")  # as many rows as the templates have grams
     hits = hits.where(" and ".join(f"get(words, i + {k}) = t{k}" for k in range(GRAM)))
-    by = ["doc_id", "version", "template", "label", "base", "grams_n", "words_n"]
-    votes = hits.select(*by, "i", "p", (F.col("i") - F.col("p")).alias("diagonal")).distinct()
-    lines = staged(votes.groupBy(*by, "diagonal").agg(F.count("*").alias("votes"), F.collect_set("p").alias("ps"), F.min("i").alias("i0"), F.max("i").alias("i1")))
+    by = ["doc_id", "version", "template", "label", "base", "grams_n", "words_n", "names_n"]
+    votes = hits.select(*by, "i", "p", "name", (F.col("i") - F.col("p")).alias("diagonal")).distinct()
+    lines = votes.groupBy(*by, "diagonal").agg(F.count("*").alias("votes"), F.collect_set("p").alias("ps"), F.collect_set("name").alias("names"), F.min("i").alias("i0"), F.max("i").alias("i1"))
+    lines = staged(lines)
 
-    places = lines.where("base and votes = grams_n").groupBy("doc_id", "version").agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set"))
+    places = lines.where("base and votes = grams_n").groupBy("doc_id", "version")
+    places = places.agg(F.count("*").alias("n_base"), F.min("diagonal").alias("first_word"), F.max("diagonal").alias("last_word"), F.collect_set("label").alias("base_set"))
     order = Window.partitionBy("doc_id", "version", "template").orderBy("diagonal")
     merged = lines.where("not base").withColumn("fresh", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(order) > near).cast("int"), F.lit(1)))
-    merged = merged.withColumn("run", F.sum("fresh").over(order)).groupBy(*by, "run").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("held"), (F.max("i1") + GRAM - F.min("i0")).alias("span"))
-    sure = merged.where((F.col("held") >= least * F.col("grams_n")) & (F.col("span") <= 2 * F.col("words_n")))
-    spans = sure.groupBy("doc_id", "version").agg(F.collect_set("label").alias("span_set"), F.max(F.col("held") / F.col("grams_n")).alias("best"))
+    every = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = merged.withColumn("run", F.sum("fresh").over(order)).groupBy(*by, "run")
+    merged = merged.agg(every("ps").alias("held"), every("names").alias("named"), F.min("i0").cast("long").alias("start"), (F.max("i1") + GRAM).cast("long").alias("end"))
+    sure = merged.where((F.col("held") >= least * F.col("grams_n")) & (F.col("named") == F.col("names_n")) & (F.col("end") - F.col("start") <= 2 * F.col("words_n")))
+    longest = max(len(text.split()) for _, text in NOTICES) * 4  # a span has at most twice a template's words; a written word may be two
+    spans = _best(sure.withColumn("share", F.col("held") / F.col("grams_n")), longest).groupBy("doc_id", "version")
+    spans = spans.agg(F.collect_set("label").alias("span_set"), F.max("share").alias("best"), F.array_sort(F.collect_list(F.struct("start", "end", "label", "template", "share"))).alias("all"))
 
     key = lambda df, n: df.withColumnsRenamed({"doc_id": f"_id{n}", "version": f"_version{n}"})
     same = lambda n: F.col("doc_id").eqNullSafe(F.col(f"_id{n}")) & (F.col("version") == F.col(f"_version{n}"))
@@ -123,4 +206,5 @@ def license_scan(docs: DataFrame, least: float = 0.8, near: int = 2) -> DataFram
     return out.select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), F.col("first_word").cast("long"), F.col("last_word").cast("long"),
         joined(base).alias("base_labels"), joined(F.array_union(base, more)).alias("labels"), F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.coalesce("all", F.array().cast(f"array<{SPAN}>")).cast(f"array<{SPAN}>").alias("spans"),
     )

@@ -44,18 +44,22 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = rf"regexp_extract_all({_LOWER}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')"
 _BASE = [("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc")]
 _TEMPLATES = ", ".join(f"({k}, '{label}', {str(k < len(_BASE)).lower()}, '{text}')" for k, (label, text) in enumerate([*_BASE, *((label, " ".join(re.findall("[a-z0-9]+", body.lower()))) for label, body in licenses.NOTICES)]))
+_NAMED = ", ".join(f"('{label}', '{name}')" for label, names in licenses.NAMED.items() for name in names)
 
 LICENSES = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
-t0(template, label, base, body) AS (VALUES {_TEMPLATES}), t1 AS (SELECT *, string_split(body, ' ') AS w FROM t0),
+y(label, name) AS (VALUES {_NAMED}), t0(template, label, base, body) AS (VALUES {_TEMPLATES}), t1 AS (SELECT *, string_split(body, ' ') AS w FROM t0),
 t AS (SELECT template, label, base, len(w) - 2 AS grams_n, len(w) AS words_n, p - 1 AS p, w[p] || ' ' || w[p + 1] || ' ' || w[p + 2] AS gram FROM (SELECT *, unnest(generate_series(1, len(w) - 2)) AS p FROM t1)),
-h AS (SELECT DISTINCT doc_id, template, label, base, grams_n, words_n, i, p, i - p AS d FROM g JOIN t USING (gram)),
+h AS (SELECT DISTINCT doc_id, template, label, base, grams_n, words_n, i, p, gram, i - p AS d FROM g JOIN t USING (gram)),
 l AS (SELECT doc_id, template, label, base, grams_n, words_n, d, count(*) AS votes FROM h GROUP BY ALL),
 b AS (SELECT doc_id, count(*) AS n_base, min(d) AS first_word, max(d) AS last_word, list_sort(list_distinct(list(label))) AS base_set FROM l WHERE base AND votes = grams_n GROUP BY 1),
 r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY d) AS run FROM (SELECT *, CASE WHEN d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) <= 2 THEN 0 ELSE 1 END AS fresh FROM l WHERE NOT base)),
-m AS (SELECT h.doc_id, h.label, h.grams_n, h.words_n, count(DISTINCT h.p) AS held, max(h.i) + 3 - min(h.i) AS span FROM r JOIN h ON h.doc_id = r.doc_id AND h.template = r.template AND h.d = r.d GROUP BY h.doc_id, h.template, h.label, h.grams_n, h.words_n, r.run),
-s AS (SELECT doc_id, list(DISTINCT label) AS span_set, max(held / CAST(grams_n AS DOUBLE)) AS best FROM m WHERE held >= 0.8 * grams_n AND span <= 2 * words_n GROUP BY 1)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, array_to_string(coalesce(base_set, []), ',') AS base_labels,
+m AS (SELECT h.doc_id, h.template, h.label, h.grams_n, h.words_n, count(DISTINCT h.p) AS held, count(DISTINCT y.name) AS named, min(h.i) AS s, max(h.i) + 3 AS e FROM r JOIN h ON h.doc_id = r.doc_id AND h.template = r.template AND h.d = r.d
+  LEFT JOIN y ON y.label = h.label AND y.name = h.gram GROUP BY h.doc_id, h.template, h.label, h.grams_n, h.words_n, r.run),
+v AS (SELECT *, held / CAST(grams_n AS DOUBLE) AS share FROM m WHERE held >= 0.8 * grams_n AND e - s <= 2 * words_n AND named = (SELECT count(*) FROM y WHERE y.label = m.label)),
+u AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM v o WHERE o.doc_id = v.doc_id AND o.label <> v.label AND (o.share > v.share OR (o.share = v.share AND o.held > v.held)) AND 2 * (least(o.e, v.e) - greatest(o.s, v.s)) > least(o.e - o.s, v.e - v.s))),
+s AS (SELECT doc_id, list(DISTINCT label) AS span_set, max(share) AS best, string_agg(label || ':' || template || ':' || s || ':' || e, ',' ORDER BY s, e, label, template) AS spans FROM u GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, array_to_string(coalesce(base_set, []), ',') AS base_labels, coalesce(spans, '') AS spans,
 array_to_string(list_sort(list_distinct(list_concat(coalesce(base_set, []), coalesce(span_set, [])))), ',') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0::DOUBLE) END AS score FROM d LEFT JOIN b USING (doc_id) LEFT JOIN s USING (doc_id)"""
 
 _FIXED = len(chat.HEAD) + len(chat.MIDDLE) + len(chat.TAIL)

@@ -50,7 +50,8 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    said = F.transform("spans", lambda x: F.concat_ws(":", x["label"], x["template"].cast("string"), x["start"].cast("string"), x["end"].cast("string")))
+    return license_scan(table(spark, sf_dir, "documents")).withColumn("spans", F.array_join(said, ","))
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

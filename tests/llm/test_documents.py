@@ -617,6 +617,25 @@ def test_whole_licence_bodies_with_edits_are_found(spark):
     assert "isc" not in got[len(want)]["labels"]
 
 
+def test_licences_of_one_family_are_told_apart(spark):
+    from filingmill.llm.licenses import NOTICES
+
+    texts, want = [], []
+    for label, body in NOTICES:
+        ws = re.findall("[A-Za-z0-9]+", body)
+        texts.append(" ".join([*words(20, len(texts)), *ws, *words(20, 900 + len(texts))]))
+        want.append((label, 20, 20 + len(ws)))
+    lesser = next(body for label, body in NOTICES if label == "lgpl" and "Lesser" in body)
+    texts.append(lesser.replace("Lesser", "Library"))  # a licence that no template names
+    texts.append(lesser + " " + "and then. " * 5 + next(body for label, body in NOTICES if label == "gpl" and "General" in body))
+    got = {x["doc_id"]: x for x in license_scan(docs(spark, *texts)).collect()}
+    for k, (label, start, end) in enumerate(want):
+        labels = set(got[k]["labels"].split(","))
+        assert label in labels and all(x.split("-3")[0] == label.split("-3")[0] for x in labels), (want[k], labels)
+        assert (start, end, label, 1.0) in {(x["start"], x["end"], x["label"], x["share"]) for x in got[k]["spans"]}
+    assert got[len(want)]["labels"] == "" and got[len(want) + 1]["labels"] == "gpl,lgpl"
+
+
 def test_words_hash_alike_however_texts_are_laid_out():
     texts = ["Aé b", "", None, "b aé", "x" * 1000]
     (_, _, raw, offsets), *_ = common.text_chunks(pa.array(texts))
