@@ -34,7 +34,8 @@ k AS (SELECT * FROM x WHERE (kind = 0 AND length(secret) >= 12) OR (kind = 1 AND
 c AS (SELECT * FROM k a WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM k b WHERE b.kind < 3 AND b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e)),
 o AS (SELECT secret, count(DISTINCT coalesce(source, chr(0))) AS owners, count(DISTINCT doc_id) AS repos,
   list_sum(list_transform(string_split('abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-', ''), lambda c: (length(secret) - length(replace(secret, c, ''))) * (length(secret) - length(replace(secret, c, ''))))) * 10 <= length(secret) * length(secret)
-  AND NOT regexp_matches(lower(secret), 'example|sample|dummy|changeme|placeholder|redacted|your[_-]|xxxx|0000|1234|abcd') AS live FROM c GROUP BY 1),
+  AND NOT regexp_matches(lower(secret), 'example|sample|dummy|changeme|placeholder|redacted|your[_-]|xxxxxx|000000|123456|abcdef') AND length(secret) <= 256
+  AND 2 * (length(secret) - length(regexp_replace(secret, '[A-Z]?[a-z]{{4,}}', '', 'g'))) < length(secret) AND 4 * (length(secret) - length(regexp_replace(secret, '[A-Z]?[a-z][a-z]+', '', 'g'))) < 3 * length(secret) AS live FROM c GROUP BY 1),
 g AS (SELECT c.*, CASE WHEN owners > 1 OR repos > 10 THEN 'copied' WHEN live THEN 'owned' ELSE 'plain' END AS class, (['assign', 'access', 'hex', 'owner'])[kind + 1] || ':' || s || ':' || e AS label FROM c JOIN o USING (secret)),
 a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (kind = 3) AS n_owner, count(*) FILTER (kind < 3 AND class = 'copied') AS n_copied,
   string_agg(label, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(label, ',' ORDER BY s, kind) AS spans, string_agg(class, ',' ORDER BY s, kind) AS classes FROM g WHERE kind < 3 OR class = 'owned' GROUP BY 1)

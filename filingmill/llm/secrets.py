@@ -2,8 +2,8 @@
 
 Fixed patterns give the base spans. Besides them every long mixed token is a candidate. The hashes of all candidates are
 aggregated over the corpus by distinct repositories (documents) and owners (sources): what several owners or many
-repositories hold is a copied example; what one owner has in a few repositories, and what looks live, is that owner's
-secret. Both counts decide: they give every span its class, and only tokens of the class `owned` are added to the base
+repositories hold is a copied example; what one owner has in a few repositories, and what looks live (random characters,
+no name of code, path, stand-in or encoded file), is that owner's secret. Both counts decide: they give every span its class, and only tokens of the class `owned` are added to the base
 spans, as spans of kind `owner`.
 """
 
@@ -28,17 +28,28 @@ ASSIGN_VALUE, ACCESS_LENGTH = 12, 18
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 #: What secrets consist of.
 CHARACTERS = string.ascii_letters + string.digits + "+/_.=-"
-#: Words, in any case, and runs that show a stand-in and no live secret.
-STAND_IN = r"(?i)example|sample|dummy|changeme|placeholder|redacted|your[_-]|xxxx|0000|1234|abcd"
+#: Words, in any case, and runs that show a stand-in and no live secret. Runs are so long that random hex hardly holds one.
+STAND_IN = r"(?i)example|sample|dummy|changeme|placeholder|redacted|your[_-]|xxxxxx|000000|123456|abcdef"
 #: Of two places of a live token at most one pair in so many has equal characters.
 SPREAD = 10
+#: Longer tokens are encoded data (images, fonts, certificates), not credentials.
+LONGEST = 256
+#: Words as names of code and paths have them: long ones, and any.
+LONG_WORD, ANY_WORD = "[A-Z]?[a-z]{4,}", "[A-Z]?[a-z]{2,}"
+
+
+def looks_named(value: Column) -> Column:
+    """Whether a token reads like a name: half of it are words of five letters or so, or three quarters are words of any length. Of random tokens one in some hundred does."""
+    inside = lambda word: F.length(value) - F.length(F.regexp_replace(value, F.lit(word), F.lit("")))
+    return (inside(LONG_WORD) * 2 >= F.length(value)) | (inside(ANY_WORD) * 4 >= F.length(value) * 3)
 
 
 def looks_live(value: Column) -> Column:
-    """Whether characters are spread like random ones (by whole numbers) and no stand-in is in it."""
+    """Whether characters are spread like random ones (by whole numbers), no stand-in is in it, and it is neither a name nor a long piece of encoded data."""
     times = lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))).cast("long")
     equal = F.aggregate(F.array(*map(F.lit, CHARACTERS)), F.lit(0).cast("long"), lambda total, c: total + times(c) * times(c))
-    return (equal * SPREAD <= F.length(value).cast("long") * F.length(value)) & ~value.rlike(STAND_IN)
+    spread = equal * SPREAD <= F.length(value).cast("long") * F.length(value)
+    return spread & ~value.rlike(STAND_IN) & ~looks_named(value) & (F.length(value) <= LONGEST)
 
 
 def _free(found: DataFrame) -> DataFrame:

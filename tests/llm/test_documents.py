@@ -576,6 +576,23 @@ def test_tokens_of_many_repositories_and_stand_ins_are_nobodys_own(spark):
     assert {x["n_owner"] for x in few} == {1}
 
 
+def test_names_paths_and_encoded_files_are_no_secrets_but_random_keys_are(spark):
+    r = random.Random(8)
+    key = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    names = [
+        "document.getElementsByClassName2", "AbstractHttp2ConnectionFactory", "Report2024Q3-Final-Draft-Version", "/usr/lib/python3/site-packages/X11Toolkit", "getXyzForAbcWithFoo1", "src/Main/Utf8StringEncoder/v2",
+        "XMLHttpRequest2EventTarget", "iVBORw0KGgo" + key(400), "org/apache/Spark4/sql/Catalyst",
+    ]
+    keys = [k for k in (key(r.randrange(24, 60)) for _ in range(300)) if re.search("[0-9]", k) and re.search("[a-z]", k) and re.search("[A-Z]", k)]
+    got = {x["doc_id"]: x for x in secret_scan(docs(spark, *(f"x {t} y" for t in [*names, *keys]))).collect()}
+    assert [got[k]["n_owner"] for k in range(len(names))] == [0] * len(names)
+    found = sum(got[k]["n_owner"] == 1 for k in range(len(names), len(names) + len(keys)))
+    assert found >= 0.95 * len(keys), (found, len(keys))
+    chance = "9f1234b7c05de8a3466b0ffe12d7c39a5be480d1"  # digits in a row by chance
+    (row,) = secret_scan(docs(spark, f"commit {chance}")).collect()
+    assert row["classes"] == "owned"
+
+
 def test_spans_overlapping_a_base_span_are_left_out_of_crowded_texts(spark):
     token, base = "Zx81kLm02QpRs77TuVw45", "password=Zx81kLm02QpRs77TuVw46"
     text = f"{token} {base} " * 50_000
