@@ -129,12 +129,12 @@ def _observed(spark, sf_dir):
         F.lit("v").alias("raw_value"), F.floor("l_extendedprice").cast("double").alias("value"), F.lit("s").alias("snippet"),
     )
     v = o.select("doc_id", "statement", "metric").distinct().withColumns({"value": F.lit(20000.0), "allowed": F.array(F.lit("full_year"), F.lit("unknown"))})
-    return facts.chosen_observations(v, o)
+    return v, o
 
 
 @query(_OBS + " SELECT doc_id, obs_seq, value FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN NOT cmp OR NOT main THEN 0 ELSE 1 END, CASE WHEN has THEN -value ELSE abs(value - 20000) END, CASE WHEN has AND NOT strict THEN 1 ELSE 0 END, obs_seq) = 1")
 def win2_primary_observation(spark, sf_dir):
-    return _observed(spark, sf_dir).where("place = 'primary'").select("doc_id", "obs_seq", "value")
+    return facts.primary_observations(*_observed(spark, sf_dir)).select("doc_id", "o.obs_seq", "o.value")
 
 
 @query(
@@ -144,7 +144,7 @@ p AS (SELECT doc_id, value AS pv FROM r WHERE rank = 1), t AS (SELECT r.*, pv, C
 SELECT doc_id, obs_seq, value FROM t WHERE tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tier, CASE WHEN tier < 3 THEN abs(value - pv) ELSE rank END, obs_seq) = 1"""
 )
 def win3_comparison_observation(spark, sf_dir):
-    return _observed(spark, sf_dir).where("place = 'comparison'").select("doc_id", "obs_seq", "value")
+    return facts.chosen_observations(*_observed(spark, sf_dir)).where("place = 'comparison'").select("doc_id", "obs_seq", "value")
 
 
 _CELLS = "cells AS (SELECT CAST(user_id AS VARCHAR) AS doc_id, CAST(event_id AS INTEGER) AS col_no, CASE WHEN event_id % 3 = 0 THEN event_type || ' ' || (2020 + event_id % 5) WHEN event_id % 3 = 1 THEN '' END AS cell FROM events WHERE event_id > 0)"
