@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import facts, intervals, periods, similar, tables
+from ..operators import facts, intervals, periods, responses, similar, tables
 from ..operators.bucketed import Bucketed
 from ..sources import announcements, paged, passes
 from ..staging import shared_folder, staged
@@ -245,3 +245,63 @@ def src8_src9_hk_items(spark, sf_dir):
     pages = t.select((F.col("id") % 50).alias("page"), item.alias("x")).groupBy("page").agg(F.collect_list("x").alias("xs"))
     answers = pages.select(F.when(F.col("page") % 2 == 0, F.to_json(F.struct(F.col("xs").alias("newsInfoLst")))).otherwise(F.to_json("xs")).alias("j"))
     return announcements.hk_announcements(answers, "j", "http://h", "annual").select("news_id", "stock_code", "title", "pdf_url", "year")
+
+
+_HEADS = ["600", "000", "300", "430", "83", "87", "900", ""]
+
+
+@query(
+    f"""WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 8 = 7 THEN NULL ELSE ({_HEADS!r})[CAST(c_custkey % 8 AS INTEGER) + 1] || c_custkey END AS code, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN '' END AS name,
+  CASE WHEN c_custkey % 4 = 0 THEN '2020-01-01' END AS s, CASE WHEN c_custkey % 8 IN (0, 1) THEN '2021-01-01' END AS e, CASE c_custkey % 5 WHEN 0 THEN 'sse' WHEN 1 THEN NULL ELSE 'all' END AS x FROM customer)
+SELECT c_custkey, c_custkey % 3 + 1 AS page_no, CASE WHEN c_custkey % 7 = 0 THEN 90 ELSE greatest(30, 3 * (c_custkey % 50)) END AS page_size,
+  CASE WHEN x = 'sse' THEN 'sse' WHEN code LIKE '600%' THEN 'sse' WHEN code LIKE '43%' OR code LIKE '83%' OR code LIKE '87%' THEN 'bj' ELSE 'szse' END AS board, coalesce(nullif(name, ''), code, '') AS search_key,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'category_bndbg_szsh' WHEN 'FURNITURE' THEN 'category_yjdbg_szsh;category_sjdbg_szsh' ELSE 'category_ndbg_szsh' END AS category,
+  coalesce(s, '2021-06-02') AS first_day, CASE WHEN s IS NULL THEN '2024-06-01' ELSE coalesce(e, '2024-06-01') END AS last_day FROM customer JOIN a USING (c_custkey)"""
+)
+def src4_search_requests(spark, sf_dir):
+    """Customers as what is asked for, with gaps, and the requests that their defaults make."""
+    k = F.col("c_custkey")
+    head = F.element_at(F.array(*map(F.lit, _HEADS)), (k % 8 + 1).cast("int"))
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "semi_annual").when(F.col("c_mktsegment") == "FURNITURE", "quarterly").when(F.col("c_mktsegment") == "MACHINERY", "no such type").when(F.col("c_mktsegment") == "AUTOMOBILE", "annual")
+    asks = views.table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(k % 8 != 7, F.concat(head, k.cast("string"))).alias("stock_code"), F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, "").alias("company_name"), kind.alias("report_type"),
+        F.when(k % 4 == 0, "2020-01-01").alias("start_date"), F.when((k % 8).isin(0, 1), "2021-01-01").alias("end_date"), F.when(k % 5 == 0, "sse").when(k % 5 != 1, "all").alias("exchange"),
+        F.when(k % 7 != 0, k % 50).alias("limit"), (k % 3 + 1).alias("page"),
+    )
+    return announcements.cn_search_requests(asks, "2024-06-01").select("c_custkey", "page_no", "page_size", "board", "search_key", "category", "first_day", "last_day")
+
+
+@query(
+    f"""WITH {views.REGISTRY}, q AS (SELECT c_custkey AS request_id, lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS stock_code, CASE WHEN c_nationkey % 2 = 0 THEN 'CN' ELSE 'HK' END AS market, CASE WHEN c_custkey % 3 = 0 THEN 'annual' END AS report_type, c_custkey % 6 AS most FROM customer),
+f AS (SELECT request_id, file_path AS url, strftime(download_time, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY request_id ORDER BY strftime(download_time, '%Y-%m-%d') DESC, file_path) AS place, most
+  FROM q JOIN registry r ON r.stock_code = q.stock_code AND r.market = q.market AND (q.report_type IS NULL OR q.report_type = r.report_type)),
+l AS (SELECT request_id, count(*) AS n, string_agg(url || '@' || day, ',' ORDER BY place) AS reports FROM f WHERE place <= CASE WHEN most >= 1 THEN most ELSE 100 END GROUP BY 1)
+SELECT q.request_id, stock_code, market, report_type, CAST(coalesce(n, 0) AS INTEGER) AS n, coalesce(reports, '') AS reports, CASE WHEN n > 0 THEN 'registry' END AS source FROM q LEFT JOIN l USING (request_id)"""
+)
+def sup11_search_answers(spark, sf_dir):
+    """Customers' searches over registered filings, answered in the response's shape."""
+    k = F.col("c_custkey")
+    asks = views.table(spark, sf_dir, "customer").select(
+        k.alias("request_id"), F.lpad(k.cast("string"), 6, "0").alias("stock_code"), F.when(F.col("c_nationkey") % 2 == 0, "CN").otherwise("HK").alias("market"), F.when(k % 3 == 0, "annual").alias("report_type"), (k % 6).alias("limit")
+    )
+    r = views.registry(spark, sf_dir)
+    reports = r.select("stock_code", "market", "report_type", F.lit("registry").alias("source"), F.col("file_path").alias("url"), F.date_format("download_time", "yyyy-MM-dd").alias("publish_date"), "file_size")
+    a = responses.search_answers(asks, reports).select("request_id", "answer.*")
+    listed = F.array_join(F.transform("reports", lambda x: F.concat(x["url"], F.lit("@"), x["publish_date"])), ",")
+    return a.select("request_id", "stock_code", "market", "report_type", F.col("count").alias("n"), listed.alias("reports"), "source")
+
+
+@query(
+    f"""WITH {views.STATEMENTS} SELECT company || '-' || fiscal_year AS doc_id, revenue, operating_cash_flow, debt_ratio, CAST(2 + CASE WHEN operating_cash_flow > 100 THEN 1 ELSE 0 END + CASE WHEN debt_ratio IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_fields,
+  debt_ratio IS NULL AS no_metrics, true AS no_balance FROM (SELECT company, fiscal_year, revenue, CASE WHEN operating_cash_flow > 100 THEN operating_cash_flow END AS operating_cash_flow, CASE WHEN fiscal_year % 2 = 0 THEN net_profit END AS debt_ratio FROM statements)"""
+)
+def sup11_extraction_answers(spark, sf_dir):
+    """Companies' years as extractions in the response's shape: what has no figure is null."""
+    s = views.statements(spark, sf_dir).withColumn("doc_id", F.concat(F.col("company").cast("string"), F.lit("-"), F.col("fiscal_year").cast("string")))
+    cash, ratio = F.when(F.col("operating_cash_flow") > 100, F.col("operating_cash_flow")), F.when(F.col("fiscal_year") % 2 == 0, F.col("net_profit"))
+    a = responses.extraction_answers(s.select("doc_id", "revenue", F.col("operating_cost"), cash.alias("operating_cash_flow"), ratio.alias("debt_ratio")))
+    x = F.col("answer")
+    return a.select(
+        "doc_id", x["income_statement"]["revenue"].alias("revenue"), x["cash_flow_statement"]["operating_cash_flow"].alias("operating_cash_flow"), x["financial_metrics"]["debt_ratio"].alias("debt_ratio"), "n_fields",
+        x["financial_metrics"].isNull().alias("no_metrics"), x["balance_sheet"].isNull().alias("no_balance"),
+    )

@@ -80,6 +80,44 @@ def search_requests(spark: SparkSession, languages: list[str], headlines: list[s
     return spark.range(1).select(F.explode(F.array(*map(F.lit, languages))).alias("language")).select("language", F.explode(F.array(*map(F.lit, headlines))).alias("headline"))
 
 
+# Categories of report types, and exchanges by the beginning of a code.
+CATEGORIES = {
+    "annual": "category_ndbg_szsh",
+    "semi_annual": "category_bndbg_szsh",
+    "quarterly_1": "category_yjdbg_szsh",
+    "quarterly_3": "category_sjdbg_szsh",
+    "quarterly": "category_yjdbg_szsh;category_sjdbg_szsh",
+    "all_reports": "category_ndbg_szsh;category_bndbg_szsh;category_yjdbg_szsh;category_sjdbg_szsh",
+}
+BOARDS = {"sse": ["600", "601", "603", "605", "688"], "szse": ["000", "002", "300"], "bj": ["43", "83", "87"]}
+
+
+def cn_search_requests(asks: DataFrame, today: str, days: int = 3 * 365) -> DataFrame:
+    """asks with what each search sends: page_no, page_size, board, search_key, category, first_day and last_day (ISO).
+
+    asks: stock_code, company_name, report_type, start_date, end_date, exchange, limit, page; nulls and '' are unset. Without a
+    start the last `days` up to today are asked for, whatever the end; without an end it is today. The key is the company's
+    name, else the code. The board follows from the code where the exchange is unset or `all`, else szse. A page holds
+    three times the limit (30), as abridged versions go later, and 30 at least. Unknown types are asked for as annual.
+    """
+    unset = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    code, start, end = unset("stock_code"), unset("start_date"), unset("end_date")
+    named = F.coalesce(*(F.when(F.exists(F.array(*map(F.lit, heads)), lambda h: code.startswith(h)), board) for board, heads in BOARDS.items()))  # noqa: B023
+    exchange = F.coalesce(unset("exchange"), F.lit("all"))
+    categories = F.create_map(*(F.lit(x) for pair in CATEGORIES.items() for x in pair))
+    return asks.withColumns(
+        {
+            "page_no": F.coalesce("page", F.lit(1)),
+            "page_size": F.greatest(F.coalesce("limit", F.lit(30)) * 3, F.lit(30)),
+            "board": F.when(exchange != "all", exchange).otherwise(F.coalesce(named, F.lit("szse"))),
+            "search_key": F.coalesce(unset("company_name"), code, F.lit("")),
+            "category": F.coalesce(F.try_element_at(categories, F.col("report_type")), F.lit(CATEGORIES["annual"])),
+            "first_day": F.coalesce(start, F.date_format(F.date_sub(F.to_date(F.lit(today)), days), "yyyy-MM-dd")),
+            "last_day": F.coalesce(F.when(start.isNotNull(), end), F.lit(today)),
+        }
+    )
+
+
 def daily_requests(spark: SparkSession, year: int) -> DataFrame:
     """(day, until): one request a day, each up to the next day; neighbours overlap, so results are to be deduplicated by their key."""
     days = F.explode(F.sequence(F.make_date(F.lit(year), F.lit(1), F.lit(1)), F.make_date(F.lit(year), F.lit(12), F.lit(31))))

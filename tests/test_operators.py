@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from filingmill import schemas, vocab
 from filingmill.functions.text import TYPE_WORDS
-from filingmill.operators import analysis, cache, candidates, context, facts, merge, periods, registry, shape, tables
+from filingmill.operators import analysis, cache, candidates, context, facts, merge, periods, registry, responses, shape, tables
 from filingmill.sources import announcements, documents, html_rows
 from filingmill.streaming import ingest
 
@@ -176,3 +177,73 @@ def test_cache_table_is_made_once(spark, tmp_path):
 def test_broken_payloads_are_empty(spark):
     got = context.read_payloads(spark.createDataFrame([("{",), (None,), ('{"a": 1}',)], "payload string"), "a int").collect()
     assert [r["parsed"] and r["parsed"]["a"] for r in got] == [None, None, 1]
+
+
+def _by_hand(target, allowed, rows):
+    """The primary and the comparison of one value, row by row."""
+    strict = [o for o in rows if o["column_role"] in allowed and o["column_role"] != "unknown"]
+    fits = [o for o in rows if o["column_role"] in allowed]
+    some = [o for o in rows if o in strict or (o["column_role"] == "unknown" and o["is_comparison"])] if strict else fits or rows
+    rank = lambda o: (o["is_comparison"], -abs(o["value"]) if strict else abs(o["value"] - target), bool(strict) and o not in strict, o["obs_seq"])
+    line = sorted(some, key=rank)
+    first = line[0]
+    off = lambda o: abs(o["value"] - first["value"])
+    same_row = [o for o in line[1:] if off(o) > 1e-9 and o["row_label"] == first["row_label"]]
+    marked = [o for o in line if o["is_comparison"]]
+    if same_row:
+        second = min(same_row, key=lambda o: ((o["page"], o["table_index"]) != (first["page"], first["table_index"]), off(o), not o["is_comparison"], o["obs_seq"]))
+    elif marked:
+        second = min(marked, key=lambda o: (off(o), o["obs_seq"]))
+    else:
+        second = next((o for o in line[1:] if off(o) > 1e-9), None)
+    return first["obs_seq"], second and second["obs_seq"]
+
+
+def test_chosen_observations_are_those_of_brute_force(spark):
+    r = random.Random(5)
+    names = ["doc_id", "obs_seq", "statement", "metric", "page", "table_index", "row_label", "column_header", "column_role", "column_year", "is_comparison", "raw_value", "value", "snippet"]
+    rows, values, want = [], [], {}
+    for k in range(300):
+        allowed = r.choice([["full_year"], ["full_year", "unknown"], ["ytd"], ["single_q", "ytd"]])
+        roles, labels = r.choice([["full_year", "unknown"], ["unknown"], ["ytd", "full_year", "unknown"]]), r.choice([["a"], ["a", "b"], [f"l{n}" for n in range(9)]])
+        mine = [
+            dict(zip(names, [f"d{k}", n, "s", "m", r.randrange(2), r.randrange(2), r.choice(labels), "h", r.choice(roles), None, r.random() < 0.4, "v", float(r.randrange(-6, 7)), "x"], strict=True))
+            for n in range(r.randrange(1, 7))
+        ]
+        target = float(r.randrange(-6, 7))
+        rows += [tuple(o[c] for c in names) for o in mine]
+        values.append((f"d{k}", "s", "m", target, allowed))
+        want[f"d{k}"] = _by_hand(target, allowed, mine)
+    v = spark.createDataFrame(values, "doc_id string, statement string, metric string, value double, allowed array<string>")
+    got = {}
+    for x in facts.chosen_observations(v, spark.createDataFrame(rows, schemas.OBSERVATIONS)).collect():
+        got.setdefault(x["doc_id"], {})[x["place"]] = x["obs_seq"]
+    assert {d: (x["primary"], x.get("comparison")) for d, x in got.items()} == want
+    plan = facts.primary_observations(v, spark.createDataFrame(rows, schemas.OBSERVATIONS))._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def test_answers_have_their_shapes(spark):
+    asks = spark.createDataFrame([(1, "600000", "CN", None, 2), (2, "600000", "CN", "annual", None), (3, "x", "CN", "annual", 0), (4, None, None, None, 5)], "request_id int, stock_code string, market string, report_type string, limit int")
+    reports = spark.createDataFrame(
+        [("600000", "CN", "annual", "web", "t", "u1", "2024-01-01", 5), ("600000", "CN", "quarterly", "web", "t", "u2", None, None), ("600000", "CN", "annual", "web", None, "u3", "2024-05-01", 7), ("600000", "HK", "annual", "web", "t", "u4", "2024-01-01", 5)],
+        "stock_code string, market string, report_type string, source string, title string, url string, publish_date string, file_size int",
+    )
+    out = responses.search_answers(asks, reports)
+    assert out.schema["answer"].dataType.simpleString() == spark.createDataFrame([], schemas.SEARCH_ANSWER).schema.simpleString()
+    got = {x["request_id"]: x["answer"] for x in out.collect()}
+    assert [x["url"] for x in got[1]["reports"]] == ["u3", "u1"] and [x["report_type"] for x in got[2]["reports"]] == ["annual", "annual"]
+    assert (got[3]["count"], got[3]["reports"], got[3]["source"], got[4]["count"]) == (0, [], None, 0) and got[1]["source"] == "web"
+    assert responses.search_answers(asks.limit(0), reports).count() == 0
+
+    base = {f.name: None for f in spark.createDataFrame([], schemas.REGISTRY).schema}
+    (entry,) = responses.file_entries(spark.createDataFrame([tuple((base | {"id": 3, "file_size": 9}).values())], schemas.REGISTRY)).collect()
+    assert entry["entry"]["id"] == 3 and entry["entry"]["file_size"] == 9 and entry["entry"]["download_time"] is None
+
+    records = spark.createDataFrame([("a", 5.0, None), ("b", None, None)], "doc_id string, revenue double, eps double")
+    got = {x["doc_id"]: x for x in responses.extraction_answers(records).collect()}
+    assert got["a"]["answer"]["income_statement"]["revenue"] == 5.0 and got["a"]["n_fields"] == 1 and got["a"]["answer"]["financial_metrics"] is None
+    assert got["b"]["answer"]["income_statement"] is None and got["b"]["n_fields"] == 0
+    told = spark.createDataFrame([("a", 0, "revenue", 6.0), ("a", 1, "revenue", 4.0), ("a", 1000, "eps", 0.5)], "doc_id string, fact_seq int, metric string, value double")
+    got = {x["doc_id"]: x for x in responses.extraction_answers(records, told).collect()}
+    assert got["a"]["answer"]["income_statement"]["revenue"] == 6.0 and got["a"]["n_fields"] == 1 and got["b"]["n_fields"] == 0
