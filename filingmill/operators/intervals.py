@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Levels of blocks; an interval longer than 2**LEVELS takes several of the largest.
 LEVELS = 16
+#: Blocks of intervals that are broadcast at most; more are shuffled together with the points.
+BROADCAST_ROWS = 100_000
 _BLOCKS = "array<struct<level:int,block:bigint>>"
 
 
@@ -37,19 +39,20 @@ def dyadic(first: Column, last: Column, levels: int = LEVELS) -> Column:
 
 
 def interval_join(intervals: DataFrame, points: DataFrame, key: list[str], first: str, last: str, at: str, levels: int = LEVELS, how: str = "inner") -> DataFrame:
-    """intervals with the points of the same key that lie in first..last. how: inner or left (intervals without points too). Column names but the keys must differ. Nulls match nothing."""
-    cut = intervals.withColumn("_cuts", dyadic(F.col(first), F.col(last), levels))
-    one = F.explode_outer if how == "left" else F.explode
-    cut = cut.withColumn("_cut", one("_cuts")).withColumns({"_level": F.col("_cut.level"), "_block": F.col("_cut.block")}).drop("_cut", "_cuts")
-    in_level = F.explode(F.sequence(F.lit(0), F.lit(levels)))
+    """intervals with the points of the same key that lie in first..last. how: inner or left (intervals without points too). Column names but the keys must differ. Nulls match nothing.
+
+    A point has a row for each level that intervals have blocks of. The points are never broadcast, however small Spark takes them to be.
+    """
+    cut = intervals.withColumn("_cut", F.explode(dyadic(F.col(first), F.col(last), levels))).withColumns({"_level": F.col("_cut.level"), "_block": F.col("_cut.block")}).drop("_cut")
+    used = sorted(r["_level"] for r in cut.select("_level").distinct().collect())  # at most levels + 1 rows
+    in_level = F.explode(F.array(*map(F.lit, used)).cast("array<int>"))
     placed = points.where(F.col(at).isNotNull()).withColumn("_level", in_level)
     placed = placed.withColumn("_block", F.floor(F.col(at).cast("long") / F.pow(F.lit(2), F.col("_level"))).cast("long"))
-    used = cut.select("_level").distinct()
-    placed = placed.join(F.broadcast(used), "_level", "left_semi")  # at most levels + 1 rows
-    joined = cut.join(placed, [*key, "_level", "_block"], "inner" if how == "inner" else "left")
-    if how == "left":  # an interval is several ranges, and only those with points count if any has some
-        joined = joined.drop("_level", "_block")
-        some = joined.where(F.col(at).isNotNull())
-        bare = intervals.join(some.select(*intervals.columns).distinct(), [intervals[c].eqNullSafe(some[c]) for c in intervals.columns], "left_anti")
-        return some.unionByName(bare, allowMissingColumns=True)
-    return joined.drop("_level", "_block")
+    few = cut.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    joined = placed.join(F.broadcast(cut) if few else cut.hint("shuffle_merge"), [*key, "_level", "_block"]).drop("_level", "_block")
+    joined = joined.select(*intervals.columns, *(c for c in points.columns if c not in key))
+    if how == "inner":
+        return joined
+    met = joined.select(*intervals.columns).distinct()
+    bare = intervals.join(met, [intervals[c].eqNullSafe(met[c]) for c in intervals.columns], "left_anti")
+    return joined.unionByName(bare, allowMissingColumns=True)

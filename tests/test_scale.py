@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import re
+
 from filingmill import schemas, vocab
-from filingmill.operators import facts, periods
+from filingmill.operators import facts, intervals, periods
+from filingmill.plans.registry import QUERIES
 
 
 def exchanges(df) -> list[str]:
@@ -29,3 +32,18 @@ def test_facts_are_built_in_one_pass_by_document(spark):
     assert got["operating_cost", "2023FY"] == (60.0, ["ev_0001", "ev_0003"]) and got["gross_margin", "2023FY"][1] == ["ev_0003", "ev_0001"]
     assert got["net_profit", "2023Q4_SINGLE"] == (3.0, ["ev_0004"]) and got["net_profit", "2023FY"] == (10.0, ["ev_0004"])
     assert {x["evidence_id"]: x["raw_value"] for x in evidence.collect()} == {"ev_0001": "100.0", "ev_0002": "90.0", "ev_0003": "40.0", "ev_0004": "3.0"}
+
+
+def test_points_of_a_left_interval_join_are_not_broadcast(spark):
+    windows = spark.createDataFrame([(1, 0, 30), (1, 40, 50)], "k int, a int, b int")
+    points = spark.range(1000).selectExpr("1 as k", "id", "cast(id % 35 as int) as day")
+    joined = intervals.interval_join(windows, points, ["k"], "a", "b", "day", how="left")
+    sides = re.findall(r"BroadcastHashJoin .*?(Inner|LeftOuter), (BuildLeft|BuildRight)", joined._jdf.queryExecution().executedPlan().toString())
+    assert sides and all(kind == "Inner" for kind, _ in sides)
+    assert joined.where("a = 0").count() == sum(k % 35 <= 30 for k in range(1000)) and [r["id"] for r in joined.where("a = 40").collect()] == [None]
+
+
+def test_daily_requests_read_each_event_once(spark):
+    """Events aren't doubled ahead of the count of distinct ones."""
+    plan = QUERIES["src15_daily_requests"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1 and plan.count("parquet") <= 4  # of what was asked and what was empty, not of events
