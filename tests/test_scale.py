@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import re
 
 from filingmill import schemas, vocab
-from filingmill.operators import facts, intervals, periods
+from filingmill.operators import candidates, facts, intervals, periods, similar
 from filingmill.plans.registry import QUERIES
 
 
@@ -47,3 +47,19 @@ def test_daily_requests_read_each_event_once(spark):
     """Events aren't doubled ahead of the count of distinct ones."""
     plan = QUERIES["src15_daily_requests"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Union") == 1 and plan.count("parquet") <= 4  # of what was asked and what was empty, not of events
+
+
+def test_candidates_are_dealt_evenly_and_judged_once(spark):
+    """One file of texts is no single task, and filters don't compute an amount anew."""
+    documents = spark.createDataFrame([(1, "In HKD million\nTotal revenue 2,500", "en")], "doc_id long, text string, lang string").coalesce(1)
+    best = candidates.best(documents)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Repartition \d+, true|RepartitionByExpression", plan) and plan.count("0{3}") == 1
+    assert [(r["field"], r["value"]) for r in best.collect() if r["field"] == "revenue"] == [("revenue", 2500.0)]
+
+
+def test_copies_of_labels_are_linked_by_classes(spark):
+    rows = [(k, "net revenue of the year" if k % 2 else "Net  revenue of the years", "u") for k in range(1, 401)] + [(500, "cash", "u"), (501, "net revenue of the year", "v"), (502, None, "u")]
+    got = {r["id"]: (r["class_id"], r["other"], r["band"]) for r in similar.linked_labels(spark.createDataFrame(rows, "id long, label string, unit string"), ["unit"]).collect()}
+    assert len(got) == 402 and 502 not in got and got[500] == (500, None, None) and got[501] == (501, None, None)
+    assert all(got[k] == ((1, 2, "merge") if k % 2 else (2, 1, "merge")) for k in range(1, 401))
