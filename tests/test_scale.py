@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import re
 
-from filingmill import schemas, vocab
+from filingmill import schemas, staging, vocab
 from filingmill.operators import candidates, facts, intervals, periods, similar
 from filingmill.plans.registry import QUERIES
 
@@ -63,3 +63,13 @@ def test_copies_of_labels_are_linked_by_classes(spark):
     got = {r["id"]: (r["class_id"], r["other"], r["band"]) for r in similar.linked_labels(spark.createDataFrame(rows, "id long, label string, unit string"), ["unit"]).collect()}
     assert len(got) == 402 and 502 not in got and got[500] == (500, None, None) and got[501] == (501, None, None)
     assert all(got[k] == ((1, 2, "merge") if k % 2 else (2, 1, "merge")) for k in range(1, 401))
+
+
+def test_observations_are_dealt_by_size_and_sorted_as_they_are(spark, monkeypatch):
+    """Larger inputs make more parts, not larger ones, and what is sorted by value holds none of the structs that the choice is made by."""
+    monkeypatch.setattr(staging, "PART_BYTES", 4096)
+    for name in ("win2_primary_observation",):
+        chosen = QUERIES[name](spark, "/root/testdata/sf0.001")
+        parts = [int(re.search(r"hashpartitioning\(.*, (\d+)\)", line)[1]) for line in exchanges(chosen) if "REPARTITION_BY_NUM" in line]
+        assert parts and all(n == -(-staging.input_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")) // 4096) for n in parts)
+        assert "j#" not in chosen._jdf.queryExecution().optimizedPlan().toString()
