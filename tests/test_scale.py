@@ -68,7 +68,7 @@ def test_copies_of_labels_are_linked_by_classes(spark):
 def test_observations_are_dealt_by_size_and_sorted_as_they_are(spark, monkeypatch):
     """Larger inputs make more parts, not larger ones, and what is sorted by value holds none of the structs that the choice is made by."""
     monkeypatch.setattr(staging, "PART_BYTES", 4096)
-    for name in ("win2_primary_observation",):
+    for name in ("win2_primary_observation", "win3_comparison_observation"):
         chosen = QUERIES[name](spark, "/root/testdata/sf0.001")
         parts = [int(re.search(r"hashpartitioning\(.*, (\d+)\)", line)[1]) for line in exchanges(chosen) if "REPARTITION_BY_NUM" in line]
         assert parts and all(n == -(-staging.input_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")) // 4096) for n in parts)
