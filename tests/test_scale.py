@@ -73,3 +73,11 @@ def test_observations_are_dealt_by_size_and_sorted_as_they_are(spark, monkeypatc
         parts = [int(re.search(r"hashpartitioning\(.*, (\d+)\)", line)[1]) for line in exchanges(chosen) if "REPARTITION_BY_NUM" in line]
         assert parts and all(n == -(-staging.input_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")) // 4096) for n in parts)
         assert "j#" not in chosen._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_row_picks_are_shuffled_once_by_part(spark, monkeypatch):
+    """Values and records come dealt by document, in more parts where there is more input; nothing is shuffled after."""
+    monkeypatch.setattr(staging, "PART_BYTES", 4096)
+    lines = exchanges(QUERIES["agg6_agg7_row_picks"](spark, "/root/testdata/sf0.001"))
+    parts = -(-staging.input_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")) // 4096)
+    assert len(lines) == 2 and all(re.search(rf"hashpartitioning\(l_partkey#\d+L, {parts}\), REPARTITION_BY_NUM", line) for line in lines)
