@@ -13,9 +13,12 @@ from ..functions.dates import column_year
 from ..functions.names import spans, word_bounded
 from ..functions.numbers import parse_number, stripped
 from ..functions.text import contains_any, normalized_label
+from ..staging import staged
 from ..vocab import STATEMENT_OF
 
 TABLE = ["doc_id", "page", "table_index"]
+#: Labels that name a metric, up to which they are sent to all tasks, so that rows needn't be shuffled to them.
+BROADCAST_LABELS = 100_000
 SEGMENT_WORDS = ["segment results", "all other segments", "reportable segments"]
 
 
@@ -85,18 +88,24 @@ def _named(batches: Iterator[pa.RecordBatch], words: list[tuple[str, str, str, s
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["lang", "label", "statement", "metric"])
 
 
+def _row_metrics(cells: DataFrame, documents: DataFrame, label: Column) -> DataFrame:
+    """label_metrics of all rows' labels, as (lang, row_label, statement, metric)."""
+    labels = cells.where("col_no = 0").select("doc_id", label.alias("label")).join(documents.select("doc_id", "lang"), "doc_id")
+    named = staged(label_metrics(labels).withColumnRenamed("label", "row_label"))
+    return F.broadcast(named) if named.count() <= BROADCAST_LABELS else named
+
+
 def observations(cells: DataFrame, documents: DataFrame) -> DataFrame:
     """Every value that a table row gives for a metric (schemas.OBSERVATIONS), in the order of tables, rows and columns.
 
     documents: (doc_id, lang, fiscal_year). Segment tables are skipped; a classified table gives only its own statement's
-    metrics; amounts under 1 are no values.
+    metrics; amounts under 1 are no values. Cells and documents that come dealt by doc_id are shuffled no more.
     """
     spark = cells.sparkSession
     tables = table_profiles(cells, documents).where("not is_segment").withColumnRenamed("statement", "table_statement")
     label = stripped(one_line(F.col("cell")))
     rows = cells.where("col_no = 0").select(*TABLE, "row_no", label.alias("row_label")).where("row_label <> ''").join(tables, TABLE).join(documents.select("doc_id", "lang"), "doc_id")
-    metrics = label_metrics(rows.select("lang", F.col("row_label").alias("label"))).withColumnRenamed("label", "row_label")
-    rows = rows.join(metrics, ["lang", "row_label"]).where("table_statement = 'unknown' or table_statement = statement")
+    rows = rows.join(_row_metrics(cells, documents, label), ["lang", "row_label"]).where("table_statement = 'unknown' or table_statement = statement")
     floors = F.broadcast(vocab.spec_dim(spark).select("metric", "floor"))
     snippets = cells.where("col_no < 4 and coalesce(cell, '') <> ''").groupBy(*TABLE, "row_no").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", stripped(one_line(F.col("cell"))).alias("c")))), lambda x: x["c"]), " "), 1, 200).alias("snippet"))
     values = cells.where("col_no > 0").select(*TABLE, "row_no", "col_no", stripped(F.col("cell")).alias("raw_value"), parse_number(one_line(F.col("cell"))).alias("value")).where("value is not null")
@@ -157,7 +166,7 @@ def table_values(cells: DataFrame, documents: DataFrame) -> DataFrame:
     and balance tables, none for ratios). Rows of tables that tables_for leaves out give nothing.
     """
     rows = row_values(cells, documents)
-    named = label_metrics(rows.select("lang", F.col("row_label").alias("label"))).withColumnRenamed("label", "row_label").withColumnRenamed("statement", "of")
+    named = _row_metrics(cells, documents, F.replace("cell", F.lit("\n"), F.lit(""))).withColumnRenamed("statement", "of")
     profiles = table_profiles(cells, documents)
     routed = [tables_for(profiles, s).withColumn("of", F.lit(s)).drop("statement", "is_segment") for s in vocab.FIELDS]
     where = routed[0]

@@ -81,3 +81,9 @@ def test_row_picks_are_shuffled_once_by_part(spark, monkeypatch):
     lines = exchanges(QUERIES["agg6_agg7_row_picks"](spark, "/root/testdata/sf0.001"))
     parts = -(-staging.input_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")) // 4096)
     assert len(lines) == 2 and all(re.search(rf"hashpartitioning\(l_partkey#\d+L, {parts}\), REPARTITION_BY_NUM", line) for line in lines)
+
+
+def test_cells_stay_where_their_filings_are(spark):
+    """No join on the way from cells to observations shuffles cells, nor are rows shuffled to their labels."""
+    lines = exchanges(QUERIES["jon8_flt10_flt11_dat6_str8_observations"](spark, "/root/testdata/sf0.001"))
+    assert lines and all("REPARTITION_BY_NUM" in line and "hashpartitioning(doc_id" in line for line in lines)
