@@ -8,7 +8,9 @@ import re
 
 from filingmill import schemas, staging, vocab
 from filingmill.operators import candidates, facts, intervals, periods, similar
+from filingmill.plans import mechanism_queries
 from filingmill.plans.registry import QUERIES
+from filingmill.sources import paged
 
 
 def exchanges(df) -> list[str]:
@@ -87,3 +89,23 @@ def test_cells_stay_where_their_filings_are(spark):
     """No join on the way from cells to observations shuffles cells, nor are rows shuffled to their labels."""
     lines = exchanges(QUERIES["jon8_flt10_flt11_dat6_str8_observations"](spark, "/root/testdata/sf0.001"))
     assert lines and all("REPARTITION_BY_NUM" in line and "hashpartitioning(doc_id" in line for line in lines)
+
+
+def test_conversations_are_packed_many_to_a_file(spark, tmp_path, monkeypatch):
+    """Not a file for each conversation; what a page holds doesn't matter."""
+    monkeypatch.setattr(mechanism_queries, "shared_folder", lambda _: str(tmp_path))
+    odd = {-7: ["a\fb\\", None, "\\N"], 1: [""], 2: ["x", "y"]}
+    said = odd | {k: [f"{k}-{turn}" for turn in range(k % 5 + 1)] for k in range(3, 300)}
+    rows = [(k, turn, text) for k, texts in said.items() for turn, text in enumerate(texts)]
+    spark.createDataFrame([*rows, (None, 0, "no")], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/in/conversations.parquet")
+    got = QUERIES["src17_pages_asked"](spark, f"{tmp_path}/in").collect()
+    assert len([f for at in tmp_path.glob("pages-*") for f in at.rglob("*") if f.suffix in (".parquet", ".txt")]) <= spark.sparkContext.defaultParallelism
+    want = [(str(k), n + 1, len(texts), texts[n]) for k, texts in said.items() for n in (0, 2) if n < len(texts)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_small_files_are_dealt_to_many_tasks(tmp_path):
+    for k in range(600):
+        (tmp_path / f"{k}.txt").write_text("a")
+    parts = paged.PagedReader({"path": str(tmp_path), "pattern": "*.txt", "partitionBytes": 100 * paged.OPEN_BYTES}).partitions()
+    assert len(parts) >= 6 and sum(len(p.paths) for p in parts) == 600
