@@ -95,32 +95,71 @@ def _row_metrics(cells: DataFrame, documents: DataFrame, label: Column) -> DataF
     return F.broadcast(named) if named.count() <= BROADCAST_LABELS else named
 
 
+def _gathered(cells: DataFrame, documents: DataFrame, *told: str) -> DataFrame:
+    """(doc_id, page, table_index, rows, and columns of documents): each table in one row, its rows in order as (row_no, row), each of them its cells in order as (col_no, cell). Tables without a head row are out, as table_profiles has none."""
+    rows = cells.where("page is not null and table_index is not null").groupBy(*TABLE, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "cell"))).alias("row"))
+    tables = rows.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("row_no", "row"))).alias("rows")).where(F.exists("rows", lambda r: r["row_no"] < 8))
+    return tables.join(documents.select("doc_id", *told), "doc_id")
+
+
+def _filled(cell: Column) -> Column:
+    return F.coalesce(cell, F.lit("")) != ""
+
+
+def _profiled(tables: DataFrame) -> DataFrame:
+    """Gathered tables with `statement` and `is_segment`, by the rules of table_profiles."""
+    head = lambda n: F.array_join(F.flatten(F.transform(F.filter("rows", lambda r: r["row_no"] < n), lambda r: F.transform(F.filter(r["row"], lambda c: _filled(c["cell"])), lambda c: one_line(F.lower(c["cell"]))))), " ")
+    heads = tables.withColumns({"_h8": head(8), "_h6": head(6)})
+    return heads.withColumns({"statement": statement_of(F.col("_h8")), "is_segment": (F.col("lang") == "en") & contains_any(F.col("_h6"), SEGMENT_WORDS)}).drop("_h8", "_h6")
+
+
+def _columns(rows: str, fiscal_year: Column) -> Column:
+    """The columns of a gathered table, as structs of what column_profiles tells of them."""
+    head = F.filter(rows, lambda r: r["row_no"] < 3)
+    numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(head, lambda r: F.transform(F.filter(r["row"], lambda c: c["col_no"] > 0), lambda c: c["col_no"])))))
+    parts = lambda k: F.flatten(F.transform(head, lambda r: F.transform(F.filter(r["row"], lambda c: (c["col_no"] == k) & _filled(c["cell"])), lambda c: stripped(one_line(c["cell"])))))
+    own = F.transform(numbers, lambda k: F.named_struct(F.lit("col_no"), k, F.lit("own"), F.trim(F.array_join(F.filter(parts(k), lambda c: c != ""), " "))))
+    # the last header up to each column, by a fold over the columns
+    header = lambda before, c: F.when(c["own"] != "", c["own"]).otherwise(F.try_element_at(before, F.lit(-1))["column_header"])
+    named = F.aggregate(own, F.array().cast("array<struct<col_no:int,column_header:string>>"), lambda before, c: F.concat(before, F.array(F.named_struct(F.lit("col_no"), c["col_no"].cast("int"), F.lit("column_header"), header(before, c)))))
+    dated = F.transform(named, lambda c: F.named_struct(F.lit("col_no"), c["col_no"], F.lit("column_header"), c["column_header"], F.lit("column_year"), column_year(F.coalesce(c["column_header"], F.lit("")))))
+    older = lambda c: contains_any(F.lower(F.coalesce(c["column_header"], F.lit(""))), ["comparative", "corresponding"]) | F.coalesce(c["column_year"] < fiscal_year, F.lit(False))
+    return F.transform(dated, lambda c: F.named_struct(F.lit("col_no"), c["col_no"], F.lit("column_header"), c["column_header"], F.lit("column_year"), c["column_year"], F.lit("column_role"), role_of(F.coalesce(c["column_header"], F.lit(""))), F.lit("is_comparison"), older(c)))
+
+
 def observations(cells: DataFrame, documents: DataFrame) -> DataFrame:
     """Every value that a table row gives for a metric (schemas.OBSERVATIONS), in the order of tables, rows and columns.
 
     documents: (doc_id, lang, fiscal_year). Segment tables are skipped; a classified table gives only its own statement's
-    metrics; amounts under 1 are no values. Cells and documents that come dealt by doc_id are shuffled no more.
+    metrics; amounts under 1 are no values. Cells are gathered by table once, and then joined no more; cells and documents
+    that come dealt by doc_id are not shuffled.
     """
     spark = cells.sparkSession
-    tables = table_profiles(cells, documents).where("not is_segment").withColumnRenamed("statement", "table_statement")
+    tables = _profiled(_gathered(cells, documents, "lang", "fiscal_year")).where("not is_segment").withColumn("columns", _columns("rows", F.col("fiscal_year")))
     label = stripped(one_line(F.col("cell")))
-    rows = cells.where("col_no = 0").select(*TABLE, "row_no", label.alias("row_label")).where("row_label <> ''").join(tables, TABLE).join(documents.select("doc_id", "lang"), "doc_id")
+    labels = F.flatten(F.transform(F.filter("rows", lambda r: r["row_no"].isNotNull()), lambda r: F.transform(F.filter(r["row"], lambda c: c["col_no"] == 0), lambda c: F.named_struct(F.lit("row_no"), r["row_no"], F.lit("row"), r["row"], F.lit("cell"), c["cell"]))))
+    rows = tables.select(*TABLE, "lang", F.col("statement").alias("table_statement"), "columns", F.explode(labels).alias("x"))
+    rows = rows.select(*TABLE, "lang", "table_statement", "columns", "x.row_no", "x.row", stripped(one_line(F.col("x.cell"))).alias("row_label")).where("row_label <> ''")
     rows = rows.join(_row_metrics(cells, documents, label), ["lang", "row_label"]).where("table_statement = 'unknown' or table_statement = statement")
     floors = F.broadcast(vocab.spec_dim(spark).select("metric", "floor"))
-    snippets = cells.where("col_no < 4 and coalesce(cell, '') <> ''").groupBy(*TABLE, "row_no").agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_no", stripped(one_line(F.col("cell"))).alias("c")))), lambda x: x["c"]), " "), 1, 200).alias("snippet"))
-    values = cells.where("col_no > 0").select(*TABLE, "row_no", "col_no", stripped(F.col("cell")).alias("raw_value"), parse_number(one_line(F.col("cell"))).alias("value")).where("value is not null")
-    o = rows.join(values, [*TABLE, "row_no"]).join(floors, "metric").where("abs(value) >= floor")
-    o = o.join(column_profiles(cells, documents), [*TABLE, "col_no"], "left").join(snippets, [*TABLE, "row_no"], "left")
+    snippet = F.substring(F.array_join(F.transform(F.filter("row", lambda c: (c["col_no"] < 4) & _filled(c["cell"])), lambda c: stripped(one_line(c["cell"]))), " "), 1, 200)
+    values = rows.join(floors, "metric").withColumn("snippet", snippet).withColumn("v", F.explode(F.filter("row", lambda c: c["col_no"] > 0)))
+    o = values.withColumn("value", parse_number(one_line(F.col("v.cell")))).where("abs(value) >= floor").withColumn("c", F.get(F.filter("columns", lambda c: c["col_no"] == F.col("v.col_no")), 0))
+    o = o.select("doc_id", "statement", "metric", "page", "table_index", "row_no", F.col("v.col_no").alias("col_no"), "row_label", stripped(F.col("v.cell")).alias("raw_value"), "value", "snippet", "c")
     seq = F.row_number().over(Window.partitionBy("doc_id", "statement", "metric").orderBy("page", "table_index", "row_no", "col_no")).cast("long")
     return o.select(
-        "doc_id", seq.alias("obs_seq"), "statement", "metric", "page", "table_index", "row_label", "column_header", F.coalesce("column_role", F.lit("unknown")).alias("column_role"), "column_year",
-        F.coalesce("is_comparison", F.lit(False)).alias("is_comparison"), "raw_value", "value", "snippet",
+        "doc_id", seq.alias("obs_seq"), "statement", "metric", "page", "table_index", "row_label", "c.column_header", F.coalesce("c.column_role", F.lit("unknown")).alias("column_role"), "c.column_year",
+        F.coalesce("c.is_comparison", F.lit(False)).alias("is_comparison"), "raw_value", "value", "snippet",
     )
 
 
+def _tier(statement: Column, of: Column) -> Column:
+    return F.when(statement == of, 1).when(statement == "unknown", 2).when(of == vocab.METRICS, 3)
+
+
 def tables_for(profiles: DataFrame, statement: str) -> DataFrame:
     """The tables to read a statement from: those classified as it, else the unclassified ones, else (metrics only) all."""
-    tier = F.when(F.col("statement") == statement, 1).when(F.col("statement") == "unknown", 2).when(F.lit(statement == vocab.METRICS), 3)
+    tier = _tier(F.col("statement"), F.lit(statement))
     best = F.min("tier").over(Window.partitionBy("doc_id"))
     return profiles.withColumn("tier", tier).where("tier is not null").withColumn("best", best).where("tier = best").drop("tier", "best")
 
@@ -159,22 +198,33 @@ def row_values(cells: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.join(ends, TABLE, "left").withColumn("year_end_col", F.when(F.col("lang") == "en", F.col("year_end_col")))
 
 
+def _year_end(rows: str) -> Column:
+    """The column of a gathered table that year_end_columns finds; null without dates."""
+    year = lambda c: F.regexp_extract(c, r"(?:12/31|31/12)/?(20[0-9]{2})", 1)
+    dates = F.flatten(F.transform(rows, lambda r: F.transform(F.filter(r["row"], lambda c: year(c["cell"]) != ""), lambda c: F.named_struct(F.lit("col_no"), c["col_no"], F.lit("row_no"), r["row_no"], F.lit("y"), year(c["cell"]).cast("int")))))
+    upto = lambda found: F.filter(found, lambda d: d["row_no"] <= F.coalesce(F.get(found, 1)["row_no"], d["row_no"]))
+    last = lambda found: F.slice(F.sort_array(upto(found), asc=False), 1, 2)
+    best = F.transform(F.array(dates), lambda found: F.array_min(F.transform(last(found), lambda d: F.named_struct(F.lit("y"), -d["y"], F.lit("c"), d["col_no"])))["c"])
+    return F.get(best, 0)
+
+
 def table_values(cells: DataFrame, documents: DataFrame) -> DataFrame:
     """(doc_id, statement, metric, seq, value): what each table row offers for a metric's record, in reading order.
 
     A row's value is the one at the year-end column, else the first above a bound (1 in English, 10000 in Chinese income
-    and balance tables, none for ratios). Rows of tables that tables_for leaves out give nothing.
+    and balance tables, none for ratios). Rows of tables that tables_for leaves out give nothing. As in observations, cells
+    are gathered by table once; the rules are those of row_values and tables_for.
     """
-    rows = row_values(cells, documents)
-    named = _row_metrics(cells, documents, F.replace("cell", F.lit("\n"), F.lit(""))).withColumnRenamed("statement", "of")
-    profiles = table_profiles(cells, documents)
-    routed = [tables_for(profiles, s).withColumn("of", F.lit(s)).drop("statement", "is_segment") for s in vocab.FIELDS]
-    where = routed[0]
-    for r in routed[1:]:
-        where = where.unionByName(r)
+    plain = lambda cell: F.replace(cell, F.lit("\n"), F.lit(""))
+    tables = _profiled(_gathered(cells, documents, "lang")).withColumn("all", F.collect_set("statement").over(Window.partitionBy("doc_id"))).where("not is_segment")
+    served = F.filter(F.array(*map(F.lit, vocab.FIELDS)), lambda of: _tier(F.col("statement"), of) == F.array_min(F.transform("all", lambda s: _tier(s, of))))
+    tables = tables.select(*TABLE, "lang", served.alias("served"), F.when(F.col("lang") == "en", _year_end("rows")).alias("year_end_col"), F.explode("rows").alias("r")).select(*TABLE, "lang", "served", "year_end_col", "r.*").where("size(row) > 1")
+    rows = tables.withColumn("row_label", F.array_max(F.transform(F.filter("row", lambda c: c["col_no"] == 0), lambda c: plain(c["cell"]))))
+    named = _row_metrics(cells, documents, plain("cell")).withColumnRenamed("statement", "of")
+    rows = rows.join(named, ["lang", "row_label"]).where("array_contains(served, of)").withColumn("values", F.transform("row", lambda c: F.when(c["col_no"] > 0, parse_number(plain(c["cell"])))))
     least = F.when(F.col("of") == vocab.METRICS, -1.0).when((F.col("lang") == "zh") & F.col("of").isin(vocab.INCOME, vocab.BALANCE), 10000.0).otherwise(1.0)
     value = F.coalesce(value_near(F.col("values"), F.col("year_end_col")), first_above(F.col("values"), least))
-    v = rows.where("not is_segment").join(named, ["lang", "row_label"]).join(where, [*TABLE, "of"]).withColumn("value", value).where("value is not null")
+    v = rows.withColumn("value", value).where("value is not null")
     v = v.where((F.col("of") != vocab.CASH) | (F.abs("value") > 1))
     seq = F.row_number().over(Window.partitionBy("doc_id", "of", "metric").orderBy("page", "table_index", "row_no"))
     return v.select("doc_id", F.col("of").alias("statement"), "metric", seq.alias("seq"), "value", "lang")

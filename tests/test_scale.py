@@ -91,6 +91,17 @@ def test_cells_stay_where_their_filings_are(spark):
     assert lines and all("REPARTITION_BY_NUM" in line and "hashpartitioning(doc_id" in line for line in lines)
 
 
+def test_facts_of_filings_send_no_filings_to_the_driver(spark):
+    """Only labels and fixed values are broadcast, whatever Spark guesses of files' sizes; no step on the way from cells to facts shuffles cells."""
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    built = QUERIES["mth3_win8_jon9_agg6_built_facts"](spark, "/root/testdata/sf0.001")
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)
+    assert keys and all("doc_id" not in k and "orderkey" not in k for k in keys)
+    lines = exchanges(built)
+    assert lines and all("REPARTITION_BY_NUM" in line and "hashpartitioning(doc_id" in line for line in lines)
+
+
 def test_conversations_are_packed_many_to_a_file(spark, tmp_path, monkeypatch):
     """Not a file for each conversation; what a page holds doesn't matter."""
     monkeypatch.setattr(mechanism_queries, "shared_folder", lambda _: str(tmp_path))
