@@ -102,6 +102,11 @@ def test_facts_of_filings_send_no_filings_to_the_driver(spark):
     assert lines and all("REPARTITION_BY_NUM" in line and "hashpartitioning(doc_id" in line for line in lines)
 
 
+def test_quality_of_filings_sends_no_filings_to_the_driver(spark):
+    plan = QUERIES["agg9_jon11_arr5_quality_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert all("doc_id" not in k for k in re.findall(r"Broadcast\w*Join \[([^\]]*)\]", plan)) and "SortMergeJoin" in plan
+
+
 def test_conversations_are_packed_many_to_a_file(spark, tmp_path, monkeypatch):
     """Not a file for each conversation; what a page holds doesn't matter."""
     monkeypatch.setattr(mechanism_queries, "shared_folder", lambda _: str(tmp_path))
