@@ -19,6 +19,8 @@ from ..vocab import STATEMENT_OF
 TABLE = ["doc_id", "page", "table_index"]
 #: Labels that name a metric, up to which they are sent to all tasks, so that rows needn't be shuffled to them.
 BROADCAST_LABELS = 100_000
+#: A table whose page or number is missing gives no values, but counts where a document's tables are told apart.
+PLACED = "page is not null and table_index is not null"
 SEGMENT_WORDS = ["segment results", "all other segments", "reportable segments"]
 
 
@@ -97,7 +99,7 @@ def _row_metrics(cells: DataFrame, documents: DataFrame, label: Column) -> DataF
 
 def _gathered(cells: DataFrame, documents: DataFrame, *told: str) -> DataFrame:
     """(doc_id, page, table_index, rows, and columns of documents): each table in one row, its rows in order as (row_no, row), each of them its cells in order as (col_no, cell). Tables without a head row are out, as table_profiles has none."""
-    rows = cells.where("page is not null and table_index is not null").groupBy(*TABLE, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "cell"))).alias("row"))
+    rows = cells.groupBy(*TABLE, "row_no").agg(F.array_sort(F.collect_list(F.struct("col_no", "cell"))).alias("row"))
     tables = rows.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct("row_no", "row"))).alias("rows")).where(F.exists("rows", lambda r: r["row_no"] < 8))
     return tables.join(documents.select("doc_id", *told), "doc_id")
 
@@ -135,7 +137,7 @@ def observations(cells: DataFrame, documents: DataFrame) -> DataFrame:
     that come dealt by doc_id are not shuffled.
     """
     spark = cells.sparkSession
-    tables = _profiled(_gathered(cells, documents, "lang", "fiscal_year")).where("not is_segment").withColumn("columns", _columns("rows", F.col("fiscal_year")))
+    tables = _profiled(_gathered(cells, documents, "lang", "fiscal_year")).where(f"not is_segment and {PLACED}").withColumn("columns", _columns("rows", F.col("fiscal_year")))
     label = stripped(one_line(F.col("cell")))
     labels = F.flatten(F.transform(F.filter("rows", lambda r: r["row_no"].isNotNull()), lambda r: F.transform(F.filter(r["row"], lambda c: c["col_no"] == 0), lambda c: F.named_struct(F.lit("row_no"), r["row_no"], F.lit("row"), r["row"], F.lit("cell"), c["cell"]))))
     rows = tables.select(*TABLE, "lang", F.col("statement").alias("table_statement"), "columns", F.explode(labels).alias("x"))
@@ -202,7 +204,8 @@ def _year_end(rows: str) -> Column:
     """The column of a gathered table that year_end_columns finds; null without dates."""
     year = lambda c: F.regexp_extract(c, r"(?:12/31|31/12)/?(20[0-9]{2})", 1)
     dates = F.flatten(F.transform(rows, lambda r: F.transform(F.filter(r["row"], lambda c: year(c["cell"]) != ""), lambda c: F.named_struct(F.lit("col_no"), c["col_no"], F.lit("row_no"), r["row_no"], F.lit("y"), year(c["cell"]).cast("int")))))
-    upto = lambda found: F.filter(found, lambda d: d["row_no"] <= F.coalesce(F.get(found, 1)["row_no"], d["row_no"]))
+    second = lambda found: F.get(found, 1)["row_no"]  # noqa: E731  rows without a number come first
+    upto = lambda found: F.filter(found, lambda d: (F.size(found) < 2) | (second(found).isNotNull() & (d["row_no"].isNull() | (d["row_no"] <= second(found)))))
     last = lambda found: F.slice(F.sort_array(upto(found), asc=False), 1, 2)
     best = F.transform(F.array(dates), lambda found: F.array_min(F.transform(last(found), lambda d: F.named_struct(F.lit("y"), -d["y"], F.lit("c"), d["col_no"])))["c"])
     return F.get(best, 0)
@@ -216,7 +219,7 @@ def table_values(cells: DataFrame, documents: DataFrame) -> DataFrame:
     are gathered by table once; the rules are those of row_values and tables_for.
     """
     plain = lambda cell: F.replace(cell, F.lit("\n"), F.lit(""))
-    tables = _profiled(_gathered(cells, documents, "lang")).withColumn("all", F.collect_set("statement").over(Window.partitionBy("doc_id"))).where("not is_segment")
+    tables = _profiled(_gathered(cells, documents, "lang")).withColumn("all", F.collect_set("statement").over(Window.partitionBy("doc_id"))).where(f"not is_segment and {PLACED}")
     served = F.filter(F.array(*map(F.lit, vocab.FIELDS)), lambda of: _tier(F.col("statement"), of) == F.array_min(F.transform("all", lambda s: _tier(s, of))))
     tables = tables.select(*TABLE, "lang", served.alias("served"), F.when(F.col("lang") == "en", _year_end("rows")).alias("year_end_col"), F.explode("rows").alias("r")).select(*TABLE, "lang", "served", "year_end_col", "r.*").where("size(row) > 1")
     rows = tables.withColumn("row_label", F.array_max(F.transform(F.filter("row", lambda c: c["col_no"] == 0), lambda c: plain(c["cell"]))))

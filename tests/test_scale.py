@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import re
 
 from filingmill import schemas, staging, vocab
-from filingmill.operators import candidates, facts, intervals, periods, similar
+from filingmill.operators import candidates, facts, intervals, periods, similar, tables
 from filingmill.plans import mechanism_queries
 from filingmill.plans.registry import QUERIES
 from filingmill.sources import paged
@@ -102,6 +102,16 @@ def test_facts_of_filings_send_no_filings_to_the_driver(spark):
     assert lines and all("REPARTITION_BY_NUM" in line and "hashpartitioning(doc_id" in line for line in lines)
 
 
+def test_odd_tables_give_what_they_did(spark):
+    """A table without a page gives no values but counts among its document's tables; of dates in rows without a number one is read."""
+    rows = [(None, 0, [["Balance sheet", "2024"], ["Total assets", "7"]]), (1, 1, [["Notes", "2024"], ["Total assets", "8"]]), (1, 2, [["Income statement", "12/31/2024", "31/12/2023"], ["Revenue", "10", "20"]])]
+    cells = [("d", page, t, None if (t, r) == (2, 0) else r, c, cell) for page, t, table in rows for r, row in enumerate(table) for c, cell in enumerate(row)] + [("d", 1, 2, 2, 0, "Net income"), ("d", 1, 2, 2, 1, "3"), ("d", 1, 2, 2, 2, "4")]
+    documents = spark.createDataFrame([("d", "en", 2024)], "doc_id string, lang string, fiscal_year int")
+    frame = spark.createDataFrame(cells, schemas.CELLS)
+    assert sorted((r["metric"], r["value"]) for r in tables.table_values(frame, documents).collect()) == [("net_profit", 3.0), ("revenue", 10.0)]
+    assert {(r["metric"], r["value"]) for r in tables.observations(frame, documents).collect()} == {("total_assets", 8.0), ("revenue", 10.0), ("revenue", 20.0), ("net_profit", 3.0), ("net_profit", 4.0)}
+
+
 def test_quality_of_filings_sends_no_filings_to_the_driver(spark):
     plan = QUERIES["agg9_jon11_arr5_quality_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert all("doc_id" not in k for k in re.findall(r"Broadcast\w*Join \[([^\]]*)\]", plan)) and "SortMergeJoin" in plan
